@@ -71,3 +71,80 @@ def drop_table(df: DataFrame) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def prefix_sums(lengths: Column, block: int = 256) -> Column:
+    """For an array of ints: at i, the sum of what stands before i. In blocks, so that long arrays stay cheap."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+
+    def of(a: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: total(F.slice(a, b * block + 1, F.lit(block)))
+        )
+        return let(
+            blocks,
+            lambda bs: let(
+                F.transform(bs, lambda _, b: total(F.slice(bs, F.lit(1), b))),
+                lambda before: F.transform(
+                    a,
+                    lambda _, i: F.get(before, F.floor(i / block).cast("int"))
+                    + total(F.slice(a, (F.floor(i / block) * block + 1).cast("int"), (i % block).cast("int"))),
+                ),
+            ),
+        )
+
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, of))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches, in order: array<struct<s, e, v, before, after>>.
+
+    s, e: start and exclusive end in code points; v: the match; before, after:
+    the texts up to the neighbouring matches. ``split`` and ``regexp_extract_all``
+    walk the same matches, so their pieces alternate.
+    """
+    p = F.lit(pattern)
+    pieces = F.struct(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit")
+    )
+
+    def of(x: Column) -> Column:
+        steps = F.transform(x["hit"], lambda h, i: F.length(h) + F.length(F.get(x["gap"], i)))
+        return let(
+            prefix_sums(steps),
+            lambda at: F.transform(
+                x["hit"],
+                lambda h, i: let(
+                    F.get(at, i) + F.length(F.get(x["gap"], i)),
+                    lambda s: F.struct(
+                        s.alias("s"), (s + F.length(h)).alias("e"), h.alias("v"),
+                        F.get(x["gap"], i).alias("before"), F.get(x["gap"], i + 1).alias("after"),
+                    ),
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<s:int,e:int,v:string,before:string,after:string>>")
+    return F.when(text.rlike(pattern), let(pieces, of)).otherwise(none)
+
+
+#: start, order of the kind, kind, end.
+SPAN = "array<struct<s:int,o:int,k:string,e:int>>"
+
+
+def spans(found: Column, order: int, kind: str, good=None) -> Column:
+    """Matches that pass ``good`` as spans of a kind."""
+    if good is not None:
+        found = F.filter(found, lambda m: good(m["v"]))
+    return F.transform(
+        found, lambda m: F.struct(m["s"].alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("k"), m["e"].alias("e"))
+    ).cast(SPAN)
+
+
+def span_text(sorted_spans: Column) -> Column:
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    return F.array_join(F.transform(sorted_spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def count_kind(all_spans: Column, kind: str) -> Column:
+    return F.size(F.filter(all_spans, lambda x: x["k"] == kind)).cast("bigint")

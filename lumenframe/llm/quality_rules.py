@@ -10,10 +10,10 @@ A stratum without enough labels has no cutoff there, and so rejects nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD, documents, let, text_of
+from lumenframe.llm.common import WORD, documents, let, stage_table, text_of
 
 #: Rule -> (numerator, denominator, cutoffs): rejected if numerator * 100 > cutoff * denominator.
 RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
@@ -133,14 +133,14 @@ def cutoffs(stats: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataF
     ]
     by = stats.groupBy("stratum").agg(F.sum(F.when(base_failed(), 0).otherwise(1)).alias("n"), *counts)
     tests = sum(len(g) for _, _, g in RULES.values())
-    by = by.where("n > 0")
-    strata = by.agg(F.count("*").alias("strata"))
+    every = Window.partitionBy(F.lit(1))  # one row a stratum: few
+    by = by.where("n > 0").withColumn("strata", F.count("*").over(every))
     # the number of strata enters the correction as a power of two at least as large, so that the level is a constant
     ks = F.coalesce(
         *[F.when(F.col("strata") <= 2**b, allowed(F.col("n"), risk, level / (tests * 2**b))) for b in range(2, 13)],
         F.lit(-1),
     )
-    by = by.crossJoin(F.broadcast(strata)).withColumn("k", ks)  # one row; few strata
+    by = by.withColumn("k", ks)
     return by.select(
         "stratum",
         "n",
@@ -164,10 +164,14 @@ def judge(
     all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
     keep = [F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")]
     clean = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    held = docs.join(clean.withColumnRenamed("_id", "_clean"), docs[id_col] == F.col("_clean"), "left_semi")
-    cuts = cutoffs(text_statistics(held, text_col, keep), risk, level)
-    out = text_statistics(docs, text_col, keep + [all_of] * whole).withColumn("base_failed", base_failed())
-    out = out.join(cuts.withColumnRenamed("n", "n_holdout"), "stratum", "left")
+    out = text_statistics(docs, text_col, keep + [all_of] * whole)
+    if whole:  # the text goes on: the holdout is read apart
+        held = text_statistics(docs.join(clean.withColumnRenamed("_id", "_clean"), docs[id_col] == F.col("_clean"), "left_semi"), text_col, keep)
+    else:  # small rows: computed once
+        out = stage_table(out, "statistics")
+        held = out.join(clean, "_id", "left_semi")
+    cuts = cutoffs(held, risk, level)
+    out = out.withColumn("base_failed", base_failed()).join(F.broadcast(cuts.withColumnRenamed("n", "n_holdout")), "stratum", "left")
     failed = F.filter(
         F.array(*[F.when(rejects(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
     )

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import near_dedup, packing, quality_rules
+from lumenframe.llm import ann, license_scan, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_ordinal_quality": quality_model.op1_ordinal_quality,
     "op3_simhash_dedup": near_dedup.op3_simhash_dedup,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op6_prefix_forest": ann.op6_prefix_forest,
+    "op7_contextual_pii": pii.op7_contextual_pii,
     "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_pfair_mix": mixing.op10_pfair_mix,
 }
-SQL = {"op9_quality_rules": quality_rules.OP9_SQL}
+SQL = {"op5_license_scan": license_scan.OP5_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
