@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import ann, license_scan, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
+from lumenframe.llm import ann, license_scan, mixing, mixing_lm, near_dedup, packing, pii, quality_model, quality_rules, secret_scan
 
 QUERIES = {
     "op1_ordinal_quality": quality_model.op1_ordinal_quality,
+    "op2_context_mixing_lm": mixing_lm.op2_context_mixing_lm,
     "op3_simhash_dedup": near_dedup.op3_simhash_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_license_scan": license_scan.op5_license_scan,
