@@ -54,6 +54,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows in an Arrow batch: texts are long, and a worker holds a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here and survives lost executors."""
     spark = df.sparkSession

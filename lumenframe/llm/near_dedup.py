@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_table, row_key, stage_table, text_of
+from lumenframe.llm.common import drop_table, row_key, small_batches, stage_table, text_of
 from lumenframe.llm.components import connected_components
 
 #: Most index entries of one cell that one task compares against at once.
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = _fold([np.array(_hashes(t, width), np.uint64) for t in b["text"]])
             yield pd.DataFrame({"row": b["row"], "id": b["id"], "fp": fp})
 
+    small_batches(docs.sparkSession)
     src = docs.select(row_key().alias("row"), F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     return src.mapInPandas(run, "row bigint, id bigint, fp bigint")
 

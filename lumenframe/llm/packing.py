@@ -11,6 +11,7 @@ one window for each such round. No shuffle; memory is bounded by ``most_open``.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,74 +20,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents, text_of
+from lumenframe.llm.common import documents, small_batches, text_of
 
 WINDOW, END = 1024, 0
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
-_PLAIN = 400_000
+#: Most chunks that a worker keeps.
+_PLAIN = 500_000
 
 
-class WordIds:
-    """Ids of texts as the tokenizer gives them, with a bounded cache of chunks between single blanks.
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in kept]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(moved)}
+
+
+class WordIds(dict):
+    """Ids of texts as the tokenizer file gives them, as bytes of uint32.
 
     A blank or line feed between two characters that are not white space always
-    starts or forms a piece of its own in this byte-level vocabulary's split, so
-    the chunks can be encoded apart. Other texts are encoded whole.
+    starts or forms a piece of its own in a byte-level vocabulary's split, so the
+    chunks between them are encoded apart and kept (at most ``_PLAIN`` of them).
+    Other texts are encoded whole by the tokenizer. Chunks are merged by rank,
+    which gives the same ids where ids follow the order of merges; where they
+    don't, the tokenizer encodes the chunks as well.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.feed = self._encode(["\n"])[0]
+        self.chunk = self._by_rank(json.load(open(path, encoding="utf-8"))) or (
+            lambda x: self.tok.encode(x, add_special_tokens=False).ids
+        )
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.marks = {c: array("I", self.chunk(c)).tobytes() for c in ",."}
 
-    def _chunks(self, text: str) -> list[str] | None:
-        """Chunks of a text, or None where it has to be encoded whole."""
-        parts = text.replace("\n", " \n ").split(" ")
-        if "" in parts or not text.replace(" ", "").replace("\n", "").isprintable() or any(s in text for s in self.special):
+    def _by_rank(self, spec: dict):
+        import tiktoken
+
+        model, byte = spec["model"], _bytes_of()
+        vocab, merges = model["vocab"], model["merges"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        ids = [vocab.get(m, -1) for m in merged]
+        plain = [t for t in vocab if t not in set(self.special)]
+        if model["type"] != "BPE" or any(i >= j for i, j in zip(ids, ids[1:], strict=False)) or not all(c in byte for t in plain for c in t):
             return None
-        return parts
+        ranks = {bytes(byte[c] for c in t): vocab[t] for t in plain}
+        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        probe = [" word", "\nÉté,", " 12.5%", "it's", " naïve-x_y", "ß", " ''", " a1b2"]
+        same = all(fast(x) == self.tok.encode(x, add_special_tokens=False).ids for x in probe)
+        return fast if same else None
+
+    def __missing__(self, part: str) -> bytes:
+        """A chunk carries the blank before it; one that starts with a line feed has none."""
+        if part[-1] in ",." and part[-2:-1].isalpha():  # a mark after a letter is a piece of its own
+            ids = self[part[:-1]] + self.marks[part[-1]]
+        else:
+            ids = array("I", self.chunk(part if part[0] == "\n" else " " + part)).tobytes()
+        if len(self) >= _PLAIN:
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        plain = (
+            text
+            and text[0] not in " \n"
+            and text[-1] != " "
+            and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text)
+            and text.replace("\n", "").isprintable()
+            and not any(s in text for s in self.special)
+        )
+        if not plain:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return np.array(self.chunk(first), "<u4").tobytes() + b"".join(map(self.__getitem__, rest))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cache, out, todo, whole = self.cache, [], [], []
-        for i, t in enumerate(texts):
-            chunks = self._chunks(t) if t else []
-            if chunks is None:
-                whole.append(i)
-                out.append(None)
-                continue
-            # a chunk after a blank carries it; the first of a line does not
-            keys, line = [], True
-            for c in chunks:
-                if c == "\n":
-                    keys.append(c)
-                    line = True
-                else:
-                    keys.append(c if line else " " + c)
-                    line = False
-            out.append(keys)
-        need = {k for keys in out if keys for k in keys if k not in cache}
-        need.discard("\n")
-        todo = list(need)
-        fresh = dict(zip(todo, self._encode(todo), strict=True))
-        fresh["\n"] = self.feed
-        if len(cache) + len(todo) > _PLAIN:
-            look = fresh if not cache else {**{k: cache[k] for keys in out if keys for k in keys if k in cache}, **fresh}
-            self.cache = {}
-        else:
-            cache.update(fresh)
-            look = cache
-        res = [b"".join([look[k] for k in keys]) if keys is not None else b"" for keys in out]
-        for i, e in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            res[i] = e
-        return res
+        return [self.encode(t) for t in texts]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -200,6 +219,7 @@ def pack(
         packer.flush()
         yield out()
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     return src.mapInPandas(run, SCHEMA)
 

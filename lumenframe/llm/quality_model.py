@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents, text_of
+from lumenframe.llm.common import documents, small_batches, text_of
 
 BITS, MOST_LABELLED, SELECT_AT = 18, 12_000, 0.5
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_=/\\"
@@ -122,6 +122,7 @@ def train(docs: DataFrame, rated: DataFrame, n_grades: int, id_col: str, text_co
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """A row per input row: (id, expected_grade, p_best, kept). Null text is empty and scored by its shape alone."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # 2**bits weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
