@@ -1,6 +1,347 @@
-"""All queries of the evaluation-analytics part, by inventory id, with DuckDB SQL."""
+"""All queries of the evaluation-analytics part, by inventory id, with DuckDB SQL.
+
+Two kinds: plans built by the operators (with SQL written apart), and
+``portable`` ones, whose text runs on both engines over the same views.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.functions import metrics as m
+from lumenframe.functions import stats, text
+from lumenframe.operators import evaluation as ev
+from lumenframe.operators import judging, verdicts
+from lumenframe.plans.trials import TRIALS_SQL, table, trials, views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+BASE, CAND = "click", "view"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = "WITH " + TRIALS_SQL + sql if sql.startswith(",") else sql
+        return f
+
+    return add
+
+
+def on_trials(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    """A plan over ``trials``; the SQL follows the WITH list that defines trials."""
+    QUERIES[name] = lambda spark, sf_dir: f(trials(spark, sf_dir))
+    SQL[name] = "WITH " + TRIALS_SQL + sql
+
+
+def portable(name: str, sql: str) -> None:
+    """One text for both engines."""
+    QUERIES[name] = lambda spark, sf_dir: views(spark, sf_dir).sql(sql)
+    SQL[name] = ("WITH " + TRIALS_SQL + (", " + sql[5:] if sql.startswith("WITH ") else "\n" + sql)) if "trials" in sql else sql
+
+
+OUTCOMES = """, det AS (SELECT * FROM trials WHERE grading_status = 'READY_DETERMINISTIC'),
+outcomes AS (
+  SELECT model_config_id, task_id, primary_class, difficulty, count(*) AS trials, count(*) FILTER (WHERE verdict = 'PASS') AS passes,
+    bool_or(verdict = 'PASS') AS any_pass, bool_and(verdict = 'PASS') AS all_pass, arg_min(verdict = 'PASS', trial) AS first_pass,
+    bool_or(verdict = 'PASS') <> bool_and(verdict = 'PASS') AS grader_flip, count(DISTINCT verdict) > 1 AS verdict_flip
+  FROM det GROUP BY ALL)"""
+PAIRS = OUTCOMES + f""", pairs AS (
+  SELECT b.task_id, b.primary_class, b.difficulty, b.trials AS bt, b.passes AS bp, b.any_pass AS ba, b.all_pass AS bs,
+    c.trials AS ct, c.passes AS cp, c.any_pass AS ca, c.all_pass AS cs
+  FROM outcomes b JOIN outcomes c USING (task_id) WHERE b.model_config_id = '{BASE}' AND c.model_config_id = '{CAND}')"""
+
+# capability, reliability, performance
+on_trials("a24_capability", OUTCOMES + """
+SELECT *, round(passes / trials, 9) AS trial_accuracy, round(any_pass_tasks / tasks, 9) AS any_pass_rate, round(all_pass_tasks / tasks, 9) AS all_pass_rate
+FROM (SELECT model_config_id, count(*) AS tasks, sum(trials)::BIGINT AS trials, sum(passes)::BIGINT AS passes,
+  count(*) FILTER (WHERE any_pass) AS any_pass_tasks, count(*) FILTER (WHERE all_pass) AS all_pass_tasks FROM outcomes GROUP BY 1)""", ev.capability)
+on_trials("a04_reliability", OUTCOMES + """
+SELECT model_config_id, task_id, o.trials, passes, any_pass, all_pass, first_pass, grader_flip, verdict_flip, decode_stdev, decode_cv,
+  round(passes / o.trials, 9) AS success_rate
+FROM outcomes o JOIN (
+  SELECT model_config_id, task_id, round(CASE WHEN count(*) >= 2 THEN stddev_pop(decode_tok_s) END, 6) AS decode_stdev,
+    round(CASE WHEN count(*) >= 2 AND avg(decode_tok_s) > 0 THEN stddev_pop(decode_tok_s) / avg(decode_tok_s) END, 6) AS decode_cv
+  FROM det GROUP BY 1, 2) USING (model_config_id, task_id)""", ev.reliability)
+on_trials("a22_experiment_means", OUTCOMES + """
+SELECT model_config_id, round(avg(passes / trials), 9) AS mean_success, round(avg(first_pass::INT), 9) AS mean_first,
+  round(avg(any_pass::INT), 9) AS mean_any, round(avg(all_pass::INT), 9) AS mean_all, round(avg(grader_flip::INT), 9) AS flip_rate,
+  concat(count(*) FILTER (WHERE NOT first_pass AND any_pass), '/', count(*) FILTER (WHERE NOT first_pass)) AS recovery,
+  round(count(*) FILTER (WHERE NOT first_pass AND any_pass) / nullif(count(*) FILTER (WHERE NOT first_pass), 0), 9) AS recovery_rate
+FROM outcomes GROUP BY 1""", ev.experiment_means)
+on_trials("a12_performance_snapshot", """, v AS (
+  SELECT model_config_id, decode_tok_s, CASE WHEN eval_count <= 4 THEN '1-4' WHEN eval_count <= 32 THEN '5-32' WHEN eval_count <= 128 THEN '33-128' ELSE '129+' END AS bucket
+  FROM trials WHERE eval_count IS NOT NULL),
+u AS (SELECT * FROM v UNION ALL SELECT model_config_id, decode_tok_s, 'all' FROM v),
+l AS (SELECT model_config_id, bucket, list_sort(list(decode_tok_s)) AS a, median(decode_tok_s) AS med, quantile_disc(decode_tok_s, 0.95) AS p95, avg(decode_tok_s) AS mean FROM u GROUP BY 1, 2),
+q AS (SELECT *, len(a) AS n, greatest(1, least(len(a) - 1, (len(a) + 1) // 4)) AS j1, greatest(1, least(len(a) - 1, 3 * (len(a) + 1) // 4)) AS j3 FROM l),
+d AS (SELECT DISTINCT model_config_id, b AS bucket FROM trials, (VALUES ('all'), ('1-4'), ('5-32'), ('33-128'), ('129+')) x(b))
+SELECT model_config_id, bucket, coalesce(n, 0)::INT AS n, round(med, 6) AS median,
+  round(CASE WHEN n >= 4 THEN (a[j1] * (4 - (n + 1 - 4 * j1)) + a[j1 + 1] * (n + 1 - 4 * j1)) / 4 END, 6) AS p25,
+  round(CASE WHEN n >= 4 THEN (a[j3] * (4 - (3 * (n + 1) - 4 * j3)) + a[j3 + 1] * (3 * (n + 1) - 4 * j3)) / 4 END, 6) AS p75,
+  round(p95, 6) AS p95, round(mean, 6) AS mean
+FROM d LEFT JOIN q USING (model_config_id, bucket)""", lambda t: ev.performance(t).withColumn("n", F.col("n").cast("int")))
+# paired comparison
+on_trials("a26_transition_matrix", PAIRS + """
+SELECT base_ok, cand_ok, count(bs)::BIGINT AS n, coalesce(string_agg(task_id::VARCHAR, ',' ORDER BY task_id), '') AS task_ids
+FROM (VALUES (true, true), (true, false), (false, true), (false, false)) c(base_ok, cand_ok)
+LEFT JOIN pairs ON bs = base_ok AND cs = cand_ok GROUP BY 1, 2""", lambda t: ev.transitions(ev.paired_tasks(t, BASE, CAND)))
+_P = "CASE WHEN {0} + {1} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({0}, {1}) + 1), lambda i: exp(lgamma({0} + {1} + 1.0) - lgamma(i + 1.0) - lgamma({0} + {1} - i + 1.0) + ({0} + {1}) * ln(0.5))))) END"
+on_trials("a27_exact_mcnemar", PAIRS + f""", one AS (
+  SELECT count(*) FILTER (WHERE bs AND NOT cs) AS strict_b, count(*) FILTER (WHERE cs AND NOT bs) AS strict_c,
+    count(*) FILTER (WHERE ba AND NOT ca) AS any_b, count(*) FILTER (WHERE ca AND NOT ba) AS any_c,
+    round(sum(cp) / sum(ct) - sum(bp) / sum(bt), 9) AS accuracy_delta, round(avg(cs::INT) - avg(bs::INT), 9) AS all_pass_delta,
+    round(avg(ca::INT) - avg(ba::INT), 9) AS any_pass_delta, count(*) FILTER (WHERE NOT ba AND NOT ca) AS failed_in_both
+  FROM pairs)
+SELECT *, round({_P.format("strict_b", "strict_c")}, 9) AS strict_p, round({_P.format("any_b", "any_c")}, 9) AS any_p FROM one""",
+    lambda t: ev.mcnemar(ev.paired_tasks(t, BASE, CAND)))
+for _id, _by in (("a28_strata_by_class", "primary_class"), ("a29_strata_by_difficulty", "difficulty")):
+    on_trials(_id, OUTCOMES + f""", s AS (SELECT model_config_id AS m, {_by} AS stratum, count(*) AS n, round(avg((verdict = 'PASS')::INT), 9) AS r FROM det GROUP BY 1, 2)
+SELECT stratum, b.n AS base_trials, b.r AS base_rate, c.n AS cand_trials, c.r AS cand_rate
+FROM (SELECT * FROM s WHERE m = '{BASE}') b FULL JOIN (SELECT * FROM s WHERE m = '{CAND}') c USING (stratum)""",
+        lambda t, by=_by: ev.strata(t, BASE, CAND, by))
+portable("a05_flips_two_definitions", """SELECT model_config_id, task_id, count(DISTINCT CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) > 1 AS grader_flip,
+  count(DISTINCT verdict) > 1 AS verdict_flip FROM trials GROUP BY model_config_id, task_id""")
+portable("j03_common_tasks", f"""SELECT task_id FROM trials WHERE model_config_id = '{BASE}' INTERSECT SELECT task_id FROM trials WHERE model_config_id = '{CAND}'""")
+portable("j04_trial_pair_join", f"""SELECT b.task_id, b.trial, b.verdict AS base_verdict, c.verdict AS cand_verdict FROM trials b JOIN trials c
+  ON b.task_id = c.task_id AND b.trial = c.trial WHERE b.model_config_id = '{BASE}' AND c.model_config_id = '{CAND}'""")
+portable("j05_three_arm_join", """SELECT a.task_id, a.trial, a.verdict AS a, b.verdict AS b, c.verdict AS c FROM trials a
+  JOIN trials b ON a.task_id = b.task_id AND a.trial = b.trial JOIN trials c ON a.task_id = c.task_id AND a.trial = c.trial
+  WHERE a.model_config_id = 'click' AND b.model_config_id = 'view' AND c.model_config_id = 'purchase'""")
+portable("j06_left_join_default_text", """SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(d.lang, '') AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+portable("j08_bijection_full_outer", """SELECT count(CASE WHEN a.k IS NULL THEN 1 END) AS only_right, count(CASE WHEN b.k IS NULL THEN 1 END) AS only_left, count(*) AS total
+  FROM (SELECT DISTINCT task_id AS k FROM trials WHERE model_config_id = 'click') a FULL OUTER JOIN (SELECT DISTINCT task_id AS k FROM trials WHERE verdict = 'FAIL') b ON a.k = b.k""")
+portable("j09_registry_star_join", """SELECT s.s_suppkey, s.s_name, n.n_name, r.r_name, coalesce(x.parts, 0) AS parts FROM supplier s
+  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN (SELECT l_suppkey, count(*) AS parts FROM lineitem GROUP BY l_suppkey) x ON s.s_suppkey = x.l_suppkey""")
+portable("j11_left_driven_groups", """SELECT p.p_partkey, count(l.l_orderkey) AS trials, coalesce(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END), 0) AS passes
+  FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_partkey""")
+portable("j16_expected_population", """WITH e AS (SELECT m.model_config_id, t.task_id FROM (SELECT DISTINCT model_config_id FROM trials) m CROSS JOIN (SELECT DISTINCT task_id FROM trials) t),
+  o AS (SELECT DISTINCT model_config_id, task_id FROM trials)
+  SELECT e.model_config_id, e.task_id FROM e LEFT JOIN o ON e.model_config_id = o.model_config_id AND e.task_id = o.task_id WHERE o.task_id IS NULL""")
+portable("f04_population_filter", "SELECT model_config_id, count(*) AS n FROM trials WHERE grading_status = 'READY_DETERMINISTIC' GROUP BY model_config_id")
+portable("f05_failed_rows", "SELECT model_config_id, task_id, trial FROM trials WHERE verdict = 'FAIL'")
+portable("f06_identity_semi_join", "SELECT t.task_id, t.trial, t.verdict FROM trials t WHERE t.model_config_id = 'click' AND EXISTS (SELECT 1 FROM trials u WHERE u.model_config_id = 'view' AND u.task_id = t.task_id AND u.trial = t.trial AND u.verdict = 'PASS')")
+portable("f12_token_bucket", """SELECT CASE WHEN eval_count <= 4 THEN '1-4' WHEN eval_count <= 32 THEN '5-32' WHEN eval_count <= 128 THEN '33-128' WHEN eval_count > 128 THEN '129+' END AS bucket, count(*) AS n FROM trials GROUP BY 1""")
+portable("f15_excerpt", "SELECT doc_id, substring(text, 1, 300) AS excerpt FROM documents")
+portable("a07_pstdev_cv", """SELECT model_config_id, round(CASE WHEN count(decode_tok_s) >= 2 THEN stddev_pop(decode_tok_s) END, 6) AS sd,
+  round(CASE WHEN count(decode_tok_s) >= 2 AND avg(decode_tok_s) > 0 THEN stddev_pop(decode_tok_s) / avg(decode_tok_s) END, 6) AS cv FROM trials GROUP BY model_config_id""")
+portable("a11_max_non_null", "SELECT model_config_id, max(eval_count) AS peak FROM trials GROUP BY model_config_id")
+portable("a17_deferrals", "SELECT model_config_id, count(CASE WHEN grading_status = 'READY_JUDGE' THEN 1 END) AS deferred FROM trials GROUP BY model_config_id")
+portable("a20_state_distribution", "SELECT model_config_id, verdict, count(*) AS n FROM trials GROUP BY model_config_id, verdict")
+portable("a21_judge_rollup", """SELECT task_id, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS precheck_passes,
+  round(sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) * 1.0 / count(*), 9) AS rate FROM trials WHERE grading_status = 'READY_JUDGE' GROUP BY task_id""")
+portable("a30_systematic_failures", f"""SELECT task_id FROM trials WHERE model_config_id IN ('{BASE}', '{CAND}') GROUP BY task_id HAVING max(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) = 0 AND count(DISTINCT model_config_id) = 2""")
+portable("a32_abc_pair_counts", """SELECT sum(CASE WHEN b = 'PASS' AND c = 'PASS' THEN 1 ELSE 0 END) AS both_pass, sum(CASE WHEN b = 'PASS' AND c <> 'PASS' THEN 1 ELSE 0 END) AS b_only,
+  sum(CASE WHEN b <> 'PASS' AND c = 'PASS' THEN 1 ELSE 0 END) AS c_only, sum(CASE WHEN b <> 'PASS' AND c <> 'PASS' THEN 1 ELSE 0 END) AS neither
+  FROM (SELECT x.verdict AS b, y.verdict AS c FROM trials x JOIN trials y ON x.task_id = y.task_id AND x.trial = y.trial WHERE x.model_config_id = 'view' AND y.model_config_id = 'purchase') z""")
+portable("a35_grouping_sets", """SELECT primary_class, difficulty, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS passes FROM trials GROUP BY GROUPING SETS ((primary_class, difficulty), (primary_class), (difficulty), ())""")
+portable("a36_mode_shares", """SELECT verdict, n, round(n * 1.0 / sum(n) OVER (), 4) AS share FROM (SELECT verdict, count(*) AS n FROM trials WHERE verdict <> 'PASS' GROUP BY verdict) x""")
+portable("a37_weighted_share", """SELECT l.quality, sum(x.failed_rows) AS weight FROM labels l JOIN (SELECT task_id, count(*) AS failed_rows FROM trials WHERE verdict = 'FAIL' GROUP BY task_id) x ON l.doc_id = x.task_id GROUP BY l.quality""")
+portable("a38_multi_mode_tasks", "SELECT task_id, count(DISTINCT verdict) AS modes, count(DISTINCT verdict) > 1 AS multi_mode FROM trials WHERE verdict <> 'PASS' GROUP BY task_id")
+portable("a39_judge_failures", "SELECT model_config_id, task_id, trial, verdict FROM trials WHERE grading_status = 'READY_JUDGE' AND verdict = 'FAIL'")
+portable("a42_two_condition_pass", """SELECT l_returnflag AS suite, count(*) AS n, sum(CASE WHEN l_discount < 0.05 AND l_tax < 0.05 THEN 1 ELSE 0 END) AS passes, sum(CASE WHEN l_tax >= 0.05 THEN 1 ELSE 0 END) AS static_failures FROM lineitem GROUP BY l_returnflag""")
+portable("a43_cohort_rollup", "SELECT model_config_id, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS passes FROM trials GROUP BY ROLLUP (model_config_id)")
+portable("a48_histogram", "SELECT verdict, count(*) AS n FROM trials GROUP BY verdict")
+portable("a50_audit_matrix", "SELECT primary_class, difficulty, count(DISTINCT task_id) AS tasks FROM trials GROUP BY primary_class, difficulty")
+portable("a52_sweep_counts", "SELECT count(*) AS models, sum(CASE WHEN n >= 1000 THEN 1 ELSE 0 END) AS large, sum(CASE WHEN n < 1000 THEN 1 ELSE 0 END) AS small FROM (SELECT model_config_id, count(*) AS n FROM trials GROUP BY model_config_id) x")
+portable("a55_filtered_count", "SELECT count(*) AS n FROM trials WHERE trial = 1")
+portable("w02_first_attempt", "SELECT model_config_id, task_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY model_config_id, task_id ORDER BY trial) AS rn FROM trials) x WHERE rn = 1")
+portable("w05_last_write", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1")
+portable("w06_duplicate_identities", "SELECT doc_id, n FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id) x WHERE n > 1")
+portable("o04_prefix_limit", "SELECT task_id FROM (SELECT task_id, row_number() OVER (ORDER BY task_id) AS rn FROM (SELECT DISTINCT task_id FROM trials) t) x WHERE rn <= 10")
+portable("o08_strata_union", "SELECT primary_class AS stratum FROM trials UNION SELECT difficulty FROM trials")
+portable("o09_set_difference", "SELECT DISTINCT task_id FROM trials WHERE verdict = 'FAIL' EXCEPT SELECT DISTINCT task_id FROM trials WHERE verdict = 'PASS' AND model_config_id = 'click'")
+portable("o11_ordered_concat", "SELECT 1 AS cohort, doc_id FROM labels WHERE quality = 0 UNION ALL SELECT 2 AS cohort, doc_id FROM labels WHERE toxic = 1")
+portable("m12_context_headroom", "SELECT max(n_chars) AS longest, 200000 - max(n_chars) - 1024 AS headroom, 200000 - max(n_chars) - 1024 >= 0 AS fits, min(CASE WHEN n_chars = top THEN doc_id END) AS doc_id FROM (SELECT doc_id, n_chars, max(n_chars) OVER () AS top FROM documents) x")
+portable("x45_content_ids", "SELECT doc_id, sha256(concat(coalesce(cast(doc_id AS VARCHAR(20)), 'None'), '|', coalesce(lang, 'None'), '|', coalesce(source, 'None'))) AS id FROM documents")
+QUERIES["x45_content_ids"] = lambda spark, d: table(spark, d, "documents").select("doc_id", text.content_id(F.col("doc_id"), F.col("lang"), F.col("source")).alias("id"))
+
+
+# metrics over counters made from lineitem
+_COUNTERS = """SELECT l_orderkey AS k, l_linenumber AS ln, CAST(floor(l_quantity) AS BIGINT) AS cnt,
+  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(floor(l_quantity) AS BIGINT) - l_linenumber + 3 - (l_orderkey % 7) END AS cached,
+  CASE WHEN l_linenumber = 5 THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) * 1000 END AS ns FROM lineitem"""
+
+
+@query("m01_generation_metrics", f"""SELECT k, ln,
+  CASE WHEN cached IS NULL THEN cnt WHEN cached >= 0 AND cached <= cnt THEN cnt - cached END AS uncached,
+  round(CASE WHEN cached IS NULL THEN 0.0 WHEN cached < 0 OR cached > cnt THEN NULL WHEN cnt = 0 THEN 0.0 ELSE cached / cnt END, 9) AS cache_ratio,
+  CASE WHEN cached < 0 OR cached > cnt THEN 'UNKNOWN' WHEN cnt = 0 OR cached IS NULL OR cached = 0 THEN 'UNCACHED' WHEN cached = cnt THEN 'FULLY_CACHED' ELSE 'PARTIAL' END AS cache_state,
+  round(CASE WHEN cnt > 0 AND ns > 0 THEN cnt / (ns / 1e9) END, 6) AS decode_tok_s, round(CASE WHEN cnt > 0 AND ns > 0 THEN ns / 1e6 / cnt END, 6) AS decode_ms_per_token,
+  round(ns / 1e6, 6) AS ttft_ms, coalesce(ns / 1e6 > 1000.0, false) AS reloaded FROM ({_COUNTERS})""")
+def generation_metrics(spark, sf_dir):
+    """M01-M09, F13 over one row per generation: a projection, nothing else."""
+    c = views(spark, sf_dir).sql(_COUNTERS)
+    n, cached, ns = F.col("cnt"), F.col("cached"), F.col("ns")
+    return c.select(
+        "k", "ln", m.uncached(n, cached).alias("uncached"), F.round(m.cache_ratio(n, cached), 9).alias("cache_ratio"),
+        m.cache_state(n, cached).alias("cache_state"), F.round(m.per_second(n, ns), 6).alias("decode_tok_s"),
+        F.round(m.ms_each(n, ns), 6).alias("decode_ms_per_token"), F.round(m.span_ms(F.lit(0), ns), 6).alias("ttft_ms"),
+        m.reloaded(ns / 1e6).alias("reloaded"),
+    )
+
+
+@query("m10_residency_verdict", """SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'INELIGIBLE_DIGEST' WHEN s_acctbal <= 0 THEN 'INELIGIBLE_UNMEASURABLE'
+  WHEN s_nationkey % 5 = 1 THEN 'ELIGIBLE_GPU' ELSE 'INELIGIBLE_PARTIAL' END AS verdict FROM supplier""")
+def residency(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    size = F.col("s_acctbal")
+    held = F.when(F.col("s_nationkey") % 5 == 1, size).otherwise(size - 1)
+    return s.select("s_suppkey", m.residency_verdict(held, size, F.col("s_nationkey") % 5 != 0).alias("verdict"))
+
+
+@query("m14_call_cost", """SELECT o_orderkey, round(coalesce(CASE WHEN o_custkey % 3 = 0 AND o_totalprice >= 0 THEN o_totalprice END, o_totalprice / 1000 * 0.25), 4) AS cost FROM orders""")
+def call_cost(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    given = F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice"))
+    return o.select("o_orderkey", F.round(m.call_cost(given, F.col("o_totalprice"), F.lit(0.25)), 4).alias("cost"))
+
+
+# skyline
+_POINTS = "SELECT p_partkey AS id, p_size AS score, p_retailprice AS cost FROM part"
+
+
+@query("j12_skyline", f"""WITH p AS ({_POINTS}) SELECT id, score, cost FROM p WHERE NOT EXISTS (
+  SELECT 1 FROM p q WHERE q.score >= p.score AND q.cost <= p.cost AND (q.score > p.score OR q.cost < p.cost))""")
+def skyline(spark, sf_dir):
+    return ev.skyline(views(spark, sf_dir).sql(_POINTS), "id", "score", "cost", smaller_is_better=True)
+
+
+# judging
+@query("j13_first_pairs", """WITH r AS (SELECT o_custkey AS g, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+  p AS (SELECT a.g, a.item AS left_item, b.item AS right_item, row_number() OVER (PARTITION BY a.g ORDER BY a.rn, b.rn) AS pair FROM r a JOIN r b ON a.g = b.g AND a.rn < b.rn)
+  SELECT g, left_item, right_item, pair FROM p WHERE pair <= 3""")
+def first_pairs(spark, sf_dir):
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("item"))
+    return judging.first_pairs(items, "g", ["item"], "item", 3).select("g", "left_item", "right_item", "pair")
+
+
+_JUDGED = """SELECT user_id AS pair_id, CASE WHEN event_id % 2 = 0 THEN 'forward' ELSE 'inverse' END AS orientation,
+  CASE WHEN value < 5 THEN 'A' WHEN value < 15 THEN 'B' WHEN value < 25 THEN 'TIE' ELSE 'NEITHER' END AS shown, event_id AS seq FROM events"""
+
+
+@query("a44_position_flips", f"""WITH j AS ({_JUDGED}), n AS (SELECT *, CASE shown WHEN 'A' THEN CASE orientation WHEN 'forward' THEN 'LEFT' ELSE 'RIGHT' END
+  WHEN 'B' THEN CASE orientation WHEN 'forward' THEN 'RIGHT' ELSE 'LEFT' END ELSE shown END AS w FROM j),
+  s AS (SELECT pair_id, arg_max(w, seq) FILTER (WHERE orientation = 'forward') AS f, arg_max(w, seq) FILTER (WHERE orientation = 'inverse') AS i FROM n GROUP BY 1)
+  SELECT count(*) AS comparable, count(*) FILTER (WHERE f <> i) AS flips, round(count(*) FILTER (WHERE f <> i) / nullif(count(*), 0), 9) AS flip_rate FROM s WHERE f IS NOT NULL AND i IS NOT NULL""")
+def position_flips(spark, sf_dir):
+    j = views(spark, sf_dir).sql(_JUDGED)
+    return judging.position_flips(j.withColumn("winner", judging.normalise_winner(F.col("shown"), F.col("orientation"))))
+
+
+@query("a45_majority_vote", """SELECT o_orderkey, CASE WHEN v[1] = v[2] OR v[1] = v[3] THEN v[1] WHEN v[2] = v[3] THEN v[2] ELSE v[1] END AS decision
+  FROM (SELECT o_orderkey, [o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END, CASE WHEN o_totalprice > 150000 THEN 'F' ELSE 'P' END] AS v FROM orders)""")
+def majority_vote(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    votes = F.array(
+        F.col("o_orderstatus"), F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("O"), F.when(F.col("o_totalprice") > 150000, "F").otherwise("P")
+    )
+    return o.select("o_orderkey", judging.majority(votes).alias("decision"))
+
+
+@query("a54_population_hash", """SELECT user_id, sha256(string_agg(concat(event_id, '|', event_type), chr(10) ORDER BY concat(event_id, '|', event_type))) AS hash, count(*) AS n FROM events GROUP BY 1""")
+def population_hash(spark, sf_dir):
+    line = F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
+    return judging.population_hash(table(spark, sf_dir, "events"), ["event_id"], line, ["user_id"])
+
+
+@query("k04_upsert_last_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def upsert(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return judging.last_write(log, ["user_id", "event_type"], "event_id")
+
+
+@query("k03_insert_or_ignore", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def insert_or_ignore(spark, sf_dir):
+    return judging.first_write(table(spark, sf_dir, "labels").select("doc_id", "quality"), table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+@query("k06_delete_keys", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 5)")
+def delete_keys(spark, sf_dir):
+    gone = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select(F.col("l_orderkey").alias("o_orderkey"))
+    return judging.without_keys(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, ["o_orderkey"])
+
+
+@query("g01_population_gate", """WITH e AS (SELECT DISTINCT doc_id FROM documents), o AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), b AS (SELECT e.doc_id AS e, n FROM e FULL JOIN o USING (doc_id))
+  SELECT count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE e IS NULL) AS extra, count(*) FILTER (WHERE n > 1) AS repeated,
+  count(*) FILTER (WHERE n IS NULL OR e IS NULL OR n > 1) = 0 AS ok FROM b""")
+def population_gate(spark, sf_dir):
+    return judging.population_gate(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+# text and graders over documents
+_LIMITS = [
+    {"kind": "word_range", "min": 50, "max": 2000},
+    {"kind": "forbidden_chars", "chars": ["#", "$"]},
+    {"kind": "required_terms", "terms": ["the"]},
+    {"kind": "line_count", "value": 5},
+    {"kind": "parenthetical_count", "value": 0},
+]
+
+
+@query("r06_constraints", r"""SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN NOT len(regexp_extract_all(t, '\S+')) BETWEEN 50 AND 2000 THEN 'word_range' END, CASE WHEN contains(t, '#') OR contains(t, '$') THEN 'forbidden_chars' END,
+  CASE WHEN NOT contains(lower(t), 'the') THEN 'required_terms' END, CASE WHEN len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) <> 5 THEN 'line_count' END,
+  CASE WHEN contains(t, '(') OR contains(t, ')') THEN 'parenthetical_count' END], lambda x: x IS NOT NULL), ',') AS violations FROM (SELECT doc_id, trim(text) AS t FROM documents)""")
+def constraints(spark, sf_dir):
+    t = text.normalised(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.violations(t, _LIMITS), ",").alias("violations"))
+
+
+@query("x02_word_and_line_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_words, len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) AS n_lines, (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS n_the FROM documents")
+def counts(spark, sf_dir):
+    t = text.normalised(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(text.words(t)).cast("bigint").alias("n_words"), F.size(text.lines(t)).cast("bigint").alias("n_lines"),
+        text.occurrences(t, "the").cast("bigint").alias("n_the"),
+    )
+
+
+@query("x37_slug", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
+
+
+@query("r02_numeric_grader", r"SELECT o_orderkey, abs(round(o_totalprice, 0) - o_totalprice) <= 0.25 AS passed FROM orders")
+def numeric_grader(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    said = F.concat(F.round("o_totalprice", 0).cast("decimal(20,0)").cast("string"), F.lit("."))
+    got = text.bare_number(said)
+    return o.select("o_orderkey", F.coalesce(text.close_to(got, F.col("o_totalprice"), 0.25), F.lit(False)).alias("passed"))
+
+
+@query("r03_time_grader", "SELECT event_id, hour(ts)::INT AS h, minute(ts)::INT AS m FROM events")
+def time_grader(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    said = F.date_format("ts", "h:mm a")
+    return e.select("event_id", text.time_parts(said, True, True).alias("t")).select("event_id", "t.h", "t.m")
+
+
+@query("r10_verdicts", """SELECT user_id, event_type, CASE WHEN user_id % 11 = 0 THEN 'REFUSED_NOT_EXECUTABLE' WHEN min(value) < 2 THEN 'FAIL' WHEN user_id % 15 = 0 THEN 'NEEDS_JUDGE' ELSE 'PASS' END AS verdict FROM events GROUP BY 1, 2""")
+def reduced(spark, sf_dir):
+    judge = F.when(F.col("user_id") % 15 == 0, "rubric_judge").otherwise("exact")
+    one = F.struct(judge.alias("grader_type"), F.lit(True).alias("passed"), F.lit("").alias("detail"), F.array().cast("array<string>").alias("violations"))
+    two = F.struct(F.lit("numeric").alias("grader_type"), (F.col("value") >= 2).alias("passed"), F.lit("").alias("detail"), F.array().cast("array<string>").alias("violations"))
+    by = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.flatten(F.collect_list(F.array(one, two))).alias("r"))
+    status = F.when(F.col("user_id") % 11 == 0, "PENDING_SPECIFICATION").otherwise("READY_DETERMINISTIC")
+    return by.select("user_id", "event_type", verdicts.reduce_verdict(F.col("r"), status).alias("verdict"))
+
+
+@query("x23_row_modes", """SELECT user_id, CASE WHEN count(DISTINCT mode) FILTER (WHERE mode <> 'UNKNOWN') = 0 THEN 'UNKNOWN' WHEN count(DISTINCT mode) FILTER (WHERE mode <> 'UNKNOWN') = 1 THEN max(mode) FILTER (WHERE mode <> 'UNKNOWN') ELSE 'MIXED' END AS mode
+  FROM (SELECT user_id, CASE WHEN value < 1 THEN 'CONTENT_ERROR' WHEN value > 60 THEN 'OUTPUT_CONTRACT' ELSE 'UNKNOWN' END AS mode FROM events) GROUP BY 1""")
+def row_modes(spark, sf_dir):
+    mode = F.when(F.col("value") < 1, "CONTENT_ERROR").when(F.col("value") > 60, "OUTPUT_CONTRACT").otherwise("UNKNOWN")
+    by = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(mode).alias("modes"))
+    return by.select("user_id", verdicts.row_mode(F.col("modes")).alias("mode"))
+
+
+@query("f17_config_drift", """WITH a AS (SELECT c_custkey AS key, c_acctbal::VARCHAR AS v FROM customer), b AS (SELECT s_suppkey AS key, s_acctbal::VARCHAR AS v FROM supplier) SELECT count(*) AS drifted FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v""")
+def config_drift(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_acctbal").cast("string").alias("value"))
+    return judging.drift(a, b).select(F.when(F.col("drifted") == "", 0).otherwise(F.size(F.split("drifted", ","))).cast("bigint").alias("drifted"))
