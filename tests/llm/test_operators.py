@@ -1,0 +1,300 @@
+"""Training-data operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from compare import duck, same
+
+from lumenframe.llm import ann, license_scan, mixing, mixing_lm, near_dedup, packing, pii, quality_model, quality_rules, registry, secret_scan
+from lumenframe.llm.common import lower_ascii  # noqa: F401
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, words string, _row string"
+PII = "mail me.x@ex-ample.co.uk or +1 (437) 555-0689, ip 10.0.0.255 and 1.2.3.256, card 4111 1111 1111 1111; a@b.c_d@e.f"
+KEY = 'password = "hunter2hunter2" token: ab AKIA1234567890ABCD secret=' + "0f" * 20
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i if i != 5 else None, t, "en" if i % 2 else None, f"s{i % 3}" if i else None, 0, i, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    base = " ".join(f"w{i * 7919 % 53}" for i in range(400))
+    texts = ["", None, "one", "One TWO three four five", base, base, base + " tail", PII, KEY, "ß É\tx\x0by " * 3, "a " * 60000, KEY + " client_id=abcdef99 " + PII, "  \n\n x"]
+    return table(spark, texts + [base])
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_fp(t):
+    words = [w for w in (t or "").encode().lower().split()]
+    sh = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def components(fps, ids, d):
+    lab = list(range(len(fps)))
+    find = lambda x: x if lab[x] == x else find(lab[x])
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= d:
+                lab[max(find(i), find(j))] = min(find(i), find(j))
+    least = collections.defaultdict(list)
+    for i in range(len(fps)):
+        least[find(i)].append(ids[i])
+    return [min((x for x in least[find(i)] if x is not None), default=None) for i in range(len(fps))]
+
+
+def test_simhash(spark, odd):
+    rows = odd.select("doc_id", "text", "row").collect()
+    fps = [brute_fp(r["text"]) for r in rows]
+    want = components(fps, [r["doc_id"] for r in rows], 4)
+    got = near_dedup.near_duplicates(odd).collect()
+    assert sorted((repr(g["id"]), g["fp"] % 2**64, repr(g["component_id"])) for g in got) == sorted(
+        (repr(r["doc_id"]), f, repr(w)) for r, f, w in zip(rows, fps, want)
+    )
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+    kept = near_dedup.dedup(odd)
+    assert kept.columns == odd.columns and kept.count() == len(set(want))
+
+
+def test_links_are_complete(spark):
+    rng = np.random.default_rng(1)
+    fps = list(rng.integers(-(2**63), 2**63 - 1, 300))
+    for k in range(500):
+        x = int(fps[rng.integers(len(fps))]) % 2**64
+        for b in rng.choice(64, rng.integers(1, 6), replace=False):
+            x ^= 1 << int(b)
+        fps.append(x - 2**64 if x >= 2**63 else x)
+    fps = sorted({int(x) for x in fps})
+    got = near_dedup.near_duplicates  # noqa: F841
+    from lumenframe.llm.components import connected_components
+
+    edges = near_dedup.near_links(spark.createDataFrame([(x,) for x in fps], "fp bigint"))
+    lab = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    mine = [lab.get(x, x) for x in fps]
+    want = components([x % 2**64 for x in fps], fps, 4)
+    assert [mine.index(m) for m in mine] == [want.index(w) for w in want]
+
+
+def spans4(t):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        out += [(m.start(), 0, "assign", m.end())] * (len(m[2]) >= 8)
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
+
+
+def luhn(d):
+    v = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+    return sum(x - 9 if x > 9 else x for x in v) % 10 == 0
+
+
+def spans7(t):
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) < 256 for x in m[0].split("."))]
+    out += [(m.start(), 2, "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return sorted(out + [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15])
+
+
+def as_text(spans):
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+
+
+def test_secret_and_pii_base(spark, odd, small):
+    for docs in (odd, spark.read.parquet(f"{small}/documents.parquet")):
+        want = collections.Counter((repr(r["doc_id"]), as_text(spans4(r["text"] or ""))) for r in docs.collect())
+        got = collections.Counter((repr(r["id"]), as_text([(x["s"], x["o"], x["k"], x["e"]) for x in r["base"]])) for r in secret_scan.scan(docs).collect())
+        assert got == want
+        want = collections.Counter((repr(r["doc_id"]), as_text(spans7(r["text"] or ""))) for r in docs.collect())
+        got = collections.Counter((repr(r["id"]), as_text([(x["s"], x["o"], x["k"], x["e"]) for x in r["base"]])) for r in pii.find(docs).collect())
+        assert got == want
+    assert secret_scan.scan(empty(spark)).count() == 0 and pii.find(empty(spark)).count() == 0
+
+
+def test_weak_parts_need_complements(spark):
+    far = " x" * 400
+    texts = ["client_id=abcdef99 password=hunter2hunter2", "client_id=abcdef99" + far + "password=hunter2hunter2", "see https://host/x", "client_id=abcdef99 secret=hunter2hunter2 https://host/x"]
+    got = {r["id"]: [x["k"] for x in r["spans"]] for r in secret_scan.scan(table(spark, texts)).collect()}
+    assert got == {0: ["id", "assign"], 1: ["assign"], 2: [], 3: ["id", "assign", "endpoint"]}
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    texts = [f"ordinary words here. mailto: user{i}@mail{i}.example.com then more" for i in range(6)] + ["odd words mailto: user-77-88-99#intern goes on", "the year 12345 was fine"]
+    got = {r["id"]: [x["k"] for x in r["spans"]] for r in pii.find(table(spark, texts)).collect()}
+    assert got[6] == ["context"] and got[7] == [] and got[0] == ["email"]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(table(spark, texts)).collect()}
+    assert masked[0] == "ordinary words here. mailto: [EMAIL] then more" and masked[7] == texts[7] and "user-77" not in masked[6]
+
+
+def test_license_and_rules_sql(spark, small):
+    for name in ("op5_license_scan", "op9_quality_rules"):
+        same(registry.QUERIES[name](spark, small).toPandas(), duck(small).sql(registry.SQL[name]).df())
+
+
+def test_license_edges(spark, odd):
+    assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(empty(spark)).count() == 0
+    got = {r["id"]: r for r in license_scan.scan(table(spark, ["CC BY cc by", "x all rights reserved", "Released under the MIT License."])).collect()}
+    assert (got[0]["n_base"], got[0]["first_word"], got[0]["last_word"]) == (2, 0, 2)
+    assert got[1]["base_labels"] == "reserved" and got[2]["labels"] == "mit" and got[2]["score"] == 1.0
+
+
+def test_binomial_limit(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    for n, risk, level in [(500, 0.02, 0.01), (2000, 0.02, 1e-4), (10, 0.02, 0.05), (0, 0.02, 0.05)]:
+        cdf, want = 0.0, -1
+        for k in range(n + 1):
+            cdf += comb(n, k) * risk**k * (1 - risk) ** (n - k)
+            if cdf > level:
+                break
+            want = k
+        assert spark.range(1).select(quality_rules.allowed(F.lit(n), risk, level)).first()[0] == want
+
+
+def test_rules_edges(spark, odd):
+    labels = spark.createDataFrame([(i, 1) for i in range(14)] + [(None, 1), (3, None)], "doc_id bigint, quality int")
+    got = quality_rules.judge(odd, labels)
+    assert got.count() == odd.count()
+    whole = quality_rules.judge(odd, labels, whole=True).where("kept").select("_all.*")
+    assert whole.columns == odd.columns
+    assert quality_rules.judge(empty(spark), labels).count() == 0
+
+
+def test_packing_round_trip(spark, odd):
+    enc = packing.encoder(packing.tokenizer_path())
+    p = packing.pack(odd, packing.tokenizer_path()).toPandas()
+    want = collections.Counter()
+    for r in odd.collect():
+        ids = np.array(enc.tok.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4")
+        want[repr(r["doc_id"]), len(ids)] += len(ids)
+    got = collections.Counter()
+    for r in p.itertuples():
+        got[repr(None if r.doc_id != r.doc_id else int(r.doc_id)), r.doc_tokens] += r.length
+    assert got == want
+    p = p.sort_values(["sequence_id", "offset"])
+    ends = (p.offset + p.length).groupby(p.sequence_id)
+    assert (ends.shift(1).fillna(0) == p.offset).all() and ends.max().max() <= 1024
+    assert packing.pack(empty(spark), packing.tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("t", ["", "a\n\nb\n\n", "  x", "a\tb", " a", "a ", "<|endoftext|> x", "don't 'll x\ny", "\n", "x\n", "é\x85z, q.", "a ,b, c."])
+def test_chunks_encode_as_whole(t):
+    enc = packing.encoder(packing.tokenizer_path())
+    assert enc.encode(t) == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_cut_and_fill_keeps_all():
+    p = packing.Packer(16, 0, 3)
+    for i in range(50):
+        p.add(i, np.arange(10 + i % 3, dtype="<u4").tobytes())
+    p.flush()
+    assert sum(r[2] for r in p.rows) == sum(10 + i % 3 for i in range(50))
+
+
+def test_pfair(spark):
+    rows = [(i, "x", "en", "abc"[0 if i < 300 else 1 if i < 390 else 2], 0, i, "", "") for i in range(420)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.schedule(docs, resolution=20, block_rows=2, bucket_rows=16).toPandas()
+    assert sorted(got.doc_id) == list(range(420))
+    order = got.sort_values(["period", "slot", "in_block"])
+    blocks = order.drop_duplicates(["period", "slot"])
+    first = blocks[blocks.period == 0]
+    weights = dict(zip(first.source, first.a))
+    total, served = sum(weights.values()), collections.Counter()
+    for t, s in enumerate(first.source, 1):
+        served[s] += 1
+        assert all(abs(served[k] - w * t / total) < 1 for k, w in weights.items())
+    assert mixing.schedule(empty(spark)).count() == 0
+    assert mixing.mix(docs).columns == docs.columns
+
+
+def test_forest_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 16)).astype(np.float32)
+    x[7] = x[9]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(600)] + [(600, None), (601, [0.0] * 16), (602, [float("nan")] * 16), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 50 = 0")).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = 0
+    for q in range(0, 600, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.lexsort((np.arange(600), -s))[:5]) & set(got[got.query_id == q].vec_id))
+    assert hit / 60 >= 0.9 and not set(got.vec_id) & {600, 601, 602}
+    few = df.where("vec_id < 3")
+    assert ann.nearest(few, few).count() == 6
+    assert ann.nearest(df.where("false"), df).count() == 0
+
+
+def test_ordinal_model(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        g = i % 3
+        ws = [f"w{k}" for k in rng.integers(0, 400, 60)] + [["vile", "poor", "fine"][g]] * (rng.random() < 0.95)
+        rows.append((i, " ".join(ws), g))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0, "", "") for i, t, _ in rows] + [(None, None, None, None, 0, 0, "", "")], SCHEMA)
+    rated = spark.createDataFrame([(i, g) for i, _, g in rows if i < 600] + [(None, 1), (5, None)], "id bigint, grade int")
+    model = quality_model.train(docs, rated, 3, "doc_id", "text", 14, 500)
+    assert (np.diff(model[1]) > 0).all()
+    got = {r["id"]: r for r in quality_model.score(docs, model, bits=14).collect()}
+    right = sum(got[i]["kept"] == (g == 2) for i, _, g in rows if i >= 600)
+    assert len(got) == 901 and right / 300 > 0.85
+
+
+def test_language_model(spark, odd):
+    docs = odd.select("doc_id", "text").collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = collections.Counter()
+    for r in docs:
+        if not held(r["doc_id"]):
+            c.update(mixing_lm.words_of(r["text"] or ""))
+            c[b"\n"] += 1
+    n, v = sum(c.values()), len(c)
+    want = sorted(
+        (repr(r["doc_id"]), len(w), sum(c[x] > 0 for x in w), round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6))
+        for r in docs
+        for w in [mixing_lm.words_of(r["text"] or "") + [b"\n"]]
+    )
+    got = mixing_lm.score(odd, head_words=20).collect()
+    assert sorted((repr(r["id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
+    assert mixing_lm.score(empty(spark)).count() == 0
+
+
+def test_code_is_a_distribution():
+    head = mixing_lm.Head([b"a", b"b", b"c"], np.array([5, 3, 9, 4, 2]), 20, 6, 0.2)
+    tables = [np.random.default_rng(1).standard_normal(1 << mixing_lm.TABLE_BITS).astype(np.float32) for _ in range(3)]
+    m = mixing_lm.Mixer(tables, [np.zeros(1 << mixing_lm.TABLE_BITS, np.uint8)] * 3)
+    m.finish()
+    total = 0.0
+    for s in range(5):
+        tok = mixing_lm.Tokens([np.array([s], np.uint32).tobytes()], ["zz" if s == 1 else ""])
+        total += 10 ** (m.log10_of_bits(mixing_lm.token_bits(head, tok, 0, 1), False)[0] + head.rest[s])
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    base = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage_table(stage(spark, docs, small), name)
+        assert docs.columns == base
+    assert 0 < docs.count() <= 200 and docs.select("doc_id").distinct().count() == docs.count()
+    assert sum(hashlib.md5(t[0].encode()).digest() is None for t in docs.select("text").collect()) == 0
+    assert corpus_pipeline.run(spark, small).select("doc_id").distinct().count() == docs.count()
