@@ -1,16 +1,20 @@
 """Text predicates for grading, as column expressions over a normalised text.
 
-Each constraint kind is a function of the text column and its parameters that
-gives a boolean column: true if the constraint holds. ``CONSTRAINTS`` is the
+Each constraint kind is a function of the text column and its parameters, by
+the names that grading specifications use, that gives a boolean column: true if the constraint holds. ``CONSTRAINTS`` is the
 dispatch table; an unknown kind never holds.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode white space, as a class for Java's regular expressions.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -45,7 +49,7 @@ def bullet_text(x: Column) -> Column:
 
 
 def numbered_items(t: Column) -> Column:
-    return F.regexp_extract_all(t, F.lit(rf"(?m)^{SPACE}*\d+\.{SPACE}+(.*)$"), F.lit(1))
+    return F.regexp_extract_all(t, F.lit(rf"(?md)^{SPACE}*\d+\.{SPACE}+(.*)$"), F.lit(1))
 
 
 def occurrences(t: Column, term: str) -> Column:
@@ -62,7 +66,7 @@ def has(t: Column, term: str) -> Column:
 
 
 def term_matches(t: Column, term: str, how: str = "substring") -> Column:
-    """A whole word, or any substring, in either case."""
+    """A whole word, or any substring, in either case. (Letters, digits and the underscore make words.)"""
     if how == "word":
         return t.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){quote(term)}(?![\p{{L}}\p{{N}}_])")
     if how == "substring":
@@ -82,70 +86,112 @@ def _all(parts: list[Column]) -> Column:
 
 
 def _item(c: dict, values: Column) -> Column:
-    """Item of a constraint, counted from 1."""
-    return F.get(values, F.lit(int(c["item"]) - 1))
-
-
-def _sentence(c: dict, t: Column) -> Column:
-    return F.get(sentences(t), F.lit(int(c["sentence"]) - 1))
+    """The element that a constraint names, counted from 1; null if there is none."""
+    return F.get(values, F.lit(int(c["index"]) - 1)) if int(c["index"]) > 0 else F.lit(None).cast("string")
 
 
 def _bullet(c: dict, t: Column) -> Column:
-    at = int(c["item"])
-    return bullet_text(F.try_element_at(bullets(t), F.lit(at)))
+    """A bullet's text; index -1 is the last one."""
+    found = bullets(t)
+    return bullet_text(F.try_element_at(found, F.lit(-1)) if int(c["index"]) == -1 else _item(c, found))
 
 
 def _endings(x: Column) -> Column:
     return F.regexp_count(x, F.lit(rf"[.!?]+(?:{SPACE}|$)"))
 
 
-def _table_rows(t: Column) -> Column:
-    cells = lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    return F.transform(F.filter(F.split(t, "\n"), lambda r: F.trim(r).startswith("|")), cells)
+def _item_sentences(t: Column, c: dict) -> Column:
+    items = numbered_items(t)
+    if "index" in c:
+        return _endings(_item(c, items)) == int(c["value"])
+    return (F.size(items) > 0) & F.forall(items, lambda x: _endings(x) == int(c["value"]))
+
+
+def _sentence_terms(t: Column, c: dict) -> Column:
+    terms = [*(c.get("terms") or []), *([c["term"]] if "term" in c else [])]
+    if c.get("all_sentences"):
+        return F.forall(sentences(t), lambda s: has(s, terms[0] if terms else ""))
+    return _all([has(_item(c, sentences(t)), x) for x in terms]) & _item(c, sentences(t)).isNotNull() if c.get("index") else F.lit(True)
 
 
 def _table_shape(t: Column, c: dict) -> Column:
-    rows = F.filter(_table_rows(t), lambda r: ~F.forall(r, lambda x: x.rlike(r"^:?-+:?$")))
-    return (F.get(rows, F.lit(0)) == F.array(*[F.lit(x) for x in c["columns"]])) & (F.size(rows) - 1 == c["rows"])
+    """A header of these cells, a separator, and that many rows of data."""
+    rows = F.filter(F.split(t, "\n"), lambda r: r.rlike(rf"^{SPACE}*\|"))
+    header = F.transform(F.split(F.regexp_replace(F.get(rows, F.lit(0)), r"^\|+|\|+$", ""), r"\|"), _stripped)
+    data = F.filter(F.slice(rows, 3, F.greatest(F.size(rows), F.lit(1))), lambda r: ~r.rlike(rf"^{SPACE}*\|?(?:{SPACE}|[:|-])+\|?{SPACE}*$"))
+    return (F.size(rows) >= 3) & (header == F.array(*[F.lit(x) for x in c["columns"]])) & (F.size(data) == c["data_rows"])
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def plain(s: str) -> str:
+    """What ``normalised`` and the composed form make of a constant."""
+    return re.sub(r"\r\n?", "\n", unicodedata.normalize("NFC", s)).strip()
+
+
+def read_json(raw: str | None):
+    """The JSON value of an output; one fence around all of it may stand. Raises ValueError."""
+    body = plain(raw or "")
+    fenced = re.fullmatch(r"```(?:json)?\s*\n?(.*?)\n?```", body, re.DOTALL)
+    return json.loads(fenced[1].strip() if fenced else body)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def json_strings(t: pd.Series) -> pd.Series:
+    """The values of a JSON object that are strings; null if the text is no JSON object."""
+
+    def of(raw: str | None) -> list[str] | None:
+        try:
+            got = read_json(raw)
+        except ValueError:
+            return None
+        return [v for v in got.values() if isinstance(v, str)] if isinstance(got, dict) else None
+
+    return t.map(of)
+
+
+def _term_count(t: Column, c: dict) -> Column:
+    how = c.get("occurrence", "exactly")
+    if how == "across_values":
+        return F.size(F.filter(json_strings(t), lambda x: term_matches(x, c["term"], c.get("match", "substring")))) == c["count"]
+    return occurrences(t, c["term"]) == c["count"] if how == "exactly" else F.lit(True)
 
 
 CONSTRAINTS = {
     "word_count": lambda t, c: F.size(words(t)) == c["value"],
     "word_range": lambda t, c: F.size(words(t)).between(c["min"], c["max"]),
     "word_limit": lambda t, c: F.size(words(t)) <= c["max"],
-    "first_word": lambda t, c: _bare(F.get(words(t), F.lit(0))) == c["value"],
-    "last_word": lambda t, c: _bare(F.try_element_at(words(t), F.lit(-1))) == c["value"],
-    "term_occurrence": lambda t, c: occurrences(t, c["term"]) == c["count"] if c.get("occurrence", "exactly") == "exactly" else F.lit(True),
-    "forbidden_terms": lambda t, c: _all([~has(t, x) for x in c["terms"]]),
-    "allowed_punctuation": lambda t, c: ~F.regexp_replace(t, r"(?m)^[A-F]\.", "").rlike(r"[^\p{L}\p{N}\s\x{A0}]"),
+    "first_word": lambda t, c: _bare(F.get(words(t), F.lit(0))) == c["word"],
+    "last_word": lambda t, c: _bare(F.try_element_at(words(t), F.lit(-1))) == c["word"],
+    "term_occurrence": _term_count,
+    "forbidden_terms": lambda t, c: _all([~term_matches(t, x) for x in c["terms"]]),
+    "allowed_punctuation": lambda t, c: ~F.regexp_replace(t, r"(?md)^[A-F]\.", "").rlike(r"[^\p{L}\p{N}" + SPACE[1:]),
     "forbidden_chars": lambda t, c: _all([~F.contains(t, F.lit(x)) for x in c["chars"]]),
     "required_terms": lambda t, c: _all([has(t, x) for x in c["terms"]]),
-    "first_prefix": lambda t, c: F.trim(F.get(F.split(t, "\n"), F.lit(0))).startswith(c["value"]),
+    "first_prefix": lambda t, c: _stripped(F.get(F.split(t, "\n"), F.lit(0))).startswith(c["prefix"]),
     "parenthetical_count": lambda t, c: (F.regexp_count(t, F.lit(r"\(")) == c["value"]) & (F.regexp_count(t, F.lit(r"\)")) == c["value"]),
     "bullet_count": lambda t, c: F.size(bullets(t)) == c["value"],
-    "numbered_list_count": lambda t, c: F.regexp_count(t, F.lit(rf"(?m)^{SPACE}*\d+[.)]{SPACE}+")) == c["value"],
-    "item_prefix": lambda t, c: _item(c, numbered_items(t)).startswith(c["value"]),
-    "item_contains": lambda t, c: F.contains(_item(c, numbered_items(t)), F.lit(c["value"])),
-    "item_excludes_chars": lambda t, c: _all([~F.contains(_item(c, numbered_items(t)), F.lit(x)) for x in c["chars"]]),
-    "item_sentence_count": lambda t, c: (
-        _endings(_item(c, numbered_items(t))) == c["value"] if "item" in c else F.forall(numbered_items(t), lambda x: _endings(x) == c["value"])
-    ),
+    "numbered_list_count": lambda t, c: F.regexp_count(t, F.lit(rf"(?md)^{SPACE}*\d+[.)]{SPACE}+")) == c["value"],
+    "item_prefix": lambda t, c: _item(c, numbered_items(t)).startswith(c["prefix"]),
+    "item_contains": lambda t, c: F.contains(_item(c, numbered_items(t)), F.lit(c["term"])),
+    "item_excludes_chars": lambda t, c: _item(c, numbered_items(t)).isNotNull() & _all([~F.contains(_item(c, numbered_items(t)), F.lit(x)) for x in c["chars"]]),
+    "item_sentence_count": _item_sentences,
     "sentence_count": lambda t, c: F.size(sentences(t)) == c["value"],
-    "sentence_contains": lambda t, c: (
-        _all([has(_sentence(c, t), x) for x in c["terms"]]) if "sentence" in c else F.forall(sentences(t), lambda s: has(s, c["terms"][0]))
-    ),
-    "sentence_numeric_tokens": lambda t, c: F.regexp_count(_sentence(c, t), F.lit(r"\d+(?:\.\d+)?")).between(c["min"], c["max"]),
-    "sentence_is_question": lambda t, c: F.rtrim(_sentence(c, t)).endswith("?"),
+    "sentence_contains": _sentence_terms,
+    "sentence_numeric_tokens": lambda t, c: F.regexp_count(_item(c, sentences(t)), F.lit(r"\d+(?:\.\d+)?")).between(c["min"], c["max"]),
+    "sentence_is_question": lambda t, c: _stripped(_item(c, sentences(t))).endswith("?"),
     "markdown_table_shape": _table_shape,
-    "trailing_literal": lambda t, c: F.rtrim(t).endswith(c["value"]),
+    "trailing_literal": lambda t, c: _stripped(t).endswith(c["literal"]),
     "line_count": lambda t, c: F.size(lines(t)) == c["value"],
-    "line_prefix_sequence": lambda t, c: _all([F.trim(F.get(lines(t), F.lit(i))).startswith(p) for i, p in enumerate(c["prefixes"])]),
+    "line_prefix_sequence": lambda t, c: _all([_stripped(F.get(lines(t), F.lit(i))).startswith(p) for i, p in enumerate(c["prefixes"])]),
     "line_word_limit": lambda t, c: F.forall(lines(t), lambda x: F.size(words(x)) <= c["max_words"]),
-    "line_contains": lambda t, c: has(F.get(lines(t), F.lit(ord(c["line"]) - 65)), c["value"]),
-    "bullet_prefix": lambda t, c: _bullet(c, t).startswith(c["value"]),
+    "line_contains": lambda t, c: _all([has(F.get(lines(t), F.lit(ord(x) - ord("A"))), c["term"]) for x in c["lines"]]),
+    "bullet_prefix": lambda t, c: _bullet(c, t).startswith(c["prefix"]),
     "bullet_word_limit": lambda t, c: F.forall(bullets(t), lambda x: F.size(words(bullet_text(x))) <= c["max_words"]),
-    "ends_with": lambda t, c: F.rtrim(t).endswith(c["value"]),
-    "required_prefix": lambda t, c: t.startswith(c["value"]),
+    "ends_with": lambda t, c: _stripped(t).endswith(c["suffix"]),
+    "required_prefix": lambda t, c: t.startswith(c["prefix"]),
 }
 
 

@@ -27,7 +27,8 @@ def row_mode(modes: Column) -> Column:
 
 
 def truncation(done_reason: Column, eval_count: Column, num_predict: Column) -> Column:
-    cut = F.coalesce((done_reason == "length") | (eval_count >= num_predict), F.lit(False))
+    """Cut off: the generation ended for its length, and its budget is spent."""
+    cut = F.coalesce((done_reason == "length") & (eval_count >= num_predict), F.lit(False))
     return F.when(cut, F.array(F.lit("TRUNCATED_AT_NUM_PREDICT"))).otherwise(F.array().cast("array<string>"))
 
 
