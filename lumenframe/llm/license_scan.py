@@ -8,7 +8,9 @@ those are the template's prefix, and the join key. Pairs pass a length filter
 the first shared token can reach it) before the overlap is counted.
 
 Only templates are broadcast; their number and size are a parameter. Text is
-never shuffled: blocks without a prefix token leave the scan as nothing.
+never shuffled: blocks without a prefix token leave the scan as nothing. What
+is no word becomes a blank in one pass, so that words are found by plain
+search and split, not by a pattern.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents, let, lower_ascii, row_key, text_of
+from lumenframe.llm.common import LOWER, UPPER, documents, let, row_key, text_of
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases that the base counts, with their labels.
@@ -42,6 +44,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 THRESHOLD = 0.95
+#: ASCII characters that are in no word, but for the line feed.
+_GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) != "\n")
 
 
 def _needed(n: int, threshold: float) -> int:
@@ -54,14 +58,28 @@ def _tokens(text: str) -> list[str]:
     return sorted(set(re.findall(WORDS, text.translate({i: i + 32 for i in range(65, 91)}))))
 
 
+def spaced(t: Column) -> Column:
+    """Lower-case A-Z, with blanks for what is in no word; line feeds stay."""
+    return F.translate(t, UPPER + _GAPS, LOWER + " " * len(_GAPS))
+
+
+def _words(t: Column) -> Column:
+    """Words of a spaced text."""
+    return F.array_remove(F.split(F.replace(t, F.lit("\n"), F.lit(" ")), " ", -1), "")
+
+
+def _holds(t: Column, words: list[str]) -> Column:
+    """Whether a spaced text, or line, with blanks around it has one of the words."""
+    return reduce(Column.__or__, [F.contains(t, F.lit(f" {w} ")) for w in words], F.lit(False))
+
+
 def template_index(docs: DataFrame, templates: dict[str, str], threshold: float, text_col: str) -> DataFrame:
     """A row per template and prefix token: label, n, need, tokens (rarest first), token, pos."""
     spark = docs.sparkSession
     rows = [(k, _tokens(v)) for k, v in sorted(templates.items())]
     vocabulary = sorted({t for _, ts in rows for t in ts})
-    text = lower_ascii(text_of(text_col))
-    words = F.filter(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: w.isin(vocabulary))
-    counts = docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    words = docs.select(F.explode(_words(spaced(text_of(text_col)))).alias("token"))
+    counts = words.where(F.col("token").isin(vocabulary)).groupBy("token").agg(F.count("*").alias("c"))
     flat = spark.createDataFrame([(k, len(ts), t) for k, ts in rows for t in ts], "label string, n int, token string")
     ranked = flat.join(F.broadcast(counts), "token", "left").groupBy("label", "n").agg(
         F.transform(
@@ -96,25 +114,25 @@ def scan(
     block, 0 if none. A null or empty text has no words; repeated and null ids
     are rows of their own; an empty table gives an empty one.
     """
-    index = template_index(docs, templates, threshold, text_col)
+    # prefix tokens of the templates: a few for each
+    found = template_index(docs, templates, threshold, text_col)
+    rows = found.collect()
+    index, prefixes = docs.sparkSession.createDataFrame(rows, found.schema), sorted({r["token"] for r in rows})
     anchors = F.array(*[F.lit(t) for t in sorted({t for v in templates.values() for t in _tokens(v)})])
     least = min(_needed(len(_tokens(v)), threshold) for v in templates.values())
-    src = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), lower_ascii(text_of(text_col)).alias("_t"))
+    src = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), spaced(text_of(text_col)).alias("_t"))
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    hint = F.lit(False)
-    for phrase in PHRASES:
-        hint = hint | F.col("_t").contains(phrase.split()[-1])
+    flat = F.concat(F.lit(" "), F.replace("_t", F.lit("\n"), F.lit(" ")), F.lit(" "))
+    hint = reduce(Column.__or__, [reduce(Column.__and__, [_holds(flat, [w]) for w in phrase.split()]) for phrase in PHRASES])
     words = let(
-        F.regexp_extract_all("_t", F.lit(WORDS), F.lit(0)),
-        lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n"), F.when(hint & (F.size(w) > 0), _places(w)).otherwise(none).alias("places")
-        ),
+        _words(F.col("_t")),
+        lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.when(hint, _places(w)).otherwise(none).alias("places")),
     )
-    # a block counts only if it holds as many template tokens as the shortest template needs
+    # a block counts only if it has a prefix token, and as many template tokens as the shortest template needs
     blocks = F.filter(
         F.transform(
-            F.split("_t", "\n", -1),
-            lambda line: F.array_intersect(F.regexp_extract_all(line, F.lit(WORDS), F.lit(0)), anchors),
+            F.filter(F.split("_t", "\n", -1), lambda line: _holds(F.concat(F.lit(" "), line, F.lit(" ")), prefixes)),
+            lambda line: F.array_intersect(_words(line), anchors),
         ),
         lambda b: F.size(b) >= least,
     )
