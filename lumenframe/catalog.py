@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import metrics as m
-from lumenframe.functions import stats, text
+from lumenframe.functions import failures, graders, stats, text
 from lumenframe.operators import evaluation as ev
-from lumenframe.operators import judging, verdicts
+from lumenframe.operators import gates, judging, verdicts
 from lumenframe.plans.trials import TRIALS_SQL, table, trials, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,3 +345,62 @@ def config_drift(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_acctbal").cast("string").alias("value"))
     return judging.drift(a, b).select(F.when(F.col("drifted") == "", 0).otherwise(F.size(F.split("drifted", ","))).cast("bigint").alias("drifted"))
+
+
+# graders, asserted values and gates
+@query("r01_exact_grader", "SELECT o_orderkey, lower(o_orderstatus) IN ('f', 'o') AS passed FROM orders")
+def exact_grader(spark, sf_dir):
+    spec = {"expected": "f", "accepted_alternates": ["O"], "case_sensitive": False}
+    said = F.concat(F.lit("\r\n "), F.col("o_orderstatus"), F.lit(" "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", graders.exact(said, spec)["passed"].alias("passed"))
+
+
+@query("r04_structured_grader", "SELECT event_id, abs(CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50) <= 25 AS passed FROM events")
+def structured_grader(spark, sf_dir):
+    spec = {"required_fields": ["k"], "allow_extra_fields": False, "numeric_fields": {"k": {"expected": 50, "absolute_tolerance": 25}}}
+    return table(spark, sf_dir, "events").select("event_id", graders.structured(F.col("props"), spec)["passed"].alias("passed"))
+
+
+@query("r07_fact_check", r"""SELECT doc_id, contains(lower(t), 'the') AND NOT contains(lower(t), 'password') AND len(regexp_extract_all(t, '\S+')) BETWEEN 50 AND 2000 AS passed
+  FROM (SELECT doc_id, trim(text) AS t FROM documents)""")
+def fact_check(spark, sf_dir):
+    spec = {"required_facts": ["The"], "forbidden_facts": ["password"], "word_range": {"min": 50, "max": 2000}}
+    return table(spark, sf_dir, "documents").select("doc_id", graders.fact_check(F.col("text"), spec)["passed"].alias("passed"))
+
+
+@query("r08_refusal_grader", "SELECT p_partkey, p_size % 3 <> 2 AS passed FROM part")
+def refusal_grader(spark, sf_dir):
+    said = F.when(F.col("p_size") % 3 == 0, "Unknown.").when(F.col("p_size") % 3 == 1, "cannot_determine").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", graders.refusal(said, {"refusal_expected": True})["passed"].alias("passed"))
+
+
+@query("x24_asserted_values", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey = o_custkey THEN 'ASSERTED_SINGLE' ELSE 'ASSERTED_CONTRADICTION' END AS status FROM orders""")
+def asserted_values(spark, sf_dir):
+    last = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.lit("\n**"), F.col("o_orderkey").cast("string"), F.lit(".**")))
+    said = F.concat(F.lit("3 of 4 steps\nThe answer is "), F.col("o_custkey").cast("string"), F.lit("."), last)
+    return table(spark, sf_dir, "orders").select("o_orderkey", failures.asserted_status(failures.asserted(said, "numeric")).alias("status"))
+
+
+@query("x33_render_numeric", "SELECT p_partkey, concat(p_size::VARCHAR, '.5') AS rendered FROM part")
+def rendered(spark, sf_dir):
+    said = F.concat(F.lit("so\nAnswer: "), F.col("p_size").cast("string"), F.lit(".50"))
+    return table(spark, sf_dir, "part").select("p_partkey", failures.render_numeric(said).alias("rendered"))
+
+
+@query("g02_identity_mismatch", f""", a AS (SELECT DISTINCT task_id, trial, 1 AS l FROM trials WHERE model_config_id = '{BASE}'),
+  b AS (SELECT DISTINCT task_id, trial, 1 AS r FROM trials WHERE model_config_id = '{CAND}')
+  SELECT count(*) FILTER (WHERE r IS NULL) AS only_left, count(*) FILTER (WHERE l IS NULL) AS only_right, count(*) FILTER (WHERE l IS NULL OR r IS NULL) = 0 AS ok
+  FROM a FULL JOIN b USING (task_id, trial)""")
+def identity_mismatch(spark, sf_dir):
+    t = trials(spark, sf_dir)
+    return gates.identity_mismatch(t.where(F.col("model_config_id") == BASE), t.where(F.col("model_config_id") == CAND), ["task_id", "trial"])
+
+
+@query("g05_unknown_status", ", k AS (SELECT verdict, count(*) AS n FROM trials WHERE verdict NOT IN ('PASS', 'FAIL') GROUP BY 1) SELECT * FROM k")
+def unknown_status(spark, sf_dir):
+    return gates.unknown_values(trials(spark, sf_dir), "verdict", ["PASS", "FAIL"])
+
+
+@query("g09_drift_within_arm", "SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS values, min(o_orderstatus) AS least, max(o_orderstatus) AS most FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def drift_within_arm(spark, sf_dir):
+    return gates.one_value(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")
