@@ -46,12 +46,13 @@ def _repeat_words(words: Column) -> Column:
             let(F.sort_array(F.transform(own, lambda x: x["p"])), covered)
         )
 
+    def found(hashes: Column) -> Column:
+        keyed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.sort_array(keyed), repeated))
+
     def of(w: Column) -> Column:
-        keyed = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
-        )
-        return let(F.sort_array(keyed), repeated)
+        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return let(windows, found)
 
     return F.when(F.size(words) >= 4, of(words)).otherwise(F.lit(0)).cast("bigint")
 
@@ -69,19 +70,22 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[Column]
     # words and lines are bound once each, so that no rewrite of the plan evaluates them for every element
     base = docs.select(*(keep or []), text_of(text_col).alias("_t"))
     words = let(
-        F.expr(rf"regexp_extract_all(_t, r'{WORD}', 0)"),
-        lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeat_words(w).alias("again")),
+        F.array_remove(F.split("_t", r"[\x20\x09-\x0D]+", -1), ""),
+        lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n"), F.length(F.array_join(w, "")).cast("bigint").alias("chars"), _repeat_words(w).alias("again")
+        ),
     )
     lines = let(
-        F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
+        F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)),
         lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("own")),
     )
     base = base.select("*", words.alias("_w"), lines.alias("_l"))
     return base.select(
         *[c for c in base.columns if c not in ("_t", "_w", "_l")],
         F.col("_w.n").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        _count_of(F.col("_t"), SYMBOLS).alias("n_symbols"),
+        F.col("_w.chars").alias("word_chars"),
+        # symbols are rare: what is left without the long runs of other characters
+        F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
         (F.col("_l.n") - F.col("_l.own")).cast("bigint").alias("n_dup_lines"),
         F.col("_l.n").cast("bigint").alias("n_lines"),
         _count_of(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ").alias("n_upper"),
@@ -164,13 +168,9 @@ def judge(
     all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
     keep = [F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")]
     clean = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    out = text_statistics(docs, text_col, keep + [all_of] * whole)
-    if whole:  # the text goes on: the holdout is read apart
-        held = text_statistics(docs.join(clean.withColumnRenamed("_id", "_clean"), docs[id_col] == F.col("_clean"), "left_semi"), text_col, keep)
-    else:  # small rows: computed once
-        out = stage_table(out, "statistics")
-        held = out.join(clean, "_id", "left_semi")
-    cuts = cutoffs(held, risk, level)
+    # computed once; the holdout's join reads the statistics alone, so that no text is shuffled
+    out = stage_table(text_statistics(docs, text_col, keep + [all_of] * whole), "statistics")
+    cuts = cutoffs(out.drop("_all").join(clean, "_id", "left_semi"), risk, level)
     out = out.withColumn("base_failed", base_failed()).join(F.broadcast(cuts.withColumnRenamed("n", "n_holdout")), "stratum", "left")
     failed = F.filter(
         F.array(*[F.when(rejects(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
