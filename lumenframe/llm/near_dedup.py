@@ -313,9 +313,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     first = found.groupBy(group.alias("g"), F.col("component_id").isNull().alias("z")).agg(
         F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row")).alias("m")
     )
-    keep = stage_table(first.select(F.col("m.row").alias("row")), "kept")
+    # the rows that go are the fewer: Spark may broadcast them by their size where those that stay would move all texts
+    gone = found.select("row").join(first.select(F.col("m.row").alias("row")), "row", "left_anti")
+    gone = stage_table(gone.withColumnRenamed("row", "_row"), "gone")
     whole = docs.select(row_key().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
-    return whole.join(keep.withColumnRenamed("row", "_row"), "_row", "left_semi").select("_all.*")
+    return whole.join(gone, "_row", "left_anti").select("_all.*")
 
 
 def op3_simhash_dedup(spark, sf_dir):
