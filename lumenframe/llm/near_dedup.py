@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import drop_table, row_key, small_batches, stage_table, text_of
@@ -306,13 +306,10 @@ def near_duplicates(
     return own.join(named, "fp").select("row", "id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id (nulls last), the first such row."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    group = F.coalesce(F.col("component_id"), F.col("fp"))
-    first = found.groupBy(group.alias("g"), F.col("component_id").isNull().alias("z")).agg(
-        F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row")).alias("m")
-    )
+def keep_first(docs: DataFrame, found: DataFrame, *group: Column) -> DataFrame:
+    """``docs`` with one row of each group of ``found`` (row, id, ..): the one of the smallest id (nulls last), the first such row."""
+    keys = [g.alias(f"g{i}") for i, g in enumerate(group)]
+    first = found.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row")).alias("m"))
     # the rows that go are the fewer: Spark may broadcast them by their size where those that stay would move all texts
     gone = found.select("row").join(first.select(F.col("m.row").alias("row")), "row", "left_anti")
     gone = stage_table(gone.withColumnRenamed("row", "_row"), "gone")
@@ -320,6 +317,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     return whole.join(gone, "_row", "left_anti").select("_all.*")
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id (nulls last), the first such row."""
+    found = near_duplicates(docs, id_col, text_col, **how)
+    return keep_first(docs, found, F.coalesce(F.col("component_id"), F.col("fp")), F.col("component_id").isNull())
+
+
 def op3_simhash_dedup(spark, sf_dir):
     from lumenframe.llm.common import documents
 
