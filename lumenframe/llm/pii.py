@@ -5,7 +5,8 @@ after identifier-like tokens (tokens with a digit or an at sign). Patterns and
 token instances form a bipartite graph with occurrence counts: an instance
 scores 1 if it is a seed, else one minus the product of its patterns' doubts; a
 pattern scores its scored occurrences over all occurrences of its word in the
-corpus. After ``rounds`` such rounds, patterns of at least ``least_conf`` with
+corpus. Each round picks its patterns anew from the whole graph, so instances
+that were discovered support patterns as seeds do. After ``rounds`` such rounds, patterns of at least ``least_conf`` with
 ``least_support`` distinct instances extract the tokens not seen as seeds. A
 word that also stands before ordinary words scores low, so clean text is left
 alone.
@@ -114,10 +115,8 @@ def find(
         "row", "s", "e", "v", "seed",
         F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("w")), F.struct(F.lit("r").alias("side"), F.col("r").alias("w")))).alias("p"),
     ).select("row", "s", "e", "v", "seed", "p.side", "p.w").where("w <> ''")
-    graph = sided.groupBy("side", "w", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    # a pattern needs enough distinct seeds to be worth counting its word
-    able = graph.groupBy("side", "w").agg(F.count_if("seed").alias("k")).where(F.col("k") >= least_support).select("side", "w")
-    graph = stage_table(graph.join(able, ["side", "w"]), "graph")
+    # the whole graph: a word without seeds may become a pattern by what other patterns discover
+    graph = stage_table(sided.groupBy("side", "w", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph")
     words = docs.select(F.explode(F.regexp_extract_all(lower_ascii(text_of(text_col)), F.lit(WORD), F.lit(0))).alias("w"))
     freq = stage_table(words.groupBy("w").agg(F.count("*").alias("f")).join(graph.select("w").distinct(), "w", "left_semi"), "words")
     scored = graph.withColumn("score", F.col("seed").cast("double"))

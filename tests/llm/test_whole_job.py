@@ -48,3 +48,14 @@ def test_stage_drops_all_pairs_of_jaccard_08(spark):
     got = corpus_pipeline.dedup(spark, table(spark, texts), "")
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert corpus_pipeline.dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_discovered_identifiers_support_new_patterns(spark):
+    """'acct' has no seed: it stands before tokens that a seeded pattern discovers elsewhere, and once before a new one."""
+    from lumenframe.llm import pii
+
+    texts = [f"words here. mailto: user{i}@mail{i}.example.com then" for i in range(20)]
+    texts += [f"words here. mailto: user-77-88-{i}#intern then" for i in range(4)]
+    texts += [f"more text acct user-77-88-{i}#intern goes" for i in range(4)] + ["new text acct zz-9912345 ends"]
+    got = {r["id"]: [x["k"] for x in r["spans"]] for r in pii.find(table(spark, texts)).collect()}
+    assert all(got[i] == ["context"] for i in range(20, 29)) and got[0] == ["email"]
