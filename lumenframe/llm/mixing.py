@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-Each source's rows, in a fixed hashed order, form blocks. Weights become
-integers of sum ``resolution``; in a period of that many slots, block k of a
-source with weight a has the window [floor(k*A/a), ceil((k+1)*A/a)): released
-at its start, due at its end. Earliest deadline first among released blocks
-keeps every source within one block of its share at every slot, and each period
-ends exact. A source that has run out leaves the later periods, and the rest
-share them by their weights. Every row is in the result once.
-
-A period's table depends on weights alone; there is one for each number of
-sources that are left, made by a fold in SQL. Rows are numbered within buckets of a
+Each source's rows, in a fixed hashed order, form blocks. In the ideal mix every
+source that still has blocks is served at its exact weight over the weights of
+those left, so source i with weight w and b blocks has got min(b, w * v) of them
+when slot T(v) = sum of all min(b, w * v) is reached. Block k has the window
+[floor(T(k / w)), ceil(T((k + 1) / w))): released at its start, due at its end.
+Earliest deadline first among released blocks keeps every source within one
+block of its ideal share at every slot of the whole schedule, sources that run
+out included. Every row is in the result once.
+
+A fold in SQL goes over the slots once and keeps the state of each period's
+start only; the slots of the periods are then made from those side by side.
+The one task of the first fold reads no rows: its steps are the blocks. Rows are numbered within buckets of a
 bounded size, with offsets from bucket counts, so a hot source is never one task.
 """
 
@@ -23,64 +25,81 @@ from lumenframe.llm.common import documents, let, row_key, stage_table
 RESOLUTION, BLOCK_ROWS, BUCKET_ROWS = 256, 4, 512
 
 
-def target_weights(counts: DataFrame, weights: dict[str, float] | None, power: float, resolution: int) -> DataFrame:
-    """(source, n) -> (source, n, a): integer weights of at least 1, of sum about ``resolution``.
+#: Floats this near to a whole slot are that slot.
+NEAR = 1e-6
+
+
+def target_weights(counts: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
+    """(source, n) -> (source, n, a): exact weights of sum 1.
 
     Given weights are used as they are; a source without one gets the mean of
-    the given. Without ``weights``: proportional to n ** power.
+    the given, and one of weight 0 comes after the others. Without ``weights``:
+    proportional to n ** power.
     """
     w = F.pow(F.col("n").cast("double"), F.lit(power))
     if weights:
         given = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()])
         w = F.coalesce(given, F.lit(sum(weights.values()) / len(weights)))
     every = Window.partitionBy(F.lit(1))  # a row per source
-    return counts.withColumn("w", w).select(
-        "source", "n", F.greatest(F.lit(1), F.round(F.col("w") / F.sum("w").over(every) * resolution).cast("int")).alias("a")
-    )
+    return counts.withColumn("w", w).select("source", "n", F.greatest(F.lit(1e-12), F.col("w") / F.sum("w").over(every)).alias("a"))
 
 
-def period_tables(sources: DataFrame, block_rows: int) -> DataFrame:
-    """(source, n, a) -> rows (first, until, source, k, slot): the schedule of periods first..until-1."""
+def slots(sources: DataFrame, block_rows: int, resolution: int) -> DataFrame:
+    """(source, n, a) -> rows (period, slot, source, block): all of the schedule, in periods of ``resolution`` slots."""
     blocks = F.ceil(F.col("n") / block_rows).cast("bigint")
-    lasts = F.ceil(blocks / F.col("a")).cast("bigint")  # periods in which the source has blocks
-    every = Window.partitionBy(F.lit(1))
-    one = sources.select("source", "a", lasts.alias("periods")).where("periods > 0")
-    cuts = one.select(F.col("periods").alias("until")).distinct().withColumn(
-        "first", F.coalesce(F.lag("until").over(every.orderBy("until")), F.lit(0).cast("bigint"))
-    )
-    alive = (
-        cuts.join(F.broadcast(one), F.col("periods") >= F.col("until"))
-        .groupBy("first", "until")
-        .agg(F.sort_array(F.collect_list(F.struct("source", "a"))).alias("left"))
-        .withColumn("total", F.aggregate("left", F.lit(0), lambda acc, x: acc + x["a"]))
-    )
+    one = sources.select(F.struct("source", F.col("a").alias("w"), blocks.alias("b"), (blocks / F.col("a")).alias("r")).alias("x"))
+    one = one.agg(F.sort_array(F.collect_list("x")).alias("left")).where(F.size("left") > 0)
+    one = one.withColumn("total", F.aggregate("left", F.lit(0).cast("bigint"), lambda acc, x: acc + x["b"]))
     left, total = F.col("left"), F.col("total")
 
-    def due(i: Column, k: Column) -> Column:
-        return F.ceil((k + 1) * total / F.get(left, i)["a"])
+    def slot_of(v: Column) -> Column:
+        return F.aggregate(left, F.lit(0.0), lambda acc, s: acc + s["w"] * F.least(v, s["r"]))
 
-    def step(served: Column, t: Column) -> Column:
-        ready = F.transform(
-            left,
-            lambda s, i: F.when(
-                (F.get(served["c"], i) < s["a"]) & (F.floor(F.get(served["c"], i) * total / s["a"]) <= t),
-                F.struct(due(i, F.get(served["c"], i)).alias("d"), i.alias("i")),
-            ),
-        )
+    def waiting(i: Column, k: Column) -> Column:
+        w = F.get(left, i)["w"]
+        return F.struct(
+            k.cast("bigint").alias("c"), F.floor(slot_of(k / w) + NEAR).cast("bigint").alias("from"),
+            F.ceil(slot_of((k + 1) / w) - NEAR).cast("bigint").alias("due"),
+        )
+
+    def first(state: Column, t: Column) -> Column:
+        def of(ok) -> Column:
+            return F.array_min(
+                F.transform(state, lambda s, i: F.when((s["c"] < F.get(left, i)["b"]) & ok(s), F.struct(s["due"].alias("d"), i.alias("i"))))
+            )
+
+        return F.coalesce(of(lambda s: s["from"] <= t), of(lambda s: F.lit(True)))
+
+    def served(state: Column, x: Column) -> Column:
+        return F.transform(state, lambda s, i: F.when(i == x["i"], waiting(i, s["c"] + 1)).otherwise(s))
+
+    def times(period: Column) -> Column:
+        return F.sequence(period * resolution, F.least((period + 1) * resolution, total) - 1)
+
+    def go_on(acc: Column, period: Column) -> Column:
+        end = F.aggregate(times(period), acc["now"], lambda state, t: let(first(state, t), lambda x: served(state, x)))
+        return F.struct(end.alias("now"), F.concat(acc["starts"], F.array(acc["now"])).alias("starts"))
+
+    zero = F.transform(left, lambda s, i: waiting(i, F.lit(0)))
+    none = F.array().cast("array<array<struct<c:bigint,from:bigint,due:bigint>>>")
+    periods = F.sequence(F.lit(0).cast("bigint"), F.floor((total - 1) / resolution).cast("bigint"))
+    starts = F.aggregate(periods, F.struct(zero.alias("now"), none.alias("starts")), go_on, lambda s: s["starts"])
+    starts = one.select("left", "total", F.posexplode(starts).alias("period", "state"))
+    starts = stage_table(starts, "states").repartition("period").withColumn("period", F.col("period").cast("bigint"))
+
+    def step(acc: Column, t: Column) -> Column:
         return let(
-            F.array_min(ready),
+            first(acc["now"], t),
             lambda x: F.struct(
-                F.transform(served["c"], lambda c, i: F.when(i == x["i"], c + 1).otherwise(c)).alias("c"),
-                F.concat(served["out"], F.array(F.struct(x["i"].alias("i"), F.get(served["c"], x["i"]).alias("k")))).alias("out"),
+                served(acc["now"], x).alias("now"),
+                F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), F.get(acc["now"], x["i"])["c"].alias("k")))).alias("out"),
             ),
         )
 
-    zero = F.struct(
-        F.transform(left, lambda s: F.lit(0)).alias("c"), F.array().cast("array<struct<i:int,k:int>>").alias("out")
-    )
-    table = F.aggregate(F.sequence(F.lit(0), total - 1), zero, step, lambda s: s["out"])
-    return alive.select("first", "until", "left", F.posexplode(table).alias("slot", "x")).select(
-        "first", "until", F.get("left", F.col("x.i"))["source"].alias("source"), F.col("x.k").alias("k"), "slot"
+    begin = F.struct(F.col("state").alias("now"), F.array().cast("array<struct<i:int,k:bigint>>").alias("out"))
+    table = F.aggregate(times(F.col("period")), begin, step, lambda s: s["out"])
+    return starts.select("period", "left", F.posexplode(table).alias("slot", "x")).select(
+        "period", "slot", F.get("left", F.col("x.i"))["source"].alias("source"), F.col("x.k").alias("block")
     )
 
 
@@ -90,7 +109,8 @@ def schedule(
 ) -> DataFrame:
     """A row per input row: (row, source, order columns, block, period, slot, in_block).
 
-    The mixed order is (period, slot, in_block). Within a source, rows are in
+    ``a`` is the source's exact weight, of sum 1; a period is ``resolution``
+    slots. The mixed order is (period, slot, in_block). Within a source, rows are in
     the order of a seeded hash of the order columns, then of the columns, then
     the scan's. A null source is a source. An empty table gives an empty one.
     """
@@ -100,8 +120,8 @@ def schedule(
     ).withColumn("h", F.xxhash64(F.lit(seed), *[f"o{i}" for i in range(len(order_cols))]))
     base = stage_table(base, "mix")
     n = base.groupBy("source").agg(F.count("*").alias("n"))
-    sources = stage_table(target_weights(n, weights, power, resolution), "weights")
-    tables = stage_table(period_tables(sources, block_rows), "periods")
+    sources = stage_table(target_weights(n, weights, power), "weights")
+    table = stage_table(slots(sources, block_rows, resolution), "slots")
     # buckets in the order of the hash; their number follows the source's size
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(bucket_rows)))).cast("int")
     placed = base.join(F.broadcast(sources), "source")
@@ -116,12 +136,7 @@ def schedule(
     at = placed.withColumn("rn", F.row_number().over(inside)).join(before, ["source", "bucket"])
     at = at.withColumn("at", F.col("before") + F.col("rn") - 1)
     at = at.withColumn("block", F.floor(F.col("at") / block_rows).cast("bigint")).withColumn("in_block", (F.col("at") % block_rows).cast("int"))
-    at = at.withColumn("period", F.expr("block div a")).withColumn("k", (F.col("block") % F.col("a")).cast("int"))
-    t = tables.select("first", "until", F.col("source").alias("ts"), F.col("k").alias("tk"), "slot")
-    out = at.join(
-        F.broadcast(t),  # at most (number of sources) * resolution rows
-        (F.col("source") == F.col("ts")) & (F.col("k") == F.col("tk")) & (F.col("period") >= F.col("first")) & (F.col("period") < F.col("until")),
-    )
+    out = at.join(table, ["source", "block"])
     return out.select(
         "row", "source", *[F.col(f"o{i}").alias(c) for i, c in enumerate(order_cols)], "block", "period", "slot", "in_block", "a"
     )

@@ -59,3 +59,20 @@ def test_discovered_identifiers_support_new_patterns(spark):
     texts += [f"more text acct user-77-88-{i}#intern goes" for i in range(4)] + ["new text acct zz-9912345 ends"]
     got = {r["id"]: [x["k"] for x in r["spans"]] for r in pii.find(table(spark, texts)).collect()}
     assert all(got[i] == ["context"] for i in range(20, 29)) and got[0] == ["email"]
+
+
+def test_mix_keeps_the_unrounded_weights(spark):
+    from lumenframe.llm import mixing
+
+    weights, size = {"a": 0.7, "b": 0.2985, "c": 0.0015}, {"a": 4200, "b": 2100, "c": 11}
+    rows = [(i, "x", "en", s, 0) for i, s in enumerate(s for s, n in size.items() for _ in range(n))]
+    got = mixing.schedule(spark.createDataFrame(rows, SCHEMA), weights=weights, resolution=64, block_rows=1).toPandas()
+    assert sorted(got.doc_id) == list(range(len(rows)))
+    order, served = got.sort_values(["period", "slot", "in_block"]), collections.Counter()
+    assert (order.period * 64 + order.slot).tolist() == list(range(len(rows)))
+    for t, s in enumerate(order.source, 1):
+        served[s] += 1
+        if t <= 6000:  # then a has run out, and b and c share by their weights
+            assert all(abs(served[k] - w * t) < 1 for k, w in weights.items()), (t, served)
+        else:
+            assert abs(served["b"] - 1791 - (t - 6000) * 0.2985 / 0.3) < 1, (t, served)
