@@ -11,8 +11,9 @@ out included. Every row is in the result once.
 
 A fold in SQL goes over the slots once and keeps the state of each period's
 start only; the slots of the periods are then made from those side by side.
-The one task of the first fold reads no rows: its steps are the blocks. Rows are numbered within buckets of a
-bounded size, with offsets from bucket counts, so a hot source is never one task.
+The one task of the first fold reads no rows: its steps are the blocks. Rows are
+numbered within buckets of a bounded size, with offsets from bucket counts, so a
+hot source is never one task.
 """
 
 from __future__ import annotations

@@ -76,3 +76,24 @@ def test_mix_keeps_the_unrounded_weights(spark):
             assert all(abs(served[k] - w * t) < 1 for k, w in weights.items()), (t, served)
         else:
             assert abs(served["b"] - 1791 - (t - 6000) * 0.2985 / 0.3) < 1, (t, served)
+
+
+def test_sequences_follow_the_mix_over_many_files(spark, tmp_path):
+    """Files of unlike sizes: Spark reads them by size, packing goes by the schedule."""
+    import corpus_pipeline
+    from lumenframe.llm import mixing
+
+    rows = [(i, f"t{i} " * (1 + i % 50), "en", "abc"[i % 7 % 3], 0) for i in range(600)]
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    at = {r["doc_id"]: k for k, r in enumerate(mixed)}
+    for part in (mixed[:100], mixed[100:400], mixed[400:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path / "d")), "").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got.doc_id) == set(at)
+    got["task"], got["at"] = got.sequence_id // 2**40, got.doc_id.map(at)
+    spans = got.groupby("task")["at"].agg(["min", "max"]).sort_index()
+    assert len(spans) > 1 and (spans["max"].to_numpy()[:-1] < spans["min"].to_numpy()[1:]).all()
