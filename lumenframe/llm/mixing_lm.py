@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import documents, row_key, small_batches, stage_table, text_of
 
 HEAD, TABLE_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 18, 1 << 12, 1 << 15
-#: Bits of a path that the predictors code; below, a leaf has its plain share of the subtree.
-MODELLED = 8
 END, ESC = 0, 1
 CONTEXTS, GATES, RATE = 3, 32, 0.03
 _M = np.uint32(0x9E3779B1)
@@ -76,17 +74,14 @@ class Head:
                 own.append((p[1], p[2]))
                 p = p[0]
             self.start[s] = len(nodes)
-            own = own[::-1][:MODELLED]
             self.length[s] = len(own)
-            for node, bit in own:
+            for node, bit in own[::-1]:
                 nodes.append(node)
                 bits.append(bit)
         self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
         share = weight[child[:, 1]] / np.maximum(weight[child].sum(axis=1), 1e-9)
         self.odds = np.log(share / (1 - share)).astype(np.float32)
-        last = self.start + self.length - 1
-        below = weight[child[self.nodes[last].astype(np.int64), self.bits[last]]]
-        self.rest = np.log10(weight[:size] / below)  # log10 of the leaf's share below its last modelled bit
+        self.rest = np.zeros(size)  # log10 of the leaf's share below its last bit: whole paths are coded
         self.ids = {w: i + 2 for i, w in enumerate(self.words)} | {b"\n": END}
 
     def tail(self) -> int:

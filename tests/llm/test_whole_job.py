@@ -97,3 +97,10 @@ def test_sequences_follow_the_mix_over_many_files(spark, tmp_path):
     got["task"], got["at"] = got.sequence_id // 2**40, got.doc_id.map(at)
     spans = got.groupby("task")["at"].agg(["min", "max"]).sort_index()
     assert len(spans) > 1 and (spans["max"].to_numpy()[:-1] < spans["min"].to_numpy()[1:]).all()
+
+
+def test_whole_paths_are_coded():
+    from lumenframe.llm import mixing_lm
+
+    head = mixing_lm.Head([b"w%d" % i for i in range(2000)], np.ones(2002, np.int64), 2002, 2001, 0.2)
+    assert head.length.min() >= 10 and not head.rest.any()
