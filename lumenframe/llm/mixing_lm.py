@@ -242,15 +242,9 @@ def _slices(tok: Tokens) -> Iterator[tuple[int, int]]:
         yield at, min(at + TOKENS_AT_ONCE, len(tok.sym))
 
 
-def _taught(words: list[bytes]) -> list[bytes]:
-    """Spelling is learned from one in eight tail words, picked by hash."""
-    return [w for w in words if zlib.crc32(w) & 7 == 0]
-
-
 def _tail_parts(tok: Tokens) -> Iterator[list[bytes]]:
-    own = _taught(tok.tail)
-    for at in range(0, len(own), 8192):
-        yield own[at : at + 8192]
+    for at in range(0, len(tok.tail), 8192):
+        yield tok.tail[at : at + 8192]
 
 
 def word_counts(learn: DataFrame) -> DataFrame:

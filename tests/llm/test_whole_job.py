@@ -104,3 +104,11 @@ def test_whole_paths_are_coded():
 
     head = mixing_lm.Head([b"w%d" % i for i in range(2000)], np.ones(2002, np.int64), 2002, 2001, 0.2)
     assert head.length.min() >= 10 and not head.rest.any()
+
+
+def test_spelling_is_learned_from_all_tail_words():
+    from lumenframe.llm import mixing_lm
+
+    words = [b"t%d" % i for i in range(64)]
+    tok = mixing_lm.Tokens([np.full(64, mixing_lm.ESC, np.uint32).tobytes()], [b" ".join(words).decode()])
+    assert [w for part in mixing_lm._tail_parts(tok) for w in part] == words
