@@ -93,6 +93,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def coded_bytes(text: str) -> int:
+    """Bytes that the code gives back: the lower-cased words with one blank between two."""
+    words = words_of(text)
+    return sum(map(len, words)) + max(0, len(words) - 1)
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     x = x * _M
     x ^= x >> np.uint32(15)
@@ -393,12 +399,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     Null text is empty (its end is a token); a null id is the text ''. Repeated
     rows are learned from as often as they stand. Without learning documents
     every count is zero. An empty table gives an empty one. bits_per_byte is
-    null for an empty text.
+    null for a text without words.
 
     ``score`` is over the outcomes that the base has: seen words, the end, and
     one outcome for all unseen words, with add-one shares in the tail; so the
-    two can be compared. ``bits_per_byte`` codes the whole text: unseen words
-    take the novelty share and are spelled out.
+    two can be compared. ``bits_per_byte`` codes all words, lower-cased: unseen
+    ones take the novelty share and are spelled out. Letter case and the kinds
+    and runs of white space are not coded, and so not among the bytes.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -418,7 +425,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
                 part = b.iloc[at : at + 250]
                 texts = part["text"].tolist()
                 syms, tails, n = encode(head.value, texts)
-                size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+                size = [coded_bytes(t) for t in texts]
                 yield part.drop(columns="text").assign(
                     n_tokens=n, n_bytes=size, syms=syms, tail=pd.Series(tails, dtype=object, index=part.index)
                 )

@@ -112,3 +112,12 @@ def test_spelling_is_learned_from_all_tail_words():
     words = [b"t%d" % i for i in range(64)]
     tok = mixing_lm.Tokens([np.full(64, mixing_lm.ESC, np.uint32).tobytes()], [b" ".join(words).decode()])
     assert [w for part in mixing_lm._tail_parts(tok) for w in part] == words
+
+
+def test_bits_are_over_the_bytes_that_are_coded(spark):
+    """White space and capitals cost no bits, so they are no bytes either: junk of them does not make a text cheap."""
+    from lumenframe.llm import mixing_lm
+
+    docs = table(spark, ["a b c d " * 20, "a b c d", "A   B \n\n c\t\t D  " + " " * 400, "  "])
+    got = {r["id"]: r["bits_per_byte"] for r in mixing_lm.score(docs.where("doc_id = 0").union(docs.where("doc_id > 0"))).collect()}
+    assert got[1] == pytest.approx(got[2]) and got[3] is None
