@@ -1,125 +1,194 @@
 """Nearest neighbours by a hash-prefix forest (LSH forest; Bawa, Condie, Ganesan, 2005).
 
 Rows are dealt to shards by a hash of their id. In a shard, each tree is the
-array of its rows' hash strings (signs of random projections), sorted. A query
-descends to its longest prefix match in each tree, then all trees ascend
-together, one bit at a time, adding the rows under the shorter prefix. It stops
-when a row better than the k-th best so far would be in none of the trees'
-ranges with a probability of at most ``miss``: a row at angle t shares x bits
-of a tree with probability (1 - t/pi)**x. There is no cap on candidates; a
-query without close rows ascends to the root, and so meets all rows.
-
-Every row is indexed. Queries are dealt in blocks of ``query_rows``, and each
-(shard, block) is one bounded group.
+array of its rows' hash strings, sorted. A string's symbols are cross-polytope
+hashes (Andoni et al., 2015): the vector is rotated at random, and the symbol is
+the largest coordinate with its sign. A query descends to its longest prefix
+match in each tree, then all trees ascend together, one symbol at a time, and
+add the rows under the shorter prefix. It stops when a row at the angle of the
+k-th best so far would be in none of the trees' ranges with a probability of at
+most ``miss``. There is no cap on candidates: a query without close rows ascends
+to the root, and so meets all rows of the shard.
+
+Every row is indexed, once: a shard's rows stream ahead of the queries, which
+follow in batches, so a task holds one shard and one batch.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, MISS, SHARD_ROWS, QUERY_ROWS, LEAST_SHARDS = 16, 24, 0.02, 8192, 4096, 16
+TREES, SYMBOLS, WIDTH, MISS, SHARD_ROWS = 36, 3, 64, 0.15, 16384
+#: Queries that are searched together.
+AT_ONCE = 64
 
 
-class Forest:
-    """Trees over the rows of one shard."""
+@functools.cache
+def same_symbol(width: int) -> np.ndarray:
+    """The chance that vectors of cosine 0, 1/64 .. 1 share a symbol, by simulation with a fixed seed."""
+    rng, out = np.random.default_rng(7), []
+    a, b = rng.standard_normal((2, 20000, width), dtype=np.float32)
+    for c in np.arange(65) / 64:
+        x = c * a + np.sqrt(1 - c * c) * b
+        i, j = np.abs(a).argmax(1), np.abs(x).argmax(1)
+        at = np.arange(len(a))
+        out.append(((i == j) & ((a[at, i] > 0) == (x[at, j] > 0))).mean())
+    return np.maximum.accumulate(out)
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, trees: int, bits: int, seed: int):
-        self.x, self.ids, self.trees, self.bits = vectors, ids, trees, bits
-        self.norm = np.sqrt((vectors * vectors).sum(axis=1))
-        self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], trees * bits))
-        keys = self.keys(vectors)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.sorted = [np.ascontiguousarray(keys[self.order[:, t], t]) for t in range(trees)]
+
+class Forest:
+    """Trees over the rows of one shard. Vectors are of length one."""
+
+    def __init__(self, unit: np.ndarray, trees: int, symbols: int, seed: int):
+        self.x, self.trees, self.symbols = unit, trees, symbols
+        dim = unit.shape[1]
+        self.width = min(WIDTH, max(2, dim))
+        rng = np.random.default_rng(seed)
+        self.turns = rng.standard_normal((trees, symbols, dim, self.width), dtype=np.float32)
+        self.digit = 2 * self.width
+        keys = self.keys(unit)
+        self.order = np.argsort(keys, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(keys.T, self.order, axis=1)
+        self.met = 0
 
     def keys(self, v: np.ndarray) -> np.ndarray:
-        """(n, trees) hash strings as numbers, the first bit the highest."""
-        out = np.empty((len(v), self.trees), np.int64)
+        """(n, trees) hash strings as numbers, the first symbol the highest digit."""
+        v = v.astype(np.float32)
+        out = np.zeros((len(v), self.trees), np.int64)
         for at in range(0, len(v), 4096):
-            on = (v[at : at + 4096] @ self.planes > 0).reshape(-1, self.trees, self.bits)
-            out[at : at + 4096] = on @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
+            part = v[at : at + 4096]
+            row = np.arange(len(part))
+            for t in range(self.trees):
+                for s in range(self.symbols):
+                    y = part @ self.turns[t, s]
+                    i = np.abs(y).argmax(axis=1)
+                    out[at : at + 4096, t] = out[at : at + 4096, t] * self.digit + 2 * i + (y[row, i] > 0)
         return out
 
-    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int, miss: float) -> list[tuple[int, int, float]]:
-        keys, out = self.keys(q), []
-        levels = np.arange(self.bits + 1)
-        width = (np.int64(1) << (self.bits - levels)).astype(np.int64)
-        lo, hi = [], []
-        for t in range(self.trees):
-            first = keys[:, t, None] // width * width
-            lo.append(np.searchsorted(self.sorted[t], first, "left"))
-            hi.append(np.searchsorted(self.sorted[t], first + width, "left"))
-        lo, hi = np.array(lo), np.array(hi)  # (trees, queries, levels)
-        deepest = np.where(hi > lo, levels, 0).max(axis=(0, 2))
-        n = len(self.x)
-        for j in range(len(q)):
-            length = np.sqrt((q[j] * q[j]).sum())
-            seen = np.zeros(n, bool)
-            got_i, got_s = np.zeros(0, np.int64), np.zeros(0)
-            for x in range(int(deepest[j]), -1, -1):
-                if x:
-                    rows = np.concatenate([self.order[lo[t, j, x] : hi[t, j, x], t] for t in range(self.trees)])
-                    mask = np.zeros(n, bool)
-                    mask[rows] = True
-                    rows = np.nonzero(mask & ~seen)[0]
-                else:
-                    rows = np.nonzero(~seen)[0]
-                seen[rows] = True
-                rows = rows[self.ids[rows] != q_ids[j]]
-                if len(rows):
-                    s = (self.x[rows] * q[j]).sum(axis=1) / (self.norm[rows] * length)
-                    got_i, got_s = np.concatenate((got_i, self.ids[rows])), np.concatenate((got_s, s))
-                    top = np.lexsort((got_i, -got_s))[:k]
-                    got_i, got_s = got_i[top], got_s[top]
-                if x and len(got_s) == k:
-                    share = 1 - np.arccos(np.clip(got_s[-1], -1, 1)) / np.pi
-                    if (1 - share**x) ** self.trees <= miss:
-                        break
-            out += [(int(q_ids[j]), int(i), float(s)) for i, s in zip(got_i, got_s, strict=True)]
-        return out
+    def _pairs(self, lo: np.ndarray, hi: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Numbers query * rows + row of all rows in the ranges (trees, queries), once each."""
+        size = hi - lo
+        tree = np.broadcast_to(np.arange(self.trees)[:, None], size.shape)
+        ask = np.broadcast_to(who[None, :], size.shape)
+        n, first = size.ravel(), lo.ravel()
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first, n)
+        row = self.order[np.repeat(tree.ravel(), n), at]
+        return np.repeat(ask.ravel(), n) * len(self.x) + row
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, cosine) of the k best found for each query, ties to the smaller row; row ``own`` (-1: none) is not its candidate."""
+        n, m = len(self.x), len(q)
+        keys, chance = self.keys(q), same_symbol(self.width)
+        seen = np.zeros((m, n), bool)
+        seen[np.nonzero(own >= 0)[0], own[own >= 0]] = True
+        got_q, got_r, got_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        active = np.arange(m)
+        for level in range(self.symbols, -1, -1):
+            if level:
+                width = self.digit ** (self.symbols - level)
+                first = keys[active].T // width * width
+                lo = np.array([np.searchsorted(s, f, "left") for s, f in zip(self.sorted, first, strict=True)])
+                hi = np.array([np.searchsorted(s, f + width, "left") for s, f in zip(self.sorted, first, strict=True)])
+                hits = np.zeros((m, n), bool)
+                hits.ravel()[self._pairs(lo, hi, active)] = True
+            else:
+                hits = np.zeros((m, n), bool)
+                hits[active] = True
+            hits &= ~seen
+            seen |= hits
+            ask, row = np.nonzero(hits)
+            self.met += len(row)
+            s = np.concatenate([np.einsum("ij,ij->i", self.x[row[a : a + 65536]], q[ask[a : a + 65536]]) for a in range(0, len(row), 65536)] or [np.zeros(0)])
+            got_q, got_r, got_s = np.concatenate((got_q, ask)), np.concatenate((got_r, row)), np.concatenate((got_s, s))
+            best = np.lexsort((got_r, -got_s, got_q))
+            got_q, got_r, got_s = got_q[best], got_r[best], got_s[best]
+            place = np.arange(len(got_q)) - np.searchsorted(got_q, got_q, "left")
+            keep = place < k
+            got_q, got_r, got_s, place = got_q[keep], got_r[keep], got_s[keep], place[keep]
+            if level:
+                kth = np.full(m, -1.0)
+                kth[got_q[place == k - 1]] = got_s[place == k - 1]
+                share = np.interp(np.clip(kth, 0, 1), np.arange(65) / 64, chance)
+                done = (kth > 0) & ((1 - share**level) ** self.trees <= miss)
+                active = active[~done[active]]
+                if not len(active):
+                    break
+        return got_q, got_r, got_s
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v, dim) of rows that take part: id and vector not null, all parts finite, not all zero."""
     v = F.col(vec_col).cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return rows.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(
+    own = rows.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0)
-    ).withColumn("dim", F.size("v"))
+    )
+    return own.withColumn("dim", F.size("v"))
+
+
+def _unit(v: pd.Series) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square runs over or under."""
+    x = np.stack(v.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-    trees: int = TREES, bits: int = BITS, miss: float = MISS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, seed: int = 42,
+    trees: int = TREES, symbols: int = SYMBOLS, miss: float = MISS, shard_rows: int = SHARD_ROWS, seed: int = 42,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its ``k`` nearest rows by cosine, found through the forest.
 
-    A row is no candidate for a query of its own id. Fewer candidates than k:
-    all of them. Vectors of unlike lengths do not meet. Rows or queries that
-    are null, zero or not finite take no part; empty tables give no rows.
-    Repeated query ids are answered once.
+    A query that is a row of ``rows`` is no candidate of its own. Of rows that share an id and
+    are queries, each is answered, under the id that they share; the others of that
+    id are its candidates. Fewer candidates than k: all of them.
+    Vectors of unlike lengths do not meet. Rows or queries that are null, zero
+    or not finite take no part; empty tables give no rows.
     """
-    own, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col).dropDuplicates(["id"])
-    shards = max(LEAST_SHARDS, -(-own.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // query_rows))
-    own = own.select("*", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.select(
-        "*", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
-    )
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            forest = Forest(np.stack(left["v"].to_numpy()), left["id"].to_numpy(np.int64), trees, bits, seed)
-            found = forest.search(np.stack(right["v"].to_numpy()), right["id"].to_numpy(np.int64), k, miss)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    found = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # queries of one id are ranked apart: told by their place among them
+    copy = Window.partitionBy("id").orderBy("dim", F.xxhash64("v"))
+    own, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col).withColumn("copy", F.row_number().over(copy))
+    shards = max(1, -(-own.count() // shard_rows))
+    own = own.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("copy"), "id", "v")
+    asked = asked.select("dim", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), "copy", "id", "v")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, parts, forest = None, [], None
+        for b in batches:
+            marks = b["dim"].to_numpy(np.int64) * (1 << 40) + b["shard"].to_numpy()
+            for mark in pd.unique(marks):
+                now = b[marks == mark]
+                if mark != group:
+                    group, parts, forest = mark, [], None
+                is_row = now["copy"].to_numpy() == 0
+                parts += [now[is_row]] if is_row.any() else []
+                ask = now[~is_row]
+                if not len(ask) or not (parts or forest):
+                    continue
+                if forest is None:
+                    held, parts = pd.concat(parts).sort_values("id"), []  # row numbers follow the ids
+                    ids = held["id"].to_numpy(np.int64)
+                    forest = Forest(_unit(held["v"]), trees, symbols, seed)
+                unit, ask_id, ask_copy = _unit(ask["v"]), ask["id"].to_numpy(np.int64), ask["copy"].to_numpy(np.int64)
+                own_row = np.full(len(ask), -1)
+                for a, (lo, hi) in enumerate(zip(np.searchsorted(ids, ask_id, "left"), np.searchsorted(ids, ask_id, "right"), strict=True)):
+                    same = np.nonzero((forest.x[lo:hi] == unit[a]).all(axis=1))[0]  # rows of the query's id: one, as a rule
+                    own_row[a] = lo + same[0] if len(same) else -1
+                for at in range(0, len(ask), AT_ONCE):
+                    to = at + AT_ONCE
+                    qq, rr, ss = forest.search(unit[at:to], own_row[at:to], k, miss)
+                    yield pd.DataFrame({"query_id": ask_id[at:to][qq], "copy": ask_copy[at:to][qq], "vec_id": ids[rr], "score": np.clip(ss, -1.0, 1.0)})
+
+    dealt = own.union(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "copy")
+    found = dealt.mapInPandas(run, "query_id bigint, copy int, vec_id bigint, score double")
+    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
