@@ -1,16 +1,21 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Tokens of the templates are ordered by their frequency in
-the whole corpus, the rarest first. A block that holds at least ``threshold``
-of a template's n tokens holds one of its n - ceil(threshold * n) + 1 rarest:
-those are the template's prefix, and the join key. Pairs pass a length filter
-(block as long as the needed overlap) and a positional one (what is left after
-the first shared token can reach it) before the overlap is counted.
+A block is any run of consecutive words, up to the window of a template: its
+number of words over ``threshold``. So a match contains the template, and the
+template fills the match: words scattered over a text are none, and line feeds
+do not matter. A template of n distinct tokens is met by ``threshold`` of them,
+but by at least ``LEAST`` (short notices need all).
+
+Tokens of the templates are ordered by their frequency in the whole corpus, the
+rarest first. A block with ``need`` of a template's n tokens holds one of its
+n - need + 1 rarest: those are the template's prefix, and the join key. Around
+each place of a prefix token, a length filter (enough words) and a positional
+one (enough of the template's tokens within reach of the place) come before the
+windows are counted.
 
 Only templates are broadcast; their number and size are a parameter. Text is
-never shuffled: blocks without a prefix token leave the scan as nothing. What
-is no word becomes a blank in one pass, so that words are found by plain
-search and split, not by a pattern.
+never shuffled: texts without a prefix token leave the scan with their base
+columns alone, others with the words around those tokens.
 """
 
 from __future__ import annotations
@@ -26,36 +31,68 @@ from lumenframe.llm.common import LOWER, UPPER, documents, let, row_key, text_of
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases that the base counts, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: One-line notices of common licenses, with labels.
+#: Notices and texts of common licenses, with labels.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
-    "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+        use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+        the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+        ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
+        AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""",
+    "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS.""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "lgpl": "licensed under the GNU Lesser General Public License",
     "agpl-3.0": "licensed under the GNU Affero General Public License version 3",
     "cc-by-4.0": "Licensed under CC BY 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
     "cc-by-long": "licensed under a Creative Commons Attribution 4.0 International License",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "unlicense": "This is free and unencumbered software released into the public domain",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose""",
     "all-rights-reserved": "All rights reserved.",
 }
-THRESHOLD = 0.95
+THRESHOLD, LEAST = 0.8, 10
 #: ASCII characters that are in no word, but for the line feed.
 _GAPS = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) != "\n")
 
 
-def _needed(n: int, threshold: float) -> int:
-    return math.ceil(threshold * n - 1e-9)
+def _list(text: str) -> list[str]:
+    import re
 
+    return re.findall(WORDS, text.translate({i: i + 32 for i in range(65, 91)}))
 
-def _tokens(text: str) -> list[str]:
-    import re
 
-    return sorted(set(re.findall(WORDS, text.translate({i: i + 32 for i in range(65, 91)}))))
+def measures(text: str, threshold: float = THRESHOLD) -> tuple[list[str], int, int]:
+    """Distinct tokens of a template, how many are needed, and the words of its window."""
+    words = _list(text)
+    tokens = sorted(set(words))
+    return tokens, max(math.ceil(threshold * len(tokens) - 1e-9), min(len(tokens), LEAST)), math.ceil(len(words) / threshold - 1e-9)
 
 
 def spaced(t: Column) -> Column:
@@ -69,26 +106,21 @@ def _words(t: Column) -> Column:
 
 
 def _holds(t: Column, words: list[str]) -> Column:
-    """Whether a spaced text, or line, with blanks around it has one of the words."""
-    return reduce(Column.__or__, [F.contains(t, F.lit(f" {w} ")) for w in words], F.lit(False))
+    """Whether a spaced text with blanks around it has all of the words."""
+    return reduce(Column.__and__, [F.contains(t, F.lit(f" {w} ")) for w in words])
 
 
-def template_index(docs: DataFrame, templates: dict[str, str], threshold: float, text_col: str) -> DataFrame:
-    """A row per template and prefix token: label, n, need, tokens (rarest first), token, pos."""
-    spark = docs.sparkSession
-    rows = [(k, _tokens(v)) for k, v in sorted(templates.items())]
-    vocabulary = sorted({t for _, ts in rows for t in ts})
+def template_index(docs: DataFrame, templates: dict[str, str], threshold: float, text_col: str) -> list[tuple]:
+    """A row per template and prefix token: (label, n, need, window, tokens rarest first, token)."""
+    own = {k: measures(v, threshold) for k, v in sorted(templates.items())}
+    vocabulary = sorted({t for ts, _, _ in own.values() for t in ts})
     words = docs.select(F.explode(_words(spaced(text_of(text_col)))).alias("token"))
-    counts = words.where(F.col("token").isin(vocabulary)).groupBy("token").agg(F.count("*").alias("c"))
-    flat = spark.createDataFrame([(k, len(ts), t) for k, ts in rows for t in ts], "label string, n int, token string")
-    ranked = flat.join(F.broadcast(counts), "token", "left").groupBy("label", "n").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "token"))), lambda x: x["token"]
-        ).alias("tokens")
-    )
-    need = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
-    ranked = ranked.withColumn("need", need)
-    return ranked.select("label", "n", "need", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - F.col("need") + 1)).alias("pos", "token"))
+    counted = words.where(F.col("token").isin(vocabulary)).groupBy("token").agg(F.count("*").alias("c")).collect()  # the templates' own words
+    c, out = {r["token"]: r["c"] for r in counted}, []
+    for label, (tokens, need, window) in own.items():
+        tokens = sorted(tokens, key=lambda t: (c.get(t, 0), t))
+        out += [(label, len(tokens), need, window, tokens, t) for t in tokens[: len(tokens) - need + 1]]
+    return out
 
 
 def _places(words: Column) -> Column:
@@ -110,50 +142,52 @@ def scan(
 ) -> DataFrame:
     """A row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score: the largest containment of a template that meets ``threshold`` in a
-    block, 0 if none. A null or empty text has no words; repeated and null ids
+    score: the largest share of a template's tokens in a block that meets it, 0
+    if none does. A null or empty text has no words; repeated and null ids
     are rows of their own; an empty table gives an empty one.
     """
-    # prefix tokens of the templates: a few for each
-    found = template_index(docs, templates, threshold, text_col)
-    rows = found.collect()
-    index, prefixes = docs.sparkSession.createDataFrame(rows, found.schema), sorted({r["token"] for r in rows})
-    anchors = F.array(*[F.lit(t) for t in sorted({t for v in templates.values() for t in _tokens(v)})])
-    least = min(_needed(len(_tokens(v)), threshold) for v in templates.values())
+    rows = template_index(docs, templates, threshold, text_col)
+    index = docs.sparkSession.createDataFrame(rows, "label string, n int, need int, window int, tokens array<string>, token string")
+    prefixes, widest = sorted({r[5] for r in rows}), max([r[3] for r in rows], default=1)
     src = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), spaced(text_of(text_col)).alias("_t"))
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     flat = F.concat(F.lit(" "), F.replace("_t", F.lit("\n"), F.lit(" ")), F.lit(" "))
-    hint = reduce(Column.__or__, [reduce(Column.__and__, [_holds(flat, [w]) for w in phrase.split()]) for phrase in PHRASES])
+    hint = reduce(Column.__or__, [_holds(flat, phrase.split()) for phrase in PHRASES])
+    no_hits = F.array().cast("array<struct<token:string,at:int,near:array<string>>>")
+
+    def hits(w: Column) -> Column:  # places of prefix tokens, with the words around; ``at``: the place among those
+        found = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["x"].isin(prefixes))
+        first = lambda i: F.greatest(i - widest + 1, F.lit(0))
+        return F.transform(
+            found,
+            lambda y: F.struct(y["x"].alias("token"), (y["i"] - first(y["i"])).alias("at"), F.slice(w, first(y["i"]) + 1, y["i"] - first(y["i"]) + widest).alias("near")),
+        )
+
     words = let(
         _words(F.col("_t")),
-        lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.when(hint, _places(w)).otherwise(none).alias("places")),
-    )
-    # a block counts only if it has a prefix token, and as many template tokens as the shortest template needs
-    blocks = F.filter(
-        F.transform(
-            F.filter(F.split("_t", "\n", -1), lambda line: _holds(F.concat(F.lit(" "), line, F.lit(" ")), prefixes)),
-            lambda line: F.array_intersect(_words(line), anchors),
+        lambda w: F.struct(
+            F.size(w).cast("bigint").alias("n"), F.when(hint, _places(w)).otherwise(none).alias("places"),
+            F.when(F.arrays_overlap(w, F.array(*[F.lit(p) for p in prefixes])), hits(w)).otherwise(no_hits).alias("hits"),
         ),
-        lambda b: F.size(b) >= least,
-    )
-    base = src.select("_row", "_id", words.alias("_w"), blocks.alias("_b"))
-    base = base.select(
-        "_row", "_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_p"),
-        F.explode_outer(F.transform("_b", lambda b: F.struct(b.alias("ts")))).alias("_blk"),
-    )
-    # extra tokens of a block cannot add to an overlap, so its distinct template tokens are enough
-    keyed = base.select("*", F.explode_outer("_blk.ts").alias("token"))
-    pairs = keyed.join(F.broadcast(index), "token", "left")
-    own = F.size("_blk.ts")
-    ok = (own >= F.col("need")) & (1 + F.least(own - 1, F.col("n") - F.col("pos") - 1) >= F.least(F.col("need"), F.col("n") - F.col("pos")))
-    overlap = F.size(F.array_intersect("_blk.ts", "tokens"))
-    meets = F.when(ok, overlap >= F.col("need")).otherwise(F.lit(False))
+    )
+    base = src.select("_row", "_id", words.alias("_w"))
+    base = base.select("_row", "_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_p"), F.explode_outer("_w.hits").alias("_h"))
+    base = base.select("_row", "_id", "n_words", "_p", "_h.token", "_h.at", "_h.near")
+    pairs = base.join(F.broadcast(index), "token", "left")  # the templates' prefix tokens: a few hundred rows
+    # within reach of the place: windows that hold it start at most window - 1 words before
+    first = F.greatest(F.col("at") - F.col("window") + 1, F.lit(0))
+    reach = F.slice("near", first + 1, F.col("at") - first + F.col("window"))
+    shared = lambda ws: F.size(F.array_intersect(ws, F.col("tokens")))
+    able = (F.size(reach) >= F.col("need")) & (shared(reach) >= F.col("need"))
+    most = F.array_max(F.transform(F.sequence(first, F.col("at")), lambda s: shared(F.slice("near", s + 1, F.col("window")))))
+    best = F.when(F.when(F.col("label").isNotNull(), able).otherwise(F.lit(False)), most)
+    pairs = pairs.select("_row", "_id", "n_words", "_p", "label", "n", F.when(best >= F.col("need"), best).alias("hit"))
     out = pairs.groupBy("_row").agg(
         F.first("_id").alias("id"),
         F.first("n_words").alias("n_words"),
         F.first("_p").alias("_p"),
-        F.collect_set(F.when(meets, F.col("label"))).alias("_l"),
-        F.coalesce(F.max(F.when(meets, overlap / F.col("n"))), F.lit(0.0)).alias("score"),
+        F.collect_set(F.when(F.col("hit").isNotNull(), F.col("label"))).alias("_l"),
+        F.coalesce(F.max(F.col("hit") / F.col("n")), F.lit(0.0)).alias("score"),
     )
     at = F.transform("_p", lambda x: x["at"])
     names = F.array_distinct(F.transform("_p", lambda x: x["label"]))
@@ -171,7 +205,8 @@ def op5_license_scan(spark, sf_dir):
 def _oracle() -> str:
     pat = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    values = ", ".join(f"('{k}', [{', '.join(repr(t) for t in _tokens(v))}], {_needed(len(_tokens(v)), THRESHOLD)})" for k, v in TEMPLATES.items())
+    own = {k: measures(v) for k, v in TEMPLATES.items()}
+    values = ", ".join(f"('{k}', [{', '.join(repr(t) for t in ts)}], {need}, {window})" for k, (ts, need, window) in own.items())
     hits = "\nUNION ALL\n".join(
         f"SELECT rid, i - 1 AS p, '{label}' AS label FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE t LIKE '%{ws.split()[-1]}%') WHERE "
         + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(ws.split()))
@@ -180,11 +215,11 @@ def _oracle() -> str:
     return rf"""
 WITH d0 AS (SELECT doc_id, {low.format("coalesce(text, '')")} AS t, row_number() OVER () AS rid FROM documents),
 d AS (SELECT *, regexp_extract_all(t, '{pat}') AS w FROM d0),
-tpl(label, toks, need) AS (VALUES {values}),
-b AS (SELECT rid, list_distinct(regexp_extract_all(l, '{pat}')) AS ts FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)),
-m AS (
-  SELECT rid, list(DISTINCT label) AS ls, max(len(list_intersect(ts, toks))::DOUBLE / len(toks)) AS score
-  FROM b, tpl WHERE len(list_intersect(ts, toks)) >= need GROUP BY rid),
+tpl(label, toks, need, size) AS (VALUES {values}),
+b AS (SELECT rid, w, label, toks, need, size FROM (SELECT rid, w, list_distinct(w) AS ws FROM d), tpl WHERE len(list_intersect(ws, toks)) >= need),
+s AS (SELECT *, unnest(range(1, greatest(1, len(w) - size + 1) + 1)) AS i FROM b),
+c AS (SELECT rid, label, max(len(list_intersect(w[i:i + size - 1], toks))) AS best, any_value(need) AS need, any_value(len(toks)) AS n FROM s GROUP BY rid, label),
+m AS (SELECT rid, list(DISTINCT label) AS ls, max(best::DOUBLE / n) AS score FROM c WHERE best >= need GROUP BY rid),
 h AS ({hits}),
 hb AS (SELECT rid, count(*) AS n, min(p) AS f, max(p) AS l, list(DISTINCT label) AS ls FROM h GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hb.n, 0)::BIGINT AS n_base, hb.f::BIGINT AS first_word, hb.l::BIGINT AS last_word,
