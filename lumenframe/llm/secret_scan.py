@@ -1,12 +1,13 @@
 """Secret scans: base patterns, and multipart credentials linked by an interval join within a scope.
 
-Parts: identifiers (access keys, client or account ids), secrets (assignments,
-long hex, 40-character keys) and endpoints (URLs, database addresses). Base
-parts stand alone. A weak part (id, key40, endpoint) is reported only if its
-complement lies within ``reach`` characters: an id needs a secret, a key40
-needs an identifier, an endpoint needs both.
-
-The interval join is a sweep: within a document, ordered by start, the nearest
+Parts: identifiers (access keys; client, account or user ids and names), secrets
+(assignments, long hex, 40-character keys, short or odd passwords) and endpoints
+(URLs, database addresses). Base parts stand alone. A weak part (id, key40, pass,
+endpoint) is reported only if its complement stands in the same scope: a block of
+lines without a blank line between, and there within ``reach`` characters. An id
+needs a secret, a key40 or pass needs an identifier, an endpoint needs both.
+
+The interval join is a sweep: within a scope, ordered by start, the nearest
 complement before and after decides whether any interval overlaps; linear in
 the parts, no pair is built. Only parts travel, never text.
 """
@@ -16,21 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import SPAN, count_kind, documents, lower_ascii, matches, row_key, span_text, spans, text_of
+from lumenframe.llm.common import SPAN, count_kind, documents, let, lower_ascii, matches, row_key, span_text, spans, text_of
 
 #: The base patterns, in the order of the kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: The method's own weak parts.
-WEAK_ID = r"""(?i)(?:client|account|user|tenant)_?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,}"""
+WEAK_ID = r"""(?i)(?:(?:client|account|user|tenant|app)_?(?:id|name)|username|login|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
+PASS = r"""(?i)(?:password|passwd|passphrase|pwd|secret|private_?key|auth_?key)["']?\x20*[:=]\x20*["']?[^\x00-\x20"'<>,;]{4,}"""
 KEY40 = r"(?<![A-Za-z0-9/+=])(?=[A-Za-z0-9/+]*[0-9])(?=[A-Za-z0-9/+]*[A-Z])(?=[A-Za-z0-9/+]*[a-z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]+"
-REACH = 200
+#: What parts scopes: a blank line.
+BLANK = r"\n[\x20\x09\x0D]*(?=\n)"
+REACH = 500
 
 
-def base_spans(t: Column) -> Column:
-    low = lower_ascii(t)
+def base_spans(t: Column, low: Column) -> Column:
+    """``low``: the lower-cased text, which tells where a pattern is worth a try."""
     said = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     none = F.array().cast(SPAN)
     return F.concat(
@@ -43,13 +47,16 @@ def base_spans(t: Column) -> Column:
     )
 
 
-def weak_spans(t: Column) -> Column:
-    low = lower_ascii(t)
+def weak_spans(t: Column, low: Column) -> Column:
     none = F.array().cast(SPAN)
+    set_to = t.rlike("[:=]")
+    named = low.contains("id") | low.contains("name") | low.contains("login") | low.contains("user")
+    hidden = low.contains("pass") | low.contains("pwd") | low.contains("secret") | low.contains("key")
     return F.concat(
-        F.when(low.contains("id") & t.rlike(WEAK_ID), spans(matches(t, WEAK_ID), 3, "id")).otherwise(none),
+        F.when(set_to & named, spans(matches(t, WEAK_ID), 3, "id")).otherwise(none),
         F.when(t.rlike(r"[A-Za-z0-9/+]{40}"), spans(matches(t, KEY40), 4, "key40")).otherwise(none),
         F.when(t.contains("://"), spans(matches(t, ENDPOINT), 5, "endpoint")).otherwise(none),
+        F.when(set_to & hidden, spans(matches(t, PASS), 6, "pass")).otherwise(none),
     )
 
 
@@ -57,15 +64,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     """A row per input row: id, base and all spans (struct<s, o, k, e> by start, then kind).
 
     Null text is empty; ids may repeat or be null. Rows without parts have
-    empty arrays. Key40 parts that overlap a base span are not weak parts.
+    empty arrays; an empty table gives an empty one. A key40 or pass that
+    overlaps a base span is no part of its own.
     """
     t = F.col("_t")
     src = docs.select(row_key().alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    parts = F.concat(base_spans(t), weak_spans(t))
-    flat = src.select("_row", "_id", F.explode_outer(parts).alias("p")).select("_row", "_id", "p.*")
-    near = Window.partitionBy("_row").orderBy("s", "o")
+    parts = let(lower_ascii(t), lambda low: F.concat(base_spans(t, low), weak_spans(t, low)))
+
+    def scoped(found: Column) -> Column:
+        scope = lambda p, blanks: F.size(F.filter(blanks, lambda b: b["s"] < p["s"]))
+        placed = let(matches(t, BLANK), lambda blanks: F.transform(found, lambda p: F.struct(p.alias("p"), scope(p, blanks).alias("c"))))
+        return F.when(F.size(found) > 0, placed)
+
+    flat = src.select("_row", "_id", F.explode_outer(let(parts, scoped)).alias("x")).select("_row", "_id", "x.p.*", F.coalesce("x.c", F.lit(0)).alias("c"))
+    near = Window.partitionBy("_row", "c").orderBy("s", "o")
     back, ahead = near.rowsBetween(Window.unboundedPreceding, -1), near.rowsBetween(1, Window.unboundedFollowing)
-    is_id, is_secret = F.col("k").isin("access", "id"), F.col("k").isin("assign", "hex", "key40")
+    is_id, is_secret = F.col("k").isin("access", "id"), F.col("k").isin("assign", "hex", "key40", "pass")
 
     def within(kind: Column, strong: Column | None = None) -> Column:
         what = kind if strong is None else kind & strong
@@ -79,7 +93,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     keep = (
         F.when(F.col("o") < 3, True)
         .when(F.col("k") == "id", within(is_secret))
-        .when(F.col("k") == "key40", within(is_id) & ~covered)
+        .when(F.col("k").isin("key40", "pass"), within(is_id) & ~covered)
         .when(F.col("k") == "endpoint", within(is_id) & within(is_secret))
         .otherwise(False)
     )
