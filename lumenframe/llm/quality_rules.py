@@ -1,21 +1,23 @@
-"""Quality rules whose cutoffs carry a false-rejection guarantee.
-
-Statistics of each text are native column expressions. For each stratum and
-rule, the cutoff is the tightest of a fixed grid at which rejecting clean
-documents more often than ``risk`` is refuted by an exact binomial test on the
-labelled holdout; the level is split over all strata, rules and cutoffs
-(Bonferroni), so with probability 1 - level every cutoff keeps its limit.
-A stratum without enough labels has no cutoff there, and so rejects nothing.
+"""Quality rules whose cutoffs carry a false-rejection guarantee on the verdict.
+
+Statistics of each text are native column expressions. The rules' cutoffs form
+steps, from loose to tight, that hold for all rules at once: step j rejects a
+document if any rule's j-th cutoff does. For each stratum the tightest step is
+taken at which rejecting clean documents more often than ``risk`` is refuted by
+an exact binomial test on the labelled holdout, counting the rejections of the
+whole step; the level is split over all strata and steps (Bonferroni), so with
+probability 1 - level every stratum keeps its limit, for the verdict as a whole.
+A stratum without enough labels has no step, and so rejects nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import WORD, documents, let, stage_table, text_of
 
-#: Rule -> (numerator, denominator, cutoffs): rejected if numerator * 100 > cutoff * denominator.
+#: Rule -> (numerator, denominator, cutoffs by step, tight to loose): rejected if numerator * 100 > cutoff * denominator.
 RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "symbols_per_word": ("n_symbols", "n_words", (5, 10, 20, 40, 80, 160)),
     "repeated_words": ("n_repeat_words", "n_words", (10, 15, 20, 25, 30, 40)),
@@ -23,7 +25,7 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "upper_letters": ("n_upper", "word_chars", (10, 20, 30, 40, 50, 70)),
     "word_length": ("word_chars", "n_words", (700, 800, 900, 1000, 1200, 1500)),
 }
-RISK, LEVEL = 0.02, 0.05
+RISK, LEVEL, STEPS = 0.02, 0.05, 6
 SYMBOLS = "#*$%&|<>"
 
 
@@ -102,7 +104,7 @@ def rejects(rule: str, cutoff) -> Column:
     return F.col(top) * 100 > cutoff * F.col(below)
 
 
-def allowed(n: Column, risk: float, level: float) -> Column:
+def allowed(n: Column, risk: float, level: Column) -> Column:
     """The most false rejections k of n at which P(Bin(n, risk) <= k) <= level; -1 if there is none.
 
     Exact: the terms of the distribution are summed in turn, as logarithms.
@@ -111,9 +113,7 @@ def allowed(n: Column, risk: float, level: float) -> Column:
 
     odds = math.log(risk) - math.log1p(-risk)
     start = F.struct(
-        (n.cast("double") * F.lit(math.log1p(-risk))).alias("term"),
-        F.lit(float("-inf")).alias("cdf"),
-        F.lit(-1).cast("bigint").alias("k"),
+        (n.cast("double") * F.lit(math.log1p(-risk))).alias("term"), F.lit(float("-inf")).alias("cdf"), F.lit(-1).cast("bigint").alias("k")
     )
 
     def step(s: Column, j: Column) -> Column:
@@ -123,36 +123,28 @@ def allowed(n: Column, risk: float, level: float) -> Column:
         return F.struct(
             F.coalesce(nxt, F.lit(float("-inf"))).alias("term"),
             cdf.alias("cdf"),
-            F.when(cdf <= F.lit(math.log(level)), j.cast("bigint")).otherwise(s["k"]).alias("k"),
+            F.when(cdf <= F.log(level), j.cast("bigint")).otherwise(s["k"]).alias("k"),
         )
 
     most = F.ceil(n * F.lit(risk)).cast("bigint")
     return F.aggregate(F.sequence(F.lit(0).cast("bigint"), most), start, step, lambda s: s["k"])
 
 
+def rejected_at(step: int) -> Column:
+    """Whether any rule rejects at a step (0: the tightest)."""
+    out = F.lit(False)
+    for r, (_, _, grid) in RULES.items():
+        out = out | rejects(r, grid[step])
+    return out
+
+
 def cutoffs(stats: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """``stats`` of the labelled clean rows (those that fail the base rules are left out) with a ``stratum`` -> one row per stratum: n and a cutoff per rule (null: none)."""
-    counts = [
-        F.sum(F.when(rejects(r, c) & ~base_failed(), 1).otherwise(0)).alias(f"{r}_{c}") for r, (_, _, grid) in RULES.items() for c in grid
-    ]
-    by = stats.groupBy("stratum").agg(F.sum(F.when(base_failed(), 0).otherwise(1)).alias("n"), *counts)
-    tests = sum(len(g) for _, _, g in RULES.values())
-    every = Window.partitionBy(F.lit(1))  # one row a stratum: few
-    by = by.where("n > 0").withColumn("strata", F.count("*").over(every))
-    # the number of strata enters the correction as a power of two at least as large, so that the level is a constant
-    ks = F.coalesce(
-        *[F.when(F.col("strata") <= 2**b, allowed(F.col("n"), risk, level / (tests * 2**b))) for b in range(2, 13)],
-        F.lit(-1),
-    )
-    by = by.withColumn("k", ks)
-    return by.select(
-        "stratum",
-        "n",
-        *[
-            F.coalesce(*[F.when(F.col(f"{r}_{c}") <= F.col("k"), F.lit(c)) for c in sorted(g)]).alias(f"cut_{r}")
-            for r, (_, _, g) in RULES.items()
-        ],
-    )
+    """``stats`` of the labelled clean rows (those that fail the base rules are left out) with a ``stratum`` -> a row per stratum: n_holdout and step (null: none)."""
+    counts = [F.count_if(rejected_at(j)).alias(f"at_{j}") for j in range(STEPS)]
+    by = stage_table(stats.where(~base_failed()).groupBy("stratum").agg(F.count("*").alias("n"), *counts), "holdout")
+    k = allowed(F.col("n"), risk, F.lit(level / (STEPS * max(1, by.count()))))
+    step = F.coalesce(*[F.when(F.col(f"at_{j}") <= F.col("k"), F.lit(j)) for j in range(STEPS)])
+    return by.withColumn("k", k).select("stratum", F.col("n").alias("n_holdout"), step.alias("step"))
 
 
 def judge(
@@ -164,16 +156,18 @@ def judge(
     ``labels``: (id, quality); rows with quality 1 that pass the base rules are
     the clean holdout; a null quality is no label, repeated labels count once.
     A null stratum is a stratum. With ``whole`` the row itself is in ``_all``.
+    An empty table gives an empty one; without labels only the base rules reject.
     """
     all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
     keep = [F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")]
     clean = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     # computed once; the holdout's join reads the statistics alone, so that no text is shuffled
     out = stage_table(text_statistics(docs, text_col, keep + [all_of] * whole), "statistics")
-    cuts = cutoffs(out.drop("_all").join(clean, "_id", "left_semi"), risk, level)
-    out = out.withColumn("base_failed", base_failed()).join(F.broadcast(cuts.withColumnRenamed("n", "n_holdout")), "stratum", "left")
+    cuts = stage_table(cutoffs(out.drop("_all").join(clean, "_id", "left_semi"), risk, level), "cutoffs")
+    out = out.withColumn("base_failed", base_failed()).join(cuts, "stratum", "left")
+    chosen = lambda grid: F.get(F.array(*[F.lit(c) for c in grid]), F.col("step"))
     failed = F.filter(
-        F.array(*[F.when(rejects(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
+        F.array(*[F.when(rejects(r, chosen(grid)), F.lit(r)) for r, (_, _, grid) in RULES.items()]), lambda x: x.isNotNull()
     )
     out = out.withColumn("failed_rules", F.array_join(failed, ","))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
@@ -192,12 +186,9 @@ def _oracle() -> str:
     count = lambda chars: " + ".join(f"(length(t) - length(replace(t, '{c}', '')))" for c in chars)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
     rej = lambda r, c: f"{RULES[r][0]} * 100 > {c} * {RULES[r][1]}"
-    counts = ",\n".join(f"count(*) FILTER (WHERE {rej(r, c)}) AS {r}_{c}" for r, (_, _, g) in RULES.items() for c in g)
-    tests = sum(len(g) for _, _, g in RULES.values())
-    cut = ",\n".join(
-        "CASE " + " ".join(f"WHEN {r}_{c} <= k THEN {c}" for c in sorted(g)) + f" END AS cut_{r}" for r, (_, _, g) in RULES.items()
-    )
-    failed = ", ".join(f"CASE WHEN {rej(r, 'cut_' + r)} THEN '{r}' END" for r in RULES)
+    counts = ",\n".join("count(*) FILTER (WHERE " + " OR ".join(rej(r, g[j]) for r, (_, _, g) in RULES.items()) + f") AS at_{j}" for j in range(STEPS))
+    step = "CASE " + " ".join(f"WHEN at_{j} <= k THEN {j}" for j in range(STEPS)) + " END AS step"
+    failed = ", ".join(f"CASE WHEN {rej(r, f'{list(g)}[step + 1]')} THEN '{r}' END" for r, (_, _, g) in RULES.items())
     return rf"""
 WITH base AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents
@@ -221,15 +212,14 @@ WITH base AS (
 ), held AS (
   SELECT stratum, count(*) AS n, {counts}
   FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum
-), lev AS (
-  SELECT {LEVEL} / ({tests} * greatest(4, pow(2, ceil(log2(greatest(count(*), 1)))))) AS a FROM held
+), lev AS (SELECT {LEVEL} / ({STEPS} * greatest(1, count(*))) AS a FROM held
 ), ks AS (
   SELECT held.*, coalesce((
     SELECT max(j) FROM (
       SELECT j, sum(exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) OVER (ORDER BY j) AS cdf
       FROM (SELECT unnest(range(0, least(n, ceil(n * {RISK})::BIGINT) + 1)) AS j)) WHERE cdf <= lev.a), -1) AS k
-  FROM held, lev WHERE n > 0
-), cuts AS (SELECT stratum, {cut} FROM ks)
+  FROM held, lev
+), cuts AS (SELECT stratum, {step} FROM ks)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND failed_rules = '') AS kept, failed_rules
 FROM (
