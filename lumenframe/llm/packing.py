@@ -3,13 +3,14 @@
 Each scan task packs its own documents: a level array counts the open windows
 at each fill level, and a remainder goes to the level that leaves the least sum
 of squared counts (Csirik et al., sum-of-squares bin packing). Whole windows'
-worth of a document are cut off first. Windows still open at the end of a task,
-or when ``most_open`` are open, are joined by cutting, so a task pads at most
-one window for each such round. No shuffle; memory is bounded by ``most_open``.
+worth of a document are cut off first. Windows still open at the end of a task
+are joined by cutting, so a task pads at most one window. No shuffle. The ids of
+open windows wait in an unnamed file of the task's own; memory holds their places.
 """
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -118,19 +119,22 @@ def encoder(path: str) -> WordIds:
 
 
 class Packer:
-    """Open windows by fill level; rows of closed windows collect in ``rows``."""
+    """Open windows by fill level; rows of closed windows collect in ``rows``.
 
-    def __init__(self, window: int, first_id: int, most_open: int):
-        self.window, self.next_id, self.most_open = window, first_id, most_open
+    A waiting piece is (document, start, ids, crc32, document's ids, place in the task's file).
+    """
+
+    def __init__(self, window: int, first_id: int):
+        self.window, self.next_id = window, first_id
         self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
-        self.n_open, self.rows = 0, []
+        self.rows: list[tuple] = []
+        self.file, self.size = tempfile.TemporaryFile(), 0  # without a name: it goes with the task, however that ends
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
-        for doc, start, ids, total in pieces:
-            n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next_id, at))
+        for doc, start, n, crc, total, _ in pieces:
+            self.rows.append((doc, start, n, crc, total, self.next_id, at))
             at += n
         self.next_id += 1
 
@@ -138,9 +142,12 @@ class Packer:
         total, w = len(ids) // 4, self.window
         cut = total - total % w
         for at in range(0, cut, w):
-            self._close([(doc, at, ids[4 * at : 4 * (at + w)], total)])
+            self._close([(doc, at, w, zlib.crc32(ids[4 * at : 4 * (at + w)]), total, 0)])
         if cut < total:
-            self._place((doc, cut, ids[4 * cut :], total), total - cut)
+            rest = ids[4 * cut :]
+            self.file.write(rest)
+            self._place((doc, cut, total - cut, zlib.crc32(rest), total, self.size), total - cut)
+            self.size += len(rest)
 
     def _place(self, piece: tuple, size: int) -> None:
         count, w = self.count, self.window
@@ -150,47 +157,42 @@ class Packer:
         delta = gain - np.where(count[: w + 1 - size] > 0, 2 * count[: w + 1 - size] - 1, -(1 << 40))
         delta[0] = gain[0]
         level = w - size - int(np.argmin(delta[::-1]))
+        pieces = []
         if level:
             pieces = self.open[level].pop()
             count[level] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
         pieces.append(piece)
         if level + size == w:
             self._close(pieces)
-            return
-        self.open.setdefault(level + size, []).append(pieces)
-        count[level + size] += 1
-        self.n_open += 1
-        if self.n_open > self.most_open:
-            self.flush(last=False)
-
-    def flush(self, last: bool = True) -> None:
-        """Join the open windows by cutting: the fullest first; at most one stays part full."""
-        left = [p for lv in sorted(self.open, reverse=True) for pieces in self.open[lv] for p in pieces]
-        self.open, self.n_open = {}, 0
-        self.count[:] = 0
+        else:
+            self.open.setdefault(level + size, []).append(pieces)
+            count[level + size] += 1
+
+    def flush(self) -> None:
+        """Join the open windows by cutting, the fullest first; at most one stays part full."""
         own, room = [], self.window
-        for doc, start, ids, total in left:
-            while ids:
-                n = min(room, len(ids) // 4)
-                own.append((doc, start, ids[: 4 * n], total))
-                ids, start, room = ids[4 * n :], start + n, room - n
+        for level in sorted(self.open, reverse=True):
+            for doc, start, n, crc, total, at in (p for pieces in self.open[level] for p in pieces):
+                if n > room:
+                    self.file.seek(at)
+                    ids = self.file.read(4 * n)
+                    own.append((doc, start, room, zlib.crc32(ids[: 4 * room]), total, 0))
+                    self._close(own)
+                    own, start, n, crc, room = [], start + room, n - room, zlib.crc32(ids[4 * room :]), self.window
+                own.append((doc, start, n, crc, total, 0))
+                room -= n
                 if not room:
                     self._close(own)
                     own, room = [], self.window
-        if own and last:
+        if own:
             self._close(own)
-        elif own:
-            self.open[self.window - room] = [own]
-            self.count[self.window - room] = 1
-            self.n_open = 1
+        self.open, self.count[:] = {}, 0
+        self.file.close()
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-    window: int = WINDOW, end_id: int = END, most_open: int = 4096,
+    window: int = WINDOW, end_id: int = END,
 ) -> DataFrame:
     """Pieces of all documents' ids (text, then ``end_id``) in windows of at most ``window`` ids.
 
@@ -201,7 +203,7 @@ def pack(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, last = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        packer = Packer(window, TaskContext.get().partitionId() << 40, most_open)
+        packer = Packer(window, TaskContext.get().partitionId() << 40)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def out() -> pd.DataFrame:
