@@ -1,17 +1,19 @@
 """PII: base patterns, then bootstrapped contextual extraction.
 
-Base entities are the seeds. Lexical patterns are the words right before or
-after identifier-like tokens (tokens with a digit or an at sign). Patterns and
-token instances form a bipartite graph with occurrence counts: an instance
-scores 1 if it is a seed, else one minus the product of its patterns' doubts; a
-pattern scores its scored occurrences over all occurrences of its word in the
-corpus. Each round picks its patterns anew from the whole graph, so instances
-that were discovered support patterns as seeds do. After ``rounds`` such rounds, patterns of at least ``least_conf`` with
-``least_support`` distinct instances extract the tokens not seen as seeds. A
-word that also stands before ordinary words scores low, so clean text is left
-alone.
-
-Only occurrences, word counts and graph edges move; texts stay in the scan.
+Base entities are the seeds. Lexical patterns are contexts of identifier-like
+tokens (tokens with a digit or an at sign): the word before or after, or the
+two words before. Patterns and token instances form a bipartite graph with
+occurrence counts: an instance scores 1 if it is a seed, else one minus the
+product of its patterns' doubts; a pattern scores its scored occurrences over
+all occurrences of its context in the corpus, before ordinary words too, so
+clean text is left alone. Each round picks its patterns anew from the whole
+graph, so instances that were discovered support patterns as seeds do. After
+``rounds`` such rounds, patterns of at least ``least_conf`` with
+``least_support`` distinct instances extract the tokens not seen as seeds.
+
+Only occurrences, context counts and graph edges move; texts stay in the scan.
+A context that holds a large share of the occurrences is dealt over ``SALTS``
+tasks wherever occurrences meet patterns.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import (
     SPAN,
-    WORD,
     count_kind,
     documents,
     let,
@@ -43,7 +44,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Identifier-like tokens: words with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-ROUNDS, LEAST_CONF, LEAST_SUPPORT = 2, 0.6, 3
+ROUNDS, LEAST_CONF, LEAST_SUPPORT, SALTS, MOST_BROADCAST = 2, 0.6, 3, 16, 200_000
+#: The kinds of contexts: the word before, the word after, the two words before.
+SIDES = ("l", "r", "ll")
 
 
 def _luhn(v: Column) -> Column:
@@ -66,9 +69,8 @@ def base_spans(t: Column) -> Column:
     """Spans of the base kinds, by start, then kind as listed."""
     none = F.array().cast(SPAN)
     digit = t.rlike("[0-9]")
-    ip_ok = lambda v: F.forall(F.split(v, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(
-        F.split(v, r"\."), lambda p: F.coalesce(F.right(p, F.lit(9)).cast("int") <= 255, F.lit(False))
-    )
+    # a part of any length: without leading zeros it has three digits at most, and so is an int
+    ip_ok = lambda v: F.forall(F.split(v, r"\."), lambda p: F.concat(F.lit("0"), F.regexp_replace(p, "^0+", "")).rlike("^0(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])?$"))
     card_ok = lambda v: F.when(_n_digits(v).between(12, 19), _luhn(v)).otherwise(F.lit(False))
     return F.sort_array(
         F.concat(
@@ -83,72 +85,95 @@ def base_spans(t: Column) -> Column:
 
 
 def _tokens(t: Column) -> Column:
-    """Identifier-like tokens with the words before and after: array<struct<s, e, v, l, r>>."""
+    """Identifier-like tokens with their contexts: array<struct<s, e, v, l, r, ll>>; '' is no context."""
     near = lambda text, pattern: lower_ascii(F.regexp_extract(text, pattern, 1))
+    word, gap = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]++"
+    first = r"(?<![^\x20\x09-\x0D])"
     return F.transform(
         F.when(t.rlike("[0-9@]"), matches(t, TOKEN)).otherwise(
             F.array().cast("array<struct<s:int,e:int,v:string,before:string,after:string>>")
         ),
         lambda m: F.struct(
             m["s"].alias("s"), m["e"].alias("e"), m["v"].alias("v"),
-            near(F.right(m["before"], F.lit(66)), r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]{1,60})[\x20\x09-\x0D]+$").alias("l"),
-            near(F.left(m["after"], F.lit(66)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,60})(?:$|[\x20\x09-\x0D])").alias("r"),
+            near(m["before"], f"{first}({word}){gap}$").alias("l"), near(m["after"], f"^{gap}({word})(?:$|{gap})").alias("r"),
+            # the gaps between tokens are cut at tokens, so two words before are both words without a digit
+            F.regexp_replace(near(m["before"], f"{first}({word}{gap}{word}){gap}$"), gap, " ").alias("ll"),
         ),
     )
 
 
+def _context_counts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(w, f): how often each wanted context of one or two words stands in the corpus.
+
+    Up to ``MOST_BROADCAST`` wanted contexts are broadcast and sift the words first; beyond that all are counted, then joined.
+    """
+    words = F.array_remove(F.split(lower_ascii(text_of(text_col)), r"[\x20\x09-\x0D]+", -1), "")
+    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+    each = docs.select(F.explode(let(words, lambda w: F.concat(w, F.when(F.size(w) > 1, pairs(w)).otherwise(F.array().cast("array<string>"))))).alias("w"))
+    if wanted.count() <= MOST_BROADCAST:
+        return each.join(F.broadcast(wanted), "w", "left_semi").groupBy("w").agg(F.count("*").alias("f"))
+    return each.groupBy("w").agg(F.count("*").alias("f")).join(wanted, "w", "left_semi")
+
+
 def find(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    rounds: int = ROUNDS, least_conf: float = LEAST_CONF, least_support: int = LEAST_SUPPORT,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, least_conf: float = LEAST_CONF,
+    least_support: int = LEAST_SUPPORT, whole: bool = False,
 ) -> DataFrame:
-    """A row per input row: (row, id, base, spans): base spans, and those with the method's (kind ``context``).
+    """A row per input row: (id, base, spans): base spans, and those with the method's (kind ``context``).
 
     Null text is empty; ids may repeat or be null; rows without personal data
-    have empty arrays; an empty table gives an empty one.
+    have empty arrays; an empty table gives an empty one. With ``whole`` the
+    row itself is in ``_all``.
     """
-    src = docs.select(row_key().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("_t"))
-    own = stage_table(src.select("row", "id", base_spans(F.col("_t")).alias("base"), _tokens(F.col("_t")).alias("toks")), "entities")
+    all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
+    src = docs.select(row_key().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("_t"), *[all_of] * whole)
+    # scanned once: what follows is keyed by the stored row number
+    own = stage_table(src.select("row", "id", *["_all"] * whole, base_spans(F.col("_t")).alias("base"), _tokens(F.col("_t")).alias("toks")), "entities")
     toks = own.select("row", "base", F.explode("toks").alias("m")).select(
         "row", "m.*", F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s"))).alias("seed")
     )
     sided = toks.select(
-        "row", "s", "e", "v", "seed",
-        F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("w")), F.struct(F.lit("r").alias("side"), F.col("r").alias("w")))).alias("p"),
+        "row", "s", "e", "v", "seed", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("w")) for k in SIDES])).alias("p"),
     ).select("row", "s", "e", "v", "seed", "p.side", "p.w").where("w <> ''")
-    # the whole graph: a word without seeds may become a pattern by what other patterns discover
+    # the whole graph: a context without seeds may become a pattern by what other patterns discover
     graph = stage_table(sided.groupBy("side", "w", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph")
-    words = docs.select(F.explode(F.regexp_extract_all(lower_ascii(text_of(text_col)), F.lit(WORD), F.lit(0))).alias("w"))
-    freq = stage_table(words.groupBy("w").agg(F.count("*").alias("f")).join(graph.select("w").distinct(), "w", "left_semi"), "words")
-    scored = graph.withColumn("score", F.col("seed").cast("double"))
+    # a pattern has ``least_support`` instances, so contexts of fewer are none
+    wanted = graph.groupBy("side", "w").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= least_support).select("w").distinct()
+    freq = stage_table(_context_counts(docs, stage_table(wanted, "wanted"), text_col), "contexts")
+    salted = lambda rows, by: rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt")
+    scored, conf = graph.withColumn("score", F.col("seed").cast("double")), None
     for _ in range(rounds):
-        conf = (
+        found = (
             scored.groupBy("side", "w")
             .agg(F.sum(F.col("n") * F.col("score")).alias("hit"), F.count_if(F.col("score") >= 0.5).alias("support"))
+            .where(F.col("support") >= least_support)
             .join(freq, "w")
-            .select("side", "w", F.least(F.lit(1.0), F.col("hit") / F.col("f")).alias("conf"), "support")
-            .where((F.col("conf") >= least_conf) & (F.col("support") >= least_support))
+            .select("side", "w", F.least(F.lit(1.0), F.col("hit") / F.col("f")).alias("conf"))
+            .where(F.col("conf") >= least_conf)
         )
-        conf = stage_table(conf, "patterns")
+        conf = stage_table(found, "patterns").select("*", spread)
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf"))))
-        by_token = graph.join(conf, ["side", "w"]).groupBy("v").agg((1 - F.exp(doubt)).alias("new"))
-        scored = graph.join(by_token, "v", "left").withColumn(
-            "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0)))
-        )
-    found = (
-        sided.where(~F.col("seed") & (F.length("v") >= 5) & (F.length(F.regexp_replace("v", "[^0-9]", "")) >= 3))
-        .join(conf, ["side", "w"], "left_semi")
+        by_token = salted(graph, "v").join(conf, ["side", "w", "_salt"]).groupBy("v").agg((1 - F.exp(doubt)).alias("new"))
+        scored = graph.join(by_token, "v", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0))))
+    span = F.struct(F.col("s").alias("s"), F.lit(len(KINDS)).alias("o"), F.lit("context").alias("k"), F.col("e").alias("e"))
+    more = (
+        salted(sided.where(~F.col("seed") & (F.length("v") >= 5) & (F.length(F.regexp_replace("v", "[^0-9]", "")) >= 3)), "row")
+        .join(conf, ["side", "w", "_salt"], "left_semi")
         .groupBy("row")
-        .agg(F.collect_set(F.struct(F.col("s").alias("s"), F.lit(len(KINDS)).alias("o"), F.lit("context").alias("k"), F.col("e").alias("e"))).cast(SPAN).alias("more"))
+        .agg(F.collect_set(span).cast(SPAN).alias("more"))
     )
-    more = F.coalesce("more", F.array().cast(SPAN))
-    return own.join(found, "row", "left").select("row", "id", "base", F.sort_array(F.concat("base", more)).alias("spans"))
+    joined = own.drop("toks").join(more, "row", "left")
+    all_spans = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
+    return joined.select("id", *["_all"] * whole, "base", all_spans.alias("spans"))
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with each span's text replaced by its kind in brackets; all else as it was."""
-    found = find(docs, id_col, text_col, **how).where(F.size("spans") > 0).select(F.col("row").alias("_row"), "spans")
-    whole = docs.select(row_key().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
-    t = F.col(f"_all.`{text_col}`")
+    """``docs`` with each span's text replaced by its kind in brackets; all else as it was.
+
+    Null texts stay null, repeated rows are masked alike, an empty table gives an empty one.
+    """
+    t = F.col("_all")[text_col].cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:  # an overlapping span adds its end only
@@ -161,10 +186,9 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
         )
 
     masked = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    text = F.when(F.col("spans").isNull(), t).otherwise(masked)
-    return whole.join(found, "_row", "left").select(
-        *[text.alias(c) if c == text_col else F.col(f"_all.`{c}`").alias(c) for c in docs.columns]
-    )
+    text = F.when(F.size("spans") == 0, t).otherwise(masked)
+    found = find(docs, id_col, text_col, whole=True, **how)
+    return found.select(*[text.alias(c) if c == text_col else F.col("_all")[c].alias(c) for c in docs.columns])
 
 
 def op7_contextual_pii(spark, sf_dir):
