@@ -1,15 +1,19 @@
 """Helpers shared by the training-data operators.
 
 Row identity: tables may hold repeated or null ids, so operators that take a
-row apart and put it together again key it by ``row_key`` (the position of the
-row in its scan), never by the caller's id column.
+row apart and put it together again never key it by the caller's id column.
+Within one scan the key is ``row_key``, the position of the row in that scan;
+where two scans meet, it is that of ``numbered``, which no split changes.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,36 +38,80 @@ def text_of(name: str) -> Column:
 
 
 def row_key() -> Column:
-    """A key for each row of a scan; stable as long as the scan is dealt out alike."""
+    """A key for each row within one scan. Two scans may be split unlike: rows of two scans meet by ``numbered``."""
     return F.monotonically_increasing_id()
 
 
+#: The columns of a row's key.
+KEY = ["_f", "_i"]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_f, _i, _all): a key of each row that holds in every scan, and the row itself.
+
+    For a plain scan of Parquet files the key is a hash of the file's path and
+    the place in the file, so it does not follow how the files are split. Any
+    other plan is stored first, with its key beside it.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            return docs.select(F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"), whole)
+        except AnalysisException:  # a format without row numbers
+            pass
+    return stage_table(docs.select(F.lit(0).cast("bigint").alias("_f"), row_key().alias("_i"), whole), "numbered")
+
+
+def join_hubs(rows: DataFrame, per_key: DataFrame, key: str, n: str, by: str, least: int = 256, salts: int = 64) -> DataFrame:
+    """``rows`` inner-joined with ``per_key`` (unique ``key``, ``n`` rows of it), keys of many rows dealt over ``salts`` tasks by a hash of ``by``.
+
+    Both are read more than once: pass stored tables.
+    """
+    hubs = stage_table(per_key.where(F.col(n) > least), "hubs")
+    if hubs.isEmpty():
+        return rows.join(per_key, key)
+    salted = hubs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    many = dealt.join(salted, [key, "_salt"]).drop("_salt")
+    few = dealt.join(salted.select(key, "_salt"), [key, "_salt"], "left_anti").drop("_salt").join(per_key.where(F.col(n) <= least), key)
+    return many.unionByName(few)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` may use it often and it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._conf.get("spark.checkpoint.dir")
+    """The folder that all executors share: the session's spark.checkpoint.dir. Without one, a local session makes one; a cluster refuses."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.gettempdir()}/lumenframe-checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        found = Path(tempfile.mkdtemp(prefix="lumenframe-")).as_uri()  # one machine: it is shared by definition
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch: texts are long, and a worker holds a batch several times over."""
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Bounds of an Arrow batch, by rows and by bytes: texts are long, and a worker holds a batch several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends here and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends here and survives lost executors.
+
+    The table goes with ``drop_table``, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumen_path = path
     return out

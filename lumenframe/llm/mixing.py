@@ -11,7 +11,8 @@ out included. Every row is in the result once.
 
 A fold in SQL goes over the slots once and keeps the state of each period's
 start only; the slots of the periods are then made from those side by side.
-The one task of the first fold reads no rows: its steps are the blocks. Rows are
+The one task of the first fold reads no rows: its steps are the blocks, at most
+``MOST_BLOCKS`` of them (blocks grow with a table beyond that). Rows are
 numbered within buckets of a bounded size, with offsets from bucket counts, so a
 hot source is never one task.
 """
@@ -21,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents, let, row_key, stage_table
+from lumenframe.llm.common import KEY, documents, let, numbered, stage_table
 
-RESOLUTION, BLOCK_ROWS, BUCKET_ROWS = 256, 4, 512
+RESOLUTION, BLOCK_ROWS, BUCKET_ROWS, MOST_BLOCKS = 256, 4, 512, 1 << 22
 
 
 #: Floats this near to a whole slot are that slot.
@@ -41,8 +42,8 @@ def target_weights(counts: DataFrame, weights: dict[str, float] | None, power: f
     if weights:
         given = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()])
         w = F.coalesce(given, F.lit(sum(weights.values()) / len(weights)))
-    every = Window.partitionBy(F.lit(1))  # a row per source
-    return counts.withColumn("w", w).select("source", "n", F.greatest(F.lit(1e-12), F.col("w") / F.sum("w").over(every)).alias("a"))
+    total = counts.agg(F.sum(w)).first()[0] or 1.0
+    return counts.select("source", "n", F.greatest(F.lit(1e-12), w / F.lit(float(total))).alias("a"))
 
 
 def slots(sources: DataFrame, block_rows: int, resolution: int) -> DataFrame:
@@ -106,26 +107,35 @@ def slots(sources: DataFrame, block_rows: int, resolution: int) -> DataFrame:
 
 def schedule(
     docs: DataFrame, source_col: str = "source", order_cols: tuple[str, ...] = ("doc_id",), weights: dict[str, float] | None = None,
-    power: float = 0.5, resolution: int = RESOLUTION, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, seed: int = 42,
+    power: float = 0.5, resolution: int = RESOLUTION, block_rows: int | None = None, bucket_rows: int = BUCKET_ROWS, seed: int = 42,
 ) -> DataFrame:
-    """A row per input row: (row, source, order columns, block, period, slot, in_block).
+    """A row per input row: (_f, _i, source, order columns, block, period, slot, in_block, a), the first two the key of ``numbered``.
 
     ``a`` is the source's exact weight, of sum 1; a period is ``resolution``
-    slots. The mixed order is (period, slot, in_block). Within a source, rows are in
+    slots; a block is ``block_rows`` rows (BLOCK_ROWS unless given, more in
+    tables of over BLOCK_ROWS * MOST_BLOCKS rows). The mixed order is (period, slot, in_block). Within a source, rows are in
     the order of a seeded hash of the order columns, then of the columns, then
-    the scan's. A null source is a source. An empty table gives an empty one.
+    the table's; repeated rows each have a place. A null source is a source. An empty table gives an empty one.
     """
-    base = docs.select(
-        row_key().alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)],
+    return _of_rows(numbered(docs), source_col, order_cols, weights, power, resolution, block_rows, bucket_rows, seed)
+
+
+def _of_rows(
+    rows: DataFrame, source_col: str = "source", order_cols: tuple[str, ...] = ("doc_id",), weights: dict[str, float] | None = None,
+    power: float = 0.5, resolution: int = RESOLUTION, block_rows: int | None = None, bucket_rows: int = BUCKET_ROWS, seed: int = 42,
+) -> DataFrame:
+    base = rows.select(
+        *KEY, F.coalesce(F.col("_all")[source_col].cast("string"), F.lit("")).alias("source"),
+        *[F.col("_all")[c].alias(f"o{i}") for i, c in enumerate(order_cols)],
     ).withColumn("h", F.xxhash64(F.lit(seed), *[f"o{i}" for i in range(len(order_cols))]))
     base = stage_table(base, "mix")
-    n = base.groupBy("source").agg(F.count("*").alias("n"))
+    n = stage_table(base.groupBy("source").agg(F.count("*").alias("n")), "sizes")
+    block_rows = block_rows or max(BLOCK_ROWS, -(-(n.agg(F.sum("n")).first()[0] or 0) // MOST_BLOCKS))
     sources = stage_table(target_weights(n, weights, power), "weights")
     table = stage_table(slots(sources, block_rows, resolution), "slots")
     # buckets in the order of the hash; their number follows the source's size
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(bucket_rows)))).cast("int")
-    placed = base.join(F.broadcast(sources), "source")
+    placed = base.join(sources, "source")
     # the top bits of the hash as an unsigned number
     top = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 32)
     placed = placed.withColumn("bucket", F.floor(top * F.pow(F.lit(2.0), bits) / F.lit(2.0**32)).cast("bigint"))
@@ -133,21 +143,29 @@ def schedule(
     before = counts.withColumn(
         "before", F.sum("c").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     ).select("source", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", *[f"o{i}" for i in range(len(order_cols))], "row")
+    inside = Window.partitionBy("source", "bucket").orderBy("h", *[f"o{i}" for i in range(len(order_cols))], *KEY)
     at = placed.withColumn("rn", F.row_number().over(inside)).join(before, ["source", "bucket"])
     at = at.withColumn("at", F.col("before") + F.col("rn") - 1)
     at = at.withColumn("block", F.floor(F.col("at") / block_rows).cast("bigint")).withColumn("in_block", (F.col("at") % block_rows).cast("int"))
     out = at.join(table, ["source", "block"])
     return out.select(
-        "row", "source", *[F.col(f"o{i}").alias(c) for i, c in enumerate(order_cols)], "block", "period", "slot", "in_block", "a"
+        *KEY, "source", *[F.col(f"o{i}").alias(c) for i, c in enumerate(order_cols)], "block", "period", "slot", "in_block", "a"
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` in the mixed order: dealt by ranges of (period, slot, in_block) and sorted within."""
-    own = schedule(docs, **how).select(F.col("row").alias("_row"), "period", "slot", "in_block")
-    whole = docs.select(row_key().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
-    return whole.join(own, "_row").orderBy("period", "slot", "in_block").select("_all.*")
+    """``docs`` in the mixed order. Every row stays, repeated ones too; an empty table gives an empty one.
+
+    Slots are dense, so a row's range of them is its partition: nothing is sampled to deal the rows out.
+    """
+    rows = numbered(docs)
+    own = stage_table(_of_rows(rows, **how).select(*KEY, "period", "slot", "in_block"), "order")
+    place = F.col("period") * how.get("resolution", RESOLUTION) + F.col("slot")
+    slots_used = (own.agg(F.max(place)).first()[0] or 0) + 1
+    tasks = min(slots_used, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.floor(place * tasks / slots_used).cast("int")
+    dealt = rows.join(own, KEY).withColumn("_at", at).repartitionById(tasks, "_at")
+    return dealt.sortWithinPartitions("period", "slot", "in_block").select("_all.*")
 
 
 def op10_pfair_mix(spark, sf_dir):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_table, row_key, small_batches, stage_table, text_of
+from lumenframe.llm.common import KEY, join_hubs, numbered, small_batches, stage_table
 from lumenframe.llm.components import connected_components
 
 #: Most index entries of one cell that one task compares against at once.
@@ -64,17 +64,22 @@ def _fold(groups: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """One row per input row: (row, id, fp). A text without words has fingerprint zero; null text is empty."""
+def keyed_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_f, _i, id, text) of numbered rows; a null text is empty."""
+    all_of = F.col("_all")
+    return rows.select(*KEY, all_of[id_col].cast("bigint").alias("id"), F.coalesce(all_of[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def fingerprints(texts: DataFrame, width: int = 4) -> DataFrame:
+    """One row per row of ``keyed_texts``: (_f, _i, id, fp). A text without words has fingerprint zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = _fold([np.array(_hashes(t, width), np.uint64) for t in b["text"]])
-            yield pd.DataFrame({"row": b["row"], "id": b["id"], "fp": fp})
+            yield b.drop(columns="text").assign(fp=fp)
 
-    small_batches(docs.sparkSession)
-    src = docs.select(row_key().alias("row"), F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    return src.mapInPandas(run, "row bigint, id bigint, fp bigint")
+    small_batches(texts.sparkSession)
+    return texts.mapInPandas(run, "_f bigint, _i bigint, id bigint, fp bigint")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -285,42 +290,44 @@ def near_links(fps: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, parts: int = 4
 ) -> DataFrame:
-    """One row per input row: (row, id, fp, component_id).
+    """One row per input row: (_f, _i, id, fp, component_id), the first two the key of ``numbered``.
 
     component_id: the smallest id reachable over links, the row's own included;
     null only if all ids there are null. Repeated rows and equal texts share a
     fingerprint and so a component. An empty table gives an empty table.
     """
-    own = stage_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    least = own.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = stage_table(least, "distinct")
+    return _of_rows(numbered(docs), id_col, text_col, distance, width, parts)
+
+
+def _of_rows(rows: DataFrame, id_col: str, text_col: str, distance: int = 4, width: int = 4, parts: int = 4) -> DataFrame:
+    own = stage_table(fingerprints(keyed_texts(rows, id_col, text_col), width), "fingerprints")
+    distinct = stage_table(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = connected_components(near_links(distinct.select("fp"), distance, parts))
     of = stage_table(
-        distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "least", F.coalesce("root", "fp").alias("root")
-        ),
+        distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")),
         "roots",
     )
-    whole = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(whole, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("row", "id", "fp", "component_id")
+    whole = stage_table(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "components")
+    named = join_hubs(of, whole, "root", "size", "fp").select("fp", "component_id", "n")
+    # a fingerprint of many copies is a hub too
+    out = join_hubs(own, stage_table(named, "named"), "fp", "n", "_i")
+    return out.select(*KEY, "id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, found: DataFrame, *group: Column) -> DataFrame:
-    """``docs`` with one row of each group of ``found`` (row, id, ..): the one of the smallest id (nulls last), the first such row."""
+def keep_first(rows: DataFrame, found: DataFrame, *group: Column) -> DataFrame:
+    """Of numbered ``rows``, one of each group of ``found`` (_f, _i, id, ..): the one of the smallest id (nulls last), the first such row."""
     keys = [g.alias(f"g{i}") for i, g in enumerate(group)]
-    first = found.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row")).alias("m"))
+    first = found.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", *KEY)).alias("m"))
     # the rows that go are the fewer: Spark may broadcast them by their size where those that stay would move all texts
-    gone = found.select("row").join(first.select(F.col("m.row").alias("row")), "row", "left_anti")
-    gone = stage_table(gone.withColumnRenamed("row", "_row"), "gone")
-    whole = docs.select(row_key().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
-    return whole.join(gone, "_row", "left_anti").select("_all.*")
+    gone = found.select(*KEY).join(first.select(*[F.col(f"m.{k}").alias(k) for k in KEY]), KEY, "left_anti")
+    return rows.join(stage_table(gone, "gone"), KEY, "left_anti").select("_all.*")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest id (nulls last), the first such row."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    return keep_first(docs, found, F.coalesce(F.col("component_id"), F.col("fp")), F.col("component_id").isNull())
+    rows = numbered(docs)
+    found = _of_rows(rows, id_col, text_col, **how)
+    return keep_first(rows, found, F.coalesce(F.col("component_id"), F.col("fp")), F.col("component_id").isNull())
 
 
 def op3_simhash_dedup(spark, sf_dir):

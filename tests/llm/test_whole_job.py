@@ -121,3 +121,197 @@ def test_bits_are_over_the_bytes_that_are_coded(spark):
     docs = table(spark, ["a b c d " * 20, "a b c d", "A   B \n\n c\t\t D  " + " " * 400, "  "])
     got = {r["id"]: r["bits_per_byte"] for r in mixing_lm.score(docs.where("doc_id = 0").union(docs.where("doc_id > 0"))).collect()}
     assert got[1] == pytest.approx(got[2]) and got[3] is None
+
+
+@pytest.mark.parametrize("kind", ["file", "plan"])
+def test_rows_keep_their_identity_however_scans_are_split(spark, tmp_path, kind):
+    """Splits change between the call and the action: dedup, mask and mix give the rows they gave before. Rows repeat."""
+    from lumenframe.llm import jaccard_dedup, mixing, near_dedup, pii
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 80)) + (f" mail a{i}@b{i}.org now" if i % 3 else ""), "en", "ab"[i % 2], 0) for i in range(900)]
+    docs = spark.createDataFrame(rows + rows[:200], SCHEMA)
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    docs = docs if kind == "file" else docs.repartition(5, "text")
+    for f in (jaccard_dedup.dedup, near_dedup.dedup, pii.mask, mixing.mix):
+        first = sorted(map(tuple, f(docs).collect()))
+        later = f(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            assert sorted(map(tuple, later.collect())) == first and len(first) in (900, 1100)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert not any("@" in r[1] for r in first) or f is not pii.mask
+
+
+def test_masking_by_hand(spark):
+    from lumenframe.llm import pii
+
+    docs = table(spark, ["call +1 437 555 0689 or a@b.cd", "nothing", None, "", "call +1 437 555 0689 or a@b.cd"])
+    got = [r["text"] for r in pii.mask(docs).orderBy("doc_id").collect()]
+    assert got == ["call [PHONE] or [EMAIL]", "nothing", None, "", "call [PHONE] or [EMAIL]"]
+    assert pii.mask(docs.where("false")).count() == 0
+
+
+def test_long_context_words_are_contexts(spark):
+    from lumenframe.llm import pii
+
+    label = "x" * 90 + ":"
+    texts = [f"{label} user{i}@mail{i}.org here" for i in range(6)] + [f"{label} zz-12345-{i}q here" for i in range(2)]
+    got = {r["id"]: [x["k"] for x in r["spans"]] for r in pii.find(table(spark, texts)).collect()}
+    assert got[6] == got[7] == ["context"]
+
+
+def test_two_word_contexts_discover_what_common_words_hide(spark):
+    """'number' alone stands before too much; 'badge number' stands before identifiers."""
+    from lumenframe.llm import pii
+
+    texts = [f"the badge number user{i}@mail{i}.org was seen" for i in range(8)] + ["the number of rows is a number of things " * 9] * 4
+    texts += [f"his badge number qz-77-{i}55 was new" for i in range(3)] + ["a number 123-45-678 of no note"]
+    got = {r["id"]: [x["k"] for x in r["spans"]] for r in pii.find(table(spark, texts)).collect()}
+    assert all(got[i] == ["context"] for i in (12, 13, 14)) and got[15] == [] and got[9] == []
+
+
+def test_cutoffs_bound_the_verdict(spark):
+    """Five rules each of which rejects 1.5 % of clean rows apart: no step at which their union does passes; a second stratum is clean."""
+    from lumenframe.llm import quality_rules
+
+    base = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_dup_lines": 0, "n_lines": 10, "n_upper": 0, "n_repeat_words": 0}
+    bad = [{"n_symbols": 7}, {"n_repeat_words": 12}, {"n_dup_lines": 3}, {"n_upper": 60}, {"word_chars": 750}]
+    rows = [base | (bad[i % 67] if i % 67 < 5 else {}) | {"stratum": "a"} for i in range(3000)] + [base | {"stratum": "b"} for _ in range(900)]
+    rows += [base | {"stratum": "c"} for _ in range(20)] + [base | {"n_words": 3, "stratum": "d"}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    got = {r["stratum"]: r["step"] for r in quality_rules.cutoffs(df).collect()}
+    assert got["b"] == 0 and got["c"] is None and "d" not in got
+    steps = [sum(any(r[t] * 100 > g[j] * r[d] for t, d, g in quality_rules.RULES.values()) for r in rows if r["stratum"] == "a") for j in range(quality_rules.STEPS)]
+    assert steps[0] / 3000 > 0.05 and got["a"] == next(j for j, n in enumerate(steps) if n / 3000 < 0.01)
+
+
+def test_many_strata_have_cutoffs(spark):
+    from lumenframe.llm import quality_rules
+
+    docs = spark.createDataFrame([(i, "w " * 60 + f"{i}", f"l{i % 5000}", "s", 0) for i in range(5000)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = quality_rules.judge(docs, spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id bigint, quality int"))
+    assert got.count() == 5000
+
+
+def test_packing_follows_the_sum_of_squares():
+    """Against a plain rewrite of the rule: each remainder goes where the sum of squared counts grows least, ties to the fuller window."""
+    from lumenframe.llm import packing
+
+    rng, w = np.random.default_rng(3), 32
+    sizes = [int(x) for x in rng.integers(1, 80, 600)]
+    p = packing.Packer(w, 0)
+    counts, want_open = collections.Counter(), []
+    for i, n in enumerate(sizes):
+        p.add(i, np.full(n, i, "<u4").tobytes())
+        r = n % w
+        if r:
+            def cost(level):
+                c = counts.copy()
+                if level:
+                    c[level] -= 1
+                if level + r < w:
+                    c[level + r] += 1
+                return sum(x * x for x in c.values())
+
+            level = min((lv for lv in range(w - r + 1) if lv == 0 or counts[lv] > 0), key=lambda lv: (cost(lv), -lv))
+            if level:
+                counts[level] -= 1
+            if level + r < w:
+                counts[level + r] += 1
+        want_open.append(dict(+counts))
+        assert {lv: int(c) for lv, c in enumerate(p.count) if c} == want_open[-1]
+    p.flush()
+    import zlib
+
+    pieces = collections.defaultdict(list)
+    for doc, start, n, crc, total, seq, at in p.rows:
+        assert total == sizes[doc] and crc == zlib.crc32(np.full(n, doc, "<u4").tobytes())
+        pieces[doc].append((start, n))
+    for doc, own in pieces.items():
+        ends = 0
+        for start, n in sorted(own):
+            assert start == ends
+            ends += n
+        assert ends == sizes[doc]
+    assert len({r[5] for r in p.rows}) == -(-sum(sizes) // w)
+
+
+def test_mix_is_earliest_deadline_first(spark):
+    """Against plain EDF: windows from the fluid schedule in exact fractions; sources run out, one is null."""
+    import math
+    from fractions import Fraction
+
+    from lumenframe.llm import mixing
+
+    weights, size = {"a": 0.5, "b": 0.25, "": 0.25}, {"a": 37, "b": 80, "": 9}
+    rows = [(i, "x", "en", s or None, 0) for i, s in enumerate(s for s, n in size.items() for _ in range(n))]
+    got = mixing.schedule(spark.createDataFrame(rows, SCHEMA), weights=weights, resolution=16, block_rows=2).toPandas()
+    order = got.sort_values(["period", "slot", "in_block"]).drop_duplicates(["period", "slot"])
+    w = {s: Fraction(v) for s, v in weights.items()}
+    b = {s: -(-n // 2) for s, n in size.items()}
+    fluid = lambda v: sum(min(Fraction(b[s]), w[s] * v) for s in w)
+    window = lambda s, k: (math.floor(fluid(k / w[s])), math.ceil(fluid((k + 1) / w[s])))
+    done, want = {s: 0 for s in w}, []
+    for t in range(sum(b.values())):
+        free = [s for s in sorted(w) if done[s] < b[s]]
+        ready = [s for s in free if window(s, done[s])[0] <= t] or free
+        s = min(ready, key=lambda s: (window(s, done[s])[1], s))
+        want.append((s, done[s]))
+        done[s] += 1
+    assert list(zip(order.source, order.block)) == want
+
+
+def test_ordinal_scores_by_hand(spark):
+    """Scores against the formula written out; repeated ids, ties, an empty table."""
+    from lumenframe.llm import quality_model as qm
+
+    docs = table(spark, ["good fine words", "bad", None, "good fine words"])
+    docs = docs.union(docs)
+    w = np.zeros(1 << qm.BITS)
+    rng = np.random.default_rng(2)
+    for t in ("good fine words", "bad", ""):
+        w[qm.features(t)] = rng.normal(size=len(qm.features(t)))
+    t = np.array([-0.5, 0.7])
+    got = qm.score(docs, (w, t)).collect()
+    assert len(got) == 8
+    for r in got:
+        s = float(w.astype(np.float32)[qm.features(["good fine words", "bad", None, "good fine words"][r["id"]])].sum(dtype=np.float64))
+        below = 1 / (1 + np.exp(-(t - s)))
+        p = [below[0], below[1] - below[0], 1 - below[1]]
+        assert r["expected_grade"] == pytest.approx(p[1] + 2 * p[2]) and r["p_best"] == pytest.approx(p[2]) and r["kept"] == (p[2] >= 0.5)
+    assert qm.score(docs.where("false"), (w, t)).count() == 0
+    none = spark.createDataFrame([], "id bigint, grade int")
+    w0, t0 = qm.train(docs, none, 3, "doc_id", "text", qm.BITS, 100)
+    assert not w0.any() and (np.diff(t0) > 0).all()
+
+
+def test_ordinal_fit_reaches_the_gradients_zero():
+    """The loss of the fit is no higher than near it, along random directions and both thresholds."""
+    from lumenframe.llm import quality_model as qm
+
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 12, 4)).astype(np.int32) for _ in range(400)]
+    grades = np.array([min(2, max(0, int(r.sum() // 9 + rng.integers(-1, 2)))) for r in rows])
+    w, t = qm.fit(rows, grades, 3, 4, l1=1e-3, rounds=1500)
+
+    def loss(w, t):
+        s = np.array([w[r].sum() for r in rows])
+        p = qm.grade_probabilities(s, t)[np.arange(len(rows)), grades]
+        return -np.log(p).mean() + 1e-3 * np.abs(w).sum()
+
+    best = loss(w, t)
+    for _ in range(40):
+        d = rng.normal(size=16) * (w != 0)
+        assert loss(w + 0.05 * d / np.linalg.norm(d), t + rng.normal(size=2) * 0.03) > best - 1e-4
+
+
+def test_components_with_hubs(spark):
+    from lumenframe.llm.components import connected_components
+
+    edges = [(0, i) for i in range(1, 700)] + [(1000 + i, 1001 + i) for i in range(40)] + [(699, 5000), (None, 3), (7, 7)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in [*range(700), 5000]} | {1000 + i: 1000 for i in range(41)}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
