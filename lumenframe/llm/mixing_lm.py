@@ -8,14 +8,20 @@ word, with the word before, and with the two words before. An escaped word
 costs its share of the tail, or, if unseen, a novelty share and its spelling,
 coded by the same machine with contexts of one to three bytes. The predictors'
 log-odds are mixed with weights picked by a gate (how often the contexts were
-seen), learned online, and an adaptive map refines the outcome. Every step is a
+seen), and an adaptive map refines the outcome. Each document starts from the
+taught weights and map and goes on learning as it is coded: after every block of
+its tokens (``edges``) both are updated from what was coded, so a block is coded
+by what stood before it, and rows do not depend on each other. Every step is a
 proper distribution, so ``score`` is a log10 probability of the text.
 
 Gathered from the corpus: counts of all words (exact; one shuffle), and counts
-of all context bits (tables of a fixed size, summed in two steps). Seven eighths
-of the learning documents give the context counts, one eighth, unseen by those,
-teaches weights and refinement. What is broadcast has a fixed size: the head and
-the tables. Counts of tail words are joined, never broadcast.
+of all context bits in tables whose size follows the number of learning tokens,
+up to 2**``most_bits`` slots, which bounds a worker's memory. A slot has a check
+byte, so contexts that meet in one do not mix: the more frequent stays, the other
+has no prediction there. Seven eighths of the learning documents give the context
+counts, one eighth, unseen by those, teaches the first weights and map. What is
+broadcast is bounded: the head and the tables. Counts of tail words are joined,
+never broadcast.
 """
 
 from __future__ import annotations
@@ -34,9 +40,14 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents, row_key, small_batches, stage_table, text_of
 
-HEAD, TABLE_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 18, 1 << 12, 1 << 15
+HEAD, LEAST_BITS, MOST_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 14, 22, 1 << 14, 1 << 15
+#: Learning tokens for each slot of a table, and learning tokens that one task counts (as a guide).
+TOKENS_A_SLOT, TOKENS_A_TASK = 8, 8_000_000
 END, ESC = 0, 1
 CONTEXTS, GATES, RATE = 3, 32, 0.03
+#: While coding: the rate, what a document's sums of squares start from, and the weight of the taught map.
+OWN_RATE, OWN_START, MAP_WEIGHT = 0.02, 20.0, 200.0
+CELLS = 32 * 33
 _M = np.uint32(0x9E3779B1)
 
 
@@ -81,7 +92,6 @@ class Head:
         self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
         share = weight[child[:, 1]] / np.maximum(weight[child].sum(axis=1), 1e-9)
         self.odds = np.log(share / (1 - share)).astype(np.float32)
-        self.rest = np.zeros(size)  # log10 of the leaf's share below its last bit: whole paths are coded
         self.ids = {w: i + 2 for i, w in enumerate(self.words)} | {b"\n": END}
 
     def tail(self) -> int:
@@ -134,26 +144,23 @@ class Tokens:
         two[one == END] = END
         # the last of the end and the 256 most frequent words
         common = (sym != ESC) & (sym < 258)
-        last = np.maximum.accumulate(np.where(common, np.arange(len(ctx)), 0))
-        last = np.concatenate((np.zeros(1, np.int64), last[:-1]))
-        near = ctx[last]
-        near[0] = END
+        last = np.maximum.accumulate(np.where(common, np.arange(len(ctx)), -1))
+        last = np.concatenate((np.full(1, -1), last[:-1]))
+        near = np.where(last >= 0, ctx[last], np.uint32(END))  # before the first of them: as after an end
         a = _mix32(one + np.uint32(1))
         self.hash = [_mix32(near + np.uint32(7919)) ^ np.uint32(0x1234567), a, _mix32(a ^ (two + np.uint32(104729)))]
 
 
-def token_bits(head: Head, tok: Tokens, at: int, to: int):
-    """Bits of tokens at..to: (order-0 log-odds, slots of each context, bits, lengths, depth)."""
-    sym = tok.sym[at:to]
+def token_bits(head: Head, tok: Tokens, which: np.ndarray):
+    """Bits of the tokens ``which``: (order-0 log-odds, hash of each context and node, bits, lengths, depth)."""
+    sym = tok.sym[which]
     n = head.length[sym]
     ends = np.cumsum(n)
     depth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
     pos = np.repeat(head.start[sym], n) + depth
     node = head.nodes[pos]
     key = node * np.uint32(0xC2B2AE3D)
-    shift = np.uint32(32 - TABLE_BITS)
-    slots = [(_mix32(np.repeat(h[at:to], n) ^ key) >> shift).astype(np.int64) for h in tok.hash]
-    return head.odds[node], slots, head.bits[pos], n, depth
+    return head.odds[node], [_mix32(np.repeat(h[which], n) ^ key) for h in tok.hash], head.bits[pos], n, depth
 
 
 def spelling_bits(words: list[bytes]):
@@ -163,76 +170,163 @@ def spelling_bits(words: list[bytes]):
     first = np.repeat(np.cumsum(n) - n, n)
     place = np.arange(len(raw)) - first
     before = [np.where(place >= k, np.concatenate((np.zeros(k, np.uint32), raw[:-k] if k < len(raw) else raw[:0]))[: len(raw)], 0) for k in (1, 2, 3)]
-    h, slots = np.full(len(raw), 0x5EED, np.uint32), []
+    h, hashes = np.full(len(raw), 0x5EED, np.uint32), []
     node = (raw[:, None] | np.uint32(256)) >> np.arange(8, 0, -1, dtype=np.uint32)[None, :]
     bits = ((raw[:, None] >> np.arange(7, -1, -1, dtype=np.uint32)[None, :]) & 1).astype(np.uint8).ravel()
     key = (node * np.uint32(0xC2B2AE3D)).ravel()
     for b in before:
         h = _mix32(h ^ (b.astype(np.uint32) + np.uint32(1)))
-        slots.append((_mix32(np.repeat(h, 8) ^ key) >> np.uint32(32 - TABLE_BITS)).astype(np.int64))
-    return np.zeros(len(bits), np.float32), slots, bits, n * 8, np.tile(np.arange(8), len(raw))
+        hashes.append(_mix32(np.repeat(h, 8) ^ key))
+    return np.zeros(len(bits), np.float32), hashes, bits, n * 8, np.tile(np.arange(8), len(raw))
+
+
+class Counts:
+    """Bit counts by slot of one context's table; a slot belongs to one check byte.
+
+    Contexts that come to a slot of another take it over while that has been seen less than twice.
+    """
+
+    def __init__(self, bits: int):
+        self.shift = np.uint32(32 - bits)
+        self.check, self.n = np.zeros(1 << bits, np.uint8), np.zeros((1 << bits, 2), np.uint32)
+
+    def add(self, hashes: np.ndarray, bits: np.ndarray) -> None:
+        slot, check = (hashes >> self.shift).astype(np.int64), hashes.astype(np.uint8)
+        miss = np.nonzero(self.check[slot] != check)[0]
+        miss = miss[self.n[slot[miss]].sum(axis=1) < 2]
+        self.n[slot[miss]] = 0
+        self.check[slot[miss]] = check[miss]
+        own = self.check[slot] == check
+        np.add.at(self.n.reshape(-1), slot[own] * 2 + bits[own], np.uint32(1))
+
+
+def joined(checks: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of several tasks in one, in the order given: equal checks add up, of others the larger count stays."""
+    check, n = checks[0].copy(), counts[0].astype(np.int64)
+    for c, m in zip(checks[1:], counts[1:], strict=True):
+        same = c == check
+        n[same] += m[same]
+        more = ~same & (m.sum(axis=1) > n.sum(axis=1))
+        check[more], n[more] = c[more], m[more]
+    return check, np.minimum(n, (1 << 31) - 1).astype(np.uint32)
+
+
+def packed_odds(check: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each slot in 32 bits: log-odds in 4096ths, how often it was seen (0..3), the check byte."""
+    m = n.astype(np.float64)
+    total = m.sum(axis=1)
+    odds = np.round(np.clip(np.log((m[:, 1] + 0.4) / (m[:, 0] + 0.4)), -7.9, 7.9) * 4096).astype(np.int32)
+    seen = (total >= 2).astype(np.int32) + (total >= 16) + (total >= 256)
+    return ((odds << 16) | (seen << 8) | check).astype(np.int32)
+
+
+def edges(first: int, units: int) -> list[int]:
+    """Where a document's blocks end: ``first`` units, as many again, twice as many, up to 16 times, then always so many."""
+    out, size = [0, first], first
+    while out[-1] < units:
+        out.append(out[-1] + size)
+        size = min(2 * size, 16 * first)
+    return out
 
 
 class Mixer:
-    """Gated weights over the predictors, and the refinement map."""
+    """Gated weights over the predictors, and the refinement map: as taught, then learning on in each document."""
 
-    def __init__(self, odds: list[np.ndarray], seen: list[np.ndarray]):
-        self.odds, self.seen = odds, seen
-        self.w = np.tile(np.array([0.4, 0.3, 0.3, 0.2, 0.0], np.float32), (GATES, 1))
+    def __init__(self, tables: list[np.ndarray]):
+        self.tables = tables
+        self.shift = np.uint32(32 - int(len(tables[0])).bit_length() + 1)
+        self.w = np.tile(np.array([0.4, 0.3, 0.3, 0.2, 0.0]), (GATES, 1))
         self.g2 = np.full((GATES, CONTEXTS + 2), 1.0)
-        self.map_n, self.map_1 = np.zeros(32 * 33), np.zeros(32 * 33)
-        self.half = None
+        self.map_n, self.map_1 = np.zeros(CELLS), np.zeros(CELLS)
 
     def inputs(self, bits, spelled: bool):
-        first, slots, _, _, depth = bits
-        x = np.empty((CONTEXTS + 2, len(first)), np.float32)
-        x[0], x[-1] = first, 0.3
+        """(predictors by bit, gate, row of the map)."""
+        first, hashes, _, _, depth = bits
+        x, seen = np.empty((len(first), CONTEXTS + 2), np.float32), []
+        x[:, 0], x[:, -1] = first, 0.3
         for k in range(CONTEXTS):
-            np.take(self.odds[k], slots[k], out=x[k + 1], mode="clip")
-        gate = (self.seen[2][slots[2]] * 4 + self.seen[1][slots[1]] + 16 * spelled).astype(np.int64)
-        return x, gate, np.minimum(depth, 15) + 16 * spelled
-
-    def mixed(self, x, gate):
-        z = x[0] * self.w[gate, 0]
-        for k in range(1, CONTEXTS + 2):
-            z += x[k] * self.w[gate, k]
-        return np.clip(z, -12, 12)
+            got = self.tables[k][(hashes[k] >> self.shift).astype(np.int64)]
+            got *= (got & 255) == (hashes[k] & np.uint32(255)).astype(np.int32)  # another context's slot says nothing
+            x[:, k + 1] = (got >> 16) * np.float32(1 / 4096)
+            seen.append((got >> 8) & 3)
+        return x, seen[2] * 4 + seen[1] + 16 * spelled, np.minimum(depth, 15) + 16 * spelled
 
     @staticmethod
-    def cell(z, ctx):
-        return ctx * 33 + (np.clip(z, -8, 8) * 2 + 16.5).astype(np.int64)
+    def cell(z, row):
+        return row * 33 + (np.clip(z, -8, 8) * 2 + 16.5).astype(np.int64)
 
     def learn(self, bits, spelled: bool) -> None:
-        x, gate, ctx = self.inputs(bits, spelled)
+        """Teach the first weights and map, in small steps over many documents."""
+        x, gate, row = self.inputs(bits, spelled)
         y = bits[2]
         for at in range(0, len(y), 16384):
             part = slice(at, at + 16384)
-            z = self.mixed(x[:, part], gate[part])
+            z = np.clip(np.einsum("bk,bk->b", x[part], self.w[gate[part]]), -12, 12)
             err = y[part] - 1 / (1 + np.exp(-z))
-            cell = self.cell(z, ctx[part])
-            self.map_n += np.bincount(cell, minlength=32 * 33)
-            self.map_1 += np.bincount(cell, weights=y[part], minlength=32 * 33)
+            cell = self.cell(z, row[part])
+            self.map_n += np.bincount(cell, minlength=CELLS)
+            self.map_1 += np.bincount(cell, weights=y[part], minlength=CELLS)
             for k in range(CONTEXTS + 2):
-                g = np.bincount(gate[part], weights=err * x[k, part], minlength=GATES)
+                g = np.bincount(gate[part], weights=err * x[part, k], minlength=GATES)
                 self.g2[:, k] += g * g
-                self.w[:, k] += (RATE * g / np.sqrt(self.g2[:, k])).astype(np.float32)
+                self.w[:, k] += RATE * g / np.sqrt(self.g2[:, k])
 
     def finish(self) -> None:
         centre = np.tile(1 / (1 + np.exp(-(np.arange(33) - 16) / 2)), 32)
-        one = (self.map_1 + 8 * centre) / (self.map_n + 8)
-        self.half = (np.stack((1 - one, one), axis=1).ravel() / 2).astype(np.float32)  # by cell and bit
-
-    def log10_of_bits(self, bits, spelled: bool) -> np.ndarray:
-        """log10 probability of each token's or word's bits."""
-        x, gate, ctx = self.inputs(bits, spelled)
-        z = self.mixed(x, gate)
-        y, n = bits[2], bits[3]
-        if not len(n):
-            return np.zeros(0)
-        cell = self.cell(z, ctx)
-        np.negative(z, out=z, where=y == 1)
-        p = 0.5 / (1 + np.exp(z)) + self.half[2 * cell + y]
-        return np.add.reduceat(np.log10(np.maximum(p, np.float32(1e-7))), np.cumsum(n) - n, dtype=np.float64)
+        self.taught = (self.map_1 + 8 * centre) / (self.map_n + 8)
+
+    def code(self, doc: np.ndarray, bits_of, spelled: bool, first: int = 32) -> np.ndarray:
+        """log10 probability of each unit (token or word), learning on within its document.
+
+        ``doc`` has each unit's document, in rising order; ``bits_of`` gives the bits of units by their numbers.
+        """
+        out = np.zeros(len(doc))
+        if not len(doc):
+            return out
+        starts = np.concatenate(([0], np.nonzero(np.diff(doc))[0] + 1))
+        length = np.diff(np.concatenate((starts, [len(doc)])))
+        order = np.argsort(-length, kind="stable")  # the longest first: those still going are at the front
+        starts, length = starts[order], length[order]
+        w = np.tile(self.w, (len(starts), 1))  # a row per document and gate
+        g2 = np.full(w.shape, OWN_START)
+        map_n, map_1 = np.full(len(starts) * CELLS, MAP_WEIGHT), np.tile(self.taught * MAP_WEIGHT, len(starts))
+        steps = edges(first, int(length[0]))
+        for at, to in zip(steps[:-1], steps[1:], strict=True):
+            going = int(np.searchsorted(-length, -at, "left"))
+            if not going:
+                break
+            n = np.minimum(length[:going], to) - at
+            own = np.repeat(np.arange(going), n)
+            unit = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[:going] + at, n)
+            for a in range(0, len(unit), TOKENS_AT_ONCE):
+                # a part of the block: documents whole, so that no document is updated within its block
+                lo = a if a == 0 else int(np.searchsorted(own, own[a], "left"))
+                hi = len(unit) if a + TOKENS_AT_ONCE >= len(unit) else int(np.searchsorted(own, own[a + TOKENS_AT_ONCE], "left"))
+                if hi <= lo:
+                    continue
+                which, docs = unit[lo:hi], own[lo:hi]
+                bits = bits_of(which)
+                x, gate, row = self.inputs(bits, spelled)
+                y, sizes = bits[2], bits[3]
+                of = np.repeat(docs, sizes)
+                spot = of * GATES + gate
+                z = np.clip(np.einsum("bk,bk->b", x, w[spot]), -12, 12)
+                cell = of * CELLS + self.cell(z, row)
+                mixed = 1 / (1 + np.exp(-z))
+                p = 0.5 * mixed + 0.5 * map_1[cell] / map_n[cell]
+                said = np.log10(np.maximum(np.where(y == 1, p, 1 - p), 1e-9))
+                out[which] = np.add.reduceat(said, np.cumsum(sizes) - sizes)
+                # learn from what was coded
+                np.add.at(map_n, cell, 1.0)
+                np.add.at(map_1, cell, y.astype(np.float64))
+                low, span = int(docs[0]) * GATES, (int(docs[-1]) - int(docs[0]) + 1) * GATES
+                err = y - mixed
+                for k in range(CONTEXTS + 2):
+                    g = np.bincount(spot - low, weights=err * x[:, k], minlength=span)
+                    here = slice(low, low + span)
+                    g2[here, k] += g * g
+                    w[here, k] += OWN_RATE * g / np.sqrt(g2[here, k])
+        return out
 
 
 def _groups(batches: Iterator[pd.DataFrame], size: int = 1 << 18) -> Iterator[pd.DataFrame]:
@@ -243,9 +337,9 @@ def _groups(batches: Iterator[pd.DataFrame], size: int = 1 << 18) -> Iterator[pd
             yield part
 
 
-def _slices(tok: Tokens) -> Iterator[tuple[int, int]]:
+def _slices(tok: Tokens) -> Iterator[np.ndarray]:
     for at in range(0, len(tok.sym), TOKENS_AT_ONCE):
-        yield at, min(at + TOKENS_AT_ONCE, len(tok.sym))
+        yield np.arange(at, min(at + TOKENS_AT_ONCE, len(tok.sym)))
 
 
 def _tail_parts(tok: Tokens) -> Iterator[list[bytes]]:
@@ -297,67 +391,58 @@ def read_head(counts: DataFrame, most: int) -> Head:
     return Head([w.encode() for w in top["word"]], np.array([end, tail + 1, *top["c"]], np.int64), n, v, novelty)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Sum count tables by chunk: (chunk, part, blob of uint32), in two steps so that no group grows with the tasks."""
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(2 * CHUNK_SLOTS, np.uint64)
-        for x in g["blob"]:
-            total += np.frombuffer(x, np.uint32)
-        while total.max() >= 1 << 31:
-            total >>= np.uint64(1)
-        return pd.DataFrame({"chunk": g["chunk"].iloc[:1], "part": [0], "blob": [total.astype(np.uint32).tobytes()]})
+def table_bits(tokens: int, most: int = MOST_BITS) -> int:
+    """The tables' size: a slot for every TOKENS_A_SLOT learning tokens, within LEAST_BITS and ``most``."""
+    return min(most, max(LEAST_BITS, (max(tokens, 1) // TOKENS_A_SLOT).bit_length()))
 
-    schema = "chunk int, part int, blob binary"
-    return rows.groupBy("chunk", "part").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
 
-
-def bit_counts(learn: DataFrame, head) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Log-odds and seen levels (0..3) of each context table."""
-    size = 1 << TABLE_BITS
+def bit_counts(learn: DataFrame, head, bits: int, tasks: int) -> list[np.ndarray]:
+    """The tables of all contexts, packed. Chunks of slots are joined in two steps, so that no group grows with the tasks."""
+    size = 1 << bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = head.value
-        total = np.zeros((CONTEXTS, 2 * size), np.uint32)
+        h, tables, any_row = head.value, [Counts(bits) for _ in range(CONTEXTS)], False
 
-        def take(bits) -> None:
+        def take(got) -> None:
             for k in range(CONTEXTS):
-                total[k] += np.bincount(bits[1][k] * 2 + bits[2], minlength=2 * size).astype(np.uint32)
+                tables[k].add(got[1][k], got[2])
 
-        any_row = False
         for b in _groups(batches):
             any_row = True
             tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
-            for at in range(0, len(tok.sym), 1 << 18):
-                take(token_bits(h, tok, at, min(at + (1 << 18), len(tok.sym))))
+            for which in _slices(tok):
+                take(token_bits(h, tok, which))
             for ws in _tail_parts(tok):
                 take(spelling_bits(ws))
         if any_row:
-            part = TaskContext.get().partitionId() % 32
-            for k in range(CONTEXTS):
-                blocks = total[k].reshape(-1, 2 * CHUNK_SLOTS)
-                yield pd.DataFrame(
-                    {"chunk": np.arange(len(blocks)) + k * len(blocks), "part": part, "blob": [x.tobytes() for x in blocks]}
-                )
-
-    rows = learn.select("syms", "tail").mapInPandas(run, "chunk int, part int, blob binary")
-
-    def shrink(batches):
+            task = TaskContext.get().partitionId()
+            for k, t in enumerate(tables):
+                for at in range(0, size, CHUNK_SLOTS):
+                    part = slice(at, at + CHUNK_SLOTS)
+                    if t.n[part].any():
+                        yield pd.DataFrame({
+                            "context": [k], "chunk": [at // CHUNK_SLOTS], "part": [task % 32], "task": [task],
+                            "checks": [t.check[part].tobytes()], "counts": [t.n[part].tobytes()],
+                        })
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("task")
+        check, n = joined([np.frombuffer(x, np.uint8) for x in g["checks"]], [np.frombuffer(x, np.uint32).reshape(-1, 2) for x in g["counts"]])
+        return g.iloc[:1].assign(checks=[check.tobytes()], counts=[n.tobytes()])
+
+    def pack(batches):
         for b in batches:
-            odds, seen = [], []
-            for x in b["blob"]:
-                c = np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.float64)
-                n = c.sum(axis=1)
-                odds.append(np.clip(np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4)), -8, 8).astype(np.float16).tobytes())
-                seen.append(((n >= 2).astype(np.uint8) + (n >= 16) + (n >= 256)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"chunk": b["chunk"], "odds": odds, "seen": seen})
-
-    got = _summed(rows).mapInPandas(shrink, "chunk int, odds binary, seen binary").toPandas()  # 3 * 2**18 slots of 3 bytes
-    odds, seen = np.zeros(CONTEXTS * size, np.float32), np.zeros(CONTEXTS * size, np.uint8)
-    for c, o, s in zip(got["chunk"], got["odds"], got["seen"], strict=True):
-        odds[c * CHUNK_SLOTS : (c + 1) * CHUNK_SLOTS] = np.frombuffer(o, np.float16)
-        seen[c * CHUNK_SLOTS : (c + 1) * CHUNK_SLOTS] = np.frombuffer(s, np.uint8)
-    return list(odds.reshape(CONTEXTS, size)), list(seen.reshape(CONTEXTS, size))
+            blobs = [packed_odds(np.frombuffer(c, np.uint8), np.frombuffer(n, np.uint32).reshape(-1, 2)).tobytes() for c, n in zip(b["checks"], b["counts"], strict=True)]
+            yield pd.DataFrame({"context": b["context"], "chunk": b["chunk"], "blob": blobs})
+
+    schema = "context int, chunk int, part int, task int, checks binary, counts binary"
+    rows = learn.select("syms", "tail").coalesce(tasks).mapInPandas(run, schema)
+    once = rows.groupBy("context", "chunk", "part").applyInPandas(join, schema)
+    got = once.groupBy("context", "chunk").applyInPandas(join, schema).mapInPandas(pack, "context int, chunk int, blob binary").toPandas()  # 12 bytes a slot
+    tables = [np.zeros(size, np.int32) for _ in range(CONTEXTS)]
+    for k, c, x in zip(got["context"], got["chunk"], got["blob"], strict=True):
+        tables[k][c * CHUNK_SLOTS : (c + 1) * CHUNK_SLOTS] = np.frombuffer(x, np.int32)
+    return tables
 
 
 def learn_mixer(teach: DataFrame, head, tables) -> Mixer:
@@ -365,11 +450,11 @@ def learn_mixer(teach: DataFrame, head, tables) -> Mixer:
     shapes = (GATES, CONTEXTS + 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, m, n = head.value, Mixer(*tables.value), 0
+        h, m, n = head.value, Mixer(tables.value), 0
         for b in _groups(batches):
             tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
-            for at, to in _slices(tok):
-                bits = token_bits(h, tok, at, to)
+            for which in _slices(tok):
+                bits = token_bits(h, tok, which)
                 m.learn(bits, False)
                 n += len(bits[2])
             for ws in _tail_parts(tok):
@@ -383,29 +468,31 @@ def learn_mixer(teach: DataFrame, head, tables) -> Mixer:
         return pd.DataFrame({"part": g["part"].iloc[:1], "blob": [np.sum([np.frombuffer(x) for x in g["blob"]], axis=0).tobytes()]})
 
     got = teach.select("syms", "tail").mapInPandas(run, "part int, blob binary").groupBy("part").applyInPandas(add, "part int, blob binary").toPandas()
-    m = Mixer(*tables.value)
+    m = Mixer(tables.value)
     if len(got):
         got = got.sort_values("part")
         total, k = np.sum([np.frombuffer(x) for x in got["blob"]], axis=0), GATES * (CONTEXTS + 2)
-        m.w = (total[:k] / total[k : 2 * k]).reshape(shapes).astype(np.float32)
-        m.map_n, m.map_1 = total[2 * k : 2 * k + 32 * 33], total[2 * k + 32 * 33 :]
+        m.w = (total[:k] / total[k : 2 * k]).reshape(shapes)
+        m.map_n, m.map_1 = total[2 * k : 2 * k + CELLS], total[2 * k + CELLS :]
     m.finish()
+    m.tables = None  # workers have them already
     return m
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
-    """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD, most_bits: int = MOST_BITS) -> DataFrame:
+    """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, outcome_score, bits_per_byte.
 
     Null text is empty (its end is a token); a null id is the text ''. Repeated
     rows are learned from as often as they stand. Without learning documents
     every count is zero. An empty table gives an empty one. bits_per_byte is
     null for a text without words.
 
-    ``score`` is over the outcomes that the base has: seen words, the end, and
-    one outcome for all unseen words, with add-one shares in the tail; so the
-    two can be compared. ``bits_per_byte`` codes all words, lower-cased: unseen
-    ones take the novelty share and are spelled out. Letter case and the kinds
-    and runs of white space are not coded, and so not among the bytes.
+    ``score`` is the log10 probability of the whole text, of its lower-cased words
+    with one blank between two: unseen words take the novelty share and are spelled out, in the order
+    of their bytes. ``bits_per_byte`` is the same in bits over the bytes of those words and blanks: letter
+    case and the kinds and runs of white space are not coded, and so not among the bytes.
+    ``outcome_score`` is over the outcomes that the base has: seen words, the
+    end, and one outcome for all unseen words, with add-one shares in the tail.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -434,22 +521,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     coded = src.select("row", "id", "held_out", "fold", "text").mapInPandas(tokens, given + ", syms binary, tail string")
     coded = stage_table(coded, "symbols")  # a tenth of the texts' size, read three times
     learn = coded.where("not held_out")
-    tables = spark.sparkContext.broadcast(bit_counts(learn.where("fold <> 0"), head))
+    tasks = max(8, -(-top.n // TOKENS_A_TASK))
+    tables = spark.sparkContext.broadcast(bit_counts(learn.where("fold <> 0"), head, table_bits(top.n, most_bits), tasks))
     model = spark.sparkContext.broadcast(learn_mixer(learn.where("fold = 0"), head, tables))
 
+    def ready() -> Mixer:
+        model.value.tables = tables.value
+        return model.value
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, m = head.value, model.value
+        h, m = head.value, ready()
         log_c = np.log10(h.counts.astype(np.float64) + 1)
         for b in _groups(batches):
             tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
-            each = [m.log10_of_bits(token_bits(h, tok, at, to), False) for at, to in _slices(tok)]
             starts = np.concatenate(([0], tok.ends[:-1]))
+            doc = np.repeat(np.arange(len(b)), np.diff(np.concatenate(([0], tok.ends))))
+            said = m.code(doc, lambda which, tok=tok: token_bits(h, tok, which), False)
             base = np.where(tok.sym == ESC, 0.0, log_c[tok.sym])
             known = (tok.sym != ESC) & (h.counts[tok.sym] > 0)
             yield b.drop(columns="syms").assign(
                 n_known=np.add.reduceat(known.astype(np.int64), starts),
                 base=np.add.reduceat(base, starts),
-                score=np.add.reduceat(np.concatenate(each) + h.rest[tok.sym], starts),
+                score=np.add.reduceat(said, starts),
             )
 
     cols = f"row bigint, id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint"
@@ -477,17 +570,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     )
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
+        m = ready()
         novelty = float(np.log10(head.value.novelty))
         for b in batches:
-            cost = np.zeros(len(b))
             words = [x.encode().split(b" ") if x else [] for x in b["novel"]]
-            own = np.repeat(np.arange(len(b)), [len(w) for w in words])
-            flat_words = [w for ws in words for w in ws]
-            for at in range(0, len(flat_words), 8192):
-                part = m.log10_of_bits(spelling_bits(flat_words[at : at + 8192]), True) + novelty
-                cost += np.bincount(own[at : at + 8192], weights=part, minlength=len(b))
-            yield b.drop(columns="novel").assign(novel=cost)
+            n = np.array([len(w) for w in words], np.int64)
+            flat_words, own = [w for ws in words for w in ws], np.repeat(np.arange(len(b)), n)
+            said = m.code(own, lambda which, ws=flat_words: spelling_bits([ws[i] for i in which.tolist()]), True, 8)
+            yield b.drop(columns="novel").assign(novel=np.bincount(own, weights=said + novelty, minlength=len(b)) if len(own) else np.zeros(len(b)))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in summed.schema if f.name != "novel") + ", novel double"
     out = summed.mapInPandas(spell, schema)
@@ -495,7 +585,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     coded_score = F.col("score") + F.col("tail_coded") + F.col("novel")
     return out.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(top.n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.col("tail_base") - F.col("n_tokens") * total).alias("base_score"), (F.col("score") + F.col("tail_score")).alias("score"),
+        (F.col("base") + F.col("tail_base") - F.col("n_tokens") * total).alias("base_score"), coded_score.alias("score"), (F.col("score") + F.col("tail_score")).alias("outcome_score"),
         F.when(F.col("n_bytes") > 0, -coded_score / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 

@@ -362,20 +362,120 @@ def test_language_model(spark, odd):
     )
     got = mixing_lm.score(odd, head_words=20).collect()
     assert sorted((repr(r["id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
+    assert all(r["train_tokens"] == n and r["score"] < 0 and r["outcome_score"] < 0 for r in got)
     assert mixing_lm.score(empty(spark)).count() == 0
 
 
+def a_mixer(seed=1, bits=12):
+    rng = np.random.default_rng(seed)
+    n = rng.integers(0, 400, (3, 1 << bits, 2)).astype(np.uint32)
+    check = rng.integers(0, 4, (3, 1 << bits)).astype(np.uint8)
+    m = mixing_lm.Mixer([mixing_lm.packed_odds(c, x) for c, x in zip(check, n)])
+    m.w += rng.normal(scale=0.2, size=m.w.shape)
+    m.map_n += 50
+    m.map_1 += rng.uniform(5, 45, m.map_1.shape)
+    m.finish()
+    return m
+
+
 def test_code_is_a_distribution():
     head = mixing_lm.Head([b"a", b"b", b"c"], np.array([5, 3, 9, 4, 2]), 20, 6, 0.2)
-    tables = [np.random.default_rng(1).standard_normal(1 << mixing_lm.TABLE_BITS).astype(np.float32) for _ in range(3)]
-    m = mixing_lm.Mixer(tables, [np.zeros(1 << mixing_lm.TABLE_BITS, np.uint8)] * 3)
-    m.finish()
-    total = 0.0
+    m, total = a_mixer(), 0.0
     for s in range(5):
-        tok = mixing_lm.Tokens([np.array([s], np.uint32).tobytes()], ["zz" if s == 1 else ""])
-        total += 10 ** (m.log10_of_bits(mixing_lm.token_bits(head, tok, 0, 1), False)[0] + head.rest[s])
-    assert total == pytest.approx(1, abs=1e-4)
+        tok = mixing_lm.Tokens([np.array([2, s], np.uint32).tobytes()], ["zz" if s == 1 else ""])
+        total += 10 ** m.code(np.zeros(2, np.int64), lambda which, tok=tok: mixing_lm.token_bits(head, tok, which), False, 1)[1]
+    assert total == pytest.approx(1, abs=1e-9)
+
+
+def plain_code(m, units, spelled, first):
+    """The coder bit by bit in plain Python: ``units`` of one document, each a list of (order-0 odds, hashes, bit, depth)."""
+    import math
+
+    w, g2 = m.w.copy(), np.full(m.w.shape, mixing_lm.OWN_START)
+    map_n = [mixing_lm.MAP_WEIGHT] * mixing_lm.CELLS
+    map_1 = [t * mixing_lm.MAP_WEIGHT for t in m.taught]
+    out, at, size = [], 0, first
+    block_ends, end = set(), first
+    while end < len(units) + first * 16:
+        block_ends.add(end)
+        end, size = end + size, min(2 * size, 16 * first)
+    pending, bits = [], 12
+    for u, unit in enumerate(units):
+        if u in block_ends:
+            grads = collections.defaultdict(float)
+            for x, gate, cell, y, p in pending:
+                map_n[cell] += 1
+                map_1[cell] += y
+                for k in range(5):
+                    grads[gate, k] += (y - p) * x[k]
+            for (gate, k), g in grads.items():
+                g2[gate, k] += g * g
+                w[gate, k] += mixing_lm.OWN_RATE * g / math.sqrt(g2[gate, k])
+            pending = []
+        total = 0.0
+        for odds0, hashes, y, depth in unit:
+            x, seen = [odds0], []
+            for k in range(3):
+                slot = int(m.tables[k][hashes[k] >> (32 - bits)])
+                fits = slot & 255 == hashes[k] & 255
+                x.append((slot >> 16) / 4096 if fits else 0.0)
+                seen.append((slot >> 8) & 3 if fits else 0)
+            x.append(float(np.float32(0.3)))
+            gate = seen[2] * 4 + seen[1] + 16 * spelled
+            z = min(12.0, max(-12.0, sum(a * b for a, b in zip(x, w[gate]))))
+            cell = (min(depth, 15) + 16 * spelled) * 33 + int(min(8.0, max(-8.0, z)) * 2 + 16.5)
+            p = 1 / (1 + math.exp(-z))
+            q = 0.5 * p + 0.5 * map_1[cell] / map_n[cell]
+            total += math.log10(max(q if y else 1 - q, 1e-9))
+            pending.append((x, gate, cell, y, p))
+        out.append(total)
+    return out
+
+
+def split_bits(bits):
+    odds, hashes, y, n, depth = bits
+    ends = np.cumsum(n)
+    return [[(float(odds[i]), [int(h[i]) for h in hashes], int(y[i]), int(depth[i])) for i in range(e - k, e)] for e, k in zip(ends, n)]
+
+
+def test_coder_bit_by_bit():
+    """50 texts together, as the operator codes them, against each alone in plain Python; words spelled alike."""
+    rng, m = np.random.default_rng(6), a_mixer()
+    head = mixing_lm.Head([b"w%d" % i for i in range(40)], rng.integers(1, 90, 42), 2000, 60, 0.2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) for n in [0, 1, 700, *rng.integers(1, 120, 47)]]
+    syms, tails, n = mixing_lm.encode(head, texts)
+    tok = mixing_lm.Tokens(syms, tails)
+    got = m.code(np.repeat(np.arange(50), n), lambda which: mixing_lm.token_bits(head, tok, which), False)
+    at = 0
+    for s, t, k in zip(syms, tails, n):
+        own = mixing_lm.Tokens([s], [t])
+        want = plain_code(m, split_bits(mixing_lm.token_bits(head, own, np.arange(k))), 0, 32)
+        assert got[at : at + k] == pytest.approx(want, abs=1e-6) and got[at : at + k].sum() == pytest.approx(sum(want), abs=1e-6)
+        at += k
+    words = [b"x%d" % i for i in range(60)]
+    got = m.code(np.repeat([0, 1], [20, 40]), lambda which: mixing_lm.spelling_bits([words[i] for i in which]), True, 8)
+    for part in (slice(0, 20), slice(20, 60)):
+        assert got[part] == pytest.approx(plain_code(m, split_bits(mixing_lm.spelling_bits(words[part])), 1, 8), abs=1e-6)
+
+
+def test_context_counts_by_dictionary():
+    """Slots keep apart what meets in them: counts of the contexts that own a slot are exact; several tasks add up."""
+    rng = np.random.default_rng(9)
+    t = mixing_lm.Counts(14)
+    hashes = rng.integers(0, 2**32, 300, dtype=np.uint32)
+    seen = collections.Counter()
+    for _ in range(5):
+        which = rng.integers(0, 300, 4000)
+        y = rng.integers(0, 2, 4000).astype(np.uint8)
+        t.add(hashes[which], y)
+        seen.update(zip(hashes[which].tolist(), y.tolist()))
+    slots = collections.Counter(int(h) >> 18 for h in hashes)
+    for h in hashes.tolist():
+        if slots[h >> 18] == 1:
+            assert t.n[h >> 18].tolist() == [seen[h, 0], seen[h, 1]] and t.check[h >> 18] == h & 255
+    check, n = mixing_lm.joined([t.check, t.check, t.check + np.uint8(1)], [t.n, t.n, t.n * 3])
+    assert (n == t.n * 3).all() and (check == t.check + np.uint8(t.n.sum(axis=1, keepdims=True)[:, 0] > 1e9)).all() or (n >= 2 * t.n).all()
+    assert [mixing_lm.table_bits(x) for x in (0, 10**6, 10**7, 10**12)] == [14, 17, 21, 22]
 
 
 def test_pipeline(spark, small):
