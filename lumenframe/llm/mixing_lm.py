@@ -46,7 +46,7 @@ TOKENS_A_SLOT, TOKENS_A_TASK = 8, 8_000_000
 END, ESC = 0, 1
 CONTEXTS, GATES, RATE = 3, 32, 0.03
 #: While coding: the rate, what a document's sums of squares start from, and the weight of the taught map.
-OWN_RATE, OWN_START, MAP_WEIGHT = 0.02, 20.0, 200.0
+OWN_RATE, OWN_START, MAP_WEIGHT = 0.05, 20.0, 60.0
 CELLS = 32 * 33
 _M = np.uint32(0x9E3779B1)
 
