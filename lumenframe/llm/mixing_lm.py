@@ -183,21 +183,32 @@ def spelling_bits(words: list[bytes]):
 class Counts:
     """Bit counts by slot of one context's table; a slot belongs to one check byte.
 
-    Contexts that come to a slot of another take it over while that has been seen less than twice.
+    A slot is one number: the check byte above, then 28 bits each for ones and zeros. Contexts that
+    come to a slot of another take it over while that has been seen less than twice.
     """
 
     def __init__(self, bits: int):
         self.shift = np.uint32(32 - bits)
-        self.check, self.n = np.zeros(1 << bits, np.uint8), np.zeros((1 << bits, 2), np.uint32)
+        self.state = np.zeros(1 << bits, np.int64)
 
     def add(self, hashes: np.ndarray, bits: np.ndarray) -> None:
-        slot, check = (hashes >> self.shift).astype(np.int64), hashes.astype(np.uint8)
-        miss = np.nonzero(self.check[slot] != check)[0]
-        miss = miss[self.n[slot[miss]].sum(axis=1) < 2]
-        self.n[slot[miss]] = 0
-        self.check[slot[miss]] = check[miss]
-        own = self.check[slot] == check
-        np.add.at(self.n.reshape(-1), slot[own] * 2 + bits[own], np.uint32(1))
+        slot, check = (hashes >> self.shift).astype(np.int64), (hashes & np.uint32(255)).astype(np.int64)
+        got = self.state[slot]
+        own = ((got >> 56) & 255) == check
+        other = np.nonzero(~own)[0]
+        less = got[other] & ((1 << 56) - 1)
+        other = other[(less <= 1) | (less == 1 << 28)]
+        self.state[slot[other]] = check[other] << 56
+        own[other] = ((self.state[slot[other]] >> 56) & 255) == check[other]  # of several, the last has it
+        if own.all():
+            np.add.at(self.state, slot, 1 << (28 * bits.astype(np.int64)))
+        else:
+            np.add.at(self.state, slot[own], 1 << (28 * bits[own].astype(np.int64)))
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(check, counts of zeros and ones)."""
+        low = (1 << 28) - 1
+        return ((self.state >> 56) & 255).astype(np.uint8), np.stack((self.state & low, (self.state >> 28) & low), axis=1).astype(np.uint32)
 
 
 def joined(checks: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -418,24 +429,28 @@ def bit_counts(learn: DataFrame, head, bits: int, tasks: int) -> list[np.ndarray
             task = TaskContext.get().partitionId()
             for k, t in enumerate(tables):
                 for at in range(0, size, CHUNK_SLOTS):
-                    part = slice(at, at + CHUNK_SLOTS)
-                    if t.n[part].any():
-                        yield pd.DataFrame({
-                            "context": [k], "chunk": [at // CHUNK_SLOTS], "part": [task % 32], "task": [task],
-                            "checks": [t.check[part].tobytes()], "counts": [t.n[part].tobytes()],
-                        })
+                    part = t.state[at : at + CHUNK_SLOTS]
+                    if part.any():
+                        blob = zlib.compress(part.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)  # by byte: most are zero
+                        yield pd.DataFrame({"context": [k], "chunk": [at // CHUNK_SLOTS], "part": [task % 32], "task": [task], "blob": [blob]})
+
+    def read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        c = Counts(CHUNK_SLOTS.bit_length() - 1)
+        c.state = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+        return c.parts()
 
     def join(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("task")
-        check, n = joined([np.frombuffer(x, np.uint8) for x in g["checks"]], [np.frombuffer(x, np.uint32).reshape(-1, 2) for x in g["counts"]])
-        return g.iloc[:1].assign(checks=[check.tobytes()], counts=[n.tobytes()])
+        own = [read(x) for x in g.sort_values("task")["blob"]]
+        check, n = joined([c for c, _ in own], [m for _, m in own])
+        n = np.minimum(n, (1 << 28) - 1).astype(np.int64)
+        state = check.astype(np.int64) << 56 | n[:, 1] << 28 | n[:, 0]
+        return g.iloc[:1].assign(blob=[zlib.compress(state.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)])
 
     def pack(batches):
         for b in batches:
-            blobs = [packed_odds(np.frombuffer(c, np.uint8), np.frombuffer(n, np.uint32).reshape(-1, 2)).tobytes() for c, n in zip(b["checks"], b["counts"], strict=True)]
-            yield pd.DataFrame({"context": b["context"], "chunk": b["chunk"], "blob": blobs})
+            yield pd.DataFrame({"context": b["context"], "chunk": b["chunk"], "blob": [packed_odds(*read(x)).tobytes() for x in b["blob"]]})
 
-    schema = "context int, chunk int, part int, task int, checks binary, counts binary"
+    schema = "context int, chunk int, part int, task int, blob binary"
     rows = learn.select("syms", "tail").coalesce(tasks).mapInPandas(run, schema)
     once = rows.groupBy("context", "chunk", "part").applyInPandas(join, schema)
     got = once.groupBy("context", "chunk").applyInPandas(join, schema).mapInPandas(pack, "context int, chunk int, blob binary").toPandas()  # 12 bytes a slot

@@ -469,12 +469,13 @@ def test_context_counts_by_dictionary():
         y = rng.integers(0, 2, 4000).astype(np.uint8)
         t.add(hashes[which], y)
         seen.update(zip(hashes[which].tolist(), y.tolist()))
-    slots = collections.Counter(int(h) >> 18 for h in hashes)
+    slots, (checks, counts) = collections.Counter(int(h) >> 18 for h in hashes), t.parts()
     for h in hashes.tolist():
         if slots[h >> 18] == 1:
-            assert t.n[h >> 18].tolist() == [seen[h, 0], seen[h, 1]] and t.check[h >> 18] == h & 255
-    check, n = mixing_lm.joined([t.check, t.check, t.check + np.uint8(1)], [t.n, t.n, t.n * 3])
-    assert (n == t.n * 3).all() and (check == t.check + np.uint8(t.n.sum(axis=1, keepdims=True)[:, 0] > 1e9)).all() or (n >= 2 * t.n).all()
+            assert counts[h >> 18].tolist() == [seen[h, 0], seen[h, 1]] and checks[h >> 18] == h & 255
+    check, n = mixing_lm.joined([checks, checks, checks + np.uint8(1)], [counts, counts, counts * 3])
+    used = counts.sum(axis=1) > 0
+    assert (n == counts * 3).all() and (check[used] == checks[used] + np.uint8(1)).all()
     assert [mixing_lm.table_bits(x) for x in (0, 10**6, 10**7, 10**12)] == [14, 17, 21, 22]
 
 
