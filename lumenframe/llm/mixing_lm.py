@@ -19,7 +19,8 @@ of all context bits in tables whose size follows the number of learning tokens,
 up to 2**``most_bits`` slots, which bounds a worker's memory. A slot has a check
 byte, so contexts that meet in one do not mix: the more frequent stays, the other
 has no prediction there. Seven eighths of the learning documents give the context
-counts, one eighth, unseen by those, teaches the first weights and map. What is
+counts, one eighth, unseen by those, teaches the first weights and map; spelling
+is learned in the same shares from all distinct words outside the head, in tables of its own. What is
 broadcast is bounded: the head and the tables. Counts of tail words are joined,
 never broadcast.
 """
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents, row_key, small_batches, stage_table, text_of
 
-HEAD, LEAST_BITS, MOST_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 14, 22, 1 << 14, 1 << 15
+HEAD, LEAST_BITS, MOST_BITS, SPELLING_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 14, 22, 20, 1 << 14, 1 << 15
 #: Learning tokens for each slot of a table, and learning tokens that one task counts (as a guide).
 TOKENS_A_SLOT, TOKENS_A_TASK = 8, 8_000_000
 END, ESC = 0, 1
@@ -244,8 +245,7 @@ class Mixer:
     """Gated weights over the predictors, and the refinement map: as taught, then learning on in each document."""
 
     def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
-        self.shift = np.uint32(32 - int(len(tables[0])).bit_length() + 1)
+        self.tables = tables  # of words, then of spelling
         self.w = np.tile(np.array([0.4, 0.3, 0.3, 0.2, 0.0]), (GATES, 1))
         self.g2 = np.full((GATES, CONTEXTS + 2), 1.0)
         self.map_n, self.map_1 = np.zeros(CELLS), np.zeros(CELLS)
@@ -256,7 +256,8 @@ class Mixer:
         x, seen = np.empty((len(first), CONTEXTS + 2), np.float32), []
         x[:, 0], x[:, -1] = first, 0.3
         for k in range(CONTEXTS):
-            got = self.tables[k][(hashes[k] >> self.shift).astype(np.int64)]
+            table = self.tables[k + CONTEXTS * spelled]
+            got = table[(hashes[k] >> np.uint32(33 - len(table).bit_length())).astype(np.int64)]
             got *= (got & 255) == (hashes[k] & np.uint32(255)).astype(np.int32)  # another context's slot says nothing
             x[:, k + 1] = (got >> 16) * np.float32(1 / 4096)
             seen.append((got >> 8) & 3)
@@ -353,9 +354,12 @@ def _slices(tok: Tokens) -> Iterator[np.ndarray]:
         yield np.arange(at, min(at + TOKENS_AT_ONCE, len(tok.sym)))
 
 
-def _tail_parts(tok: Tokens) -> Iterator[list[bytes]]:
-    for at in range(0, len(tok.tail), 8192):
-        yield tok.tail[at : at + 8192]
+def _tail_words(batches: Iterator[pd.DataFrame], head: Head, teach: bool) -> Iterator[list[bytes]]:
+    """Words outside the head, in parts: the eighth that teaches, or the others."""
+    for b in batches:
+        words = [w for w in (x.encode() for x in b["word"]) if w not in head.ids and (zlib.crc32(w) % 8 == 0) == teach]
+        for at in range(0, len(words), 8192):
+            yield words[at : at + 8192]
 
 
 def word_counts(learn: DataFrame) -> DataFrame:
@@ -407,32 +411,35 @@ def table_bits(tokens: int, most: int = MOST_BITS) -> int:
     return min(most, max(LEAST_BITS, (max(tokens, 1) // TOKENS_A_SLOT).bit_length()))
 
 
-def bit_counts(learn: DataFrame, head, bits: int, tasks: int) -> list[np.ndarray]:
-    """The tables of all contexts, packed. Chunks of slots are joined in two steps, so that no group grows with the tasks."""
-    size = 1 << bits
+def bit_counts(learn: DataFrame, words: DataFrame, head, bits: tuple[int, int], tasks: int) -> list[np.ndarray]:
+    """The tables of all contexts, packed: of words from (syms, tail), of spelling from the distinct (word)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, tables, any_row = head.value, [Counts(bits) for _ in range(CONTEXTS)], False
-
-        def take(got) -> None:
-            for k in range(CONTEXTS):
-                tables[k].add(got[1][k], got[2])
+    def blobs(tables: list[Counts], first: int) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        for k, t in enumerate(tables):
+            for at in range(0, len(t.state), CHUNK_SLOTS):
+                part = t.state[at : at + CHUNK_SLOTS]
+                if part.any():
+                    blob = zlib.compress(part.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)  # by byte: most are zero
+                    yield pd.DataFrame({"context": [first + k], "chunk": [at // CHUNK_SLOTS], "part": [task // 32], "task": [task], "blob": [blob]})
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, tables = head.value, [Counts(bits[0]) for _ in range(CONTEXTS)]
         for b in _groups(batches):
-            any_row = True
             tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
             for which in _slices(tok):
-                take(token_bits(h, tok, which))
-            for ws in _tail_parts(tok):
-                take(spelling_bits(ws))
-        if any_row:
-            task = TaskContext.get().partitionId()
-            for k, t in enumerate(tables):
-                for at in range(0, size, CHUNK_SLOTS):
-                    part = t.state[at : at + CHUNK_SLOTS]
-                    if part.any():
-                        blob = zlib.compress(part.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)  # by byte: most are zero
-                        yield pd.DataFrame({"context": [k], "chunk": [at // CHUNK_SLOTS], "part": [task % 32], "task": [task], "blob": [blob]})
+                got = token_bits(h, tok, which)
+                for k in range(CONTEXTS):
+                    tables[k].add(got[1][k], got[2])
+        yield from blobs(tables, 0)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [Counts(bits[1]) for _ in range(CONTEXTS)]
+        for ws in _tail_words(batches, head.value, False):
+            got = spelling_bits(ws)
+            for k in range(CONTEXTS):
+                tables[k].add(got[1][k], got[2])
+        yield from blobs(tables, CONTEXTS)
 
     def read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         c = Counts(CHUNK_SLOTS.bit_length() - 1)
@@ -446,35 +453,41 @@ def bit_counts(learn: DataFrame, head, bits: int, tasks: int) -> list[np.ndarray
         state = check.astype(np.int64) << 56 | n[:, 1] << 28 | n[:, 0]
         return g.iloc[:1].assign(blob=[zlib.compress(state.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)])
 
-    def pack(batches):
-        for b in batches:
-            yield pd.DataFrame({"context": b["context"], "chunk": b["chunk"], "blob": [packed_odds(*read(x)).tobytes() for x in b["blob"]]})
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"context": g["context"].iloc[:1], "chunk": g["chunk"].iloc[:1], "blob": [packed_odds(*read(join(g)["blob"].iloc[0])).tobytes()]})
 
     schema = "context int, chunk int, part int, task int, blob binary"
-    rows = learn.select("syms", "tail").coalesce(tasks).mapInPandas(run, schema)
-    once = rows.groupBy("context", "chunk", "part").applyInPandas(join, schema)
-    got = once.groupBy("context", "chunk").applyInPandas(join, schema).mapInPandas(pack, "context int, chunk int, blob binary").toPandas()  # 12 bytes a slot
-    tables = [np.zeros(size, np.int32) for _ in range(CONTEXTS)]
+    rows = learn.select("syms", "tail").coalesce(tasks).mapInPandas(count, schema)
+    rows = rows.union(words.select("word").coalesce(max(1, tasks // 8)).mapInPandas(spell, schema))
+    if tasks > 64:  # in two steps, so that no group grows with the tasks
+        rows = rows.groupBy("context", "chunk", "part").applyInPandas(join, schema)
+    got = rows.groupBy("context", "chunk").applyInPandas(pack, "context int, chunk int, blob binary").toPandas()  # 4 bytes a slot
+    tables = [np.zeros(1 << b, np.int32) for b in bits for _ in range(CONTEXTS)]
     for k, c, x in zip(got["context"], got["chunk"], got["blob"], strict=True):
         tables[k][c * CHUNK_SLOTS : (c + 1) * CHUNK_SLOTS] = np.frombuffer(x, np.int32)
     return tables
 
 
-def learn_mixer(teach: DataFrame, head, tables) -> Mixer:
-    """Each task learns online over its documents; weights are averaged by bits, refinement counts added."""
+def learn_mixer(teach: DataFrame, words: DataFrame, head, tables) -> Mixer:
+    """Each task learns online over its documents, or words; weights are averaged by bits, refinement counts added."""
     shapes = (GATES, CONTEXTS + 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, m, n = head.value, Mixer(tables.value), 0
+        h, m = head.value, Mixer(tables.value)
         for b in _groups(batches):
             tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
             for which in _slices(tok):
-                bits = token_bits(h, tok, which)
-                m.learn(bits, False)
-                n += len(bits[2])
-            for ws in _tail_parts(tok):
-                m.learn(spelling_bits(ws), True)
-        if n:
+                m.learn(token_bits(h, tok, which), False)
+        yield from blob_of(m)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Mixer(tables.value)
+        for ws in _tail_words(batches, head.value, True):
+            m.learn(spelling_bits(ws), True)
+        yield from blob_of(m)
+
+    def blob_of(m: Mixer) -> Iterator[pd.DataFrame]:
+        if m.map_n.any():
             used = np.sqrt(np.maximum(m.g2 - 1, 0)) + 1e-9  # a task weighs a gate by how much it met it
             blob = np.concatenate(((m.w * used).ravel(), used.ravel(), m.map_n, m.map_1)).astype(np.float64)
             yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 32], "blob": [blob.tobytes()]})
@@ -482,7 +495,8 @@ def learn_mixer(teach: DataFrame, head, tables) -> Mixer:
     def add(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": g["part"].iloc[:1], "blob": [np.sum([np.frombuffer(x) for x in g["blob"]], axis=0).tobytes()]})
 
-    got = teach.select("syms", "tail").mapInPandas(run, "part int, blob binary").groupBy("part").applyInPandas(add, "part int, blob binary").toPandas()
+    rows = teach.select("syms", "tail").mapInPandas(run, "part int, blob binary").union(words.select("word").mapInPandas(spell, "part int, blob binary"))
+    got = rows.groupBy("part").applyInPandas(add, "part int, blob binary").toPandas()
     m = Mixer(tables.value)
     if len(got):
         got = got.sort_values("part")
@@ -537,8 +551,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     coded = stage_table(coded, "symbols")  # a tenth of the texts' size, read three times
     learn = coded.where("not held_out")
     tasks = max(8, -(-top.n // TOKENS_A_TASK))
-    tables = spark.sparkContext.broadcast(bit_counts(learn.where("fold <> 0"), head, table_bits(top.n, most_bits), tasks))
-    model = spark.sparkContext.broadcast(learn_mixer(learn.where("fold = 0"), head, tables))
+    sizes = table_bits(top.n, most_bits), table_bits(64 * top.v, min(most_bits, SPELLING_BITS))
+    tables = spark.sparkContext.broadcast(bit_counts(learn.where("fold <> 0"), counts, head, sizes, tasks))
+    model = spark.sparkContext.broadcast(learn_mixer(learn.where("fold = 0"), counts, head, tables))
 
     def ready() -> Mixer:
         model.value.tables = tables.value

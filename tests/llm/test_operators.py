@@ -368,8 +368,8 @@ def test_language_model(spark, odd):
 
 def a_mixer(seed=1, bits=12):
     rng = np.random.default_rng(seed)
-    n = rng.integers(0, 400, (3, 1 << bits, 2)).astype(np.uint32)
-    check = rng.integers(0, 4, (3, 1 << bits)).astype(np.uint8)
+    n = rng.integers(0, 400, (6, 1 << bits, 2)).astype(np.uint32)
+    check = rng.integers(0, 4, (6, 1 << bits)).astype(np.uint8)
     m = mixing_lm.Mixer([mixing_lm.packed_odds(c, x) for c, x in zip(check, n)])
     m.w += rng.normal(scale=0.2, size=m.w.shape)
     m.map_n += 50
@@ -416,7 +416,7 @@ def plain_code(m, units, spelled, first):
         for odds0, hashes, y, depth in unit:
             x, seen = [odds0], []
             for k in range(3):
-                slot = int(m.tables[k][hashes[k] >> (32 - bits)])
+                slot = int(m.tables[k + 3 * spelled][hashes[k] >> (32 - bits)])
                 fits = slot & 255 == hashes[k] & 255
                 x.append((slot >> 16) / 4096 if fits else 0.0)
                 seen.append((slot >> 8) & 3 if fits else 0)

@@ -107,11 +107,15 @@ def test_whole_paths_are_coded():
 
 
 def test_spelling_is_learned_from_all_tail_words():
+    import pandas as pd
+
     from lumenframe.llm import mixing_lm
 
-    words = [b"t%d" % i for i in range(64)]
-    tok = mixing_lm.Tokens([np.full(64, mixing_lm.ESC, np.uint32).tobytes()], [b" ".join(words).decode()])
-    assert [w for part in mixing_lm._tail_parts(tok) for w in part] == words
+    words = [b"t%d" % i for i in range(20000)]
+    head = mixing_lm.Head([b"t5"], np.array([1, 1, 1]), 3, 3, 0.2)
+    batches = lambda: iter([pd.DataFrame({"word": [w.decode() for w in words]})])
+    parts = [[w for part in mixing_lm._tail_words(batches(), head, teach) for w in part] for teach in (True, False)]
+    assert sorted(parts[0] + parts[1]) == sorted(w for w in words if w != b"t5") and 2000 < len(parts[0]) < 3000
 
 
 def test_bits_are_over_the_bytes_that_are_coded(spark):
