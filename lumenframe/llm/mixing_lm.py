@@ -164,6 +164,17 @@ def token_bits(head: Head, tok: Tokens, which: np.ndarray):
     return head.odds[node], [_mix32(np.repeat(h[which], n) ^ key) for h in tok.hash], head.bits[pos], n, depth
 
 
+def pair_bits(head: Head, hashes: np.ndarray, sym: np.ndarray, size: int = 1 << 16):
+    """Path bits under one context, for each distinct pair of context and symbol once: (hashes, bits, times)."""
+    pairs, times = np.unique(hashes.astype(np.uint64) << np.uint64(32) | sym.astype(np.uint64), return_counts=True)
+    h, sym = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    for at in range(0, len(sym), size):
+        part = slice(at, at + size)
+        n = head.length[sym[part]]
+        pos = np.repeat(head.start[sym[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield _mix32(np.repeat(h[part], n) ^ head.nodes[pos] * np.uint32(0xC2B2AE3D)), head.bits[pos], np.repeat(times[part], n)
+
+
 def spelling_bits(words: list[bytes]):
     """The same for the bytes of words and their end, with contexts of one to three bytes."""
     raw = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.uint32)
@@ -192,7 +203,7 @@ class Counts:
         self.shift = np.uint32(32 - bits)
         self.state = np.zeros(1 << bits, np.int64)
 
-    def add(self, hashes: np.ndarray, bits: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, bits: np.ndarray, times: np.ndarray | int = 1) -> None:
         slot, check = (hashes >> self.shift).astype(np.int64), (hashes & np.uint32(255)).astype(np.int64)
         got = self.state[slot]
         own = ((got >> 56) & 255) == check
@@ -201,15 +212,33 @@ class Counts:
         other = other[(less <= 1) | (less == 1 << 28)]
         self.state[slot[other]] = check[other] << 56
         own[other] = ((self.state[slot[other]] >> 56) & 255) == check[other]  # of several, the last has it
+        more = np.where(bits == 1, 1 << 28, 1) * times
         if own.all():
-            np.add.at(self.state, slot, 1 << (28 * bits.astype(np.int64)))
+            np.add.at(self.state, slot, more)
         else:
-            np.add.at(self.state, slot[own], 1 << (28 * bits[own].astype(np.int64)))
+            np.add.at(self.state, slot[own], more[own])
+
+
+def unpacked(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(check, counts of zeros and ones) of slots."""
+    low = (1 << 28) - 1
+    return ((state >> 56) & 255).astype(np.uint8), np.stack((state & low, (state >> 28) & low), axis=1).astype(np.uint32)
+
+
+def packed_counts(check: np.ndarray, n: np.ndarray) -> bytes:
+    """Slots to send: a count over 16 bits is scaled down with its other."""
+    most = n.max(axis=1)
+    big = np.nonzero(most > 65535)[0]
+    if len(big):
+        n = n.copy()
+        n[big] = (n[big].astype(np.float64) * (65535 / most[big])[:, None]).astype(n.dtype)
+    return zlib.compress(check.tobytes() + np.ascontiguousarray(n.T).astype("<u2").tobytes(), 1)
 
-    def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """(check, counts of zeros and ones)."""
-        low = (1 << 28) - 1
-        return ((self.state >> 56) & 255).astype(np.uint8), np.stack((self.state & low, (self.state >> 28) & low), axis=1).astype(np.uint32)
+
+def read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(blob)
+    size = len(raw) // 5
+    return np.frombuffer(raw[:size], np.uint8), np.frombuffer(raw[size:], "<u2").reshape(2, size).T
 
 
 def joined(checks: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,16 +282,24 @@ class Mixer:
     def inputs(self, bits, spelled: bool):
         """(predictors by bit, gate, row of the map)."""
         first, hashes, _, _, depth = bits
-        x, seen = np.empty((len(first), CONTEXTS + 2), np.float32), []
-        x[:, 0], x[:, -1] = first, 0.3
+        x, seen = np.empty((CONTEXTS + 2, len(first))), []
+        x[0], x[-1] = first, 0.3
         for k in range(CONTEXTS):
             table = self.tables[k + CONTEXTS * spelled]
-            got = table[(hashes[k] >> np.uint32(33 - len(table).bit_length())).astype(np.int64)]
-            got *= (got & 255) == (hashes[k] & np.uint32(255)).astype(np.int32)  # another context's slot says nothing
-            x[:, k + 1] = (got >> 16) * np.float32(1 / 4096)
+            got = np.take(table, hashes[k] >> np.uint32(33 - len(table).bit_length()))
+            got *= ((got ^ hashes[k].view(np.int32)) & 255) == 0  # another context's slot says nothing
+            np.multiply(got >> 16, 1 / 4096, out=x[k + 1])
             seen.append((got >> 8) & 3)
         return x, seen[2] * 4 + seen[1] + 16 * spelled, np.minimum(depth, 15) + 16 * spelled
 
+    @staticmethod
+    def mixed(x, w, spot):
+        """Log-odds of each bit: its predictors under the weights (predictor, spot) of its spot."""
+        z = x[0] * np.take(w[0], spot)
+        for k in range(1, CONTEXTS + 2):
+            z += x[k] * np.take(w[k], spot)
+        return np.clip(z, -12, 12, out=z)
+
     @staticmethod
     def cell(z, row):
         return row * 33 + (np.clip(z, -8, 8) * 2 + 16.5).astype(np.int64)
@@ -273,13 +310,13 @@ class Mixer:
         y = bits[2]
         for at in range(0, len(y), 16384):
             part = slice(at, at + 16384)
-            z = np.clip(np.einsum("bk,bk->b", x[part], self.w[gate[part]]), -12, 12)
+            z = self.mixed(x[:, part], self.w.T, gate[part])
             err = y[part] - 1 / (1 + np.exp(-z))
             cell = self.cell(z, row[part])
             self.map_n += np.bincount(cell, minlength=CELLS)
             self.map_1 += np.bincount(cell, weights=y[part], minlength=CELLS)
             for k in range(CONTEXTS + 2):
-                g = np.bincount(gate[part], weights=err * x[part, k], minlength=GATES)
+                g = np.bincount(gate[part], weights=err * x[k, part], minlength=GATES)
                 self.g2[:, k] += g * g
                 self.w[:, k] += RATE * g / np.sqrt(self.g2[:, k])
 
@@ -299,7 +336,7 @@ class Mixer:
         length = np.diff(np.concatenate((starts, [len(doc)])))
         order = np.argsort(-length, kind="stable")  # the longest first: those still going are at the front
         starts, length = starts[order], length[order]
-        w = np.tile(self.w, (len(starts), 1))  # a row per document and gate
+        w = np.tile(self.w.T, (1, len(starts)))  # by predictor, then by document and gate
         g2 = np.full(w.shape, OWN_START)
         map_n, map_1 = np.full(len(starts) * CELLS, MAP_WEIGHT), np.tile(self.taught * MAP_WEIGHT, len(starts))
         steps = edges(first, int(length[0]))
@@ -322,7 +359,7 @@ class Mixer:
                 y, sizes = bits[2], bits[3]
                 of = np.repeat(docs, sizes)
                 spot = of * GATES + gate
-                z = np.clip(np.einsum("bk,bk->b", x, w[spot]), -12, 12)
+                z = self.mixed(x, w, spot)
                 cell = of * CELLS + self.cell(z, row)
                 mixed = 1 / (1 + np.exp(-z))
                 p = 0.5 * mixed + 0.5 * map_1[cell] / map_n[cell]
@@ -334,10 +371,10 @@ class Mixer:
                 low, span = int(docs[0]) * GATES, (int(docs[-1]) - int(docs[0]) + 1) * GATES
                 err = y - mixed
                 for k in range(CONTEXTS + 2):
-                    g = np.bincount(spot - low, weights=err * x[:, k], minlength=span)
+                    g = np.bincount(spot - low, weights=err * x[k], minlength=span)
                     here = slice(low, low + span)
-                    g2[here, k] += g * g
-                    w[here, k] += OWN_RATE * g / np.sqrt(g2[here, k])
+                    g2[k, here] += g * g
+                    w[k, here] += OWN_RATE * g / np.sqrt(g2[k, here])
         return out
 
 
@@ -420,17 +457,16 @@ def bit_counts(learn: DataFrame, words: DataFrame, head, bits: tuple[int, int],
             for at in range(0, len(t.state), CHUNK_SLOTS):
                 part = t.state[at : at + CHUNK_SLOTS]
                 if part.any():
-                    blob = zlib.compress(part.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)  # by byte: most are zero
-                    yield pd.DataFrame({"context": [first + k], "chunk": [at // CHUNK_SLOTS], "part": [task // 32], "task": [task], "blob": [blob]})
+                    row = {"context": [first + k], "chunk": [at // CHUNK_SLOTS], "part": [task // 32], "task": [task]}
+                    yield pd.DataFrame(row | {"blob": [packed_counts(*unpacked(part))]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, tables = head.value, [Counts(bits[0]) for _ in range(CONTEXTS)]
-        for b in _groups(batches):
+        for b in _groups(batches, 1 << 20):
             tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
-            for which in _slices(tok):
-                got = token_bits(h, tok, which)
-                for k in range(CONTEXTS):
-                    tables[k].add(got[1][k], got[2])
+            for k in range(CONTEXTS):
+                for got in pair_bits(h, tok.hash[k], tok.sym):
+                    tables[k].add(*got)
         yield from blobs(tables, 0)
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -441,20 +477,15 @@ def bit_counts(learn: DataFrame, words: DataFrame, head, bits: tuple[int, int],
                 tables[k].add(got[1][k], got[2])
         yield from blobs(tables, CONTEXTS)
 
-    def read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        c = Counts(CHUNK_SLOTS.bit_length() - 1)
-        c.state = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
-        return c.parts()
+    def total(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        own = [read_counts(x) for x in g.sort_values("task")["blob"]]
+        return joined([c for c, _ in own], [m for _, m in own])
 
     def join(g: pd.DataFrame) -> pd.DataFrame:
-        own = [read(x) for x in g.sort_values("task")["blob"]]
-        check, n = joined([c for c, _ in own], [m for _, m in own])
-        n = np.minimum(n, (1 << 28) - 1).astype(np.int64)
-        state = check.astype(np.int64) << 56 | n[:, 1] << 28 | n[:, 0]
-        return g.iloc[:1].assign(blob=[zlib.compress(state.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)])
+        return g.iloc[:1].assign(blob=[packed_counts(*total(g))])
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"context": g["context"].iloc[:1], "chunk": g["chunk"].iloc[:1], "blob": [packed_odds(*read(join(g)["blob"].iloc[0])).tobytes()]})
+        return pd.DataFrame({"context": g["context"].iloc[:1], "chunk": g["chunk"].iloc[:1], "blob": [packed_odds(*total(g)).tobytes()]})
 
     schema = "context int, chunk int, part int, task int, blob binary"
     rows = learn.select("syms", "tail").coalesce(tasks).mapInPandas(count, schema)

@@ -420,7 +420,7 @@ def plain_code(m, units, spelled, first):
                 fits = slot & 255 == hashes[k] & 255
                 x.append((slot >> 16) / 4096 if fits else 0.0)
                 seen.append((slot >> 8) & 3 if fits else 0)
-            x.append(float(np.float32(0.3)))
+            x.append(0.3)
             gate = seen[2] * 4 + seen[1] + 16 * spelled
             z = min(12.0, max(-12.0, sum(a * b for a, b in zip(x, w[gate]))))
             cell = (min(depth, 15) + 16 * spelled) * 33 + int(min(8.0, max(-8.0, z)) * 2 + 16.5)
@@ -458,6 +458,20 @@ def test_coder_bit_by_bit():
         assert got[part] == pytest.approx(plain_code(m, split_bits(mixing_lm.spelling_bits(words[part])), 1, 8), abs=1e-6)
 
 
+def test_pairs_hold_all_path_bits():
+    rng = np.random.default_rng(3)
+    head = mixing_lm.Head([b"w%d" % i for i in range(40)], rng.integers(1, 90, 42), 2000, 60, 0.2)
+    syms, tails, n = mixing_lm.encode(head, [" ".join(f"w{x}" for x in rng.integers(0, 50, 300)) for _ in range(4)])
+    tok = mixing_lm.Tokens(syms, tails)
+    _, hashes, bits, _, _ = mixing_lm.token_bits(head, tok, np.arange(len(tok.sym)))
+    for k in range(3):
+        want, got = collections.Counter(zip(hashes[k].tolist(), bits.tolist())), collections.Counter()
+        for h, y, times in mixing_lm.pair_bits(head, tok.hash[k], tok.sym, 50):
+            for a, b, c in zip(h.tolist(), y.tolist(), times.tolist()):
+                got[a, b] += c
+        assert got == want
+
+
 def test_context_counts_by_dictionary():
     """Slots keep apart what meets in them: counts of the contexts that own a slot are exact; several tasks add up."""
     rng = np.random.default_rng(9)
@@ -468,13 +482,19 @@ def test_context_counts_by_dictionary():
         which = rng.integers(0, 300, 4000)
         y = rng.integers(0, 2, 4000).astype(np.uint8)
         t.add(hashes[which], y)
+        t.add(hashes[which[:9]], y[:9], np.full(9, 3))
         seen.update(zip(hashes[which].tolist(), y.tolist()))
-    slots, (checks, counts) = collections.Counter(int(h) >> 18 for h in hashes), t.parts()
+        for h, b in zip(hashes[which[:9]].tolist(), y[:9].tolist()):
+            seen[h, b] += 3
+    slots, (checks, counts) = collections.Counter(int(h) >> 18 for h in hashes), mixing_lm.unpacked(t.state)
     for h in hashes.tolist():
         if slots[h >> 18] == 1:
             assert counts[h >> 18].tolist() == [seen[h, 0], seen[h, 1]] and checks[h >> 18] == h & 255
     check, n = mixing_lm.joined([checks, checks, checks + np.uint8(1)], [counts, counts, counts * 3])
     used = counts.sum(axis=1) > 0
+    back = mixing_lm.read_counts(mixing_lm.packed_counts(checks, counts))
+    assert (back[0] == checks).all() and (back[1] == counts).all()
+    assert mixing_lm.read_counts(mixing_lm.packed_counts(checks[:1], np.array([[131070, 10]])))[1].tolist() == [[65535, 5]]
     assert (n == counts * 3).all() and (check[used] == checks[used] + np.uint8(1)).all()
     assert [mixing_lm.table_bits(x) for x in (0, 10**6, 10**7, 10**12)] == [14, 17, 21, 22]
 
