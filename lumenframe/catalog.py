@@ -404,3 +404,10 @@ def unknown_status(spark, sf_dir):
 @query("g09_drift_within_arm", "SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS values, min(o_orderstatus) AS least, max(o_orderstatus) AS most FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def drift_within_arm(spark, sf_dir):
     return gates.one_value(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")
+
+
+# queries over attempts and tasks
+from lumenframe import catalog_runs  # noqa: E402
+
+QUERIES |= catalog_runs.QUERIES
+SQL |= catalog_runs.SQL

@@ -71,3 +71,18 @@ def residency_verdict(in_gpu: Column, size: Column, digest_ok: Column) -> Column
         .when(in_gpu == size, "ELIGIBLE_GPU")
         .otherwise("INELIGIBLE_PARTIAL")
     )
+
+
+def overhead_ms(client_ms: Column, server_ns: Column) -> Column:
+    """What a client waited beyond the server's own time; may be negative."""
+    return client_ms - server_ns / F.lit(1e6)
+
+
+def canary(count: Column, least: int = 128) -> Column:
+    """PASS if a canary gave at least so many tokens; what was not counted fails."""
+    return F.when(F.coalesce(count >= least, F.lit(False)), "PASS").otherwise("FAIL")
+
+
+def reclaimed(before: Column, after: Column, slack: int = 1 << 30) -> Column:
+    """Whether free space is back to what it was, within the slack."""
+    return after >= before - F.lit(slack)

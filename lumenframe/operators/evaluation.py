@@ -149,6 +149,23 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     )
 
 
+def comparisons(trials: DataFrame, base: str, candidates: list[str]) -> DataFrame:
+    """A row per candidate: its paired comparison with the base."""
+    out = None
+    for c in candidates:  # a plan per pair; pairs are named, not found
+        one = mcnemar(paired_tasks(trials, base, c)).withColumn("comparison", F.lit(f"{base}-vs-{c}"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def eligible(points: DataFrame, *values: str) -> DataFrame:
+    """Points all of whose values are known, finite numbers."""
+    for v in values:
+        c = F.col(v)
+        points = points.where(c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < float("inf")))
+    return points
+
+
 def strata(trials: DataFrame, base: str, candidate: str, by: str) -> DataFrame:
     """Rates of both sides by a stratum; a stratum that one side lacks has a null rate there."""
     t = deterministic(trials)

@@ -70,6 +70,14 @@ def first_write(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def updated(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the other columns of ``changes`` (unique keys) where a key is there; changes of keys that are not are dropped."""
+    set_to = [c for c in changes.columns if c not in keys]
+    new = changes.select(*keys, F.struct(*set_to).alias("_c"))
+    both = existing.join(new, keys, "left")
+    return both.select(*[F.when(F.col("_c").isNotNull(), F.col("_c")[c]).otherwise(F.col(c)).alias(c) if c in set_to else F.col(c) for c in existing.columns])
+
+
 def without_keys(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
