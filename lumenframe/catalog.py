@@ -1,7 +1,6 @@
 """All queries of the evaluation-analytics part, by inventory id, with DuckDB SQL.
 
-Two kinds: plans built by the operators (with SQL written apart), and
-``portable`` ones, whose text runs on both engines over the same views.
+Plans are built by the operators; the SQL is written apart from them.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from lumenframe.functions import metrics as m
 from lumenframe.functions import failures, graders, stats, text
 from lumenframe.operators import evaluation as ev
 from lumenframe.operators import gates, judging, verdicts
+from lumenframe.operators import rollups as ru
 from lumenframe.plans.trials import TRIALS_SQL, table, trials, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,9 +38,16 @@ def on_trials(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
     SQL[name] = "WITH " + TRIALS_SQL + sql
 
 
-def portable(name: str, sql: str) -> None:
-    """One text for both engines."""
-    QUERIES[name] = lambda spark, sf_dir: views(spark, sf_dir).sql(sql)
+def on_tables(name: str, sql: str, f) -> None:
+    """A plan over tables by name (``trials`` is one); SQL that reads trials gets their definition."""
+
+    def run(spark, sf_dir):
+        def get(n: str) -> DataFrame:
+            return trials(spark, sf_dir) if n == "trials" else table(spark, sf_dir, n)
+
+        return f(get)
+
+    QUERIES[name] = run
     SQL[name] = ("WITH " + TRIALS_SQL + (", " + sql[5:] if sql.startswith("WITH ") else "\n" + sql)) if "trials" in sql else sql
 
 
@@ -87,9 +94,9 @@ SELECT model_config_id, bucket, coalesce(n, 0)::INT AS n, round(med, 6) AS media
 FROM d LEFT JOIN q USING (model_config_id, bucket)""", lambda t: ev.performance(t).withColumn("n", F.col("n").cast("int")))
 # paired comparison
 on_trials("a26_transition_matrix", PAIRS + """
-SELECT base_ok, cand_ok, count(bs)::BIGINT AS n, coalesce(string_agg(task_id::VARCHAR, ',' ORDER BY task_id), '') AS task_ids
-FROM (VALUES (true, true), (true, false), (false, true), (false, false)) c(base_ok, cand_ok)
+SELECT base_ok, cand_ok, count(bs)::BIGINT AS n FROM (VALUES (true, true), (true, false), (false, true), (false, false)) c(base_ok, cand_ok)
 LEFT JOIN pairs ON bs = base_ok AND cs = cand_ok GROUP BY 1, 2""", lambda t: ev.transitions(ev.paired_tasks(t, BASE, CAND)))
+on_trials("a26_transition_ids", PAIRS + " SELECT task_id, bs AS base_ok, cs AS cand_ok FROM pairs", lambda t: ev.transition_ids(ev.paired_tasks(t, BASE, CAND)))
 _P = "CASE WHEN {0} + {1} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least({0}, {1}) + 1), lambda i: exp(lgamma({0} + {1} + 1.0) - lgamma(i + 1.0) - lgamma({0} + {1} - i + 1.0) + ({0} + {1}) * ln(0.5))))) END"
 on_trials("a27_exact_mcnemar", PAIRS + f""", one AS (
   SELECT count(*) FILTER (WHERE bs AND NOT cs) AS strict_b, count(*) FILTER (WHERE cs AND NOT bs) AS strict_c,
@@ -104,63 +111,102 @@ for _id, _by in (("a28_strata_by_class", "primary_class"), ("a29_strata_by_diffi
 SELECT stratum, b.n AS base_trials, b.r AS base_rate, c.n AS cand_trials, c.r AS cand_rate
 FROM (SELECT * FROM s WHERE m = '{BASE}') b FULL JOIN (SELECT * FROM s WHERE m = '{CAND}') c USING (stratum)""",
         lambda t, by=_by: ev.strata(t, BASE, CAND, by))
-portable("a05_flips_two_definitions", """SELECT model_config_id, task_id, count(DISTINCT CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) > 1 AS grader_flip,
-  count(DISTINCT verdict) > 1 AS verdict_flip FROM trials GROUP BY model_config_id, task_id""")
-portable("j03_common_tasks", f"""SELECT task_id FROM trials WHERE model_config_id = '{BASE}' INTERSECT SELECT task_id FROM trials WHERE model_config_id = '{CAND}'""")
-portable("j04_trial_pair_join", f"""SELECT b.task_id, b.trial, b.verdict AS base_verdict, c.verdict AS cand_verdict FROM trials b JOIN trials c
-  ON b.task_id = c.task_id AND b.trial = c.trial WHERE b.model_config_id = '{BASE}' AND c.model_config_id = '{CAND}'""")
-portable("j05_three_arm_join", """SELECT a.task_id, a.trial, a.verdict AS a, b.verdict AS b, c.verdict AS c FROM trials a
+on_tables("a05_flips_two_definitions", """SELECT model_config_id, task_id, count(DISTINCT CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) > 1 AS grader_flip,
+  count(DISTINCT verdict) > 1 AS verdict_flip FROM trials GROUP BY model_config_id, task_id""",
+    lambda t: ru.flips(t("trials"), ["model_config_id", "task_id"]))
+on_tables("j03_common_tasks", f"""SELECT task_id FROM trials WHERE model_config_id = '{BASE}' INTERSECT SELECT task_id FROM trials WHERE model_config_id = '{CAND}'""",
+    lambda t: ru.common_keys(t("trials"), "model_config_id", [BASE, CAND], "task_id"))
+on_tables("j04_trial_pair_join", f"""SELECT b.task_id, b.trial, b.verdict AS base_verdict, c.verdict AS cand_verdict FROM trials b JOIN trials c
+  ON b.task_id = c.task_id AND b.trial = c.trial WHERE b.model_config_id = '{BASE}' AND c.model_config_id = '{CAND}'""",
+    lambda t: ru.arms(t("trials"), {"base_verdict": BASE, "cand_verdict": CAND}, ["task_id", "trial"], "verdict"))
+on_tables("j05_three_arm_join", """SELECT a.task_id, a.trial, a.verdict AS a, b.verdict AS b, c.verdict AS c FROM trials a
   JOIN trials b ON a.task_id = b.task_id AND a.trial = b.trial JOIN trials c ON a.task_id = c.task_id AND a.trial = c.trial
-  WHERE a.model_config_id = 'click' AND b.model_config_id = 'view' AND c.model_config_id = 'purchase'""")
-portable("j06_left_join_default_text", """SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(d.lang, '') AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-portable("j08_bijection_full_outer", """SELECT count(CASE WHEN a.k IS NULL THEN 1 END) AS only_right, count(CASE WHEN b.k IS NULL THEN 1 END) AS only_left, count(*) AS total
-  FROM (SELECT DISTINCT task_id AS k FROM trials WHERE model_config_id = 'click') a FULL OUTER JOIN (SELECT DISTINCT task_id AS k FROM trials WHERE verdict = 'FAIL') b ON a.k = b.k""")
-portable("j09_registry_star_join", """SELECT s.s_suppkey, s.s_name, n.n_name, r.r_name, coalesce(x.parts, 0) AS parts FROM supplier s
+  WHERE a.model_config_id = 'click' AND b.model_config_id = 'view' AND c.model_config_id = 'purchase'""",
+    lambda t: ru.arms(t("trials"), {"a": "click", "b": "view", "c": "purchase"}, ["task_id", "trial"], "verdict"))
+on_tables("j06_left_join_default_text", """SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(d.lang, '') AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    lambda t: ru.with_default(t("documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), t("labels"), "doc_id", "quality", -1))
+on_tables("j08_bijection_full_outer", """SELECT count(CASE WHEN a.k IS NULL THEN 1 END) AS only_right, count(CASE WHEN b.k IS NULL THEN 1 END) AS only_left, count(*) AS total
+  FROM (SELECT DISTINCT task_id AS k FROM trials WHERE model_config_id = 'click') a FULL OUTER JOIN (SELECT DISTINCT task_id AS k FROM trials WHERE verdict = 'FAIL') b ON a.k = b.k""",
+    lambda t: ru.bijection(t("trials").where("model_config_id = 'click'"), t("trials").where("verdict = 'FAIL'"), "task_id"))
+on_tables("j09_registry_star_join", """SELECT s.s_suppkey, s.s_name, n.n_name, r.r_name, coalesce(x.parts, 0) AS parts FROM supplier s
   LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
-  LEFT JOIN (SELECT l_suppkey, count(*) AS parts FROM lineitem GROUP BY l_suppkey) x ON s.s_suppkey = x.l_suppkey""")
-portable("j11_left_driven_groups", """SELECT p.p_partkey, count(l.l_orderkey) AS trials, coalesce(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END), 0) AS passes
-  FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_partkey""")
-portable("j16_expected_population", """WITH e AS (SELECT m.model_config_id, t.task_id FROM (SELECT DISTINCT model_config_id FROM trials) m CROSS JOIN (SELECT DISTINCT task_id FROM trials) t),
-  o AS (SELECT DISTINCT model_config_id, task_id FROM trials)
-  SELECT e.model_config_id, e.task_id FROM e LEFT JOIN o ON e.model_config_id = o.model_config_id AND e.task_id = o.task_id WHERE o.task_id IS NULL""")
-portable("f04_population_filter", "SELECT model_config_id, count(*) AS n FROM trials WHERE grading_status = 'READY_DETERMINISTIC' GROUP BY model_config_id")
-portable("f05_failed_rows", "SELECT model_config_id, task_id, trial FROM trials WHERE verdict = 'FAIL'")
-portable("f06_identity_semi_join", "SELECT t.task_id, t.trial, t.verdict FROM trials t WHERE t.model_config_id = 'click' AND EXISTS (SELECT 1 FROM trials u WHERE u.model_config_id = 'view' AND u.task_id = t.task_id AND u.trial = t.trial AND u.verdict = 'PASS')")
-portable("f12_token_bucket", """SELECT CASE WHEN eval_count <= 4 THEN '1-4' WHEN eval_count <= 32 THEN '5-32' WHEN eval_count <= 128 THEN '33-128' WHEN eval_count > 128 THEN '129+' END AS bucket, count(*) AS n FROM trials GROUP BY 1""")
-portable("f15_excerpt", "SELECT doc_id, substring(text, 1, 300) AS excerpt FROM documents")
-portable("a07_pstdev_cv", """SELECT model_config_id, round(CASE WHEN count(decode_tok_s) >= 2 THEN stddev_pop(decode_tok_s) END, 6) AS sd,
-  round(CASE WHEN count(decode_tok_s) >= 2 AND avg(decode_tok_s) > 0 THEN stddev_pop(decode_tok_s) / avg(decode_tok_s) END, 6) AS cv FROM trials GROUP BY model_config_id""")
-portable("a11_max_non_null", "SELECT model_config_id, max(eval_count) AS peak FROM trials GROUP BY model_config_id")
-portable("a17_deferrals", "SELECT model_config_id, count(CASE WHEN grading_status = 'READY_JUDGE' THEN 1 END) AS deferred FROM trials GROUP BY model_config_id")
-portable("a20_state_distribution", "SELECT model_config_id, verdict, count(*) AS n FROM trials GROUP BY model_config_id, verdict")
-portable("a21_judge_rollup", """SELECT task_id, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS precheck_passes,
-  round(sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) * 1.0 / count(*), 9) AS rate FROM trials WHERE grading_status = 'READY_JUDGE' GROUP BY task_id""")
-portable("a30_systematic_failures", f"""SELECT task_id FROM trials WHERE model_config_id IN ('{BASE}', '{CAND}') GROUP BY task_id HAVING max(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) = 0 AND count(DISTINCT model_config_id) = 2""")
-portable("a32_abc_pair_counts", """SELECT sum(CASE WHEN b = 'PASS' AND c = 'PASS' THEN 1 ELSE 0 END) AS both_pass, sum(CASE WHEN b = 'PASS' AND c <> 'PASS' THEN 1 ELSE 0 END) AS b_only,
+  LEFT JOIN (SELECT l_suppkey, count(*) AS parts FROM lineitem GROUP BY l_suppkey) x ON s.s_suppkey = x.l_suppkey""",
+    lambda t: ru.enriched(t("supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("n_nationkey")), (t("nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey")), ["n_nationkey"]),
+        (t("region").select("r_regionkey", "r_name"), ["r_regionkey"]), (t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("parts")), ["s_suppkey"])).select("s_suppkey", "s_name", "n_name", "r_name", F.coalesce("parts", F.lit(0)).alias("parts")))
+on_tables("j11_left_driven_groups", """SELECT p.p_partkey, count(l.l_orderkey) AS trials, coalesce(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END), 0) AS passes
+  FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY p.p_partkey""",
+    lambda t: ru.driven(t("part").select("p_partkey"), t("lineitem").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", F.col("l_returnflag") == "R"))
+on_tables("j16_expected_population", """SELECT task_id, r.trial FROM (SELECT DISTINCT task_id FROM trials) e, (SELECT unnest(range(1, 13))::INT AS trial) r
+  WHERE NOT EXISTS (SELECT 1 FROM trials o WHERE o.model_config_id = 'purchase' AND o.task_id = e.task_id AND o.trial = r.trial)""",
+    lambda t: ru.missing_identities(t("trials").where("model_config_id = 'purchase'"), t("trials").select("task_id").distinct(), "task_id", 12))
+on_tables("f04_population_filter", "SELECT model_config_id, count(*) AS n FROM trials WHERE grading_status = 'READY_DETERMINISTIC' GROUP BY model_config_id",
+    lambda t: ev.deterministic(t("trials")).groupBy("model_config_id").agg(F.count("*").alias("n")))
+on_tables("f05_failed_rows", "SELECT model_config_id, task_id, trial FROM trials WHERE verdict = 'FAIL'",
+    lambda t: t("trials").where(F.col("verdict") == "FAIL").select("model_config_id", "task_id", "trial"))
+on_tables("f06_identity_semi_join", "SELECT t.task_id, t.trial, t.verdict FROM trials t WHERE t.model_config_id = 'click' AND EXISTS (SELECT 1 FROM trials u WHERE u.model_config_id = 'view' AND u.task_id = t.task_id AND u.trial = t.trial AND u.verdict = 'PASS')",
+    lambda t: ru.semi(t("trials").where("model_config_id = 'click'").select("task_id", "trial", "verdict"), t("trials").where("model_config_id = 'view' and verdict = 'PASS'"), ["task_id", "trial"]))
+on_tables("f12_token_bucket", """SELECT CASE WHEN eval_count <= 4 THEN '1-4' WHEN eval_count <= 32 THEN '5-32' WHEN eval_count <= 128 THEN '33-128' WHEN eval_count > 128 THEN '129+' END AS bucket, count(*) AS n FROM trials GROUP BY 1""",
+    lambda t: t("trials").groupBy(m.token_bucket(F.col("eval_count")).alias("bucket")).agg(F.count("*").alias("n")))
+on_tables("f15_excerpt", "SELECT doc_id, substring(text, 1, 300) AS excerpt FROM documents",
+    lambda t: t("documents").select("doc_id", text.excerpt(F.col("text"), 300).alias("excerpt")))
+on_tables("a07_pstdev_cv", """SELECT model_config_id, round(CASE WHEN count(decode_tok_s) >= 2 THEN stddev_pop(decode_tok_s) END, 6) AS sd,
+  round(CASE WHEN count(decode_tok_s) >= 2 AND avg(decode_tok_s) > 0 THEN stddev_pop(decode_tok_s) / avg(decode_tok_s) END, 6) AS cv FROM trials GROUP BY model_config_id""",
+    lambda t: ru.spread(t("trials"), "model_config_id", "decode_tok_s"))
+on_tables("a11_max_non_null", "SELECT model_config_id, max(eval_count) AS peak FROM trials GROUP BY model_config_id",
+    lambda t: t("trials").groupBy("model_config_id").agg(F.max("eval_count").alias("peak")))
+on_tables("a17_deferrals", "SELECT model_config_id, count(CASE WHEN grading_status = 'READY_JUDGE' THEN 1 END) AS deferred FROM trials GROUP BY model_config_id",
+    lambda t: t("trials").groupBy("model_config_id").agg(F.count_if(F.col("grading_status") == "READY_JUDGE").alias("deferred")))
+on_tables("a20_state_distribution", "SELECT model_config_id, verdict, count(*) AS n FROM trials GROUP BY model_config_id, verdict",
+    lambda t: t("trials").groupBy("model_config_id", "verdict").agg(F.count("*").alias("n")))
+on_tables("a21_judge_rollup", """SELECT task_id, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS precheck_passes,
+  round(sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) * 1.0 / count(*), 9) AS rate FROM trials WHERE grading_status = 'READY_JUDGE' GROUP BY task_id""",
+    lambda t: ev.judge_rollup(t("trials")))
+on_tables("a30_systematic_failures", f"""SELECT task_id FROM trials WHERE trial <= 2 AND model_config_id IN ('{BASE}', '{CAND}') GROUP BY task_id HAVING max(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) = 0 AND count(DISTINCT model_config_id) = 2""",
+    lambda t: ru.never_passed(t("trials").where("trial <= 2"), [BASE, CAND]))
+on_tables("a32_abc_pair_counts", """SELECT sum(CASE WHEN b = 'PASS' AND c = 'PASS' THEN 1 ELSE 0 END) AS both_pass, sum(CASE WHEN b = 'PASS' AND c <> 'PASS' THEN 1 ELSE 0 END) AS b_only,
   sum(CASE WHEN b <> 'PASS' AND c = 'PASS' THEN 1 ELSE 0 END) AS c_only, sum(CASE WHEN b <> 'PASS' AND c <> 'PASS' THEN 1 ELSE 0 END) AS neither
-  FROM (SELECT x.verdict AS b, y.verdict AS c FROM trials x JOIN trials y ON x.task_id = y.task_id AND x.trial = y.trial WHERE x.model_config_id = 'view' AND y.model_config_id = 'purchase') z""")
-portable("a35_grouping_sets", """SELECT primary_class, difficulty, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS passes FROM trials GROUP BY GROUPING SETS ((primary_class, difficulty), (primary_class), (difficulty), ())""")
-portable("a36_mode_shares", """SELECT verdict, n, round(n * 1.0 / sum(n) OVER (), 4) AS share FROM (SELECT verdict, count(*) AS n FROM trials WHERE verdict <> 'PASS' GROUP BY verdict) x""")
-portable("a37_weighted_share", """SELECT l.quality, sum(x.failed_rows) AS weight FROM labels l JOIN (SELECT task_id, count(*) AS failed_rows FROM trials WHERE verdict = 'FAIL' GROUP BY task_id) x ON l.doc_id = x.task_id GROUP BY l.quality""")
-portable("a38_multi_mode_tasks", "SELECT task_id, count(DISTINCT verdict) AS modes, count(DISTINCT verdict) > 1 AS multi_mode FROM trials WHERE verdict <> 'PASS' GROUP BY task_id")
-portable("a39_judge_failures", "SELECT model_config_id, task_id, trial, verdict FROM trials WHERE grading_status = 'READY_JUDGE' AND verdict = 'FAIL'")
-portable("a42_two_condition_pass", """SELECT l_returnflag AS suite, count(*) AS n, sum(CASE WHEN l_discount < 0.05 AND l_tax < 0.05 THEN 1 ELSE 0 END) AS passes, sum(CASE WHEN l_tax >= 0.05 THEN 1 ELSE 0 END) AS static_failures FROM lineitem GROUP BY l_returnflag""")
-portable("a43_cohort_rollup", "SELECT model_config_id, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS passes FROM trials GROUP BY ROLLUP (model_config_id)")
-portable("a48_histogram", "SELECT verdict, count(*) AS n FROM trials GROUP BY verdict")
-portable("a50_audit_matrix", "SELECT primary_class, difficulty, count(DISTINCT task_id) AS tasks FROM trials GROUP BY primary_class, difficulty")
-portable("a52_sweep_counts", "SELECT count(*) AS models, sum(CASE WHEN n >= 1000 THEN 1 ELSE 0 END) AS large, sum(CASE WHEN n < 1000 THEN 1 ELSE 0 END) AS small FROM (SELECT model_config_id, count(*) AS n FROM trials GROUP BY model_config_id) x")
-portable("a55_filtered_count", "SELECT count(*) AS n FROM trials WHERE trial = 1")
-portable("w02_first_attempt", "SELECT model_config_id, task_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY model_config_id, task_id ORDER BY trial) AS rn FROM trials) x WHERE rn = 1")
-portable("w05_last_write", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1")
-portable("w06_duplicate_identities", "SELECT doc_id, n FROM (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id) x WHERE n > 1")
-portable("o04_prefix_limit", "SELECT task_id FROM (SELECT task_id, row_number() OVER (ORDER BY task_id) AS rn FROM (SELECT DISTINCT task_id FROM trials) t) x WHERE rn <= 10")
-portable("o08_strata_union", "SELECT primary_class AS stratum FROM trials UNION SELECT difficulty FROM trials")
-portable("o09_set_difference", "SELECT DISTINCT task_id FROM trials WHERE verdict = 'FAIL' EXCEPT SELECT DISTINCT task_id FROM trials WHERE verdict = 'PASS' AND model_config_id = 'click'")
-portable("o11_ordered_concat", "SELECT 1 AS cohort, doc_id FROM labels WHERE quality = 0 UNION ALL SELECT 2 AS cohort, doc_id FROM labels WHERE toxic = 1")
-portable("m12_context_headroom", "SELECT max(n_chars) AS longest, 200000 - max(n_chars) - 1024 AS headroom, 200000 - max(n_chars) - 1024 >= 0 AS fits, min(CASE WHEN n_chars = top THEN doc_id END) AS doc_id FROM (SELECT doc_id, n_chars, max(n_chars) OVER () AS top FROM documents) x")
-portable("x45_content_ids", "SELECT doc_id, sha256(concat(coalesce(cast(doc_id AS VARCHAR(20)), 'None'), '|', coalesce(lang, 'None'), '|', coalesce(source, 'None'))) AS id FROM documents")
-QUERIES["x45_content_ids"] = lambda spark, d: table(spark, d, "documents").select("doc_id", text.content_id(F.col("doc_id"), F.col("lang"), F.col("source")).alias("id"))
-
+  FROM (SELECT x.verdict AS b, y.verdict AS c FROM trials x JOIN trials y ON x.task_id = y.task_id AND x.trial = y.trial WHERE x.model_config_id = 'view' AND y.model_config_id = 'purchase') z""",
+    lambda t: ev.pair_counts(ru.arms(t("trials"), {"b": "view", "c": "purchase"}, ["task_id", "trial"], "verdict")))
+on_tables("a35_grouping_sets", """SELECT primary_class, difficulty, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS passes FROM trials GROUP BY GROUPING SETS ((primary_class, difficulty), (primary_class), (difficulty), ())""",
+    lambda t: ru.by_sets(t("trials"), [["primary_class", "difficulty"], ["primary_class"], ["difficulty"], []], "primary_class", "difficulty"))
+on_tables("a36_mode_shares", """SELECT verdict, n, round(n * 1.0 / sum(n) OVER (), 4) AS share FROM (SELECT verdict, count(*) AS n FROM trials WHERE verdict <> 'PASS' GROUP BY verdict) x""",
+    lambda t: ru.shares(t("trials").where("verdict <> 'PASS'"), "verdict"))
+on_tables("a37_weighted_share", """SELECT l.quality, sum(x.failed_rows) AS weight FROM labels l JOIN (SELECT task_id, count(*) AS failed_rows FROM trials WHERE verdict = 'FAIL' GROUP BY task_id) x ON l.doc_id = x.task_id GROUP BY l.quality""",
+    lambda t: ru.weighted(t("labels").select(F.col("doc_id").alias("task_id"), "quality"), t("trials").where("verdict = 'FAIL'"), "task_id", "quality"))
+on_tables("a38_multi_mode_tasks", "SELECT task_id, count(DISTINCT verdict) AS modes, count(DISTINCT verdict) > 1 AS multi_mode FROM trials WHERE verdict <> 'PASS' GROUP BY task_id",
+    lambda t: ru.modes_of(t("trials").where("verdict <> 'PASS'"), "task_id", "verdict"))
+on_tables("a39_judge_failures", "SELECT model_config_id, task_id, trial, verdict FROM trials WHERE grading_status = 'READY_JUDGE' AND verdict = 'FAIL'",
+    lambda t: t("trials").where((F.col("grading_status") == "READY_JUDGE") & (F.col("verdict") == "FAIL")).select("model_config_id", "task_id", "trial", "verdict"))
+on_tables("a42_two_condition_pass", """SELECT l_returnflag AS suite, count(*) AS n, sum(CASE WHEN l_discount < 0.05 AND l_tax < 0.05 THEN 1 ELSE 0 END) AS passes, sum(CASE WHEN l_tax >= 0.05 THEN 1 ELSE 0 END) AS static_failures FROM lineitem GROUP BY l_returnflag""",
+    lambda t: ru.both_checks(t("lineitem").withColumnRenamed("l_returnflag", "suite"), "suite", F.col("l_tax") < 0.05, F.col("l_discount") < 0.05))
+on_tables("a43_cohort_rollup", "SELECT model_config_id, count(*) AS trials, sum(CASE WHEN verdict = 'PASS' THEN 1 ELSE 0 END) AS passes FROM trials GROUP BY ROLLUP (model_config_id)",
+    lambda t: ru.with_total(t("trials"), "model_config_id"))
+on_tables("a48_histogram", "SELECT verdict, count(*) AS n FROM trials GROUP BY verdict",
+    lambda t: t("trials").groupBy("verdict").agg(F.count("*").alias("n")))
+on_tables("a50_audit_matrix", "SELECT primary_class, difficulty, count(DISTINCT task_id) AS tasks FROM trials GROUP BY primary_class, difficulty",
+    lambda t: t("trials").select("primary_class", "difficulty", "task_id").distinct().groupBy("primary_class", "difficulty").agg(F.count("*").alias("tasks")))
+on_tables("a52_sweep_counts", "SELECT count(*) AS models, sum(CASE WHEN n >= 1000 THEN 1 ELSE 0 END) AS large, sum(CASE WHEN n < 1000 THEN 1 ELSE 0 END) AS small FROM (SELECT model_config_id, count(*) AS n FROM trials GROUP BY model_config_id) x",
+    lambda t: ev.sweep_counts(t("trials"), 1000))
+on_tables("a55_filtered_count", "SELECT count(*) AS n FROM trials WHERE trial = 1",
+    lambda t: t("trials").where(F.col("trial") == 1).agg(F.count("*").alias("n")))
+on_tables("w02_first_attempt", "SELECT model_config_id, task_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY model_config_id, task_id ORDER BY trial) AS rn FROM trials) x WHERE rn = 1",
+    lambda t: ru.first_attempts(t("trials"), ["model_config_id", "task_id"]))
+on_tables("w05_last_write", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1",
+    lambda t: ru.last_rows(t("events"), "user_id", ["ts", "event_id"], ["event_id", "value"]))
+on_tables("w06_duplicate_identities", "SELECT o_custkey, o_orderstatus, n FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) WHERE n > 1",
+    lambda t: ru.repeated(t("orders"), ["o_custkey", "o_orderstatus"]))
+on_tables("o04_prefix_limit", "SELECT task_id FROM (SELECT task_id, row_number() OVER (ORDER BY task_id) AS rn FROM (SELECT DISTINCT task_id FROM trials) t) x WHERE rn <= 10",
+    lambda t: ru.first_keys(t("trials"), "task_id", 10))
+on_tables("o08_strata_union", "SELECT primary_class AS stratum FROM trials UNION SELECT difficulty FROM trials",
+    lambda t: ru.union_of(t("trials"), ["primary_class", "difficulty"], "stratum"))
+on_tables("o09_set_difference", "SELECT DISTINCT task_id FROM trials WHERE verdict = 'FAIL' AND trial = 1 EXCEPT SELECT DISTINCT task_id FROM trials WHERE verdict = 'PASS' AND model_config_id = 'click' AND trial = 1",
+    lambda t: ru.minus(t("trials").where("verdict = 'FAIL' and trial = 1"), t("trials").where("verdict = 'PASS' and model_config_id = 'click' and trial = 1"), "task_id"))
+on_tables("o11_ordered_concat", "SELECT 1 AS cohort, doc_id FROM labels WHERE quality = 0 UNION ALL SELECT 2 AS cohort, doc_id FROM labels WHERE toxic = 1",
+    lambda t: ru.cohorts([t("labels").where("quality = 0"), t("labels").where("toxic = 1")], "doc_id"))
+on_tables("m12_context_headroom", "SELECT max(n_chars) AS longest, 200000 - max(n_chars) - 1024 AS headroom, 200000 - max(n_chars) - 1024 >= 0 AS fits, min(CASE WHEN n_chars = top THEN doc_id END) AS doc_id FROM (SELECT doc_id, n_chars, max(n_chars) OVER () AS top FROM documents) x",
+    lambda t: ru.headroom(t("documents"), "doc_id", "n_chars", 200000, 1024))
+on_tables("x45_content_ids", "SELECT doc_id, sha256(concat(coalesce(cast(doc_id AS VARCHAR(20)), 'None'), '|', coalesce(lang, 'None'), '|', coalesce(source, 'None'))) AS id FROM documents",
+    lambda t: t("documents").select("doc_id", text.content_id(F.col("doc_id"), F.col("lang"), F.col("source")).alias("id")))
 
 # metrics over counters made from lineitem
 _COUNTERS = """SELECT l_orderkey AS k, l_linenumber AS ln, CAST(floor(l_quantity) AS BIGINT) AS cnt,
@@ -175,7 +221,7 @@ _COUNTERS = """SELECT l_orderkey AS k, l_linenumber AS ln, CAST(floor(l_quantity
   CASE WHEN cnt > 0 AND ns > 0 THEN cnt / (ns / 1e9) END AS decode_tok_s, CASE WHEN cnt > 0 AND ns > 0 THEN ns / 1e6 / cnt END AS decode_ms_per_token,
   round(ns / 1e6, 6) AS ttft_ms, coalesce(ns / 1e6 > 1000.0, false) AS reloaded FROM ({_COUNTERS})""")
 def generation_metrics(spark, sf_dir):
-    """M01-M09, F13 over one row per generation: a projection, nothing else."""
+    """M01-M03, M05-M07 and F13 over one row per generation: a projection, nothing else."""
     c = views(spark, sf_dir).sql(_COUNTERS)
     n, cached, ns = F.col("cnt"), F.col("cached"), F.col("ns")
     return c.select(

@@ -207,6 +207,11 @@ def violations(t: Column, constraints: list[dict]) -> Column:
     return F.filter(F.array(*[F.when(~holds(t, c), F.lit(c["kind"])) for c in constraints]), lambda x: x.isNotNull())
 
 
+def excerpt(t: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.substring(t, 1, n)
+
+
 def slug(t: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", "_"), F.lit("_"))
 

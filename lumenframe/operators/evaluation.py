@@ -14,6 +14,7 @@ from lumenframe.functions.metrics import token_bucket
 
 READY = ("READY_DETERMINISTIC", "READY_JUDGE")
 BUCKETS = ("1-4", "5-32", "33-128", "129+")
+PIECES = 64
 
 
 def ok():
@@ -25,17 +26,18 @@ def deterministic(trials: DataFrame) -> DataFrame:
     return trials.where(F.col("grading_status") == "READY_DETERMINISTIC")
 
 
+def outcome_columns() -> list:
+    """Trials, passes, any and all passed, the first attempt, both kinds of flips: all combine map-side."""
+    return [
+        F.count("*").alias("trials"), F.count_if(ok()).alias("passes"), F.bool_or(ok()).alias("any_pass"), F.bool_and(ok()).alias("all_pass"),
+        F.min_by(ok(), "trial").alias("first_pass"), (F.bool_or(ok()) != F.bool_and(ok())).alias("grader_flip"),
+        (F.min("verdict") != F.max("verdict")).alias("verdict_flip"),
+    ]
+
+
 def task_outcomes(trials: DataFrame, *more: str) -> DataFrame:
-    """A row per (model, task): trials, passes, any and all passed, the first attempt, both kinds of flips."""
-    return trials.groupBy("model_config_id", "task_id", *more).agg(
-        F.count("*").alias("trials"),
-        F.count_if(ok()).alias("passes"),
-        F.bool_or(ok()).alias("any_pass"),
-        F.bool_and(ok()).alias("all_pass"),
-        F.min_by(ok(), "trial").alias("first_pass"),
-        (F.bool_or(ok()) != F.bool_and(ok())).alias("grader_flip"),
-        (F.count_distinct("verdict") > 1).alias("verdict_flip"),
-    )
+    """A row per (model, task) with ``outcome_columns``."""
+    return trials.groupBy("model_config_id", "task_id", *more).agg(*outcome_columns())
 
 
 def capability(trials: DataFrame) -> DataFrame:
@@ -56,17 +58,13 @@ def capability(trials: DataFrame) -> DataFrame:
 
 
 def reliability(trials: DataFrame) -> DataFrame:
-    """Per deterministic task: success rate, first attempt, flips, spread of the decode rate."""
-    t = deterministic(trials)
-    speed = t.groupBy("model_config_id", "task_id").agg(
+    """Per deterministic task: success rate, first attempt, flips, spread of the decode rate; one aggregation."""
+    own = deterministic(trials).groupBy("model_config_id", "task_id").agg(
+        *outcome_columns(),
         F.round(stats.pstdev("decode_tok_s"), 6).alias("decode_stdev"),
         F.round(stats.coefficient_of_variation("decode_tok_s"), 6).alias("decode_cv"),
     )
-    return (
-        task_outcomes(t)
-        .withColumn("success_rate", F.round(stats.rate(F.col("passes"), F.col("trials")), 9))
-        .join(speed, ["model_config_id", "task_id"])
-    )
+    return own.withColumn("success_rate", F.round(stats.rate(F.col("passes"), F.col("trials")), 9))
 
 
 def experiment_means(trials: DataFrame) -> DataFrame:
@@ -88,22 +86,29 @@ def experiment_means(trials: DataFrame) -> DataFrame:
 def performance(trials: DataFrame) -> DataFrame:
     """Count, median, exclusive quartiles, nearest-rank P95 and mean of the decode rate, for all and for each token bucket.
 
-    Every bucket is there, with count zero if empty.
+    Every bucket is there, with count zero if empty. Ranks come from a range
+    partitioning of the values and the counts of its parts, so no task holds a
+    group, however large; the figures are exact.
     """
-    values = trials.select("model_config_id", "decode_tok_s", token_bucket(F.col("eval_count")).alias("bucket"))
+    keys = ["model_config_id", "bucket"]
+    values = trials.select("model_config_id", F.col("decode_tok_s").alias("v"), token_bucket(F.col("eval_count")).alias("bucket"))
     values = values.where("bucket is not null").unionByName(values.withColumn("bucket", F.lit("all")))
-    found = values.groupBy("model_config_id", "bucket").agg(
-        F.count("decode_tok_s").alias("n"),
-        F.expr("percentile(decode_tok_s, 0.5)").alias("median"),
-        stats.exclusive_quartile(F.sort_array(F.collect_list("decode_tok_s")), 1).alias("p25"),
-        stats.exclusive_quartile(F.sort_array(F.collect_list("decode_tok_s")), 3).alias("p75"),
-        stats.nearest_rank_p95("decode_tok_s").alias("p95"),
-        F.avg("decode_tok_s").alias("mean"),
+    counts = values.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    ranked = stats.ranks(values.where("v is not null"), keys, "v").join(counts.select(*keys, "n"), keys)
+    n, r = F.col("n"), F.col("rank")
+    place = lambda i: F.greatest(F.lit(1), F.least(n - 1, F.floor(i * (n + 1) / 4)))
+    share = lambda i: i * (n + 1) - 4 * place(i)
+    quartile = lambda i: F.when(
+        F.max("n") >= 4, F.sum(F.when(r == place(i), F.col("v") * (4 - share(i))).when(r == place(i) + 1, F.col("v") * share(i))) / 4
     )
+    found = ranked.groupBy(*keys).agg(
+        F.avg(F.when((r == F.floor((n + 1) / 2)) | (r == F.floor(n / 2) + 1), F.col("v"))).alias("median"),
+        quartile(1).alias("p25"), quartile(3).alias("p75"), F.max(F.when(r == F.ceil(n * F.lit(95) / 100), F.col("v"))).alias("p95"),
+    )
     dense = trials.select("model_config_id").distinct().select(
         "model_config_id", F.explode(F.array(*[F.lit(b) for b in ("all", *BUCKETS)])).alias("bucket")
     )
-    out = dense.join(found, ["model_config_id", "bucket"], "left")
+    out = dense.join(counts, keys, "left").join(found, keys, "left")
     return out.select(
         "model_config_id", "bucket", F.coalesce("n", F.lit(0)).alias("n"),
         *[F.round(c, 6).alias(c) for c in ("median", "p25", "p75", "p95", "mean")],
@@ -121,14 +126,15 @@ def paired_tasks(trials: DataFrame, base: str, candidate: str) -> DataFrame:
 
 
 def transitions(pairs: DataFrame, kind: str = "all_pass") -> DataFrame:
-    """The four cells of (base ok, candidate ok), also the empty ones, with sorted task ids."""
+    """The four cells of (base ok, candidate ok), also the empty ones, with their counts."""
     cells = pairs.sparkSession.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "base_ok boolean, cand_ok boolean")
-    own = pairs.select("task_id", F.col(f"base_{kind}").alias("base_ok"), F.col(f"cand_{kind}").alias("cand_ok"))
-    by = own.groupBy("base_ok", "cand_ok").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("task_id")).alias("ids"))
-    return F.broadcast(cells).join(by, ["base_ok", "cand_ok"], "left").select(
-        "base_ok", "cand_ok", F.coalesce("n", F.lit(0)).alias("n"),
-        F.concat_ws(",", F.coalesce(F.transform("ids", lambda x: x.cast("string")), F.array().cast("array<string>"))).alias("task_ids"),
-    )
+    by = transition_ids(pairs, kind).groupBy("base_ok", "cand_ok").agg(F.count("*").alias("n"))
+    return cells.join(by, ["base_ok", "cand_ok"], "left").select("base_ok", "cand_ok", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def transition_ids(pairs: DataFrame, kind: str = "all_pass") -> DataFrame:
+    """The cell of each task: the ids of a cell are rows, not one list."""
+    return pairs.select("task_id", F.col(f"base_{kind}").alias("base_ok"), F.col(f"cand_{kind}").alias("cand_ok"))
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
@@ -149,6 +155,24 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     )
 
 
+def judge_rollup(trials: DataFrame) -> DataFrame:
+    """Tasks that a judge decides: attempts, those that passed the check before, and their rate."""
+    by = trials.where("grading_status = 'READY_JUDGE'").groupBy("task_id").agg(F.count("*").alias("trials"), F.count_if(ok()).alias("precheck_passes"))
+    return by.withColumn("rate", F.round(stats.rate(F.col("precheck_passes"), F.col("trials")), 9))
+
+
+def pair_counts(arms: DataFrame) -> DataFrame:
+    """Identities (b, c: verdicts) that both arms pass, only one does, or none."""
+    b, c = F.col("b") == "PASS", F.col("c") == "PASS"
+    return arms.agg(F.count_if(b & c).alias("both_pass"), F.count_if(b & ~c).alias("b_only"), F.count_if(~b & c).alias("c_only"), F.count_if(~b & ~c).alias("neither"))
+
+
+def sweep_counts(trials: DataFrame, least: int) -> DataFrame:
+    """Models of a sweep, with at least so many attempts and with fewer."""
+    by = trials.groupBy("model_config_id").agg(F.count("*").alias("n"))
+    return by.agg(F.count("*").alias("models"), F.count_if(F.col("n") >= least).alias("large"), F.count_if(F.col("n") < least).alias("small"))
+
+
 def comparisons(trials: DataFrame, base: str, candidates: list[str]) -> DataFrame:
     """A row per candidate: its paired comparison with the base."""
     out = None
@@ -180,11 +204,16 @@ def skyline(points: DataFrame, id_col: str, high: str, other: str, smaller_is_be
 
     A sweep instead of a theta self-join: ordered by ``high``, a point stays if
     its other value is the best of its own ``high`` and strictly better than the
-    best of all larger ones. One row per distinct ``high`` reaches the sweep.
+    best of all larger ones. Each of ``PIECES`` hashed pieces of the distinct
+    ``high`` values is swept first; what survives there, the skylines of the
+    pieces, is swept once more in one task.
     """
     sign = -1 if smaller_is_better else 1
     own = points.where(F.col(high).isNotNull() & F.col(other).isNotNull()).withColumn("_o", F.col(other) * sign)
     top = own.groupBy(high).agg(F.max("_o").alias("_best"))
-    above = Window.orderBy(F.desc(high)).rowsBetween(Window.unboundedPreceding, -1)
-    edge = top.withColumn("_above", F.max("_best").over(above)).where("_above is null or _best > _above").select(F.col(high).alias("_high"), "_best")
+    better = lambda rows, by: rows.withColumn(
+        "_above", F.max("_best").over(Window.partitionBy(*by).orderBy(F.desc(high)).rowsBetween(Window.unboundedPreceding, -1))
+    ).where("_above is null or _best > _above")
+    local = better(top.withColumn("_piece", F.pmod(F.xxhash64(high), F.lit(PIECES))), ["_piece"])
+    edge = better(local.drop("_above"), [F.lit(1)]).select(F.col(high).alias("_high"), "_best")
     return own.join(edge, (F.col(high) == F.col("_high")) & (F.col("_o") == F.col("_best"))).select(id_col, high, other)
