@@ -65,6 +65,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stage_table(docs.select(F.lit(0).cast("bigint").alias("_f"), row_key().alias("_i"), whole), "numbered")
 
 
+#: Rows of short columns that a join may broadcast: some tens of MB.
+MOST_LIGHT = 500_000
+
+
+def light(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table of short rows for a join with texts: broadcast if it has at most ``most`` rows, so that no text moves; else as it is."""
+    return F.broadcast(rows) if rows.count() <= (MOST_LIGHT if most is None else most) else rows
+
+
 def join_hubs(rows: DataFrame, per_key: DataFrame, key: str, n: str, by: str, least: int = 256, salts: int = 64) -> DataFrame:
     """``rows`` inner-joined with ``per_key`` (unique ``key``, ``n`` rows of it), keys of many rows dealt over ``salts`` tasks by a hash of ``by``.
 

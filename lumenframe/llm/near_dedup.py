@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import KEY, join_hubs, numbered, small_batches, stage_table
+from lumenframe.llm.common import KEY, join_hubs, light, numbered, small_batches, stage_table
 from lumenframe.llm.components import connected_components
 
 #: Most index entries of one cell that one task compares against at once.
@@ -318,9 +318,9 @@ def keep_first(rows: DataFrame, found: DataFrame, *group: Column) -> DataFrame:
     """Of numbered ``rows``, one of each group of ``found`` (_f, _i, id, ..): the one of the smallest id (nulls last), the first such row."""
     keys = [g.alias(f"g{i}") for i, g in enumerate(group)]
     first = found.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", *KEY)).alias("m"))
-    # the rows that go are the fewer: Spark may broadcast them by their size where those that stay would move all texts
+    # the rows that go are the fewer
     gone = found.select(*KEY).join(first.select(*[F.col(f"m.{k}").alias(k) for k in KEY]), KEY, "left_anti")
-    return rows.join(stage_table(gone, "gone"), KEY, "left_anti").select("_all.*")
+    return rows.join(light(stage_table(gone, "gone")), KEY, "left_anti").select("_all.*")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -26,6 +26,7 @@ from lumenframe.llm.common import (
     count_kind,
     documents,
     let,
+    light,
     lower_ascii,
     matches,
     row_key,
@@ -163,7 +164,7 @@ def find(
         .groupBy("row")
         .agg(F.collect_set(span).cast(SPAN).alias("more"))
     )
-    joined = own.drop("toks").join(more, "row", "left")
+    joined = own.drop("toks").join(light(stage_table(more, "found")), "row", "left")
     all_spans = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
     return joined.select("id", *["_all"] * whole, "base", all_spans.alias("spans"))
 

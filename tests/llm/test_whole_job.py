@@ -48,6 +48,14 @@ def test_stage_drops_all_pairs_of_jaccard_08(spark):
     got = corpus_pipeline.dedup(spark, table(spark, texts), "")
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert corpus_pipeline.dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+    # the way for tables too large to broadcast
+    from lumenframe.llm import common
+
+    most, common.MOST_LIGHT = common.MOST_LIGHT, -1
+    try:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.dedup(spark, table(spark, texts), "").collect()) == want
+    finally:
+        common.MOST_LIGHT = most
 
 
 def test_discovered_identifiers_support_new_patterns(spark):
