@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import KEY, documents, let, numbered, stage_table
+from lumenframe.llm.common import KEY, documents, let, light, numbered, stage_table
 
 RESOLUTION, BLOCK_ROWS, BUCKET_ROWS, MOST_BLOCKS = 256, 4, 512, 1 << 22
 
@@ -156,7 +156,8 @@ def _of_rows(
 def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` in the mixed order. Every row stays, repeated ones too; an empty table gives an empty one.
 
-    Slots are dense, so a row's range of them is its partition: nothing is sampled to deal the rows out.
+    Slots are dense, so a row's range of them is its partition: nothing is sampled to deal the rows out, and
+    texts move once; they move twice in tables whose order is too long to broadcast.
     """
     rows = numbered(docs)
     own = stage_table(_of_rows(rows, **how).select(*KEY, "period", "slot", "in_block"), "order")
@@ -164,7 +165,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     slots_used = (own.agg(F.max(place)).first()[0] or 0) + 1
     tasks = min(slots_used, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = F.floor(place * tasks / slots_used).cast("int")
-    dealt = rows.join(own, KEY).withColumn("_at", at).repartitionById(tasks, "_at")
+    dealt = rows.join(light(own), KEY).withColumn("_at", at).repartitionById(tasks, "_at")
     return dealt.sortWithinPartitions("period", "slot", "in_block").select("_all.*")
 
 
