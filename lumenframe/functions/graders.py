@@ -116,8 +116,7 @@ def time(t: Column, spec: dict) -> Column:
 
 
 def constraints(t: Column, spec: dict) -> Column:
-    c = clean(t)
-    return _result("constraints", [(~tx.holds(c, k), k["kind"]) for k in spec["constraints"]], "all constraints satisfied", "violations")
+    return _result("constraints", tx.violations(clean(t), spec["constraints"]), "all constraints satisfied", "violations")
 
 
 def fact_check(t: Column, spec: dict) -> Column:

@@ -21,14 +21,21 @@ SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 
 
+def once(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable, so that ``body`` may use it often and it is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalised(t: Column) -> Column:
     """Line ends become line feeds, outer white space goes. (Composed form: ``graders.nfc`` before, where it matters.)"""
-    lines = F.regexp_replace(t, r"\r\n?", "\n")
-    return F.regexp_replace(lines, f"^{SPACE}+|{SPACE}+$", "")
+    lines = F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
+    # most texts have no outer white space: their ends tell
+    open_ended = F.left(t, F.lit(1)).rlike(SPACE) | F.right(t, F.lit(1)).rlike(SPACE)
+    return F.when(open_ended, F.regexp_replace(lines, f"^{SPACE}+|{SPACE}+$", "")).otherwise(lines)
 
 
 def words(t: Column) -> Column:
-    return F.regexp_extract_all(t, F.lit(f"{NOT_SPACE}+"), F.lit(0))
+    return F.array_remove(F.split(t, f"{SPACE}+"), "")
 
 
 def lines(t: Column) -> Column:
@@ -202,9 +209,56 @@ def holds(t: Column, constraint: dict) -> Column:
     return F.coalesce(make(t, constraint), F.lit(False)) if make else F.lit(False)
 
 
+def violated_kinds(t: Column, constraints: list[dict]) -> Column:
+    """The kinds that do not hold, in the order given. ``t`` is computed once."""
+    return once(t, lambda x: F.filter(F.array(*[F.when(~holds(x, c), F.lit(c["kind"])) for c in constraints]), lambda y: y.isNotNull()))
+
+
+def _said(what: str, n: Column) -> Column:
+    return F.array(F.concat(F.lit(what), n.cast("string"), F.lit(" found")))
+
+
+def _of_each(c: dict, key: str, bad) -> Column:
+    """One violation per term of a list that breaks the rule."""
+    return F.filter(F.array(*[F.when(bad(x), F.lit(f"{c['kind']}: {x!r}")) for x in c[key]]), lambda y: y.isNotNull())
+
+
+def _of_lines(kind: str, values: Column, bad) -> Column:
+    """One violation per line or bullet that breaks the rule, by its number."""
+    return F.filter(F.transform(values, lambda x, i: F.when(bad(x), F.concat(F.lit(f"{kind}: number "), (i + 1).cast("string")))), lambda y: y.isNotNull())
+
+
+#: What was found, by kind: an array of texts that start with the kind. Other kinds say that they are not met.
+FOUND = {
+    **{k: (lambda t, c: _said(f"{c['kind']}: ", F.size(words(t)))) for k in ("word_count", "word_range", "word_limit")},
+    "sentence_count": lambda t, c: _said("sentence_count: ", F.size(sentences(t))),
+    "bullet_count": lambda t, c: _said("bullet_count: ", F.size(bullets(t))),
+    "numbered_list_count": lambda t, c: _said("numbered_list_count: ", F.regexp_count(t, F.lit(rf"(?md)^{SPACE}*\d+[.)]{SPACE}+"))),
+    "line_count": lambda t, c: _said("line_count: ", F.size(lines(t))),
+    "first_word": lambda t, c: F.array(F.concat(F.lit("first_word: "), F.coalesce(F.get(words(t), F.lit(0)), F.lit("none")))),
+    "last_word": lambda t, c: F.array(F.concat(F.lit("last_word: "), F.coalesce(F.try_element_at(words(t), F.lit(-1)), F.lit("none")))),
+    "term_occurrence": lambda t, c: _said(f"term_occurrence({c['term']!r}): ", occurrences(t, c["term"])),
+    "forbidden_terms": lambda t, c: _of_each(c, "terms", lambda x: term_matches(t, x)),
+    "required_terms": lambda t, c: _of_each(c, "terms", lambda x: ~has(t, x)),
+    "forbidden_chars": lambda t, c: _of_each(c, "chars", lambda x: F.contains(t, F.lit(x))),
+    "line_contains": lambda t, c: _of_each(c, "lines", lambda x: ~F.coalesce(has(F.get(lines(t), F.lit(ord(x) - ord("A"))), c["term"]), F.lit(False))),
+    "line_word_limit": lambda t, c: _of_lines("line_word_limit", lines(t), lambda x: F.size(words(x)) > c["max_words"]),
+    "bullet_word_limit": lambda t, c: _of_lines("bullet_word_limit", bullets(t), lambda x: F.size(words(bullet_text(x))) > c["max_words"]),
+    "line_prefix_sequence": lambda t, c: F.filter(
+        F.array(*[F.when(~F.coalesce(_stripped(F.get(lines(t), F.lit(i))).startswith(p), F.lit(False)), F.lit(f"line_prefix_sequence: line {i + 1}")) for i, p in enumerate(c["prefixes"])]),
+        lambda y: y.isNotNull(),
+    ),
+}
+
+
 def violations(t: Column, constraints: list[dict]) -> Column:
-    """The kinds that do not hold, in the order given."""
-    return F.filter(F.array(*[F.when(~holds(t, c), F.lit(c["kind"])) for c in constraints]), lambda x: x.isNotNull())
+    """Everything that breaks a constraint, in the order given: each text starts with its kind and says what was found."""
+
+    def of(x: Column, c: dict) -> Column:
+        found = FOUND.get(c["kind"], lambda t, c: F.array(F.lit(f"{c['kind']}: not met")))(x, c)
+        return F.when(holds(x, c), F.array().cast("array<string>")).otherwise(found)
+
+    return once(t, lambda x: F.flatten(F.array(*[of(x, c) for c in constraints])))
 
 
 def excerpt(t: Column, n: int) -> Column:
