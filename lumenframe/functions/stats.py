@@ -21,6 +21,15 @@ def coefficient_of_variation(value: str) -> Column:
     return F.when((F.count(value) >= 2) & (F.avg(value) > 0), F.stddev_pop(value) / F.avg(value))
 
 
+def exclusive_quartile(sorted_values: Column, i: int) -> Column:
+    """Quartile i (1 or 3) of a short sorted array, with exclusive positions i*(n+1)/4; null below four values. Of large groups: ``ranks``."""
+    n = F.size(sorted_values)
+    place = F.lit(i) * (n + 1)
+    j = F.greatest(F.lit(1), F.least(n - 1, F.floor(place / 4).cast("int")))
+    d = place - 4 * j
+    return F.when(n >= 4, (F.get(sorted_values, j - 1) * (4 - d) + F.get(sorted_values, j) * d) / 4)
+
+
 def ranks(rows: DataFrame, keys: list[str], value: str, pieces: int = 64) -> DataFrame:
     """Rows with their ``rank`` by value within their keys, from 1; ties have ranks of their own.
 
