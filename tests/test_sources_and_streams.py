@@ -82,3 +82,41 @@ def test_streams(spark, tmp_path):
     assert tallies.retries_by_window(spark.read.schema(tallies.RETRY_SCHEMA).json(str(log))).count() == 2
     loads = spark.createDataFrame([(999.0,), (1000.0,), (1000.5,), (None,)], "server_load_duration_ms double")
     assert tallies.reloads(loads).count() == 1
+
+
+def test_sqlite_files_are_read_in_ranges(spark, tmp_path):
+    """Rows of a file with gaps between its row ids; a column that the file lacks is null; the file cannot be written."""
+    import sqlite3
+
+    import pytest
+
+    from lumenframe.sources import sqlite
+
+    path = str(tmp_path / "r uns.db")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE runs (run_id INTEGER PRIMARY KEY, task TEXT, is_warmup INTEGER, ms REAL)")
+    db.executemany("INSERT INTO runs VALUES (?, ?, ?, ?)", [(i * i, f"t{i}", i % 2, None if i == 3 else i / 2) for i in range(20)])
+    db.execute("CREATE TABLE none (x INTEGER)")
+    db.commit()
+    db.close()
+    schema = "run_id bigint, task string, is_warmup boolean, ms double, model_digest string"
+    got = sqlite.sqlite_table(spark, path, "runs", schema, 3)
+    assert sorted(map(tuple, got.collect())) == [(i * i, f"t{i}", i % 2 == 1, None if i == 3 else i / 2, None) for i in range(20)]
+    assert sqlite.sqlite_table(spark, path, "none", "x bigint").count() == 0
+    with pytest.raises(sqlite3.OperationalError):
+        sqlite.open_readonly(path).execute("DELETE FROM runs")
+
+
+def test_frozen_files_and_worktrees(spark, tmp_path):
+    import hashlib
+
+    from lumenframe.operators import audits
+
+    for name, text in (("a", "1"), ("b", "2"), ("c", "3")):
+        (tmp_path / name).write_text(text)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = audits.frozen_files(spark, str(tmp_path), {"a": sha("1"), "b": sha("x"), "d": sha("4")})
+    assert {r["name"]: r["state"] for r in got.collect()} == {"a": "same", "b": "changed", "c": "extra", "d": "missing"}
+    assert audits.files_there(spark, {"a": str(tmp_path / "a"), "z": str(tmp_path / "z")}) == {"a": True, "z": False}
+    lines = spark.createDataFrame([(" M src/x.py",), ("?? results/new",), ("R  old -> src/new.py",), ("",)], "line string")
+    assert sorted(r["path"] for r in audits.dirty_paths(lines, ["results/"]).collect()) == ["src/new.py", "src/x.py"]
