@@ -115,12 +115,12 @@ on_attempts("a18_prefill_by_state", """SELECT task_id, coalesce(prefill_cache_st
 on_attempts("a19_uncached_by_state", "SELECT task_id, coalesce(prefill_cache_state, 'UNKNOWN') AS state, uncached_count, count(*) AS n FROM attempts WHERE uncached_count IS NOT NULL GROUP BY ALL", lambda a, t: outputs.uncached_by_state(a, ["task_id"]))
 _RETRY = ", r AS (SELECT task_id, trial, verdict, raw_output FROM attempts WHERE model_config_id = 'view'), b AS (SELECT task_id, trial, verdict, raw_output FROM attempts WHERE model_config_id = 'click')"
 _arm = lambda a, x: a.where(F.col("model_config_id") == x).select("task_id", "trial", "verdict", "raw_output")
-_bucket = F.when(F.col("old") == "", "unknown").when(F.contains(F.lower("new"), F.lower(F.trim("old"))) | F.contains(F.lower("old"), F.lower(F.trim("new"))), "contract_only").otherwise("content_change")
+_bucket = lambda: F.when(F.col("old") == "", "unknown").when(F.contains(F.lower("new"), F.lower(F.trim("old"))) | F.contains(F.lower("old"), F.lower(F.trim("new"))), "contract_only").otherwise("content_change")
 on_attempts("a33_content_changes", _RETRY + """, j AS (SELECT r.verdict, lower(r.raw_output) AS n, lower(coalesce(b.raw_output, '')) AS o FROM r LEFT JOIN b USING (task_id, trial)),
   c AS (SELECT *, CASE WHEN verdict <> 'PASS' THEN NULL WHEN o = '' THEN 'unknown' WHEN contains(n, trim(o, ' ')) OR contains(o, trim(n, ' ')) THEN 'contract_only' ELSE 'content_change' END AS bucket FROM j)
   SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'PASS') AS recovered, count(*) FILTER (WHERE verdict <> 'PASS') AS still_fail, round(count(*) FILTER (WHERE verdict = 'PASS') / count(*), 4) AS recovery_rate,
   count(*) FILTER (WHERE bucket = 'contract_only') AS contract_only, count(*) FILTER (WHERE bucket = 'content_change') AS content_change, count(*) FILTER (WHERE bucket = 'unknown') AS "unknown" FROM c""",
-    lambda a, t: outputs.content_changes(_arm(a, "view"), _arm(a, "click"), ["task_id", "trial"], _bucket))
+    lambda a, t: outputs.content_changes(_arm(a, "view"), _arm(a, "click"), ["task_id", "trial"], _bucket()))
 on_attempts("a34_recovery_uplift", _RETRY + """, u AS (SELECT b.verdict AS o, coalesce(x.verdict, b.verdict) AS n FROM b LEFT JOIN (SELECT * FROM r WHERE trial = 1) x USING (task_id, trial))
   SELECT count(*) FILTER (WHERE o = 'PASS') AS passes, count(*) FILTER (WHERE n = 'PASS') AS passes_after, round(count(*) FILTER (WHERE o = 'PASS') / count(*), 4) AS rate,
   round(count(*) FILTER (WHERE n = 'PASS') / count(*), 4) AS rate_after, round((count(*) FILTER (WHERE n = 'PASS') - count(*) FILTER (WHERE o = 'PASS')) / count(*), 4) AS uplift FROM u""",

@@ -163,3 +163,13 @@ def test_asserted_values(spark):
     assert one(spark, failures.render_numeric, "Answer: 1.50e2\n150", "answer is 1\n2", "7.0", "about 7", None) == ["150", None, "7", None, None]
     df = spark.createDataFrame([("so it is x y", "x y"), ("a", "b")], "a string, b string")
     assert [r[0] for r in df.select(failures.content_change(F.col("a"), F.col("b"), "exact")).collect()] == ["recovered_contract_only", "recovered_with_content_change"]
+
+
+def test_entry_is_imported_without_a_session():
+    """In a process of its own: queries are listed before Spark starts."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
