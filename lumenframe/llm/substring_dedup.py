@@ -8,7 +8,7 @@ distance, so they meet in one bucket, where rows are sorted and windows compared
 whole: nothing rests on a hash.
 
 Packing. Words are replaced by codes of one or two bytes if they are among the
-corpus' most frequent (``CODED``; counted over all texts, exact), and are
+corpus' most frequent (``CODED`` at most, counted over all texts), and are
 spelled out with their length otherwise. The code only makes strings shorter.
 
 Hot passages. A scan task keeps up to ``HELD`` super-k-mers; of equal ones the
@@ -20,35 +20,64 @@ grouped by their whole content with minima on the map side.
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents, drop_table, numbered, small_batches, stage_table, text_of
+from lumenframe.llm.common import documents, drop_table, let, numbered, small_batches, stage_table, text_of
 from lumenframe.plans.staged import stored_bytes
 
 WINDOW, SEED = 20, 3
 #: Words with codes: ONE of one byte, the rest of two. 255 spells a word.
 ONE, CODED = 100, 100 + 155 * 256
-LONGEST_CODED = 40
-HELD, GROUP, GROUP_BYTES = 100_000, 4096, 64 << 20
+LONGEST_CODED, COUNTED = 40, 1 << 18
+HELD, GROUP, GROUP_BYTES = 50_000, 4096, 16 << 20
 #: Marks that a join with texts may broadcast, in bytes as stored.
-LIGHT_BYTES = 24 << 20
-GAPS = r"[\x20\x09-\x0D]+"
+LIGHT_BYTES = 4 << 20
 LEAST_ID = -(1 << 63)
 PLACE = ["d", "f", "i", "start"]
 
 
-def frequent_words(docs: DataFrame, text_col: str) -> list[bytes]:
-    """The corpus' most frequent short words, most frequent first: at most ``CODED``."""
-    found = docs.select(F.explode(F.split(text_of(text_col), GAPS, -1)).alias("w")).where((F.col("w") != "") & (F.length("w") <= LONGEST_CODED))
-    top = found.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(CODED)
-    return [r["w"].encode() for r in top.collect()]
+def local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow step: short words with their counts. Of each ``COUNTED`` distinct words those met once are left out: the code is for frequent ones."""
+    schema = pa.schema([("w", pa.binary()), ("n", pa.int64())])
+
+    def out() -> pa.RecordBatch:
+        rows = [(w, n) for w, n in counts.items() if n > 1 and len(w) <= LONGEST_CODED]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], schema=schema)
+
+    counts = Counter()
+    for b in batches:
+        for t in b.column("text").cast(pa.binary()):
+            counts.update(t.as_py().split())
+        if len(counts) > COUNTED:
+            yield out()
+    yield out()
+
+
+def frequent_words(docs: DataFrame) -> list[bytes]:
+    """The most frequent short words of all texts, most frequent first: at most ``CODED`` reach the driver.
+
+    They bear on the length of packed strings alone, never on the result.
+    """
+    counted = stage_table(docs.select("text").mapInArrow(local_counts, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
+    step = F.floor(F.log2("n") * 16)
+    sizes = {r["k"]: r["c"] for r in counted.groupBy(step.alias("k")).agg(F.count("*").alias("c")).collect()}  # 16 steps a power of two
+    least, room = None, CODED
+    for k in sorted(sizes, reverse=True):
+        room -= sizes[k]
+        if room < 0:
+            break
+        least = k
+    top = [] if least is None else counted.where(step >= least).collect()
+    drop_table(counted)
+    return [bytes(r["w"]) for r in sorted(top, key=lambda r: (-r["n"], bytes(r["w"])))]
 
 
 class Vocabulary(dict):
@@ -155,7 +184,7 @@ def packer(frequent: list[bytes], window: int, seed: int, held_most: int = HELD)
                     seen.append(place)
             if len(held) + len(seen) > held_most:
                 yield out()
-            if len(vocabulary.codes) > 1 << 20:
+            if len(vocabulary.codes) > COUNTED:
                 vocabulary.start()
         yield out()
 
@@ -250,11 +279,18 @@ def bucket(window: int, group: int = GROUP, group_bytes: int = GROUP_BYTES):
     return run
 
 
+def joined(ranges: Column) -> Column:
+    """Ranges in order, of rising ends, with those that touch put together."""
+    n = F.size(ranges)
+    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ranges, i)["start"] > F.get(ranges, i - 1)["stop"]))
+    return let(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(ranges, i)["start"].alias("start"), F.get(ranges, F.coalesce(F.get(h, k + 1), n) - 1)["stop"].alias("stop"))))
+
+
 def repeated_words(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, group: int, held: int) -> DataFrame:
     """(f, i, runs): of each document with repeated windows, the word ranges [start, stop) they cover, sorted. ``docs`` is ``numbered``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 20_000, 4)
     source = docs.select(F.coalesce(F.col(f"_all.`{id_col}`").cast("bigint"), F.lit(LEAST_ID)).alias("d"), F.col("_f").alias("f"), F.col("_i").alias("i"), text_of(f"_all.{text_col}").alias("text"))
-    frequent = frequent_words(source, "text")
+    frequent = frequent_words(source)
     sent = source.mapInArrow(packer(frequent, window, seed, held), OUT_DDL)
     sorted_rows = sent.repartition("mini").sortWithinPartitions("mini", "packed", *PLACE)
     marks = stage_table(sorted_rows.mapInArrow(bucket(window, group), MARK_DDL), "repeat-marks")
@@ -263,7 +299,7 @@ def repeated_words(docs: DataFrame, id_col: str, text_col: str, window: int, see
     firsts = single.groupBy("window").agg(F.min(place).alias("p")).select("p.*")
     again = single.join(firsts, PLACE, "left_anti").drop("window")
     both = marks.where("window is null").drop("window").unionByName(again)
-    runs = both.groupBy("f", "i").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    runs = both.groupBy("f", "i").agg(joined(F.array_sort(F.collect_list(F.struct("start", "stop")))).alias("runs"))
     out = stage_table(runs, "repeat-runs")
     drop_table(marks)
     return out
