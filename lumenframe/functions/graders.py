@@ -1,25 +1,23 @@
 """Graders: what a specification asks of an output, as result structs (grader_type, passed, detail, violations).
 
-A specification is a constant, so each grader is an expression that Catalyst
-folds. Python runs for two steps only, in Arrow batches: the composed Unicode
-form (``nfc``) and the reading of JSON outputs (``structured``, ``tool_call``).
+A specification is a constant here, so each grader is an expression that Catalyst
+folds. Specifications as rows: ``spec_rows``.
 """
 
 from __future__ import annotations
 
-import math
+import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from lumenframe.functions import structured as sd
 from lumenframe.functions import text as tx
-from lumenframe.functions.text import plain, read_json
+from lumenframe.functions.json_values import nfc
+from lumenframe.functions.text import plain
 
 RESULT = "struct<grader_type:string,passed:boolean,detail:string,violations:array<string>>"
 #: Outputs that count as a refusal.
@@ -27,12 +25,6 @@ REFUSALS = ("cannot determine", "not established", "unknown", "insufficient info
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 
-@F.pandas_udf(StringType())
-def nfc(t: pd.Series) -> pd.Series:
-    """Composed form; a text in ASCII is left as it is."""
-    return t.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
-
-
 def clean(t: Column) -> Column:
     return tx.normalised(nfc(F.coalesce(t, F.lit(""))))
 
@@ -147,110 +139,15 @@ def rubric_judge(t: Column, spec: dict) -> Column:
     return _verdict("rubric_judge", F.lit(n > 0), f"left to a judge: {n} criteria", "rubric judge requires criteria")
 
 
-def equal(want, got) -> bool:
-    """Truth values only equal truth values; numbers within 1e-9, also inside a string; strings after clean-up."""
-    if isinstance(want, bool) or isinstance(got, bool):
-        return want is got
-    if isinstance(want, (int, float)):
-        number = _number_in(got)
-        return number is not None and math.isclose(number, want, rel_tol=0, abs_tol=1e-9)
-    if isinstance(want, str):
-        return isinstance(got, str) and plain(want) == plain(got)
-    return want == got
-
-
-def differences(want, got, path: str) -> Iterator[str]:
-    """What keeps ``got`` from holding ``want``: objects may have more keys, arrays hold the same elements in any order."""
-    if isinstance(want, dict):
-        if isinstance(got, dict):
-            for key, inner in want.items():
-                yield from differences(inner, got[key], f"{path}.{key}") if key in got else [f"{path}.{key}: missing required field"]
-        else:
-            yield f"{path}: expected object"
-    elif isinstance(want, list):
-        if not isinstance(got, list):
-            yield f"{path}: expected array"
-        elif len(want) != len(got):
-            yield f"{path}: expected {len(want)} items, got {len(got)}"
-        else:
-            free = dict(enumerate(got))
-            for i, inner in enumerate(want):
-                at = next((k for k, v in free.items() if equal(inner, v)), None)
-                if at is None:
-                    yield f"{path}[{i}]: no unmatched element, expected {inner!r}"
-                else:
-                    del free[at]
-    elif not equal(want, got):
-        yield f"{path}: expected {want!r}, got {got!r}"
-
-
-def _structured_faults(got: dict, spec: dict) -> Iterator[str]:
-    needed, free_text = spec["required_fields"], spec.get("open_values", [])
-    yield from (f"{f}: missing required field" for f in needed if f not in got)
-    extra = set(got) - set(needed) - {o["field"] for o in free_text}
-    if extra and not spec.get("allow_extra_fields", True):
-        yield f"extra fields not allowed: {sorted(extra)}"
-    yield from differences(spec.get("expected_output") or {}, got, "$")
-    for name, rule in spec.get("numeric_fields", {}).items():
-        if name in got:
-            a, b = _number_in(got[name]), _number_in(str(rule.get("expected", got[name])))
-            if a is None or b is None or abs(a - b) > float(rule.get("absolute_tolerance", 0)):
-                yield f"{name}: numeric mismatch or out of tolerance"
-    for rule in free_text:
-        name, value = rule["field"], got.get(rule["field"])
-        if value is None:
-            continue
-        if not isinstance(value, str):
-            yield f"{name}: expected string value"
-            continue
-        n, span = len(plain(value).split()), rule.get("word_range")
-        if span and not span["min"] <= n <= span["max"]:
-            yield f"{name}: {n} words outside {span['min']}-{span['max']}"
-        yield from (f"{name}: missing required term {w!r}" for w in rule.get("required_terms", []) if w.lower() not in plain(value).lower())
-
-
-def _call_faults(got: dict, spec: dict) -> Iterator[str]:
-    want, name, args = spec["expected_output"], got.get("function"), got.get("arguments")
-    if name != want["function"]:
-        yield f"function: expected {want['function']!r}, got {name!r}"
-    if name in spec.get("forbidden_functions", []):
-        yield f"forbidden function selected: {name}"
-    if not isinstance(args, dict):
-        yield "arguments: expected object"
-        return
-    for key, value in want["arguments"].items():
-        if key not in args:
-            yield f"arguments.{key}: missing"
-        elif not equal(value, args[key]):
-            yield f"arguments.{key}: expected {value!r}, got {args[key]!r}"
-    extra = set(args) - set(spec.get("required_arguments", {}).get(want["function"], want["arguments"]))
-    if extra:
-        yield f"arguments: unexpected keys {sorted(extra)}"
-
-
-def _json_grader(kind: str, faults):
+def _json_grader(kind: str, compile_spec):
     def grader(t: Column, spec: dict) -> Column:
-        def judge(raw: str | None) -> tuple:
-            try:
-                got = read_json(raw)
-            except ValueError:
-                return kind, False, "not valid JSON", []
-            if not isinstance(got, dict):
-                return kind, False, "expected JSON object", []
-            found = list(faults(got, spec))
-            return kind, not found, "violations" if found else "all checks passed", found
-
-        @F.pandas_udf(RESULT)
-        def run(outputs: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([judge(x) for x in outputs], columns=["grader_type", "passed", "detail", "violations"])
-
-        return run(t)
+        return sd.graded(t, F.from_json(F.lit(json.dumps(compile_spec(spec))), sd.SPEC), kind)
 
     return grader
 
 
-structured = _json_grader("structured", _structured_faults)
-tool_call = _json_grader("tool_call", _call_faults)
+structured = _json_grader("structured", sd.structured_spec)
+tool_call = _json_grader("tool_call", sd.call_spec)
 
 GRADERS = {
     "exact": exact, "numeric": numeric, "time": time, "structured": structured, "tool_call": tool_call, "constraints": constraints,

@@ -7,14 +7,11 @@ dispatch table; an unknown kind never holds.
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 #: Unicode white space, as a class for Java's regular expressions.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -27,7 +24,7 @@ def once(value: Column, body) -> Column:
 
 
 def normalised(t: Column) -> Column:
-    """Line ends become line feeds, outer white space goes. (Composed form: ``graders.nfc`` before, where it matters.)"""
+    """Line ends become line feeds, outer white space goes. (Composed form: ``json_values.nfc`` before, where it matters.)"""
     lines = F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
     # most texts have no outer white space: their ends tell
     open_ended = F.left(t, F.lit(1)).rlike(SPACE) | F.right(t, F.lit(1)).rlike(SPACE)
@@ -139,25 +136,12 @@ def plain(s: str) -> str:
     return re.sub(r"\r\n?", "\n", unicodedata.normalize("NFC", s)).strip()
 
 
-def read_json(raw: str | None):
-    """The JSON value of an output; one fence around all of it may stand. Raises ValueError."""
-    body = plain(raw or "")
-    fenced = re.fullmatch(r"```(?:json)?\s*\n?(.*?)\n?```", body, re.DOTALL)
-    return json.loads(fenced[1].strip() if fenced else body)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def json_strings(t: pd.Series) -> pd.Series:
+def json_strings(t: Column) -> Column:
     """The values of a JSON object that are strings; null if the text is no JSON object."""
+    from lumenframe.functions import json_values as jv
 
-    def of(raw: str | None) -> list[str] | None:
-        try:
-            got = read_json(raw)
-        except ValueError:
-            return None
-        return [v for v in got.values() if isinstance(v, str)] if isinstance(got, dict) else None
-
-    return t.map(of)
+    values = F.transform(F.map_values(jv.members(jv.tagged(jv.body(t)))), jv.scalar)
+    return F.transform(F.filter(values, lambda x: x["kind"] == "string"), lambda x: x["text"])
 
 
 def _term_count(t: Column, c: dict) -> Column:
