@@ -54,3 +54,18 @@ def offset(done: DataFrame, group: list[str], name: str) -> DataFrame:
     starts = totals.select(*group, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     both = cut.alias("l").join(starts.alias("r"), same_keys("l", "r", ["_range", *group]))
     return both.select(*[F.col(f"l.`{c}`") for c in done.columns if c != "_at"], (F.col("l._at") + F.col("r._shift")).alias(name))
+
+
+def running_total(placed_rows: DataFrame, group: list[str], value: Column, name: str, place: str = "place", piece: int = 100_000) -> DataFrame:
+    """Rows of ``placed`` with the sum of ``value`` up to and with each row of its group, by place.
+
+    Sums run within pieces of ``piece`` places; what stands before a piece comes
+    from the pieces' totals, a row each.
+    """
+    cut = placed_rows.withColumn("_v", value).withColumn("_piece", F.expr(f"(`{place}` - 1) div {piece}"))
+    totals = cut.groupBy(*group, "_piece").agg(F.sum("_v").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(*group, "_piece", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = cut.withColumn("_own", F.sum("_v").over(Window.partitionBy(*group, "_piece").orderBy(place)))
+    both = inside.alias("l").join(starts.alias("r"), same_keys("l", "r", ["_piece", *group]))
+    return both.select(*[F.col(f"l.`{c}`") for c in placed_rows.columns], (F.col("l._own") + F.col("r._before")).alias(name))
