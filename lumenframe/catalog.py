@@ -293,7 +293,7 @@ def majority_vote(spark, sf_dir):
 @query("a54_population_hash", """SELECT user_id, sha256(string_agg(concat(event_id, '|', event_type), chr(10) ORDER BY concat(event_id, '|', event_type))) AS hash, count(*) AS n FROM events GROUP BY 1""")
 def population_hash(spark, sf_dir):
     line = F.concat_ws("|", F.col("event_id").cast("string"), "event_type")
-    return judging.population_hash(table(spark, sf_dir, "events"), ["event_id"], line, ["user_id"])
+    return judging.population_hash(table(spark, sf_dir, "events"), line, ["user_id"])
 
 
 @query("k04_upsert_last_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -445,12 +445,6 @@ def exact_grader(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", graders.exact(said, spec)["passed"].alias("passed"))
 
 
-@query("r04_structured_grader", "SELECT event_id, abs(CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50) <= 25 AS passed FROM events")
-def structured_grader(spark, sf_dir):
-    spec = {"required_fields": ["k"], "allow_extra_fields": False, "numeric_fields": {"k": {"expected": 50, "absolute_tolerance": 25}}}
-    return table(spark, sf_dir, "events").select("event_id", graders.structured(F.col("props"), spec)["passed"].alias("passed"))
-
-
 @query("r07_fact_check", r"""SELECT doc_id, contains(lower(t), 'the') AND NOT contains(lower(t), 'password') AND len(regexp_extract_all(t, '\S+')) BETWEEN 50 AND 2000 AS passed
   FROM (SELECT doc_id, trim(text) AS t FROM documents)""")
 def fact_check(spark, sf_dir):
@@ -471,12 +465,6 @@ def asserted_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", failures.asserted_status(failures.asserted(said, "numeric")).alias("status"))
 
 
-@query("x33_render_numeric", "SELECT p_partkey, concat(p_size::VARCHAR, '.5') AS rendered FROM part")
-def rendered(spark, sf_dir):
-    said = F.concat(F.lit("so\nAnswer: "), F.col("p_size").cast("string"), F.lit(".50"))
-    return table(spark, sf_dir, "part").select("p_partkey", failures.render_numeric(said).alias("rendered"))
-
-
 @query("g02_identity_mismatch", f""", a AS (SELECT DISTINCT task_id, trial, 1 AS l FROM trials WHERE model_config_id = '{BASE}'),
   b AS (SELECT DISTINCT task_id, trial, 1 AS r FROM trials WHERE model_config_id = '{CAND}')
   SELECT count(*) FILTER (WHERE r IS NULL) AS only_left, count(*) FILTER (WHERE l IS NULL) AS only_right, count(*) FILTER (WHERE l IS NULL OR r IS NULL) = 0 AS ok
@@ -497,7 +485,8 @@ def drift_within_arm(spark, sf_dir):
 
 
 # queries over attempts and tasks
-from lumenframe import catalog_runs  # noqa: E402
+from lumenframe import catalog_runs, catalog_values  # noqa: E402
 
-QUERIES |= catalog_runs.QUERIES
-SQL |= catalog_runs.SQL
+for _more in (catalog_runs, catalog_values):
+    QUERIES |= _more.QUERIES
+    SQL |= _more.SQL

@@ -168,7 +168,6 @@ on_attempts("o12_registry_order", "SELECT t.ordinal, count(*) AS n FROM attempts
 # prompts, identifiers, code
 on_attempts("x17_execution_ids", "SELECT DISTINCT experiment_id AS id, 'spec' AS spec, model_config_id AS model FROM attempts",
     lambda a, t: a.select(runs.execution_id(F.lit("spec"), F.col("model_config_id")).alias("id")).distinct().select("id", runs.execution_parts(F.col("id")).alias("p")).select("id", "p.spec", "p.model"))
-on_attempts("x18_canonical_classes", "SELECT run_id, CASE WHEN raw_output LIKE '{%' THEN '{\"a\": 1, \"k\": ' || (k % 3) || '}' ELSE 'UNPARSEABLE' END AS class FROM attempts", lambda a, t: a.select("run_id", outputs.canonical_json(F.col("raw_output")).alias("class")))
 _S = {k: v.replace("'", "''") for k, v in prompts.SUFFIXES.items()}
 on_attempts("x30_retry_prompts", f"""SELECT task_id, sha256('Task ' || task_id || chr(10) || chr(10) || s) AS rendered_sha256, sha256(s) AS suffix_sha256 FROM (SELECT task_id, CASE primary_class WHEN 'numeric' THEN '{_S["numeric"]}'
   WHEN 'structured' THEN '{_S["json"]}' || CASE WHEN task_id % 8 = 2 THEN chr(10) || 'Required keys: a, k.' ELSE '' END ELSE '{_S["exact"]}' END AS s FROM tasks)""",

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from decimal import Decimal, InvalidOperation
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lumenframe.functions import text as tx
 
@@ -23,6 +19,7 @@ STRUCTURED_MODES = (
     ("expected", "CONTENT_ERROR"), ("missing field", "STRUCTURE_ERROR"), ("extra field", "STRUCTURE_ERROR"),
     ("not valid JSON", "STRUCTURE_ERROR"), ("schema", "STRUCTURE_ERROR"),
 )
+#: What marks a line that asserts an answer, and the spelling of times and numbers there.
 MARKERS = ("final answer", "answer is", "answer:", "boxed{", "✅")
 CLOCK = r"\d{1,2}:\d{2}(?:\s?[APap]\.?[Mm]\.?)?"
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
@@ -114,33 +111,46 @@ def content_change(before: Column, after: Column, kind: str) -> Column:
     return F.when(F.contains(before, tx.normalised(after)) | (tx.normalised(before) == tx.normalised(after)), same).otherwise(other)
 
 
-_JSON_NUMBER = r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)"
-_SAID = re.compile(rf"\s*(?:final\s+answer|answer)(?:\s+is)?\s*[:\-]?\s*{_JSON_NUMBER}\s*", re.IGNORECASE)
-_ALONE = re.compile(rf"\s*{_JSON_NUMBER}\s*")
+#: How a line says its answer; the spelling of a number; the longest spelling and the digits that count.
+JSON_NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"
+SAID = rf"(?i)^{tx.SPACE}*(?:final{tx.SPACE}+answer|answer)(?:{tx.SPACE}+is)?{tx.SPACE}*[:\-]?{tx.SPACE}*({JSON_NUMBER}){tx.SPACE}*$"
+ALONE = rf"^{tx.SPACE}*({JSON_NUMBER}){tx.SPACE}*$"
+LONGEST, DIGITS = 128, 28
 
 
-def _decimal(number: str) -> str | None:
-    """Plain decimal spelling without exponent or trailing zeros, of at most 128 characters."""
-    try:
-        value = Decimal(number)
-    except InvalidOperation:
-        return None
-    if not value:
-        return "0"
-    if abs(value.adjusted()) > 200:
-        return None
-    out = f"{value.normalize():f}"
-    return out if len(out) <= 128 else None
+def plain_decimal(n: Column) -> Column:
+    """A JSON number without exponent and outer zeros, to ``DIGITS`` digits (half to even); null beyond ``LONGEST`` characters.
 
-
-def _rendered(raw: str | None) -> str | None:
-    rows = [x for x in (raw or "").splitlines() if x.strip()]
-    hits = [_SAID.fullmatch(x) for x in rows] + [_ALONE.fullmatch(x) for x in rows[-1:]]
-    found = {_decimal(h[1]) for h in hits if h} - {None}
-    return found.pop() if len(found) == 1 else None
-
-
-@F.pandas_udf(StringType())
-def render_numeric(t: pd.Series) -> pd.Series:
-    """The one number that a text asserts, spelled plainly; null if there is none or more than one. (Decimals beyond 38 digits.)"""
-    return t.map(_rendered)
+    Digits stay text: the value is 0.digits * 10**point, whatever its size.
+    """
+    part = lambda i: F.regexp_extract(n, r"^-?(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$", i)
+    power = F.when(part(3) == "", F.lit(0)).otherwise(part(3).try_cast("int"))
+
+    def of(digits: Column) -> Column:
+        own = F.ltrim(digits, F.lit("0"))
+        point = F.length(part(1)) + power - (F.length(digits) - F.length(own))
+        head, rest = F.left(own, F.lit(DIGITS)), F.substring(own, F.lit(DIGITS + 1), F.length(own))
+        half = F.rpad(F.lit("5"), F.length(rest), F.lit("0"))
+        up = (rest > half) | ((rest == half) & F.right(head, F.lit(1)).isin(*"13579"))
+        rounded = F.when((F.length(own) > DIGITS) & up, (head.cast("decimal(38,0)") + 1).cast("decimal(38,0)").cast("string")).otherwise(head)
+        return tx.once(
+            F.struct(F.rtrim(rounded, F.lit("0")).alias("d"), (point + F.length(rounded) - F.length(head)).alias("p"), (own == "").alias("zero")),
+            lambda x: F.when(x["zero"], "0").when(F.abs(x["p"]) <= 2 * LONGEST, F.concat(F.when(n.startswith("-"), "-").otherwise(""), spelled(x["d"], x["p"]))),
+        )
+
+    def spelled(d: Column, p: Column) -> Column:
+        whole = F.rpad(d, p, F.lit("0"))
+        inner = F.concat(F.left(d, p), F.lit("."), F.substring(d, p + 1, F.length(d)))
+        return F.when(p >= F.length(d), whole).when(p > 0, inner).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+
+    out = tx.once(F.concat(part(1), part(2)), of)
+    return tx.once(out, lambda x: F.when(F.length(x) <= LONGEST, x))
+
+
+def render_numeric(t: Column) -> Column:
+    """The one number that a text asserts, spelled plainly; null if there is none or more than one."""
+    lines = F.filter(F.split(F.coalesce(t, F.lit("")), r"\R|[\x1C-\x1E]"), lambda x: x.rlike(tx.NOT_SPACE))
+    said = F.transform(lines, lambda x: F.regexp_extract(x, SAID, 1))
+    last = F.regexp_extract(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), ALONE, 1)
+    found = F.array_distinct(F.filter(F.transform(F.filter(F.concat(said, F.array(last)), lambda x: x != ""), plain_decimal), lambda x: x.isNotNull()))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))

@@ -1,137 +1,149 @@
-"""Judge responses: JSON of a fixed schema, with evidence kept only if it stands in the judged text. Arrow-batched Python.
+"""Judge responses: JSON of a fixed schema, with evidence kept only if it stands in the judged text. Column expressions over tagged variants.
 
 A response that breaks the protocol is a row with an ``error``, so that one bad
 row doesn't stop a scan; ``judging.require`` or a filter decides what follows.
+Of several faults the first in the order below is named. Repeated keys need
+``json_values.last_key_wins`` around the plan; without it they are no JSON.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Schema names and words of the protocol.
+from lumenframe.functions import json_values as jv
+from lumenframe.functions import text as tx
+
+#: Schema names and words of the protocol, and the keys under which its parts may stand.
 RUBRIC_SCHEMA, PAIR_SCHEMA = "judge-rubric-v1", "judge-pair-v1"
 CONFIDENCE, DECISIONS = ("low", "medium", "high"), ("A", "B", "TIE", "NEITHER")
+NAME_KEYS, QUOTE_KEYS, SIDE_KEYS = ("criterion_id", "id", "key"), ("quote", "text"), ("candidate", "label")
 RUBRIC = "struct<error:string,abstain:boolean,criteria:map<string,struct<observed:boolean,confidence:string,evidence:array<string>>>,pruned_evidence:int>"
 PAIR = "struct<error:string,decision:string,confidence:string,abstain:boolean,evidence:array<struct<candidate:string,quote:string>>,pruned_evidence:int>"
+_QUOTES = "array<struct<candidate:string,quote:string>>"
 
 
-class Refused(ValueError):
-    """The response breaks the protocol."""
+def _body(raw: Column) -> Column:
+    """Without outer white space and one fence of three ticks."""
+    bare = tx._stripped(F.coalesce(raw, F.lit("")))
+    fenced = (F.length(bare) >= 6) & bare.startswith("```") & bare.endswith("```")
+    return F.when(fenced, tx._stripped(F.substring(bare, F.lit(4), F.length(bare) - 6))).otherwise(bare)
 
 
-def _need(fine: bool, what: str) -> None:
-    if not fine:
-        raise Refused(what)
+def _field(own: Column, *names: str) -> Column:
+    """The value of the first of these keys that is there."""
+    out = F.when(F.map_contains_key(own, "s" + names[0]), F.try_element_at(own, F.lit("s" + names[0])))
+    for n in names[1:]:
+        out = out.when(F.map_contains_key(own, "s" + n), F.try_element_at(own, F.lit("s" + n)))
+    return out
 
 
-def _payload(raw: str | None, schema: str) -> dict:
-    body = (raw or "").strip()
-    if len(body) >= 6 and body.startswith("```") and body.endswith("```"):
-        body = body[3:-3].strip()
-    try:
-        got = json.loads(body)
-    except ValueError:
-        raise Refused("response is not JSON") from None
-    _need(isinstance(got, dict) and got.get("schema_version") == schema, "invalid response schema")
-    _need(isinstance(got.get("abstain"), bool), "abstain must be boolean")
-    return got
+def _of_kind(v: Column, kind: str) -> Column:
+    return tx.once(jv.scalar(v), lambda x: F.when(x["kind"] == kind, x["text"]))
 
 
-def _either(entry: dict, *names: str):
-    """The value of the first of these keys that is there."""
-    return next((entry[n] for n in names if n in entry), None)
+def _text(v: Column) -> Column:
+    return _of_kind(v, "string")
 
 
-def _quotes(evidence) -> list[str] | None:
-    """Evidence as quotes; null if it has no shape of evidence."""
-    if isinstance(evidence, str):
-        evidence = [evidence]
-    if not isinstance(evidence, list):
-        return None
-    out = [_either(q, "quote", "text") if isinstance(q, dict) else q for q in evidence]
-    _need(all(isinstance(q, str) for q in out), "invalid evidence")
-    return out
+def _flag(v: Column) -> Column:
+    return _of_kind(v, "bool") == "true"
 
 
-def rubric(raw: str | None, criteria: Iterable[str], candidate: str) -> tuple:
-    """(abstain, criteria, pruned) of a rubric response."""
-    got = _payload(raw, RUBRIC_SCHEMA)
-    seen = got.get("criteria")
-    if isinstance(seen, list):
-        _need(all(isinstance(e, dict) for e in seen), "criterion result is not an object")
-        names = [_either(e, "criterion_id", "id", "key") for e in seen]
-        _need(all(isinstance(n, str) for n in names) and len(set(names)) == len(names), "invalid criterion identifier")
-        seen = dict(zip(names, seen, strict=True))
-    _need(isinstance(seen, dict) and set(seen) == set(criteria), "criterion set mismatch")
-    out, pruned = {}, int(got.get("pruned_evidence", 0))
-    for name, result in seen.items():
-        _need(isinstance(result, dict), "criterion result is not an object")
-        _need(isinstance(result.get("observed"), bool), f"{name}: observed must be boolean")
-        _need(result.get("confidence") in CONFIDENCE, f"{name}: invalid confidence")
-        quotes = _quotes(result.get("evidence"))
-        kept = [q for q in quotes or [] if q in candidate]
-        pruned += 1 if quotes is None else len(quotes) - len(kept)
-        out[name] = {"observed": result["observed"], "confidence": result["confidence"], "evidence": kept}
-    return got["abstain"], out, pruned
-
-
-def _named_quotes(evidence) -> list | None:
-    """Evidence of a pair as (candidate, quote): from a list of objects, one object, or a map from candidates to quotes."""
-    if isinstance(evidence, dict):
-        single = ("candidate" in evidence or "label" in evidence) and ("quote" in evidence or "text" in evidence)
-        if not single:
-            return [(v.get("candidate", k), _either(v, "quote", "text")) if isinstance(v, dict) else (k, v) for k, v in evidence.items()]
-        evidence = [evidence]
-    if not isinstance(evidence, list):
-        return None
-    return [(_either(e, "candidate", "label"), _either(e, "quote", "text")) if isinstance(e, dict) else (None, None) for e in evidence]
-
-
-def pair(raw: str | None, candidates: dict[str, str]) -> tuple:
-    """(decision, confidence, abstain, evidence, pruned) of a pair response."""
-    got = _payload(raw, PAIR_SCHEMA)
-    _need(got.get("decision") in DECISIONS, "invalid decision")
-    _need(got.get("confidence") in CONFIDENCE, "invalid confidence")
-    said, pruned = _named_quotes(got.get("evidence")), int(got.get("pruned_evidence", 0))
-    stands = lambda c, q: isinstance(c, str) and isinstance(q, str) and q in candidates.get(c, "") and c in candidates
-    kept = [{"candidate": c, "quote": q} for c, q in said or [] if stands(c, q)]
-    pruned += 1 if said is None else len(said) - len(kept)
-    return got["decision"], got["confidence"], got["abstain"], kept, pruned
+def _count(v: Column) -> Column:
+    """Evidence that was dropped before; what is no number counts none."""
+    return F.coalesce(_of_kind(v, "number").try_cast("double").try_cast("int"), F.lit(0))
 
 
-def parse_rubric(response: Column, criteria: Column, candidate: Column) -> Column:
-    """``criteria``: array of the identifiers that the rubric has."""
+def _faults(*checks: tuple[Column, str]) -> Column:
+    """The text of the first check that does not hold."""
+    out = F.lit(None).cast("string")
+    for fine, what in reversed(checks):
+        out = F.when(~F.coalesce(fine, F.lit(False)), F.lit(what)).otherwise(out)
+    return out
+
 
-    @F.pandas_udf(RUBRIC)
-    def run(raw: pd.Series, names: pd.Series, text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, c, t in zip(raw, names, text, strict=True):
-            try:
-                rows.append((None, *rubric(r, c, t or "")))
-            except Refused as e:
-                rows.append((str(e), None, None, None))
-        return pd.DataFrame(rows, columns=["error", "abstain", "criteria", "pruned_evidence"]).astype({"abstain": "object", "pruned_evidence": "Int32"})
+def _quotes(evidence: Column) -> Column:
+    """Evidence as quotes, null for a quote that is no text; null if it has no shape of evidence."""
+    quote = lambda q: F.when(jv.members(q).isNotNull(), _text(_field(jv.members(q), *QUOTE_KEYS))).otherwise(_text(q))
+    return F.when(jv.elements(evidence).isNotNull(), F.transform(jv.elements(evidence), quote)).when(_text(evidence).isNotNull(), F.array(_text(evidence)))
 
-    return run(response, criteria, candidate)
+
+def parse_rubric(response: Column, criteria: Column, candidate: Column) -> Column:
+    """``criteria``: array of the identifiers that the rubric has; ``candidate``: the judged text (null: empty)."""
+    said = F.coalesce(candidate, F.lit(""))
+
+    def entry(e: Column) -> Column:
+        own, quotes = jv.members(e["v"]), _quotes(_field(jv.members(e["v"]), "evidence"))
+        fault = _faults(
+            (own.isNotNull(), "the result is no object"), (_flag(_field(own, "observed")).isNotNull(), "observed is neither true nor false"),
+            (_text(_field(own, "confidence")).isin(*CONFIDENCE), "no such confidence"), (quotes.isNull() | ~F.exists(quotes, lambda q: q.isNull()), "a quote is no text"),
+        )
+        kept = F.filter(quotes, lambda q: F.contains(said, q))
+        return F.struct(
+            e["name"].alias("name"), F.concat(e["name"], F.lit(": "), fault).alias("fault"), _flag(_field(own, "observed")).alias("observed"), _text(_field(own, "confidence")).alias("confidence"),
+            F.coalesce(kept, F.array().cast("array<string>")).alias("evidence"), F.when(quotes.isNull(), 1).otherwise(F.size(quotes) - F.size(kept)).alias("lost"),
+        )
+
+    def of(root: Column) -> Column:
+        own = jv.members(root)
+        given = _field(own, "criteria")
+        listed = F.transform(jv.elements(given), lambda v: F.struct(_text(_field(jv.members(v), *NAME_KEYS)).alias("name"), v.alias("v")))
+        mapped = F.transform(F.map_entries(jv.members(given)), lambda e: F.struct(F.substring(e["key"], F.lit(2), F.length(e["key"])).alias("name"), e["value"].alias("v")))
+        found = F.coalesce(listed, mapped)
+        names = F.transform(found, lambda e: e["name"])
+        wanted = F.array_distinct(criteria)
+        first = _faults(
+            (F.to_json(root).isNotNull(), "the response is no JSON"), (_text(_field(own, "schema_version")) == RUBRIC_SCHEMA, "the response has another schema"),
+            (_flag(_field(own, "abstain")).isNotNull(), "abstain is neither true nor false"), (found.isNotNull(), "there are no criteria"),
+            (~F.exists(F.coalesce(jv.elements(given), F.array().cast("array<variant>")), lambda v: jv.members(v).isNull()), "a listed result is no object"),
+            (~F.exists(names, lambda n: n.isNull()) & (F.size(F.array_distinct(names)) == F.size(names)), "results lack names of their own"),
+            ((F.size(F.array_except(wanted, names)) == 0) & (F.size(names) == F.size(wanted)), "other criteria than the rubric's"),
+        )
+
+        def judged(entries: Column) -> Column:
+            fault = F.coalesce(first, F.get(F.filter(F.transform(entries, lambda e: e["fault"]), lambda x: x.isNotNull()), F.lit(0)))
+            results = F.map_from_arrays(F.transform(entries, lambda e: e["name"]), F.transform(entries, lambda e: F.struct(e["observed"].alias("observed"), e["confidence"].alias("confidence"), e["evidence"].alias("evidence"))))
+            lost = _count(_field(own, "pruned_evidence")) + F.aggregate(entries, F.lit(0), lambda a, e: a + e["lost"])
+            return tx.once(fault, lambda bad: F.when(bad.isNotNull(), F.struct(bad, F.lit(None), F.lit(None), F.lit(None)).cast(RUBRIC)).otherwise(F.struct(bad, _flag(_field(own, "abstain")), results, lost).cast(RUBRIC)))
+
+        return tx.once(F.when(first.isNull(), F.transform(found, entry)), judged)
+
+    return tx.once(jv.tagged(_body(response)), of)
+
+
+def _named_quotes(evidence: Column) -> Column:
+    """Evidence of a pair as (candidate, quote): from a list of objects, one object, or a map from candidates to quotes; null if it is none of these."""
+    pair = lambda side, quote: F.struct(side.alias("candidate"), quote.alias("quote"))
+    one = lambda own: pair(_text(_field(own, *SIDE_KEYS)), _text(_field(own, *QUOTE_KEYS)))
+    has = lambda own, keys: F.coalesce(F.map_contains_key(own, "s" + keys[0]) | F.map_contains_key(own, "s" + keys[1]), F.lit(False))
+    whole = jv.members(evidence)
+
+    def named(e: Column) -> Column:
+        label, own = F.substring(e["key"], F.lit(2), F.length(e["key"])), jv.members(e["value"])
+        side = F.when(F.coalesce(F.map_contains_key(own, "scandidate"), F.lit(False)), _text(_field(own, "candidate"))).otherwise(label)
+        return pair(side, F.when(own.isNotNull(), _text(_field(own, *QUOTE_KEYS))).otherwise(_text(e["value"])))
+
+    return F.when(jv.elements(evidence).isNotNull(), F.transform(jv.elements(evidence), lambda v: one(jv.members(v)))).when(
+        has(whole, SIDE_KEYS) & has(whole, QUOTE_KEYS), F.array(one(whole))
+    ).when(whole.isNotNull(), F.transform(F.map_entries(whole), named)).cast(_QUOTES)
 
 
 def parse_pair(response: Column, a: Column, b: Column) -> Column:
-    """``a``, ``b``: the two judged texts."""
-
-    @F.pandas_udf(PAIR)
-    def run(raw: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, x, y in zip(raw, left, right, strict=True):
-            try:
-                rows.append((None, *pair(r, {"A": x or "", "B": y or ""})))
-            except Refused as e:
-                rows.append((str(e), None, None, None, None, None))
-        names = ["error", "decision", "confidence", "abstain", "evidence", "pruned_evidence"]
-        return pd.DataFrame(rows, columns=names).astype({"abstain": "object", "pruned_evidence": "Int32"})
-
-    return run(response, a, b)
+    """``a``, ``b``: the two judged texts (null: empty)."""
+
+    def of(root: Column) -> Column:
+        own = jv.members(root)
+        fault = _faults(
+            (F.to_json(root).isNotNull(), "the response is no JSON"), (_text(_field(own, "schema_version")) == PAIR_SCHEMA, "the response has another schema"),
+            (_flag(_field(own, "abstain")).isNotNull(), "abstain is neither true nor false"), (_text(_field(own, "decision")).isin(*DECISIONS), "no such decision"),
+            (_text(_field(own, "confidence")).isin(*CONFIDENCE), "no such confidence"),
+        )
+        found = _named_quotes(_field(own, "evidence"))
+        text = lambda q: F.when(q["candidate"] == "A", F.coalesce(a, F.lit(""))).when(q["candidate"] == "B", F.coalesce(b, F.lit("")))
+        kept = F.coalesce(F.filter(found, lambda q: F.coalesce(F.contains(text(q), q["quote"]), F.lit(False))), F.array().cast(_QUOTES))
+        lost = _count(_field(own, "pruned_evidence")) + F.when(found.isNull(), 1).otherwise(F.size(found) - F.size(kept))
+        fine = F.struct(F.lit(None).cast("string"), _text(_field(own, "decision")), _text(_field(own, "confidence")), _flag(_field(own, "abstain")), kept, lost).cast(PAIR)
+        return tx.once(fault, lambda bad: F.when(bad.isNotNull(), F.struct(bad, *[F.lit(None)] * 5).cast(PAIR)).otherwise(fine))
+
+    return tx.once(jv.tagged(_body(response)), of)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,7 @@ def coefficient_of_variation(value: str) -> Column:
 
 
 def exclusive_quartile(sorted_values: Column, i: int) -> Column:
-    """Quartile i (1 or 3) of a short sorted array, with exclusive positions i*(n+1)/4; null below four values. Of large groups: ``ranks``."""
+    """Quartile i (1 or 3) of a short sorted array, with exclusive positions i*(n+1)/4; null below four values. Of large groups: ``ordering.placed``."""
     n = F.size(sorted_values)
     place = F.lit(i) * (n + 1)
     j = F.greatest(F.lit(1), F.least(n - 1, F.floor(place / 4).cast("int")))
@@ -30,22 +30,6 @@ def exclusive_quartile(sorted_values: Column, i: int) -> Column:
     return F.when(n >= 4, (F.get(sorted_values, j - 1) * (4 - d) + F.get(sorted_values, j) * d) / 4)
 
 
-def ranks(rows: DataFrame, keys: list[str], value: str, pieces: int = 64) -> DataFrame:
-    """Rows with their ``rank`` by value within their keys, from 1; ties have ranks of their own.
-
-    The values of each key are cut into up to ``pieces`` ranges at approximate
-    quantiles; ranks count within a range, and the ranges before it are added
-    from their counts. Cuts bear on the balance alone: ranks are exact.
-    """
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"))
-    cut = rows.join(cuts, keys).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    counts = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = counts.select(*keys, "_piece", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(value))
-    return cut.withColumn("_r", inside).join(offset, [*keys, "_piece"]).withColumn("rank", F.col("_before") + F.col("_r")).drop("_r", "_before", "_piece")
-
-
 def exact_mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact p of b against c discordant pairs; 1 if there is none.
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import stats
 from lumenframe.functions.metrics import token_bucket
+from lumenframe.operators.ordering import PER_RANGE, in_ranges, placed
 
 READY = ("READY_DETERMINISTIC", "READY_JUDGE")
 BUCKETS = ("1-4", "5-32", "33-128", "129+")
-PIECES = 64
 
 
 def ok():
@@ -86,15 +86,16 @@ def experiment_means(trials: DataFrame) -> DataFrame:
 def performance(trials: DataFrame) -> DataFrame:
     """Count, median, exclusive quartiles, nearest-rank P95 and mean of the decode rate, for all and for each token bucket.
 
-    Every bucket is there, with count zero if empty. Ranks come from a range
-    partitioning of the values and the counts of its parts, so no task holds a
-    group, however large; the figures are exact.
+    Every bucket is there, with count zero if empty. Ranks come from ranges of
+    the values and the counts of the ranges before; ties are cut too, so no task
+    holds a group or a value, however large; the figures are exact. Groups are
+    models and buckets: their counts are broadcast.
     """
     keys = ["model_config_id", "bucket"]
     values = trials.select("model_config_id", F.col("decode_tok_s").alias("v"), token_bucket(F.col("eval_count")).alias("bucket"))
     values = values.where("bucket is not null").unionByName(values.withColumn("bucket", F.lit("all")))
     counts = values.groupBy(*keys).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
-    ranked = stats.ranks(values.where("v is not null"), keys, "v").join(counts.select(*keys, "n"), keys)
+    ranked = placed(values.where("v is not null"), keys, ["v"], "rank").join(F.broadcast(counts.select(*keys, "n")), keys)
     n, r = F.col("n"), F.col("rank")
     place = lambda i: F.greatest(F.lit(1), F.least(n - 1, F.floor(i * (n + 1) / 4)))
     share = lambda i: i * (n + 1) - 4 * place(i)
@@ -199,21 +200,21 @@ def strata(trials: DataFrame, base: str, candidate: str, by: str) -> DataFrame:
     return side(base, "base").join(side(candidate, "cand"), "stratum", "full_outer")
 
 
-def skyline(points: DataFrame, id_col: str, high: str, other: str, smaller_is_better: bool = False) -> DataFrame:
+def skyline(points: DataFrame, id_col: str, high: str, other: str, smaller_is_better: bool = False, per_range: int = PER_RANGE) -> DataFrame:
     """Points that no other point dominates (as good in both, better in one); nulls are not eligible.
 
     A sweep instead of a theta self-join: ordered by ``high``, a point stays if
     its other value is the best of its own ``high`` and strictly better than the
-    best of all larger ones. Each of ``PIECES`` hashed pieces of the distinct
-    ``high`` values is swept first; what survives there, the skylines of the
-    pieces, is swept once more in one task.
+    best of all larger ones. The distinct values of ``high`` are cut into ranges;
+    of the ranges above, one only needs the best value, a row a range. So the
+    sweep stays in as many tasks as there are ranges, also where every point survives.
     """
     sign = -1 if smaller_is_better else 1
     own = points.where(F.col(high).isNotNull() & F.col(other).isNotNull()).withColumn("_o", F.col(other) * sign)
-    top = own.groupBy(high).agg(F.max("_o").alias("_best"))
-    better = lambda rows, by: rows.withColumn(
-        "_above", F.max("_best").over(Window.partitionBy(*by).orderBy(F.desc(high)).rowsBetween(Window.unboundedPreceding, -1))
-    ).where("_above is null or _best > _above")
-    local = better(top.withColumn("_piece", F.pmod(F.xxhash64(high), F.lit(PIECES))), ["_piece"])
-    edge = better(local.drop("_above"), [F.lit(1)]).select(F.col(high).alias("_high"), "_best")
+    top = own.groupBy(F.col(high).alias("_high")).agg(F.max("_o").alias("_best"))
+    cut = in_ranges(top, [F.desc("_high")], per_range).withColumn("_range", F.shiftright("_at", 33))
+    totals = cut.groupBy("_range").agg(F.max("_best").alias("_most"))
+    before = totals.select("_range", F.max("_most").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row a range
+    inside = cut.withColumn("_above", F.max("_best").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)))
+    edge = inside.join(F.broadcast(before), "_range").where(F.coalesce(F.col("_best") > F.greatest("_above", "_before"), F.lit(True))).select("_high", "_best")
     return own.join(edge, (F.col(high) == F.col("_high")) & (F.col("_o") == F.col("_best"))).select(id_col, high, other)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.hashing import streamed_sha256
+
 
 def first_pairs(items: DataFrame, group: str, order: list[str], item: str, k: int) -> DataFrame:
     """The first k pairs i < j of each group, ranked by (i, j).
@@ -100,9 +102,9 @@ def require(gate: DataFrame) -> None:
         raise ValueError(f"population gate refused: {row.asDict()}")
 
 
-def population_hash(rows: DataFrame, keys: list[str], line, by: list[str]) -> DataFrame:
-    """Order-independent sha256 of a group's sorted lines. Lines are ids: short, and one hash needs them in one place."""
-    return rows.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("hash"), F.count("*").alias("n"))
+def population_hash(rows: DataFrame, line, by: list[str]) -> DataFrame:
+    """Order-independent sha256 of each group's sorted lines: the lines come sorted and stream through the hash."""
+    return streamed_sha256(rows.select(*by, line.alias("_line")), by, ["_line"], "_line")
 
 
 def drift(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -38,12 +38,15 @@ def placed(rows: DataFrame, group: list[str], order: list[Column | str], name: s
     times (to count, to find the cuts, to deal): pass a scan or a stored table.
     An empty table stays empty.
     """
-    by = [*group, *order, "_hash", "_seen"]
+    return offset(in_ranges(rows, [*group, *order], per_range), group, name)
+
+
+def in_ranges(rows: DataFrame, order: list[Column | str], per_range: int = PER_RANGE) -> DataFrame:
+    """``rows``, stored, with ``_at``: ids that ascend in ``order``, the range in the upper bits, the place there (from 0) in the lower 33."""
+    by = [*order, "_hash", "_seen"]
     keyed = rows.withColumn("_hash", F.xxhash64(*rows.columns)).withColumn("_seen", F.monotonically_increasing_id())
     dealt = keyed.repartitionByRange(ranges_for(rows, per_range), *by).sortWithinPartitions(*by)
-    # an id of a row: its range in the upper bits, its place there in the lower ones
-    done = stage_table(dealt.drop("_hash", "_seen").withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    return offset(done, group, name)
+    return stage_table(dealt.drop("_hash", "_seen").withColumn("_at", F.monotonically_increasing_id()), "ordered")
 
 
 def offset(done: DataFrame, group: list[str], name: str) -> DataFrame:

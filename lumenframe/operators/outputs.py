@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lumenframe.functions import failures, graders, stats
+from lumenframe.functions import json_values as jv
 from lumenframe.operators import verdicts
 from lumenframe.operators.runs import measured
 
 
-@F.pandas_udf(StringType())
-def canonical_json(t: pd.Series) -> pd.Series:
-    """The value with sorted keys, numbers as they are spelled; UNPARSEABLE for what is no JSON."""
-
-    def of(raw: str | None) -> str:
-        try:
-            return json.dumps(json.loads(raw), sort_keys=True, ensure_ascii=False)
-        except (ValueError, TypeError, RecursionError):
-            return "UNPARSEABLE"
-
-    return t.map(of)
-
-
 def distinct_outputs(runs: DataFrame, by: list[str]) -> DataFrame:
     """How many outputs differ as they are, after clean-up, and as JSON values."""
     t = F.col("raw_output")
-    own = runs.select(*by, F.sha2(t, 256).alias("raw"), F.sha2(graders.clean(t), 256).alias("clean"), F.sha2(canonical_json(t), 256).alias("json"))
+    own = jv.last_key_wins(runs.sparkSession, lambda: runs.select(*by, F.sha2(t, 256).alias("raw"), F.sha2(graders.clean(t), 256).alias("clean"), F.sha2(jv.canonical(t), 256).alias("json")))
     # distinct in two steps: (task, kind, hash) first, so that no set of a large group is held in one row
     flat = own.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hash")) for k in ("raw", "clean", "json")])).alias("x"))
     each = flat.select(*by, "x.*").distinct()

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators import ordering
+
 RESULTS = "array<struct<grader_type:string,passed:boolean,detail:string,violations:array<string>>>"
 
 
@@ -119,8 +121,8 @@ def base_items(items: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def placed(rows: DataFrame, group: list[str], *order: Column | str) -> DataFrame:
-    """Rows with their place in a fixed order of each group, from 1."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """Rows with their place (int) in a fixed order of each group, from 1; a group is dealt over many tasks."""
+    return ordering.placed(rows, group, list(order)).withColumn("place", F.col("place").cast("int"))
 
 
 def first_of(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
