@@ -281,9 +281,13 @@ def bucket(window: int, group: int = GROUP, group_bytes: int = GROUP_BYTES):
 
 def joined(ranges: Column) -> Column:
     """Ranges in order, of rising ends, with those that touch put together."""
-    n = F.size(ranges)
-    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ranges, i)["start"] > F.get(ranges, i - 1)["stop"]))
-    return let(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(ranges, i)["start"].alias("start"), F.get(ranges, F.coalesce(F.get(h, k + 1), n) - 1)["stop"].alias("stop"))))
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(own, i)["start"] > F.get(own, i - 1)["stop"]))
+        return let(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(own, i)["start"].alias("start"), F.get(own, F.coalesce(F.get(h, k + 1), n) - 1)["stop"].alias("stop"))))
+
+    return let(ranges, of)
 
 
 def repeated_words(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, group: int, held: int) -> DataFrame:
