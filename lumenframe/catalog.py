@@ -485,8 +485,8 @@ def drift_within_arm(spark, sf_dir):
 
 
 # queries over attempts and tasks
-from lumenframe import catalog_runs, catalog_values  # noqa: E402
+from lumenframe import catalog_gates, catalog_runs, catalog_values  # noqa: E402
 
-for _more in (catalog_runs, catalog_values):
+for _more in (catalog_runs, catalog_values, catalog_gates):
     QUERIES |= _more.QUERIES
     SQL |= _more.SQL

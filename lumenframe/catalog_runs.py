@@ -68,11 +68,6 @@ on_attempts("f11_lineage_guard", "SELECT run_id FROM attempts WHERE run_id % 3 =
     lambda a, t: runs.same_lineage(a.withColumn("x", F.concat(F.when(F.col("run_id") % 3 == 0, "spec").otherwise("special"), F.lit("__m"))), "x", "spec").select("run_id"))
 on_attempts("f16_display_alias", "SELECT CASE model_config_id WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE model_config_id END AS name, count(*) AS n FROM attempts GROUP BY 1",
     lambda a, t: a.groupBy(runs.alias({"click": "Click", "view": "View"}, F.col("model_config_id")).alias("name")).agg(F.count("*").alias("n")))
-QUERIES["s17_synthetic_documents"] = lambda spark, sf_dir: text.synthetic_documents(spark, 7, (30, 60, 120))
-SQL["s17_synthetic_documents"] = """SELECT 'LC' || lpad((a * 3 + l + 1)::VARCHAR, 3, '0') AS doc_id, 'archetype-' || a AS archetype, ['S', 'M', 'L'][l + 1] AS length, n::INT AS n_words,
-  array_to_string(list_transform(range(n), lambda i: CASE WHEN i = (a * 11 + 5) % n THEN 'needle-' || a ELSE 'w' || ((i * 31 + a * 7 + l * 3) % 97) END), ' ') AS text
-  FROM (SELECT unnest(range(7)) AS a), (VALUES (0, 30), (1, 60), (2, 120)) x(l, n)"""
-
 # metrics
 on_attempts("m04_rates_and_overheads", """SELECT run_id, CASE WHEN k > 0 AND value > 0 THEN k / (floor(value * 1e6) / 1e9) END AS prefill_compute_tok_s, round(floor(value * 1e6) / 1e6, 6) AS client_e2e_ms,
   round(floor(value * 1e6) / 1e6 - floor(value * 9e5) / 1e6, 6) AS client_overhead_ms FROM attempts""",
@@ -115,12 +110,6 @@ on_attempts("a18_prefill_by_state", """SELECT task_id, coalesce(prefill_cache_st
 on_attempts("a19_uncached_by_state", "SELECT task_id, coalesce(prefill_cache_state, 'UNKNOWN') AS state, uncached_count, count(*) AS n FROM attempts WHERE uncached_count IS NOT NULL GROUP BY ALL", lambda a, t: outputs.uncached_by_state(a, ["task_id"]))
 _RETRY = ", r AS (SELECT task_id, trial, verdict, raw_output FROM attempts WHERE model_config_id = 'view'), b AS (SELECT task_id, trial, verdict, raw_output FROM attempts WHERE model_config_id = 'click')"
 _arm = lambda a, x: a.where(F.col("model_config_id") == x).select("task_id", "trial", "verdict", "raw_output")
-_bucket = lambda: F.when(F.col("old") == "", "unknown").when(F.contains(F.lower("new"), F.lower(F.trim("old"))) | F.contains(F.lower("old"), F.lower(F.trim("new"))), "contract_only").otherwise("content_change")
-on_attempts("a33_content_changes", _RETRY + """, j AS (SELECT r.verdict, lower(r.raw_output) AS n, lower(coalesce(b.raw_output, '')) AS o FROM r LEFT JOIN b USING (task_id, trial)),
-  c AS (SELECT *, CASE WHEN verdict <> 'PASS' THEN NULL WHEN o = '' THEN 'unknown' WHEN contains(n, trim(o, ' ')) OR contains(o, trim(n, ' ')) THEN 'contract_only' ELSE 'content_change' END AS bucket FROM j)
-  SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'PASS') AS recovered, count(*) FILTER (WHERE verdict <> 'PASS') AS still_fail, round(count(*) FILTER (WHERE verdict = 'PASS') / count(*), 4) AS recovery_rate,
-  count(*) FILTER (WHERE bucket = 'contract_only') AS contract_only, count(*) FILTER (WHERE bucket = 'content_change') AS content_change, count(*) FILTER (WHERE bucket = 'unknown') AS "unknown" FROM c""",
-    lambda a, t: outputs.content_changes(_arm(a, "view"), _arm(a, "click"), ["task_id", "trial"], _bucket()))
 on_attempts("a34_recovery_uplift", _RETRY + """, u AS (SELECT b.verdict AS o, coalesce(x.verdict, b.verdict) AS n FROM b LEFT JOIN (SELECT * FROM r WHERE trial = 1) x USING (task_id, trial))
   SELECT count(*) FILTER (WHERE o = 'PASS') AS passes, count(*) FILTER (WHERE n = 'PASS') AS passes_after, round(count(*) FILTER (WHERE o = 'PASS') / count(*), 4) AS rate,
   round(count(*) FILTER (WHERE n = 'PASS') / count(*), 4) AS rate_after, round((count(*) FILTER (WHERE n = 'PASS') - count(*) FILTER (WHERE o = 'PASS')) / count(*), 4) AS uplift FROM u""",
@@ -207,22 +196,9 @@ on_attempts("x46_error_kinds", "SELECT run_id, ['timeout', 'http_503', 'http_404
 _M = """m AS (SELECT count(*) AS measured, count(*) FILTER (WHERE grading_status = 'READY_DETERMINISTIC') AS deterministic, count(*) FILTER (WHERE grading_status = 'READY_JUDGE') AS judge, count(*) FILTER (WHERE grading_status IS NULL) AS "unknown",
   count(*) - count(DISTINCT (model_config_id, task_id, trial)) AS duplicates, count(*) FILTER (WHERE status = 'ERROR' OR verdict = 'ERROR') AS errors FROM attempts LEFT JOIN tasks USING (task_id) WHERE NOT is_warmup)"""
 on_attempts("g04_validation_matrix", f", {_M} SELECT * FROM m", audits.matrix)
-on_attempts("g03_persistence", f", {_M} SELECT deterministic = 500 AS det_rows, judge = 40 AS judge_rows, \"unknown\" = 0 AS unknown_rows_zero, duplicates = 0 AS no_duplicate_identities, errors = 0 AS no_error_rows, true AS file_report, false AS ok FROM m",
-    lambda a, t: audits.persistence(a, t, 500, 40, {"report": True}))
-on_attempts("g07_resume", """SELECT count(*) FILTER (WHERE task_id % 13 = 0) AS unexpected, count(*) FILTER (WHERE run_config_hash <> 'config') AS other_config, count(*) FILTER (WHERE status <> 'COMPLETE') AS incomplete,
-  count(*) FILTER (WHERE status = 'COMPLETE') AS completed, false AS ok FROM attempts WHERE NOT is_warmup""",
-    lambda a, t: audits.resume(a, a.select("task_id", "trial").join(t.select("task_id"), "task_id", "left_semi"), "config"))
-on_attempts("g08_arm_identity", """SELECT model_config_id, count(*) FILTER (WHERE is_warmup)::BIGINT AS warmups, count(*) FILTER (WHERE NOT is_warmup)::BIGINT AS measured, 0::BIGINT AS repeated, count(*) FILTER (WHERE temperature <> 0 OR status <> 'COMPLETE')::BIGINT AS off_identity,
-  count(DISTINCT run_config_hash) AS configs, count(*) FILTER (WHERE is_warmup) = 2 AND count(*) FILTER (WHERE temperature <> 0 OR status <> 'COMPLETE') = 0 AND count(DISTINCT run_config_hash) = 1 AS ok FROM attempts GROUP BY 1""",
-    lambda a, t: audits.arm(a, "model_config_id", 0.0, 2))
-on_attempts("g11_frozen_population", """, p AS (SELECT task_id FROM tasks WHERE suite = 'core'), c AS (SELECT task_id FROM tasks WHERE difficulty = 'hard' AND task_id % 6 <> 2)
-  SELECT (SELECT count(*) FROM p)::BIGINT AS "primary", (SELECT count(*) FROM c)::BIGINT AS control, (SELECT count(*) FROM p JOIN c USING (task_id)) AS shared, 0::BIGINT AS repeated, false AS ok""",
-    lambda a, t: audits.frozen_population(t.where("suite = 'core'"), t.where("difficulty = 'hard' and task_id % 6 <> 2"), ["task_id"], 18, 6))
 on_attempts("g12_reconciled_totals", """, p AS (SELECT model_config_id, count(*) AS s FROM attempts GROUP BY 1), w AS (SELECT model_config_id, count(*) + CASE WHEN model_config_id = 'view' THEN 1 ELSE 0 END AS total FROM attempts GROUP BY 1)
   SELECT model_config_id, s AS sum, total FROM p JOIN w USING (model_config_id) WHERE s <> total""",
     lambda a, t: audits.reconcile(a.groupBy("model_config_id", "task_id").agg(F.count("*").alias("n")), a.groupBy("model_config_id").agg((F.count("*") + F.when(F.col("model_config_id") == "view", 1).otherwise(0)).alias("n")), "model_config_id", "n"))
-on_attempts("g13_contract_settings", "SELECT * FROM (VALUES ('num_ctx', '4096', '2048'), ('seed', '1', NULL), ('extra', NULL, 'x')) v(key, want, value)",
-    lambda a, t: audits.contract(t.sparkSession.createDataFrame([("num_ctx", "2048"), ("think", "false"), ("extra", "x")], "key string, value string"), {"num_ctx": "4096", "think": "false", "seed": "1"}))
 on_attempts("g14_spec_faults", f""", {_GRADERS}, h AS (SELECT DISTINCT task_id FROM g), d AS (SELECT DISTINCT task_id FROM attempts WHERE task_id % 7 <> 0), b AS (
   SELECT task_id, t.grading_status AS s, t.task_id IS NOT NULL AS in_s, d.task_id IS NOT NULL AS in_d, h.task_id IS NOT NULL AS has FROM tasks t FULL JOIN d USING (task_id) LEFT JOIN h USING (task_id))
   SELECT task_id, 'not in the specification' AS fault FROM b WHERE NOT in_s UNION ALL SELECT task_id, 'not in the dataset' FROM b WHERE NOT in_d
@@ -241,10 +217,6 @@ on_attempts("g17_source_fidelity", """SELECT task_id, CASE WHEN task_id % 11 = 1
 _review = lambda t: t.select("task_id", F.when(F.col("task_id") % 6 != 0, "UNKNOWN").alias("auto_mode"), F.when(F.col("task_id") % 6 == 1, "FINE").otherwise("CORRECT").alias("assessment"), F.when(F.col("task_id") % 6 != 2, "someone").alias("author"),
     F.when(F.col("task_id") % 6 == 3, "ODD").when(F.col("task_id") % 6 == 4, "MIXED").alias("mode_override"), F.when(F.col("task_id") % 6 == 3, "because").alias("override_reason"))
 on_attempts("g18_review_faults", "SELECT task_id, ['no automatic analysis', 'assessment', 'author', 'override', 'override without a reason'][task_id % 6 + 1] AS fault FROM tasks WHERE task_id % 6 < 5", lambda a, t: audits.review_faults(_review(t)))
-on_attempts("g19_registry", "SELECT count(*)::BIGINT AS entries, 0::BIGINT AS repeated, count(*) FILTER (WHERE task_id % 9 = 0)::BIGINT AS lacking, false AS ok FROM tasks",
-    lambda a, t: audits.registry(t.withColumn("family", F.when(F.col("task_id") % 9 != 0, "f").otherwise("")), 14, "task_id", ["family", "suite"]))
-on_attempts("g20_smoke_rows", "SELECT count(*) AS rows, count(*) FILTER (WHERE k IS NULL OR k <= 0) AS counted, count(*) FILTER (WHERE model_digest IS NULL) AS digest, count(*) FILTER (WHERE status <> 'COMPLETE') AS complete, false AS ok FROM attempts",
-    lambda a, t: gates.checks(a, {"counted": F.col("k") > 0, "digest": F.col("model_digest").isNotNull(), "complete": F.col("status") == "COMPLETE"}))
 on_attempts("g22_full_cohort", """, p AS (SELECT model_config_id, task_id, count(*) AS n FROM attempts WHERE NOT is_warmup GROUP BY 1, 2), b AS (SELECT model_config_id, count(*) FILTER (WHERE t.task_id IS NOT NULL AND n = 3) AS whole,
   count(*) FILTER (WHERE t.task_id IS NOT NULL AND n <> 3) AS partial, count(*) FILTER (WHERE t.task_id IS NULL) AS "unknown" FROM p LEFT JOIN tasks t USING (task_id) GROUP BY 1)
   SELECT *, (SELECT count(*) FROM tasks) - whole - partial AS missing, partial = 0 AND "unknown" = 0 AND (SELECT count(*) FROM tasks) - whole - partial = 0 AS ok FROM b""", lambda a, t: audits.cohort(a, t, 3))

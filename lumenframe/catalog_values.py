@@ -42,14 +42,14 @@ def canonical_classes(spark, sf_dir):
 @query("j17_unordered_match", r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:8] AS got FROM documents),
   v AS (SELECT doc_id, got, list_reverse(got) || [lang] AS want FROM w),
   c AS (SELECT doc_id, x, count(*) FILTER (side = 'w') AS nw, count(*) FILTER (side = 'g') AS ng FROM
-    (SELECT doc_id, unnest(want) AS x, 'w' AS side FROM v UNION ALL SELECT doc_id, unnest(got || [got[1]]), 'g' FROM v) GROUP BY 1, 2)
+    (SELECT doc_id, unnest(want) AS x, 'w' AS side FROM v UNION ALL SELECT doc_id, unnest([x for x in got if length(x) <> 4] || [got[1]]), 'g' FROM v) GROUP BY 1, 2)
   SELECT d.doc_id, coalesce(n, 0)::INT AS unmatched FROM documents d LEFT JOIN (SELECT doc_id, sum(greatest(nw - ng, 0)) AS n FROM c WHERE x IS NOT NULL GROUP BY 1) USING (doc_id)""")
 def unordered_match(spark, sf_dir):
-    """Elements of one list that find no free element of the other, both JSON arrays read back: the words of a text, reversed, and its language against the words and the first once more."""
+    """Elements of one list that find no free element of the other, both JSON arrays read back: the words of a text, reversed, and its language against those words that have not four letters and the first once more."""
     d = table(spark, sf_dir, "documents")
     words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 8)
     some = lambda c: F.filter(c, lambda x: x.isNotNull())
-    want, got = some(F.concat(F.reverse(words), F.array("lang"))), some(F.concat(words, F.array(F.get(words, F.lit(0)))))
+    want, got = some(F.concat(F.reverse(words), F.array("lang"))), some(F.concat(F.filter(words, lambda x: F.length(x) != 4), F.array(F.get(words, F.lit(0)))))
     read = lambda c: F.transform(jv.elements(jv.tagged(F.to_json(c))), jv.scalar)
     sides = d.select("doc_id", read(want).alias("w"), read(got).alias("g"))
     return sides.select("doc_id", F.size(structured.unmatched(F.col("w"), F.col("g"))).alias("unmatched"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import structured as sd
 from lumenframe.functions import text as tx
-from lumenframe.functions.json_values import nfc
+from lumenframe.functions.json_values import cleaned
 from lumenframe.functions.text import plain
 
 RESULT = "struct<grader_type:string,passed:boolean,detail:string,violations:array<string>>"
@@ -26,7 +26,7 @@ NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 
 def clean(t: Column) -> Column:
-    return tx.normalised(nfc(F.coalesce(t, F.lit(""))))
+    return cleaned(t)
 
 
 def _any(parts: list[Column]) -> Column:

@@ -39,21 +39,33 @@ def last_key_wins(spark: SparkSession, build):
 
 def body(t: Column) -> Column:
     """The JSON text of an output: one fence around all of it may stand."""
-    clean = tx.normalised(nfc(F.coalesce(t, F.lit(""))))
     fenced = r"(?s)^```(?:json)?\s*\n?(.*?)\n?```$"
-    return F.when(clean.startswith("```") & clean.rlike(fenced), tx.normalised(F.regexp_extract(clean, fenced, 1))).otherwise(clean)
+
+    def of(clean: Column) -> Column:
+        return F.when(clean.startswith("```") & clean.rlike(fenced), tx.once(F.regexp_extract(clean, fenced, 1), tx.normalised)).otherwise(clean)
+
+    return tx.once(cleaned(t), of)
+
+
+def cleaned(t: Column) -> Column:
+    """Composed, with line feeds for line ends, without outer white space; a null is empty. Each step's text is computed once."""
+    return tx.once(tx.once(F.coalesce(t, F.lit("")), nfc), tx.normalised)
 
 
 def tagged(t: Column) -> Column:
     """A variant of the tagged JSON; null if the text is no JSON."""
-    hidden = F.replace(F.replace(t, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
-    named = F.regexp_replace(hidden, '"([^"]*+)"', '"s$1"')
-    spelled = F.regexp_replace(named, rf'"([^"]*+)"|(?<![\w.+-])({_NUMBER}|true|false)(?![\w.+-])', '"$1$2"')
-    shown = F.replace(F.replace(spelled, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
-    # the parser stops at the end of a value: an element behind it, of a spelling that no tagged text has, shows that the value is all there is
-    both = F.try_parse_json(F.concat(F.lit("["), shown, F.lit(',"e"]')))
-    alone = F.try_variant_get(both, "$[1]", "string") == "e"
-    return F.when(~t.rlike(r"[\x01\x02]") & alone, F.try_variant_get(both, "$[0]", "variant"))
+
+    def of(t: Column) -> Column:
+        hidden = F.replace(F.replace(t, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+        named = F.regexp_replace(hidden, '"([^"]*+)"', '"s$1"')
+        spelled = F.regexp_replace(named, rf'"([^"]*+)"|(?<![\w.+-])({_NUMBER}|true|false)(?![\w.+-])', '"$1$2"')
+        shown = F.replace(F.replace(spelled, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+        # the parser stops at the end of a value: an element behind it, of a spelling that no tagged text has, shows that the value is all there is
+        both = F.try_parse_json(F.concat(F.lit("["), shown, F.lit(',"e"]')))
+        alone = tx.once(both, lambda b: F.when(F.try_variant_get(b, "$[1]", "string") == "e", F.try_variant_get(b, "$[0]", "variant")))
+        return F.when(~t.rlike(r"[\x01\x02]"), alone)
+
+    return tx.once(t, of)
 
 
 def members(v: Column) -> Column:
@@ -73,11 +85,15 @@ def at(v: Column, path: Column) -> Column:
 
 def scalar(v: Column) -> Column:
     """(kind, text): string, number, bool, null, or deep with its text to compare by; null if there is no value."""
-    said, json = v.try_cast("string"), F.to_json(v)
     as_is = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-    return F.when(json.isNull(), F.lit(None).cast(SCALAR)).when(json == "null", as_is("null", F.lit("null"))).when(
-        json.substr(1, 1).isin("{", "["), as_is("deep", comparable(json))
-    ).when(said.startswith("s"), as_is("string", F.substring(said, F.lit(2), F.length(said)))).when(said.isin("true", "false"), as_is("bool", said)).otherwise(as_is("number", said))
+
+    def plain(said: Column) -> Column:
+        return F.when(said.startswith("s"), as_is("string", F.substring(said, F.lit(2), F.length(said)))).when(said.isin("true", "false"), as_is("bool", said)).otherwise(as_is("number", said))
+
+    def of(json: Column) -> Column:
+        return F.when(json.isNull(), F.lit(None).cast(SCALAR)).when(json == "null", as_is("null", F.lit("null"))).when(F.left(json, F.lit(1)).isin("{", "["), as_is("deep", comparable(json))).otherwise(tx.once(v.try_cast("string"), plain))
+
+    return tx.once(F.to_json(v), of)
 
 
 _SPELLED = r'(?<=^|[\[{,:])"((?:-?\d)[^"]*+|true|false)"'
@@ -85,9 +101,13 @@ _SPELLED = r'(?<=^|[\[{,:])"((?:-?\d)[^"]*+|true|false)"'
 
 def _respelled(json: Column, spell) -> Column:
     """A canonical text with its numbers and truth values written anew by ``spell``."""
-    gaps, found = F.split(json, _SPELLED, -1), F.regexp_extract_all(json, F.lit(_SPELLED), F.lit(1))
-    put = F.concat(F.transform(found, spell), F.array(F.lit("")))
-    return F.when(json.rlike(_SPELLED), F.array_join(F.zip_with(gaps, put, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")).otherwise(json)
+
+    def of(json: Column) -> Column:
+        gaps, found = F.split(json, _SPELLED, -1), F.regexp_extract_all(json, F.lit(_SPELLED), F.lit(1))
+        put = F.concat(F.transform(found, spell), F.array(F.lit("")))
+        return F.when(json.rlike(_SPELLED), F.array_join(F.zip_with(gaps, put, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")).otherwise(json)
+
+    return tx.once(json, of)
 
 
 def comparable(json: Column) -> Column:

@@ -205,7 +205,6 @@ def result(t: Column, g: Column) -> Column:
     """The result of a grader (a struct of ``GRADER``) for an output."""
     none = F.array().cast("array<string>")
     verdict = lambda ok, bad=None: tx.once(F.coalesce(ok, F.lit(False)), lambda x: F.struct(g["type"], x, F.when(x, g["good"]).otherwise(g["bad"] if bad is None else bad), none).cast(RESULT))
-    composed = jv.nfc(F.coalesce(t, F.lit("")))
 
     def of(c: Column) -> Column:
         form = F.when(g["trim"], c).otherwise(F.coalesce(t, F.lit("")))
@@ -223,10 +222,9 @@ def result(t: Column, g: Column) -> Column:
         return _by(g["type"], {
             "exact": verdict(exact), "numeric": verdict(F.abs(number - g["x"]) <= g["room"], F.when(number.isNull(), "output is not a bare number").otherwise(g["bad"])), "time": timed,
             "constraints": ruled, "fact_check": ruled, "refusal": verdict(refused == g["wanted"]), "rubric_judge": verdict(g["wanted"]),
-            "structured": structured.graded(t, g["json"], "structured"), "tool_call": structured.graded(t, g["json"], "tool_call"),
-        })
+        }).otherwise(F.when(g["json"].isNotNull(), structured.graded(t, g["json"], g["type"])))
 
-    return tx.once(tx.normalised(composed), of)
+    return tx.once(jv.cleaned(t), of)
 
 
 def grade(outputs: DataFrame, specs: DataFrame, text: str, task: str = "task_id", name: str = "results") -> DataFrame:

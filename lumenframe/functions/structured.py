@@ -83,7 +83,7 @@ def call_spec(spec: dict) -> dict:
     want = spec["expected_output"]
     named = spec.get("required_arguments", {}).get(want["function"], list(want["arguments"]))
     entries = [{"path": ["arguments", k], **_value(v), "items": None} for k, v in want["arguments"].items()]
-    return _empty() | {"allowed": list(named), "expected": entries, "function": want["function"], "forbidden": list(spec.get("forbidden_functions", []))}
+    return _empty() | {"allowed": list(named), "expected": entries, "closed": True, "function": want["function"], "forbidden": list(spec.get("forbidden_functions", []))}
 
 
 # outputs against them
@@ -168,12 +168,22 @@ def _names(object_map: Column) -> Column:
     return F.transform(F.map_keys(object_map), lambda k: F.substring(k, F.lit(2), F.length(k)))
 
 
-def structured_faults(root: Column, spec: Column) -> Column:
-    """Everything that keeps a JSON object from its specification, in order: absent and extra fields, values, numbers, free texts."""
-    own = jv.members(root)
+def faults(root: Column, own: Column, spec: Column) -> Column:
+    """Everything that keeps a JSON object from its specification, in order: the call (if one is asked for), absent and extra fields, values, numbers, free texts.
+
+    ``own``: the object's members. Of a call, arguments are the fields that may be extra.
+    """
     field = lambda name: F.try_element_at(own, F.concat(F.lit("s"), name))
+    none = F.array().cast("array<string>")
+    said = F.when(spec["function"].isNotNull(), tx.once(jv.scalar(field(F.lit("function"))), lambda x: F.when(x["kind"] == "string", x["text"])))
+    other = F.when(~F.coalesce(said == spec["function"], F.lit(False)), F.concat(F.lit("another function than "), spec["function"]))
+    barred = F.transform(F.filter(spec["forbidden"], lambda f: F.coalesce(f == said, F.lit(False))), lambda f: F.concat(f, F.lit(" must not be called")))
+    args = F.when(spec["function"].isNotNull(), jv.members(field(F.lit("arguments"))))
+    call = F.when(spec["function"].isNull(), none).otherwise(F.concat(_known(F.array(other)), barred, F.when(args.isNull(), F.array(F.lit("$.arguments is no object"))).otherwise(none)))
+    names = F.coalesce(_names(F.when(spec["function"].isNotNull(), args).otherwise(own)), none)
     absent = F.transform(F.filter(spec["required"], lambda f: ~F.array_contains(_names(own), f)), lambda f: F.concat(F.lit("$."), f, F.lit(" is required")))
-    extra = F.when(spec["closed"], F.array_sort(F.array_except(_names(own), spec["allowed"]))).otherwise(F.array().cast("array<string>"))
+    extra = F.when(spec["closed"], F.array_sort(F.array_except(names, spec["allowed"]))).otherwise(none)
+    where = F.when(spec["function"].isNotNull(), "$.arguments.").otherwise("$.")
 
     def number(rule: Column) -> Column:
         got = number_of(jv.scalar(field(rule["field"])))
@@ -194,23 +204,11 @@ def structured_faults(root: Column, spec: Column) -> Column:
         return tx.once(jv.scalar(field(rule["field"])), of)
 
     return F.concat(
-        absent, F.transform(extra, lambda f: F.concat(F.lit("$."), f, F.lit(" is not allowed"))), _expected_faults(root, spec["expected"]),
+        call, absent, F.transform(extra, lambda f: F.concat(where, f, F.lit(" is not allowed"))), _expected_faults(root, spec["expected"]),
         _known(F.transform(spec["numbers"], number)), F.flatten(F.transform(spec["open"], free)),
     )
 
 
-def call_faults(root: Column, spec: Column) -> Column:
-    """Everything that keeps a JSON object from being the call that is expected: function, arguments, arguments that do not belong."""
-    own = jv.members(root)
-    name, args = jv.scalar(F.try_element_at(own, F.lit("sfunction"))), F.try_element_at(own, F.lit("sarguments"))
-    said = F.when(name["kind"] == "string", name["text"])
-    other = F.when(~F.coalesce(said == spec["function"], F.lit(False)), F.concat(F.lit("another function than "), spec["function"]))
-    barred = F.transform(F.filter(spec["forbidden"], lambda f: F.coalesce(f == said, F.lit(False))), lambda f: F.concat(f, F.lit(" must not be called")))
-    extra = F.transform(F.array_sort(F.array_except(_names(jv.members(args)), spec["allowed"])), lambda k: F.concat(F.lit("$.arguments."), k, F.lit(" is not taken")))
-    inner = F.when(jv.members(args).isNull(), F.array(F.lit("$.arguments is no object"))).otherwise(F.concat(_expected_faults(root, spec["expected"]), extra))
-    return F.concat(_known(F.array(other)), barred, inner)
-
-
 RESULT = "struct<grader_type:string,passed:boolean,detail:string,violations:array<string>>"
 
 
@@ -219,9 +217,8 @@ def graded(t: Column, spec: Column, kind: Column | str) -> Column:
     what = F.lit(kind) if isinstance(kind, str) else kind
     failed = lambda why: F.struct(what, F.lit(False), F.lit(why), F.array().cast("array<string>")).cast(RESULT)
 
-    def of(root: Column) -> Column:
-        faults = structured_faults(root, spec) if kind == "structured" else call_faults(root, spec) if kind == "tool_call" else F.when(what == "structured", structured_faults(root, spec)).otherwise(call_faults(root, spec))
-        judged = tx.once(faults, lambda f: F.struct(what, F.size(f) == 0, F.when(F.size(f) == 0, "as specified").otherwise("violations"), f).cast(RESULT))
+    def of(root: Column, spec: Column) -> Column:
+        judged = tx.once(tx.once(jv.members(root), lambda own: faults(root, own, spec)), lambda f: F.struct(what, F.size(f) == 0, F.when(F.size(f) == 0, "as specified").otherwise("violations"), f).cast(RESULT))
         return F.when(F.to_json(root).isNull(), failed("not valid JSON")).when(jv.members(root).isNull(), failed("no JSON object")).otherwise(judged)
 
-    return tx.once(jv.tagged(jv.body(t)), of)
+    return tx.once(spec, lambda s: tx.once(jv.tagged(jv.body(t)), lambda root: of(root, s)))

@@ -292,13 +292,13 @@ def content_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), 256)
 
 
-def synthetic_documents(spark, archetypes: int, sizes: tuple[int, ...]):
-    """A document of each archetype and size, with one marked word in a known place: rows of (doc_id, archetype, length, n_words, text)."""
+def synthetic_documents(archetypes, sizes: tuple[int, ...]):
+    """A document of each archetype (a: int, name) and size, with one marked word in a known place: rows of (doc_id, archetype, length, n_words, text)."""
     a, size, i = F.col("a"), F.col("x.n"), F.col("x.i")
     names = F.array(*[F.lit(n) for n in ("S", "M", "L")])
-    rows = spark.range(archetypes).select(F.col("id").cast("int").alias("a"), F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.lit(n).alias("n")) for k, n in enumerate(sizes)])).alias("x"))
-    word = lambda j: F.when(j == (a * 11 + 5) % size, F.concat(F.lit("needle-"), a.cast("string"))).otherwise(F.concat(F.lit("w"), ((j * 31 + a * 7 + i * 3) % 97).cast("string")))
+    rows = archetypes.select("a", "name", F.explode(F.array(*[F.struct(F.lit(k).alias("i"), F.lit(n).alias("n")) for k, n in enumerate(sizes)])).alias("x"))
+    word = lambda j: F.when(j == (a * 11 + 5) % size, F.concat(F.lit("needle-"), "name")).otherwise(F.concat(F.lit("w"), ((j * 31 + a * 7 + i * 3) % 97).cast("string")))
     return rows.select(
-        F.concat(F.lit("LC"), F.lpad((a * len(sizes) + i + 1).cast("string"), 3, "0")).alias("doc_id"), F.concat(F.lit("archetype-"), a.cast("string")).alias("archetype"),
+        F.concat(F.lit("LC"), F.lpad((a * len(sizes) + i + 1).cast("string"), 9, "0")).alias("doc_id"), F.concat(F.lit("archetype-"), "name").alias("archetype"),
         F.get(names, i).alias("length"), size.alias("n_words"), F.array_join(F.transform(F.sequence(F.lit(0), size - 1), word), " ").alias("text"),
     )
