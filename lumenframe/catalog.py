@@ -347,48 +347,43 @@ def counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).select("doc_id", "x.*")
 
 
-#: A text of two sentences over three lines, with a list and a table; each kind with a case that it meets and one that it breaks, and what is found.
-_PAGE = "Plan one: stop (now). Is 7 of 12.5 fine?\n- **Bold** one two\n* plain\n1. First item. Done.\n2) next\nB. Line has Tea and tea\n| a | b |\n|---|---|\n| 1 | 2 |\nends well"
-_CASES = [
-    ("word_count", {"value": 40}, {"value": 9}, "word_count: 40 found"), ("word_range", {"min": 1, "max": 90}, {"min": 50, "max": 60}, "word_range: 40 found"),
-    ("word_limit", {"max": 40}, {"max": 39}, "word_limit: 40 found"), ("first_word", {"word": "Plan"}, {"word": "plan"}, "first_word: Plan"),
-    ("last_word", {"word": "well"}, {"word": "done"}, "last_word: well"), ("term_occurrence", {"term": "tea", "count": 2}, {"term": "tea", "count": 1}, "term_occurrence('tea'): 2 found"),
-    ("forbidden_terms", {"terms": ["coffee"]}, {"terms": ["TEA", "x9", "plan"]}, "forbidden_terms: 'TEA';forbidden_terms: 'plan'"),
-    ("allowed_punctuation", None, {}, "allowed_punctuation: not met"), ("forbidden_chars", {"chars": ["#"]}, {"chars": ["#", "(", "|"]}, "forbidden_chars: '(';forbidden_chars: '|'"),
-    ("required_terms", {"terms": ["TEA"]}, {"terms": ["tea", "milk"]}, "required_terms: 'milk'"), ("first_prefix", {"prefix": "Plan one"}, {"prefix": "plan"}, "first_prefix: not met"),
-    ("parenthetical_count", None, {"value": 1}, "parenthetical_count: not met"), ("bullet_count", {"value": 2}, {"value": 3}, "bullet_count: 2 found"),
-    ("numbered_list_count", {"value": 2}, {"value": 1}, "numbered_list_count: 2 found"), ("item_prefix", {"index": 1, "prefix": "First"}, {"index": 2, "prefix": "next"}, "item_prefix: not met"),
-    ("item_contains", {"index": 1, "term": "item"}, {"index": 1, "term": "Item"}, "item_contains: not met"), ("item_excludes_chars", {"index": 1, "chars": ["!"]}, {"index": 1, "chars": ["."]}, "item_excludes_chars: not met"),
-    ("item_sentence_count", {"index": 1, "value": 2}, {"index": 1, "value": 1}, "item_sentence_count: not met"), ("sentence_count", {"value": 7}, {"value": 2}, "sentence_count: 7 found"),
-    ("sentence_contains", {"index": 1, "terms": ["stop"]}, {"index": 1, "terms": ["tea"]}, "sentence_contains: not met"), ("sentence_numeric_tokens", {"index": 2, "min": 2, "max": 2}, {"index": 2, "min": 0, "max": 1}, "sentence_numeric_tokens: not met"),
-    ("sentence_is_question", {"index": 2}, {"index": 1}, "sentence_is_question: not met"), ("markdown_table_shape", {"columns": ["a", "b"], "data_rows": 1}, {"columns": ["a"], "data_rows": 1}, "markdown_table_shape: not met"),
-    ("trailing_literal", {"literal": "well"}, {"literal": "x"}, "trailing_literal: not met"), ("line_count", {"value": 10}, {"value": 9}, "line_count: 10 found"),
-    ("line_prefix_sequence", {"prefixes": ["Plan", "-"]}, {"prefixes": ["Plan", "*", "x"]}, "line_prefix_sequence: line 2;line_prefix_sequence: line 3"),
-    ("line_word_limit", {"max_words": 9}, {"max_words": 5}, "line_word_limit: number 1;line_word_limit: number 6"), ("line_contains", {"lines": ["A"], "term": "stop"}, {"lines": ["A", "B"], "term": "stop"}, "line_contains: 'B'"),
-    ("bullet_prefix", {"index": 2, "prefix": "plain"}, {"index": 1, "prefix": "plain"}, "bullet_prefix: not met"), ("bullet_word_limit", {"max_words": 3}, {"max_words": 1}, "bullet_word_limit: number 1"),
-    ("ends_with", {"suffix": "well"}, {"suffix": "x"}, "ends_with: not met"), ("required_prefix", {"prefix": "Plan"}, {"prefix": "x"}, "required_prefix: not met"),
+#: Texts made of a turn's role and number: a page with a list, items and a table; and small ones that grow with the number.
+_said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+_many = lambda x: F.repeat(F.lit(x), F.col("turn").cast("int"))
+_PAGE = lambda: _said(
+    "Plan ", F.col("role"), ". Is ", F.col("turn").cast("int").cast("string"), " of 12.5 fine?\n- ", F.col("role"), _many(" two"), "\n* plain\n1. ", F.col("role"), " item. Done.\n2. next\n| a | ", F.col("role"), " |\n|---|---|\n| 1 | 2 |", _many("\n| 3 | 4 |"), "\nends ", F.col("role"), " \r\n"
+)
+#: Each kind: parameters, the text it reads, and when it holds.
+_KINDS = [
+    ("word_count", {"value": 42}, _PAGE, "turn = 2"), ("word_range", {"min": 40, "max": 60}, _PAGE, "turn BETWEEN 2 AND 5"), ("word_limit", {"max": 48}, _PAGE, "turn <= 3"),
+    ("first_word", {"word": "In"}, None, "rtrim(regexp_extract(trim(text), '^\\S+'), '.,;:') = 'In'"), ("last_word", {"word": "user"}, _PAGE, "role = 'user'"), ("term_occurrence", {"term": "TWO", "count": 3}, _PAGE, "turn = 3"),
+    ("forbidden_terms", {"terms": ["ASS", "zzz"]}, _PAGE, "role <> 'assistant'"), ("allowed_punctuation", {}, lambda: _said("B. ", F.col("role"), F.when(F.col("turn").cast("int") % 2 == 0, " x").otherwise("!")), "turn % 2 = 0"),
+    ("forbidden_chars", {"chars": ["\u00fc", "\u00e7"]}, None, "NOT contains(text, '\u00fc') AND NOT contains(text, '\u00e7')"), ("required_terms", {"terms": ["EN", "ou"]}, None, "contains(lower(text), 'en') AND contains(lower(text), 'ou')"),
+    ("first_prefix", {"prefix": "Plan u"}, _PAGE, "role = 'user'"), ("parenthetical_count", {"value": 2}, lambda: _said("x ", _many("(y) ")), "turn = 2"), ("bullet_count", {"value": 3}, lambda: _said("x", _many("\n- b")), "turn = 3"),
+    ("numbered_list_count", {"value": 2}, lambda: _said("x", _many("\n1) b")), "turn = 2"), ("item_prefix", {"index": 1, "prefix": "user"}, _PAGE, "role = 'user'"), ("item_contains", {"index": 1, "term": "sys"}, _PAGE, "role = 'system'"),
+    ("item_excludes_chars", {"index": 1, "chars": ["y"]}, _PAGE, "role <> 'system'"), ("item_sentence_count", {"index": 1, "value": 3}, lambda: _said("1. a.", _many(" b!")), "turn = 2"), ("sentence_count", {"value": 3}, lambda: _said("a.", _many(" b?")), "turn = 2"),
+    ("sentence_contains", {"index": 1, "terms": ["USER"]}, _PAGE, "role = 'user'"), ("sentence_numeric_tokens", {"index": 2, "min": 2, "max": 3}, lambda: _said("A. B", _many(" 7.5"), "."), "turn BETWEEN 2 AND 3"),
+    ("sentence_is_question", {"index": 1}, lambda: _said(F.col("role"), F.when(F.col("turn").cast("int") % 2 == 0, "? b.").otherwise(". b?")), "turn % 2 = 0"), ("markdown_table_shape", {"columns": ["a", "user"], "data_rows": 3}, _PAGE, "turn = 2 AND role = 'user'"),
+    ("trailing_literal", {"literal": "user"}, _PAGE, "role = 'user'"), ("line_count", {"value": 11}, _PAGE, "turn = 2"), ("line_prefix_sequence", {"prefixes": ["Plan", "- user"]}, _PAGE, "role = 'user'"),
+    ("line_word_limit", {"max_words": 7}, _PAGE, "turn <= 5"), ("line_contains", {"lines": ["A", "B"], "term": "SYS"}, _PAGE, "role = 'system'"), ("bullet_prefix", {"index": 1, "prefix": "assist"}, _PAGE, "role = 'assistant'"),
+    ("bullet_word_limit", {"max_words": 3}, _PAGE, "turn <= 2"), ("ends_with", {"suffix": "system"}, _PAGE, "role = 'system'"), ("required_prefix", {"prefix": "Plan a"}, _PAGE, "role = 'assistant'"),
 ]
 
 
-def _kind_query(n: int, kind: str, good: dict | None, bad: dict | None, found: str) -> None:
-    """Both cases of a kind over the page; the SQL is what a reader finds in it."""
-    cases = [(g, c) for g, c in (("good", good), ("bad", bad)) if c is not None]
-    rows = " UNION ALL ".join("SELECT '{}' AS c, {} AS holds, '{}' AS violations".format(g, "true" if g == "good" else "false", "" if g == "good" else found.replace("'", "''")) for g, _ in cases)
+def _kind_query(n: int, kind: str, asked: dict, said, when: str) -> None:
+    """Whether every turn's text meets a constraint, and whether violations say so."""
     name = f"q{n:02d}_{kind}"
-    SQL[name] = rows
+    SQL[name] = f"SELECT conv_id, turn, {when} AS holds, {when} AS clean FROM conversations"
 
     def run(spark, sf_dir):
-        page = spark.range(1).select(text.normalised(F.concat(F.lit(_PAGE), F.lit(" \r\n"))).alias("t"))
-        each = [
-            F.struct(F.lit(g).alias("c"), text.holds(F.col("t"), {"kind": kind} | c).alias("holds"), F.array_join(text.violations(F.col("t"), [{"kind": kind} | c]), ";").alias("violations"))
-            for g, c in cases
-        ]
-        return page.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+        t = text.normalised(F.col("text") if said is None else said())
+        rule = {"kind": kind} | asked
+        return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.holds(t, rule).alias("holds"), (F.size(text.violations(t, [rule])) == 0).alias("clean"))
 
     QUERIES[name] = run
 
 
-for _n, _case in enumerate(_CASES, 1):
+for _n, _case in enumerate(_KINDS, 1):
     _kind_query(_n, *_case)
 
 

@@ -3,10 +3,10 @@
 import json
 import time
 
+from constraint_cases import CASES, PAGE
 from pyspark.sql import functions as F
 
-from lumenframe.catalog import _CASES, _PAGE
-from lumenframe.functions import graders, spec_rows
+from lumenframe.functions import graders, spec_rows, text
 
 FACTS = {"type": "fact_check", "required_facts": ["Tea", "zzz"], "required_fact_groups": [{"any_of": ["milk", "plan"]}, {"any_of": ["q1", "q2"]}], "forbidden_facts": ["stop", "coffee"], "word_limit": {"max": 5}, "bullet_word_limit": {"max": 3}, "sentence_count": {"value": 7}}
 SPECS = {
@@ -23,13 +23,13 @@ EXTRA = [
     {"kind": "sentence_contains", "terms": ["x"]}, {"kind": "item_sentence_count", "value": 2}, {"kind": "bullet_prefix", "index": -1, "prefix": "plain"}, {"kind": "what"}, {"kind": "item_prefix", "index": 0, "prefix": "First"}, {"kind": "line_contains", "lines": ["A", "Z"], "term": "STOP"},
 ]
 OUTPUTS = [
-    _PAGE, _PAGE + " \r\n", "", None, "f", " F ", "café", "it is 3.0", " x\r\n", "x", "7", "101.5", "97.9.", "about 100", "07:05", "07:05:30", "7:05 pm", "19:05", "25:99", "Unknown.", "cannot_determine", "UNABLE TO ANSWER __", "I know",
+    PAGE, PAGE + " \r\n", "", None, "f", " F ", "café", "it is 3.0", " x\r\n", "x", "7", "101.5", "97.9.", "about 100", "07:05", "07:05:30", "7:05 pm", "19:05", "25:99", "Unknown.", "cannot_determine", "UNABLE TO ANSWER __", "I know",
     '{"a": ["x", "1"]}', '```json\n{"function": "f", "arguments": {"x": "1"}}\n```', '{"b": "tea one", "c": "Tea", "d": 3}', "Tea plan milk q2", "1. One. Two!\n2. Three. Four?", "- **B** x\n* plain y", "a\x00b c",
 ]
 
 
 def test_equal_to_constants(spark):
-    cases = [dict(c, kind=k) for k, good, bad, _ in _CASES for c in (good, bad) if c is not None] + EXTRA
+    cases = [dict(c, kind=k) for k, good, bad, _ in CASES for c in (good, bad) if c is not None] + EXTRA
     specs = SPECS | {f"c{i}": [{"type": "constraints", "constraints": cases[i : i + 3]}] for i in range(0, len(cases), 3)}
     rows = spark.createDataFrame([(k, i, o) for k in [*specs, "unknown"] for i, o in enumerate(OUTPUTS)], "task_id string, i int, said string").repartition(8).cache()
     table = spark.createDataFrame([(k, json.dumps(v)) for k, v in specs.items()], "task_id string, spec string")
@@ -42,6 +42,15 @@ def test_equal_to_constants(spark):
                 assert got[task, r["i"]] == r["r"], (task, OUTPUTS[r["i"]], got[task, r["i"]], r["r"])
 
 
+def test_each_kind(spark):
+    """Both cases of every kind over the page, and what the violations say."""
+    page = spark.range(1).select(text.normalised(F.concat(F.lit(PAGE), F.lit(" \r\n"))).alias("t"))
+    asked = [(kind, case, found) for kind, good, bad, found in CASES for case, found in ((good, ""), (bad, found)) if case is not None]
+    each = [F.struct(text.holds(F.col("t"), {"kind": k} | c).alias("h"), F.array_join(text.violations(F.col("t"), [{"kind": k} | c]), ";").alias("v")) for k, c, _ in asked]
+    got = page.select(F.array(*each).alias("x")).first()["x"]
+    assert [(r["h"], r["v"]) for r in got] == [(found == "", found) for _, _, found in asked]
+
+
 def plan_seconds(spark, n):
     """Seconds to plan the grading by n specifications, and the length of the plan."""
     made = [(f"k{i}", json.dumps([{"type": "numeric", "expected": i}, {"type": "constraints", "constraints": [{"kind": "word_limit", "max": i % 3}]}])) for i in range(n)]
