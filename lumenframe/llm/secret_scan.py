@@ -72,13 +72,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     parts = let(lower_ascii(t), lambda low: F.concat(base_spans(t, low), weak_spans(t, low)))
 
     def scoped(found: Column) -> Column:
-        scope = lambda p, blanks: F.size(F.filter(blanks, lambda b: b["s"] < p["s"]))
-        placed = let(matches(t, BLANK), lambda blanks: F.transform(found, lambda p: F.struct(p.alias("p"), scope(p, blanks).alias("c"))))
-        return F.when(F.size(found) > 0, placed)
-
-    flat = src.select("_row", "_id", F.explode_outer(let(parts, scoped)).alias("x")).select("_row", "_id", "x.p.*", F.coalesce("x.c", F.lit(0)).alias("c"))
-    near = Window.partitionBy("_row", "c").orderBy("s", "o")
-    back, ahead = near.rowsBetween(Window.unboundedPreceding, -1), near.rowsBetween(1, Window.unboundedFollowing)
+        """Parts, and blank lines among them as parts of no kind that count: only texts with parts have any."""
+        return F.when(F.size(found) > 0, F.concat(found, spans(matches(t, BLANK), -1, "blank")))
+
+    flat = src.select("_row", "_id", F.explode_outer(let(parts, scoped)).alias("x")).select("_row", "_id", "x.*")
+    # a part's scope: the blank lines before it, as a running count
+    flat = flat.withColumn("c", F.coalesce(F.sum(F.when(F.col("k") == "blank", 1)).over(Window.partitionBy("_row").orderBy("s", "o")), F.lit(0)))
+    flat = flat.where("k is null or k <> 'blank'")
+    # both frames grow with the rows: behind a part from the start, ahead of it from the end, each one pass
+    back = Window.partitionBy("_row", "c").orderBy("s", "o").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("_row", "c").orderBy(F.desc("s"), F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)
     is_id, is_secret = F.col("k").isin("access", "id"), F.col("k").isin("assign", "hex", "key40", "pass")
 
     def within(kind: Column, strong: Column | None = None) -> Column:
