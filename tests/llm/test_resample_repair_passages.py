@@ -210,3 +210,34 @@ def test_secrets_of_a_long_checksum_list(spark):
     assert time.time() - began < 60
     sizes = {r["id"]: (len(r["base"]), len(r["spans"])) for r in got}
     assert sizes == {0: (200_000, 200_000), 1: (0, 0), 2: (0, 0), None: (1, 2)}
+
+
+# near duplicates of short texts
+
+
+def test_no_link_of_short_texts_is_lost(spark):
+    """All pairs of texts of 5 to 12 words: whatever their fingerprints, those at a similarity of 0.8 are linked."""
+    from lumenframe.llm import jaccard_dedup
+
+    pick, texts = random.Random(3), []
+    for k in range(700):
+        words = [f"v{pick.randrange(10**6)}" for _ in range(pick.randint(5, 12))]
+        texts += [" ".join(words), " ".join(words[:-1]) if k % 3 else " ".join([*words, "more"])]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    by = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            for j in by.setdefault(x, []):
+                if len(s & sets[j]) >= 0.8 * len(s | sets[j]) - 1e-9:
+                    a, b = label[i], label[j]
+                    label = [min(a, b) if y in (a, b) else y for y in label]
+            by[x].append(i)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    groups = {}
+    for r in jaccard_dedup.near_duplicates(frame).collect():
+        groups.setdefault(r["group"], []).append(r["id"])
+    want = {}
+    for i, x in enumerate(label):
+        want.setdefault(x, []).append(i)
+    assert sorted(map(sorted, groups.values())) == sorted(want.values()) and any(len(v) > 1 for v in want.values())
