@@ -429,7 +429,7 @@ def row_modes(spark, sf_dir):
 def config_drift(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_acctbal").cast("string").alias("value"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_acctbal").cast("string").alias("value"))
-    return judging.drift(a, b).select(F.when(F.col("drifted") == "", 0).otherwise(F.size(F.split("drifted", ","))).cast("bigint").alias("drifted"))
+    return judging.drift(a, b).agg(F.count("*").alias("drifted"))
 
 
 # graders, asserted values and gates

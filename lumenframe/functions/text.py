@@ -49,8 +49,8 @@ def bullets(t: Column) -> Column:
 
 
 def bullet_text(x: Column) -> Column:
-    """What stands after the marks: all of them, with the blanks between."""
-    return F.regexp_replace(x, rf"^{SPACE}*[-*• ]+{SPACE}*", "")
+    """What stands after the marks and blanks at the start; other white space is text."""
+    return F.ltrim(x, F.lit("-*• "))
 
 
 def numbered_items(t: Column) -> Column:

@@ -108,8 +108,6 @@ def population_hash(rows: DataFrame, line, by: list[str]) -> DataFrame:
 
 
 def drift(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(key, value) twice -> sorted keys whose values differ, null-safe."""
+    """(key, value) twice -> a row (key, value, other) per key whose values differ, null-safe."""
     b = right.select("key", F.col("value").alias("other"))
-    return left.join(b, "key", "full_outer").where(~F.col("value").eqNullSafe(F.col("other"))).agg(
-        F.concat_ws(",", F.array_sort(F.collect_list("key"))).alias("drifted")
-    )
+    return left.join(b, "key", "full_outer").where(~F.col("value").eqNullSafe(F.col("other")))

@@ -51,6 +51,12 @@ def test_each_kind(spark):
     assert [(r["h"], r["v"]) for r in got] == [(found == "", found) for _, _, found in asked]
 
 
+def test_tabs_beside_bullet_marks_stay(spark):
+    rows = spark.createDataFrame([("\t- Bold",), ("-\tBold",), (" -  * Bold",), ("- Bold",)], "t string")
+    got = [r[0] for r in rows.select(text.holds(F.concat(F.lit("x\n"), F.col("t")), {"kind": "bullet_prefix", "index": 1, "prefix": "Bold"})).collect()]
+    assert got == [False, False, True, True]
+
+
 def plan_seconds(spark, n):
     """Seconds to plan the grading by n specifications, and the length of the plan."""
     made = [(f"k{i}", json.dumps([{"type": "numeric", "expected": i}, {"type": "constraints", "constraints": [{"kind": "word_limit", "max": i % 3}]}])) for i in range(n)]
