@@ -136,6 +136,36 @@ def _places(words: Column) -> Column:
     return F.concat(*[of(phrase.split(), label) for phrase, label in PHRASES.items()])
 
 
+def _most_distinct(reach: Column, label: Column, sets: dict[str, list[str]], first: Column, at: Column, window: Column) -> Column:
+    """The most distinct tokens of a template in any window that starts at ``first`` to ``at``; ``reach``: the words from ``first`` on.
+
+    A token at p, met before at q, is new to the windows that start behind q and
+    hold p: one interval of starts a place. A sweep over the intervals' ends
+    counts all windows at once, where counting each anew is quadratic.
+    """
+    own = None
+    for name, tokens in sets.items():  # membership by a hash set of the template that is meant
+        own = (lambda x, n=name: F.when(label == n, x.isin(sets[n]))) if own is None else (lambda x, n=name, rest=own: rest(x).when(label == n, x.isin(sets[n])))
+    if own is None:
+        return F.lit(0)
+    places = F.filter(F.transform(reach, lambda x, i: F.struct(x.alias("t"), (first + i).alias("p"))), lambda y: own(y["t"]))
+
+    def ends(k: Column, placed: Column) -> Column:
+        here, before = F.get(placed, k), F.get(placed, k - 1)
+        last = F.when(before["t"] == here["t"], before["p"]).otherwise(-1)
+        low, high = F.greatest(last + 1, here["p"] - window + 1, first), F.least(here["p"], at)
+        step = lambda p, d: F.struct(p.cast("int").alias("p"), F.lit(d).alias("d"))
+        return F.when(low <= high, F.array(step(low, 1), step(high + 1, -1))).otherwise(F.array().cast("array<struct<p:int,d:int>>"))
+
+    def swept(placed: Column) -> Column:
+        events = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(placed) - 1), lambda k: ends(k, placed))))
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+        add = lambda s, e: F.struct((s["now"] + e["d"]).alias("now"), F.greatest(s["most"], s["now"] + e["d"]).alias("most"))
+        return F.when(F.size(placed) > 0, F.aggregate(events, start, add, lambda s: s["most"])).otherwise(0)
+
+    return let(F.array_sort(places), swept)
+
+
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
@@ -171,21 +201,22 @@ def scan(
         ),
     )
     base = src.select("_row", "_id", words.alias("_w"))
-    base = base.select("_row", "_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_p"), F.explode_outer("_w.hits").alias("_h"))
-    base = base.select("_row", "_id", "n_words", "_p", "_h.token", "_h.at", "_h.near")
+    base = base.select("_row", "_id", F.col("_w.n").alias("n_words"), F.col("_w.places").alias("_p"), F.posexplode_outer("_w.hits").alias("_k", "_h"))
+    lead = F.coalesce(F.col("_k"), F.lit(0)) == 0  # a document's base places stay with its first hit
+    base = base.select("_row", "_id", "n_words", F.when(lead, F.col("_p")).alias("_p"), "_h.token", "_h.at", "_h.near")
     pairs = base.join(F.broadcast(index), "token", "left")  # the templates' prefix tokens: a few hundred rows
     # within reach of the place: windows that hold it start at most window - 1 words before
     first = F.greatest(F.col("at") - F.col("window") + 1, F.lit(0))
     reach = F.slice("near", first + 1, F.col("at") - first + F.col("window"))
-    shared = lambda ws: F.size(F.array_intersect(ws, F.col("tokens")))
-    able = (F.size(reach) >= F.col("need")) & (shared(reach) >= F.col("need"))
-    most = F.array_max(F.transform(F.sequence(first, F.col("at")), lambda s: shared(F.slice("near", s + 1, F.col("window")))))
+    able = (F.size(reach) >= F.col("need")) & (F.size(F.array_intersect(reach, F.col("tokens"))) >= F.col("need"))
+    sets = {label: measures(text, threshold)[0] for label, text in sorted(templates.items())}
+    most = let(reach, lambda ws: _most_distinct(ws, F.col("label"), sets, first, F.col("at"), F.col("window")))
     best = F.when(F.when(F.col("label").isNotNull(), able).otherwise(F.lit(False)), most)
     pairs = pairs.select("_row", "_id", "n_words", "_p", "label", "n", F.when(best >= F.col("need"), best).alias("hit"))
     out = pairs.groupBy("_row").agg(
         F.first("_id").alias("id"),
         F.first("n_words").alias("n_words"),
-        F.first("_p").alias("_p"),
+        F.coalesce(F.first("_p", ignorenulls=True), none).alias("_p"),
         F.collect_set(F.when(F.col("hit").isNotNull(), F.col("label"))).alias("_l"),
         F.coalesce(F.max(F.col("hit") / F.col("n")), F.lit(0.0)).alias("score"),
     )

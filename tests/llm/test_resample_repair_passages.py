@@ -241,3 +241,22 @@ def test_no_link_of_short_texts_is_lost(spark):
     for i, x in enumerate(label):
         want.setdefault(x, []).append(i)
     assert sorted(map(sorted, groups.values())) == sorted(want.values()) and any(len(v) > 1 for v in want.values())
+
+
+# license texts
+
+
+def test_many_license_texts_in_one_document(spark):
+    """A file of third parties' notices: 100 license texts in one document, with words of its own between them."""
+    import time
+
+    from lumenframe.llm import license_scan
+
+    mit = license_scan.TEMPLATES["mit-text"]
+    text = "\n".join(f"Component {i} all rights reserved\n{mit}\n" for i in range(100))
+    began = time.time()
+    got = license_scan.scan(docs(spark, [text, mit, mit.replace("granted", "given"), None])).collect()
+    assert time.time() - began < 60
+    labels = {r["id"]: (r["n_base"], r["labels"], r["score"]) for r in got}
+    assert labels[0][0] == 100 and labels[0][2] == 1.0 and {"mit-notice", "mit-text", "reserved"} <= set(labels[0][1].split(","))
+    assert labels[1][2] == 1.0 and 0.9 < labels[2][2] < 1 and labels[None] == (0, "", 0.0)
