@@ -170,7 +170,7 @@ def _attempts_query(name: str, sql: str, f) -> None:
 _attempts_query("t02_rows_until_done", """SELECT run_id FROM (SELECT run_id, min(CASE WHEN status = 'COMPLETE' AND verdict = 'PASS' THEN run_id END) OVER (PARTITION BY model_config_id, task_id, k % 3) AS first FROM attempts) WHERE first IS NULL OR run_id <= first""",
     lambda a: resume.not_done_batch(a.select("run_id", "model_config_id", "task_id", (F.col("k") % 3).alias("slot"), F.when(F.col("verdict") == "PASS", F.col("status")).alias("status")), ["model_config_id", "task_id", "slot"]).select("run_id"))
 _attempts_query("t03_reloads_since_warm_up", """SELECT model_config_id, segment, count(*) FILTER (NOT is_warmup) AS rows, count(*) FILTER (NOT is_warmup AND value > 25) AS reloads, max(run_id) FILTER (is_warmup) AS closed_by
-  FROM (SELECT *, sum(is_warmup::INT) OVER (PARTITION BY model_config_id ORDER BY run_id) - is_warmup::INT AS segment FROM attempts) GROUP BY 1, 2 HAVING bool_or(is_warmup)""",
+  FROM (SELECT *, (sum(is_warmup::INT) OVER (PARTITION BY model_config_id ORDER BY run_id))::BIGINT - is_warmup::BIGINT AS segment FROM attempts) GROUP BY 1, 2 HAVING bool_or(is_warmup)""",
     lambda a: resume.since_warm_up_batch(a.select("run_id", "model_config_id", "is_warmup", "value"), ["model_config_id"], load="value", limit=25.0))
 
 
