@@ -59,13 +59,13 @@ on_table("f07_eligible_points", "part", "SELECT p_partkey, p_size FROM part WHER
     lambda p: evaluation.eligible(p.withColumn("s", F.when(F.col("p_size") % 5 != 0, F.col("p_size"))), "s", "p_retailprice").select("p_partkey", "p_size"))
 on_attempts("f08_prefix_exclusion", "SELECT DISTINCT model_config_id FROM attempts WHERE left(model_config_id, 1) NOT IN ('c', 'p')",
     lambda a, t: runs.without_prefixes(a.select("model_config_id").distinct(), "model_config_id", ["c", "p"]))
-on_attempts("f09_numeric_guard", "SELECT run_id, CASE WHEN run_id % 4 IN (0, 1) THEN (run_id % 10)::DOUBLE + CASE WHEN run_id % 4 = 1 THEN 0.5 ELSE 0 END END AS x FROM attempts",
-    lambda a, t: a.select("run_id", runs.json_number(F.concat(F.lit('{"v": '), F.when(F.col("run_id") % 4 == 0, (F.col("run_id") % 10).cast("string"))
-        .when(F.col("run_id") % 4 == 1, F.concat((F.col("run_id") % 10).cast("string"), F.lit(".5"))).when(F.col("run_id") % 4 == 2, "true").otherwise('"7"'), F.lit("}")), "v").alias("x")))
+on_attempts("f09_numeric_guard", "SELECT run_id, CASE WHEN k % 4 IN (0, 1) THEN (k % 10)::DOUBLE + CASE WHEN k % 4 = 1 THEN 0.5 ELSE 0 END END AS x FROM attempts",
+    lambda a, t: a.select("run_id", runs.json_number(F.concat(F.lit('{"v": '), F.when(F.col("k") % 4 == 0, (F.col("k") % 10).cast("string"))
+        .when(F.col("k") % 4 == 1, F.concat((F.col("k") % 10).cast("string"), F.lit(".5"))).when(F.col("k") % 4 == 2, "true").otherwise('"7"'), F.lit("}")), "v").alias("x")))
 on_attempts("f10_judge_pending", "SELECT run_id FROM attempts JOIN tasks USING (task_id) WHERE grading_status = 'READY_JUDGE' AND verdict = 'NEEDS_JUDGE'",
     lambda a, t: runs.population(runs.population(a.join(t.select("task_id", "grading_status"), "task_id"), "grading_status", ["READY_JUDGE"]), "verdict", ["NEEDS_JUDGE"]).select("run_id"))
-on_attempts("f11_lineage_guard", "SELECT run_id FROM attempts WHERE run_id % 3 = 0",
-    lambda a, t: runs.same_lineage(a.withColumn("x", F.concat(F.when(F.col("run_id") % 3 == 0, "spec").otherwise("special"), F.lit("__m"))), "x", "spec").select("run_id"))
+on_attempts("f11_lineage_guard", "SELECT run_id FROM attempts WHERE k % 3 = 0",
+    lambda a, t: runs.same_lineage(a.withColumn("x", F.concat(F.when(F.col("k") % 3 == 0, "spec").otherwise("special"), F.lit("__m"))), "x", "spec").select("run_id"))
 on_attempts("f16_display_alias", "SELECT CASE model_config_id WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE model_config_id END AS name, count(*) AS n FROM attempts GROUP BY 1",
     lambda a, t: a.groupBy(runs.alias({"click": "Click", "view": "View"}, F.col("model_config_id")).alias("name")).agg(F.count("*").alias("n")))
 # metrics
@@ -164,17 +164,17 @@ on_attempts("x30_retry_prompts", f"""SELECT task_id, sha256('Task ' || task_id |
         F.when(F.col("task_id") % 8 == 2, F.array(F.lit("a"), F.lit("k"))).otherwise(F.array().cast("array<string>")))).alias("p")).select("task_id", "p.rendered_sha256", "p.suffix_sha256"))
 on_attempts("x31_retry_text_rejected", "SELECT task_id, task_id % 3 = 0 AS found FROM tasks",
     lambda a, t: t.select("task_id", prompts.has_marker(F.concat(F.lit("Do it. "), F.when(F.col("task_id") % 3 == 0, prompts.SUFFIXES["json"]).otherwise("Give one JSON object."))).alias("found")))
-on_attempts("x32_bare_json_numbers", "SELECT run_id, run_id % 6 IN (0, 1, 2) AS bare FROM attempts",
-    lambda a, t: a.select("run_id", text.is_json_number(F.get(F.array(*[F.lit(x) for x in ("-12", " 0.50\n", "1e-7", "NaN", "true", "01")]), (F.col("run_id") % 6).cast("int"))).alias("bare")))
+on_attempts("x32_bare_json_numbers", "SELECT run_id, k % 6 IN (0, 1, 2) AS bare FROM attempts",
+    lambda a, t: a.select("run_id", text.is_json_number(F.get(F.array(*[F.lit(x) for x in ("-12", " 0.50\n", "1e-7", "NaN", "true", "01")]), (F.col("k") % 6).cast("int"))).alias("bare")))
 _FENCE = "chr(96) || chr(96) || chr(96)"
-on_attempts("x34_extracted_code", f"""SELECT run_id, CASE run_id % 6 WHEN 0 THEN 'x = ' || k WHEN 1 THEN 'x = ' || k END AS source, CASE run_id % 6 WHEN 0 THEN 'fence' WHEN 1 THEN 'raw' END AS form,
-  CASE run_id % 6 WHEN 2 THEN 'fence of another kind' WHEN 3 THEN 'several fences' WHEN 4 THEN 'truncated' WHEN 5 THEN 'too long' END AS error FROM attempts""",
-    lambda a, t: a.select("run_id", prompts.code(F.when(F.col("run_id") % 6 == 0, F.concat(F.lit("```Python \n"), F.lit("x = "), F.col("k").cast("string"), F.lit("\n```\n")))
-        .when(F.col("run_id") % 6 == 2, F.concat(F.lit("see ```python\nx = "), F.col("k").cast("string"), F.lit("\n```"))).when(F.col("run_id") % 6 == 3, "```py\na\n```\n```py\nb\n```")
-        .when(F.col("run_id") % 6 == 5, F.repeat(F.lit("é"), 60)).otherwise(F.concat(F.lit(" x = "), F.col("k").cast("string"), F.lit("\n"))),
-        F.lit("python"), F.when(F.col("run_id") % 6 == 4, "length").otherwise("stop"), 100).alias("c")).select("run_id", "c.source", "c.form", "c.error"))
-on_attempts("x36_static_faults", """SELECT run_id, CASE run_id % 7 WHEN 1 THEN 'SYNTAX_ERROR' WHEN 2 THEN 'ENTRYPOINT_MISSING' WHEN 3 THEN 'FORBIDDEN_CONSTRUCT' WHEN 5 THEN 'SYNTAX_ERROR' WHEN 6 THEN 'UNSUPPORTED_LANGUAGE' END AS fault FROM attempts""",
-    lambda a, t: a.withColumn("n", (F.col("run_id") % 7).cast("int")).select("run_id", prompts.static_fault(F.when(F.col("n") < 4, "python").when(F.col("n") < 6, "javascript").otherwise("perl"),
+on_attempts("x34_extracted_code", f"""SELECT run_id, CASE k % 6 WHEN 0 THEN 'x = ' || k WHEN 1 THEN 'x = ' || k END AS source, CASE k % 6 WHEN 0 THEN 'fence' WHEN 1 THEN 'raw' END AS form,
+  CASE k % 6 WHEN 2 THEN 'fence of another kind' WHEN 3 THEN 'several fences' WHEN 4 THEN 'truncated' WHEN 5 THEN 'too long' END AS error FROM attempts""",
+    lambda a, t: a.select("run_id", prompts.code(F.when(F.col("k") % 6 == 0, F.concat(F.lit("```Python \n"), F.lit("x = "), F.col("k").cast("string"), F.lit("\n```\n")))
+        .when(F.col("k") % 6 == 2, F.concat(F.lit("see ```python\nx = "), F.col("k").cast("string"), F.lit("\n```"))).when(F.col("k") % 6 == 3, "```py\na\n```\n```py\nb\n```")
+        .when(F.col("k") % 6 == 5, F.repeat(F.lit("é"), 60)).otherwise(F.concat(F.lit(" x = "), F.col("k").cast("string"), F.lit("\n"))),
+        F.lit("python"), F.when(F.col("k") % 6 == 4, "length").otherwise("stop"), 100).alias("c")).select("run_id", "c.source", "c.form", "c.error"))
+on_attempts("x36_static_faults", """SELECT run_id, CASE k % 7 WHEN 1 THEN 'SYNTAX_ERROR' WHEN 2 THEN 'ENTRYPOINT_MISSING' WHEN 3 THEN 'FORBIDDEN_CONSTRUCT' WHEN 5 THEN 'SYNTAX_ERROR' WHEN 6 THEN 'UNSUPPORTED_LANGUAGE' END AS fault FROM attempts""",
+    lambda a, t: a.withColumn("n", (F.col("k") % 7).cast("int")).select("run_id", prompts.static_fault(F.when(F.col("n") < 4, "python").when(F.col("n") < 6, "javascript").otherwise("perl"),
         F.get(F.array(*[F.lit(x) for x in ("def f(x):\n    return x", "def f(x:\n", "def g(x):\n    return x", "import re\ndef f(x):\n    return re.sub('a', 'b', x)", "const f = (x) => { return x }", "function f(x) { return x", "sub f {}")]), F.col("n")),
         F.lit("f"), F.array(F.lit("no_re_import"), F.lit("no_try_except"))).alias("fault")))
 on_attempts("x38_rendered_prompts", "SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'Q' || task_id ELSE '<s>Q' || task_id || '</s>' END AS prompt FROM tasks",
@@ -188,8 +188,8 @@ on_attempts("x44_judge_prompts", """SELECT task_id, contains('', '') AS blind, '
     lambda a, t: t.withColumn("p", prompts.rubric_prompt(F.lit("Do"), F.col("task_id").cast("string"), F.array(F.struct(F.lit("b").alias("id"), F.lit("second").alias("definition"), F.lit(False).alias("desired")),
         F.struct(F.lit("a").alias("id"), F.lit("first").alias("definition"), F.lit(True).alias("desired"))), F.lit("said"))).select("task_id", (~F.contains("p", F.lit("model"))).alias("blind"),
         F.regexp_extract("p", r"(?s)Criteria:\n(.*)\nText:\n<text>\nsaid\n</text>", 1).alias("criteria")))
-on_attempts("x46_error_kinds", "SELECT run_id, ['timeout', 'http_503', 'http_404', 'malformed_chunk'][run_id % 4 + 1] AS kind, run_id % 4 < 2 AS retryable FROM attempts",
-    lambda a, t: a.withColumn("e", F.get(F.array(*[F.lit(x) for x in ("timeout", "http", "http", "malformed_chunk")]), (F.col("run_id") % 4).cast("int"))).withColumn("s", F.when(F.col("run_id") % 4 == 1, 503).otherwise(404)).select(
+on_attempts("x46_error_kinds", "SELECT run_id, ['timeout', 'http_503', 'http_404', 'malformed_chunk'][k % 4 + 1] AS kind, k % 4 < 2 AS retryable FROM attempts",
+    lambda a, t: a.withColumn("e", F.get(F.array(*[F.lit(x) for x in ("timeout", "http", "http", "malformed_chunk")]), (F.col("k") % 4).cast("int"))).withColumn("s", F.when(F.col("k") % 4 == 1, 503).otherwise(404)).select(
         "run_id", prompts.error_kind(F.col("e"), F.col("s")).alias("kind"), prompts.is_retryable(F.col("e"), F.col("s")).alias("retryable")))
 
 # gates
@@ -204,10 +204,10 @@ on_attempts("g14_spec_faults", f""", {_GRADERS}, h AS (SELECT DISTINCT task_id F
   SELECT task_id, 'not in the specification' AS fault FROM b WHERE NOT in_s UNION ALL SELECT task_id, 'not in the dataset' FROM b WHERE NOT in_d
   UNION ALL SELECT task_id, 'ready without graders' FROM b WHERE in_s AND s LIKE 'READY%' AND NOT has UNION ALL SELECT task_id, 'pending with graders' FROM b WHERE in_s AND s LIKE 'PENDING%' AND has""",
     lambda a, t: audits.spec_faults(t, _graders(a), a.where("task_id % 7 <> 0")))
-on_table("g15_document_faults", "documents", """, d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 10 = 1 THEN 'word count' END, CASE WHEN doc_id % 10 = 2 THEN 'document hash' END,
-  CASE WHEN doc_id % 10 = 3 THEN 'not embedded' END], lambda x: x IS NOT NULL)) AS fault FROM d""".replace(", d AS", "WITH d AS", 1),
+on_table("g15_document_faults", "documents", """, d AS (SELECT doc_id, n_chars, coalesce(text, '') AS t FROM documents) SELECT doc_id, unnest(list_filter([CASE WHEN n_chars % 10 = 1 THEN 'word count' END, CASE WHEN n_chars % 10 = 2 THEN 'document hash' END,
+  CASE WHEN n_chars % 10 = 3 THEN 'not embedded' END], lambda x: x IS NOT NULL)) AS fault FROM d""".replace(", d AS", "WITH d AS", 1),
     lambda d: (lambda t, n: audits.document_faults(d, F.size(text.words(t)), F.sha2(t, 256), t, F.when(n == 3, F.lit("Read: nothing\u0001")).otherwise(F.concat(F.lit("Read: "), t)),
-        F.size(text.words(t)) + F.when(n == 1, 1).otherwise(0), F.when(n == 2, F.sha2(F.concat(t, F.lit("x")), 256)).otherwise(F.sha2(t, 256))).where(~((n == 3) & (t == ""))).select("doc_id", "fault"))(F.coalesce("text", F.lit("")), F.col("doc_id") % 10))
+        F.size(text.words(t)) + F.when(n == 1, 1).otherwise(0), F.when(n == 2, F.sha2(F.concat(t, F.lit("x")), 256)).otherwise(F.sha2(t, 256))).where(~((n == 3) & (t == ""))).select("doc_id", "fault"))(F.coalesce("text", F.lit("")), F.col("n_chars") % 10))
 on_attempts("g16_code_task_faults", """SELECT task_id, f AS fault FROM (SELECT task_id, unnest(list_filter([CASE WHEN task_id % 5 = 1 THEN 'language' END, CASE WHEN task_id % 5 = 2 THEN 'entrypoint' END, CASE WHEN task_id % 5 = 3 THEN 'tests' END,
   CASE WHEN task_id % 5 IN (2, 4) THEN 'not in source' END], lambda x: x IS NOT NULL)) AS f FROM tasks)""",
     lambda a, t: audits.code_task_faults(t.select("task_id", F.when(F.col("task_id") % 5 == 1, "perl").otherwise("python").alias("language"), F.when(F.col("task_id") % 5 == 2, "2bad").otherwise("solve").alias("entrypoint"),

@@ -116,25 +116,27 @@ def code(output: Column, language: Column, done_reason: Column, most_bytes: int)
     return F.struct(source.alias("source"), F.sha2(source, 256).alias("sha256"), form.alias("form"), error.alias("error"))
 
 
-#: Rules of static checks: the name that a source must not use.
-FORBIDDEN = {"no_set": "set", "no_dict_fromkeys": "fromkeys", "no_re_import": "re", "no_sleep": "sleep"}
+#: Codes of static checks; for each rule the names that a source must not use, or the kind of node it must not hold.
+SYNTAX, NO_ENTRY, FORBIDDEN = "SYNTAX_ERROR", "ENTRYPOINT_MISSING", "FORBIDDEN_CONSTRUCT"
+RULES = {"no_set": {"set"}, "no_dict_fromkeys": {"fromkeys"}, "no_re_import": {"re"}, "no_sleep": {"sleep"}, "no_try_except": {ast.Try}}
+#: What a node of a kind names.
+NAMED = {
+    ast.Name: lambda n: {n.id}, ast.Attribute: lambda n: {n.attr}, ast.Import: lambda n: {a.name.partition(".")[0] for a in n.names},
+    ast.ImportFrom: lambda n: {(n.module or "").partition(".")[0]}, ast.FunctionDef: lambda n: {("def", n.name)},
+}
 
 
 def _python_fault(source: str, entrypoint: str, rules: list[str]) -> str | None:
+    """One walk gathers what the source names, defines and consists of; rules are sets that it must not meet."""
     try:
-        nodes = list(ast.walk(ast.parse(source)))
+        found = set()
+        for node in ast.walk(ast.parse(source)):
+            found |= {type(node)} | NAMED.get(type(node), lambda n: set())(node)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return "SYNTAX_ERROR"
-    if not any(isinstance(n, ast.FunctionDef) and n.name == entrypoint for n in nodes):
-        return "ENTRYPOINT_MISSING"
-    used = {n.id for n in nodes if isinstance(n, ast.Name)} | {n.attr for n in nodes if isinstance(n, ast.Attribute)}
-    for n in nodes:
-        if isinstance(n, ast.Import):
-            used |= {a.name.partition(".")[0] for a in n.names}
-        if isinstance(n, ast.ImportFrom) and n.module:
-            used.add(n.module.partition(".")[0])
-    tries = any(isinstance(n, ast.Try) for n in nodes)
-    return "FORBIDDEN_CONSTRUCT" if any(FORBIDDEN.get(r) in used or (r == "no_try_except" and tries) for r in rules) else None
+        return SYNTAX
+    if ("def", entrypoint) not in found:
+        return NO_ENTRY
+    return FORBIDDEN if any(RULES.get(r, set()) & found for r in rules) else None
 
 
 @F.pandas_udf(StringType())
@@ -147,7 +149,7 @@ def script_fault(source: Column, entrypoint: Column) -> Column:
     """The same for JavaScript, by its text: the entry point and balanced braces."""
     named = F.regexp_like(source, F.concat(F.lit(r"\b(function\s+\Q"), entrypoint, F.lit(r"\E|const\s+\Q"), entrypoint, F.lit(r"\E\s*=)")))
     count = lambda ch: F.length(source) - F.length(F.replace(source, F.lit(ch), F.lit("")))
-    return F.when(~named, "ENTRYPOINT_MISSING").when(count("{") != count("}"), "SYNTAX_ERROR")
+    return F.when(~named, NO_ENTRY).when(count("{") != count("}"), SYNTAX)
 
 
 def static_fault(language: Column, source: Column, entrypoint: Column, rules: Column) -> Column:
