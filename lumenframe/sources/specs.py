@@ -52,6 +52,12 @@ def documents(spark: SparkSession, path: str, yaml: bool = False) -> DataFrame:
     return raw.select("file", "sha256", F.try_parse_json("document").alias("doc"))
 
 
+def bundled(spark: SparkSession, path: str) -> DataFrame:
+    """Like ``documents``, of files that hold a JSON document a line: their number follows the bytes, not the documents. The hash is that of a file with this line alone."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    return read.select("file", F.sha2(F.concat("document", F.lit("\n")), 256).alias("sha256"), F.try_parse_json("document").alias("doc"))
+
+
 def _text(path: str) -> Column:
     return F.try_variant_get("doc", f"$.{path}", "string")
 

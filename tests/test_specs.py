@@ -42,6 +42,22 @@ def test_overlays(spark, tmp_path):
     assert rows == {("v1", k): (v, False) for k, v in base.items()} | {("v1.1", k): (({"x": 3}, True) if k == "b" else (v, False)) for k, v in base.items()}
 
 
+def test_bundled_specifications(spark, tmp_path, small):
+    """Documents a line each resolve as files of one document do; the query's files do not grow with its specifications."""
+    from lumenframe import catalog_gates
+
+    base = json.dumps({"spec_id": "v1", "tasks": {"a": {"x": 1}, "b": {"x": 2}}})
+    good = {"base_spec": "v1", "provenance": {"base_spec_sha256": hashlib.sha256(f"{base}\n".encode()).hexdigest()}}
+    lines = [base, json.dumps(good | {"spec_id": "v2", "overrides": {"b": {"x": 3}}}), json.dumps(good | {"spec_id": "v3", "overrides": {"z": {}}})]
+    put(tmp_path, "all.jsonl", "\n".join(lines))
+    table = specs.specifications(specs.bundled(spark, str(tmp_path)))
+    assert [tuple(r) for r in specs.faults(table).collect()] == [("v3", "task absent from base", "z")]
+    got = {(r["spec"], r["task_id"], r["entry"], r["changed"]) for r in specs.resolved(table).collect()}
+    assert got == {("v1", "a", '{"x":1}', False), ("v1", "b", '{"x":2}', False), ("v2", "a", '{"x":1}', False), ("v2", "b", '{"x":3}', True)}
+    made = catalog_gates._spec_files(spark, small)
+    assert made.select("file").distinct().count() < made.count() / 2
+
+
 def test_model_overlays(spark, tmp_path):
     whole = {f: "1" for f in specs.MODEL_FIELDS} | {"config_id": "m", "template_text": "t", "template_sha256": hashlib.sha256(b"t").hexdigest(), "stop_tokens": [], "think": False}
     put(tmp_path, "a.json", whole)
