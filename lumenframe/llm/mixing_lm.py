@@ -35,20 +35,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents, row_key, small_batches, stage_table, text_of
 
-HEAD, LEAST_BITS, MOST_BITS, SPELLING_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 14, 22, 20, 1 << 14, 1 << 15
+HEAD, LEAST_BITS, MOST_BITS, SPELLING_BITS, CHUNK_SLOTS, TOKENS_AT_ONCE = 1 << 16, 14, 22, 20, 1 << 14, 1 << 12
 #: Learning tokens for each slot of a table, and learning tokens that one task counts (as a guide).
 TOKENS_A_SLOT, TOKENS_A_TASK = 8, 8_000_000
+#: Tokens whose pairs of context and symbol are made distinct together.
+PAIRED_TOKENS = 1 << 21
 END, ESC = 0, 1
 CONTEXTS, GATES, RATE = 3, 32, 0.03
 #: While coding: the rate, what a document's sums of squares start from, and the weight of the taught map.
 OWN_RATE, OWN_START, MAP_WEIGHT = 0.05, 20.0, 60.0
 CELLS = 32 * 33
+#: The predictor that is always the same.
+BIAS = 0.3
 _M = np.uint32(0x9E3779B1)
 
 
@@ -61,6 +67,7 @@ class Head:
     n: int
     v: int
     novelty: float
+    slot_bits: int = MOST_BITS  # of the tables that its paths are looked up in
 
     def __post_init__(self):
         size = len(self.counts)
@@ -92,8 +99,37 @@ class Head:
                 bits.append(bit)
         self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
         share = weight[child[:, 1]] / np.maximum(weight[child].sum(axis=1), 1e-9)
-        self.odds = np.log(share / (1 - share)).astype(np.float32)
+        self.node_odds = np.log(share / (1 - share)).astype(np.float32)
+        # leaves from left to right
+        self.leaves, self.rank = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        below = [2 * size - 2]
+        for k in range(size):
+            while below[-1] >= size:
+                below.extend(child[below.pop() - size][::-1].tolist())
+            self.leaves[k] = below.pop()
+        self.rank[self.leaves] = np.arange(size)
+        self.lay_out()
+
+    def lay_out(self) -> None:
+        """What is looked up for each step of the paths. It follows from the rest and is not sent."""
         self.ids = {w: i + 2 for i, w in enumerate(self.words)} | {b"\n": END}
+        odds = self.node_odds[self.nodes]
+        # four steps of a path lie in one line of 16 slots: a key for the line, a place within it
+        at, depth = np.arange(len(self.nodes)), np.arange(len(self.nodes)) - np.repeat(self.start, self.length)
+        step, place = depth % 4, np.ones(len(self.nodes), np.int64)
+        for k in range(3):
+            later = np.nonzero(step > k)[0]
+            place[later] = 2 * place[later] + self.bits[at[later] - step[later] + k]
+        # what a step needs lies together: the line's key, the odds; then depth, bit and place
+        self.steps = np.stack((self.nodes[at - step] * np.uint32(0xC2B2AE3D), odds.view(np.uint32)), axis=1).view(np.uint64).ravel()
+        self.small = (np.minimum(depth, 15) << 8 | self.bits.astype(np.int64) << 4 | place).astype(np.uint16)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "steps", "small")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.lay_out()
 
     def tail(self) -> int:
         """Learning tokens outside the head."""
@@ -113,22 +149,45 @@ def coded_bytes(text: str) -> int:
 def _mix32(x: np.ndarray) -> np.ndarray:
     x = x * _M
     x ^= x >> np.uint32(15)
-    return x * np.uint32(0x85EBCA77)
+    x *= np.uint32(0x85EBCA77)
+    return x
+
+
+def split_words(docs: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``words_of`` for some documents: (all words in order, how many each document has)."""
+    texts = pa.array([t.encode("utf-8", "surrogatepass") for t in docs], pa.binary()).view(pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    real = pc.not_equal(words, "")  # white space at either end of a text gives empty ones
+    kept = real.to_numpy(zero_copy_only=False)
+    if not kept.all():
+        ends = np.cumsum(n)
+        words, n = words.filter(real), np.diff(np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], ends))])
+    return words, n
+
+
+def word_bytes(words: pa.Array, n: np.ndarray) -> np.ndarray:
+    """``coded_bytes`` of each document."""
+    upto = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))))
+    ends = np.cumsum(n)
+    return upto[ends] - upto[ends - n] + np.maximum(n - 1, 0)
 
 
 def encode(head: Head, docs: list[str]) -> tuple[list[bytes], list[str], np.ndarray]:
     """For each document: its symbols (bytes of uint32, the end last), its tail words in order, and its length."""
-    get, words, ends = head.ids.get, [], []
-    for t in docs:
-        words += words_of(t)
-        words.append(b"\n")
-        ends.append(len(words))
-    sym = np.array([get(w, ESC) for w in words], np.uint32)
-    at = np.nonzero(sym == ESC)[0]
-    tail = [words[i] for i in at.tolist()]
-    cuts = np.searchsorted(at, ends).tolist()
-    tails = [b" ".join(tail[i:j]).decode() for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
-    return [sym[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)], tails, np.diff([0, *ends])
+    return encode_words(head, *split_words(docs))
+
+
+def encode_words(head: Head, words: pa.Array, n: np.ndarray) -> tuple[list[bytes], list[str], np.ndarray]:
+    found = pc.index_in(words, value_set=pa.array(head.words, pa.binary()).view(pa.string()))
+    ends = np.cumsum(n)
+    sym = np.insert(pc.fill_null(found, ESC - 2).to_numpy().astype(np.int64) + 2, ends, END).astype(np.uint32)
+    outside = found.is_null()
+    cuts = np.concatenate(([0], np.cumsum(outside.to_numpy(zero_copy_only=False))))[np.concatenate(([0], ends))]
+    tails = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.filter(outside)), " ").to_pylist()
+    n = n + 1
+    ends = np.cumsum(n)
+    return [sym[i:j].tobytes() for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)], tails, n
 
 
 class Tokens:
@@ -154,25 +213,71 @@ class Tokens:
 
 def token_bits(head: Head, tok: Tokens, which: np.ndarray):
     """Bits of the tokens ``which``: (order-0 log-odds, hash of each context and node, bits, lengths, depth)."""
-    sym = tok.sym[which]
+    own, pos, n = path_steps(head, tok.sym[which])
+    steps, small = np.take(head.steps, pos).view(np.uint32), np.take(head.small, pos)
+    key, place = steps[::2].copy(), line_place(head, small)
+    hashes = [line_slots(np.take(h[which], own), key, place) for h in tok.hash]
+    return steps[1::2].view(np.float32), hashes, step_bit(small), n, (small >> 8).astype(np.uint8)
+
+
+def step_bit(small: np.ndarray) -> np.ndarray:
+    return (small >> 4 & 1).astype(np.uint8)
+
+
+def line_place(head: Head, small: np.ndarray) -> np.ndarray:
+    return (small & np.uint16(15)).astype(np.uint32) << np.uint32(32 - head.slot_bits)
+
+
+def line_slots(context: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of contexts and tree nodes: those of one context and line differ in the lowest bits of their slots alone."""
+    context ^= key
+    x = _mix32(context)
+    x ^= place
+    return x
+
+
+def path_steps(head: Head, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The paths of symbols: (which symbol, place among the head's steps, steps of each symbol)."""
     n = head.length[sym]
-    ends = np.cumsum(n)
-    depth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-    pos = np.repeat(head.start[sym], n) + depth
-    node = head.nodes[pos]
-    key = node * np.uint32(0xC2B2AE3D)
-    return head.odds[node], [_mix32(np.repeat(h[which], n) ^ key) for h in tok.hash], head.bits[pos], n, depth
+    own = np.repeat(np.arange(len(sym)), n)
+    pos = np.arange(len(own))
+    pos += (head.start[sym] - np.cumsum(n) + n)[own]
+    return own, pos, n
 
 
-def pair_bits(head: Head, hashes: np.ndarray, sym: np.ndarray, size: int = 1 << 16):
-    """Path bits under one context, for each distinct pair of context and symbol once: (hashes, bits, times)."""
-    pairs, times = np.unique(hashes.astype(np.uint64) << np.uint64(32) | sym.astype(np.uint64), return_counts=True)
-    h, sym = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    for at in range(0, len(sym), size):
-        part = slice(at, at + size)
-        n = head.length[sym[part]]
-        pos = np.repeat(head.start[sym[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield _mix32(np.repeat(h[part], n) ^ head.nodes[pos] * np.uint32(0xC2B2AE3D)), head.bits[pos], np.repeat(times[part], n)
+def pair_bits(head: Head, hashes: np.ndarray, sym: np.ndarray, size: int = 1 << 13):
+    """Path bits under one context, for distinct pairs of context and symbol: (hashes, bits, times).
+
+    Pairs stand in the tree's order, so paths of one context that share their first steps follow each other.
+    Where pairs are much fewer than tokens, such shared steps are one as well.
+    """
+    pairs, times = np.unique(hashes.astype(np.uint64) << np.uint64(32) | head.rank[sym].astype(np.uint64), return_counts=True)
+    shared = 2 * len(pairs) < len(sym)
+    for at in range(0, len(pairs), size):
+        part, n = pairs[at : at + size], times[at : at + size]
+        h, own = (part >> np.uint64(32)).astype(np.uint32), head.leaves[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        if shared:
+            h, pos, n = shared_steps(head, h, own, n)
+        else:
+            own, pos, _ = path_steps(head, own)
+            h, n = np.take(h, own), np.take(n, own)
+        small = np.take(head.small, pos)
+        yield line_slots(h, np.take(head.steps, pos).view(np.uint32)[::2], line_place(head, small)), step_bit(small), n
+
+
+def shared_steps(head: Head, h: np.ndarray, sym: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Step by step, neighbouring pairs of one context and the same steps so far are one: (context, step, times)."""
+    pos, left = head.start[sym], head.length[sym]
+    new, out = np.concatenate((np.ones(1, bool), h[1:] != h[:-1])), []
+    while len(pos):
+        bit = np.take(head.bits, pos)
+        new[1:] |= bit[1:] != bit[:-1]
+        first = np.nonzero(new)[0]
+        out.append((h[first], pos[first], np.add.reduceat(n, first)))
+        left = left - 1
+        on = np.nonzero(left)[0]
+        h, pos, left, n, new = h[on], pos[on] + 1, left[on], n[on], new[on]
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def spelling_bits(words: list[bytes]):
@@ -204,19 +309,26 @@ class Counts:
         self.state = np.zeros(1 << bits, np.int64)
 
     def add(self, hashes: np.ndarray, bits: np.ndarray, times: np.ndarray | int = 1) -> None:
-        slot, check = (hashes >> self.shift).astype(np.int64), (hashes & np.uint32(255)).astype(np.int64)
-        got = self.state[slot]
-        own = ((got >> 56) & 255) == check
-        other = np.nonzero(~own)[0]
-        less = got[other] & ((1 << 56) - 1)
-        other = other[(less <= 1) | (less == 1 << 28)]
-        self.state[slot[other]] = check[other] << 56
-        own[other] = ((self.state[slot[other]] >> 56) & 255) == check[other]  # of several, the last has it
-        more = np.where(bits == 1, 1 << 28, 1) * times
+        slot, check = (hashes >> self.shift).astype(np.int64), hashes.astype(np.uint64)
+        check <<= np.uint64(56)
+        check = check.view(np.int64)
+        got = np.take(self.state, slot)
+        got ^= check  # the highest byte is zero in a slot of one's own
+        own = got.view(np.uint64) < np.uint64(1 << 56)
+        more = np.array([1, 1 << 28])[bits]
+        more *= times
         if own.all():
             np.add.at(self.state, slot, more)
-        else:
-            np.add.at(self.state, slot[own], more[own])
+            return
+        other = np.nonzero(~own)[0]
+        less = got[other]
+        less &= (1 << 56) - 1
+        other = other[(less <= 1) | (less == 1 << 28)]
+        theirs, mark = slot[other], check[other]
+        self.state[theirs] = mark
+        own[other] = self.state[theirs] == mark  # of several, the last has it
+        own = np.nonzero(own)[0]
+        np.add.at(self.state, slot[own], more[own])
 
 
 def unpacked(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,13 +344,19 @@ def packed_counts(check: np.ndarray, n: np.ndarray) -> bytes:
     if len(big):
         n = n.copy()
         n[big] = (n[big].astype(np.float64) * (65535 / most[big])[:, None]).astype(n.dtype)
-    return zlib.compress(check.tobytes() + np.ascontiguousarray(n.T).astype("<u2").tobytes(), 1)
+    low, high = (np.ascontiguousarray(x) for x in ((n.T & 255).astype(np.uint8), (n.T >> 8).astype(np.uint8)))
+    counts = zlib.compress(low.tobytes() + high.tobytes(), 1)  # high bytes are mostly zeros
+    return len(counts).to_bytes(4, "little") + counts + check[most > 0].tobytes()
 
 
 def read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(blob)
-    size = len(raw) // 5
-    return np.frombuffer(raw[:size], np.uint8), np.frombuffer(raw[size:], "<u2").reshape(2, size).T
+    """Check bytes, of slots that were met, and counts."""
+    at = 4 + int.from_bytes(blob[:4], "little")
+    raw = np.frombuffer(zlib.decompress(blob[4:at]), np.uint8).reshape(2, 2, -1).astype(np.uint16)
+    n = (raw[0] | raw[1] << 8).T
+    check = np.zeros(len(n), np.uint8)
+    check[n.any(axis=1)] = np.frombuffer(blob[at:], np.uint8)
+    return check, n
 
 
 def joined(checks: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,6 +388,14 @@ def edges(first: int, units: int) -> list[int]:
     return out
 
 
+def log10_products(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of the product of each unit's probabilities, which are 1e-9 at least: few at a time, so that none vanishes."""
+    starts = np.cumsum(sizes) - sizes
+    if sizes.max() <= 32:
+        return np.log10(np.multiply.reduceat(p, starts))
+    return np.add.reduceat(np.log10(p), starts)
+
+
 class Mixer:
     """Gated weights over the predictors, and the refinement map: as taught, then learning on in each document."""
 
@@ -282,27 +408,36 @@ class Mixer:
     def inputs(self, bits, spelled: bool):
         """(predictors by bit, gate, row of the map)."""
         first, hashes, _, _, depth = bits
-        x, seen = np.empty((CONTEXTS + 2, len(first))), []
-        x[0], x[-1] = first, 0.3
+        x, gate = np.empty((CONTEXTS + 2, len(first))), np.full(len(first), 16 * spelled)
+        x[0], x[-1] = first, BIAS
         for k in range(CONTEXTS):
             table = self.tables[k + CONTEXTS * spelled]
             got = np.take(table, hashes[k] >> np.uint32(33 - len(table).bit_length()))
-            got *= ((got ^ hashes[k].view(np.int32)) & 255) == 0  # another context's slot says nothing
+            got *= (got ^ hashes[k].view(np.int32)).astype(np.uint8) == 0  # another context's slot says nothing
             np.multiply(got >> 16, 1 / 4096, out=x[k + 1])
-            seen.append((got >> 8) & 3)
-        return x, seen[2] * 4 + seen[1] + 16 * spelled, np.minimum(depth, 15) + 16 * spelled
+            if k:
+                gate += (got >> (10 - 2 * k)) & (3 if k == 1 else 12)
+        return x, gate, np.minimum(depth, 15).astype(np.int64) + 16 * spelled
 
     @staticmethod
     def mixed(x, w, spot):
         """Log-odds of each bit: its predictors under the weights (predictor, spot) of its spot."""
-        z = x[0] * np.take(w[0], spot)
-        for k in range(1, CONTEXTS + 2):
-            z += x[k] * np.take(w[k], spot)
+        z = np.take(w[-1], spot)
+        z *= BIAS
+        for k in range(CONTEXTS + 1):
+            part = np.take(w[k], spot)
+            part *= x[k]
+            z += part
         return np.clip(z, -12, 12, out=z)
 
     @staticmethod
     def cell(z, row):
-        return row * 33 + (np.clip(z, -8, 8) * 2 + 16.5).astype(np.int64)
+        at = z * 2
+        at += 16.5
+        np.clip(at, 0.5, 32.5, out=at)
+        cell = at.astype(np.int64)
+        cell += row * 33
+        return cell
 
     def learn(self, bits, spelled: bool) -> None:
         """Teach the first weights and map, in small steps over many documents."""
@@ -324,6 +459,15 @@ class Mixer:
         centre = np.tile(1 / (1 + np.exp(-(np.arange(33) - 16) / 2)), 32)
         self.taught = (self.map_1 + 8 * centre) / (self.map_n + 8)
 
+    def fresh(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The state that ``n`` documents start from: weights and sums of squares by predictor, then by document and gate; the map by document.
+
+        Made here, not from arrays that were sent: of an unpickled type ``np.add.at`` takes 25 times as long.
+        """
+        w, map_1 = np.empty((CONTEXTS + 2, n, GATES)), np.empty((n, CELLS))
+        w[:], map_1[:] = self.w.T[:, None, :], self.taught * MAP_WEIGHT
+        return w.reshape(CONTEXTS + 2, -1), np.full((CONTEXTS + 2, n * GATES), OWN_START), np.full(n * CELLS, MAP_WEIGHT), map_1.ravel()
+
     def code(self, doc: np.ndarray, bits_of, spelled: bool, first: int = 32) -> np.ndarray:
         """log10 probability of each unit (token or word), learning on within its document.
 
@@ -336,9 +480,7 @@ class Mixer:
         length = np.diff(np.concatenate((starts, [len(doc)])))
         order = np.argsort(-length, kind="stable")  # the longest first: those still going are at the front
         starts, length = starts[order], length[order]
-        w = np.tile(self.w.T, (1, len(starts)))  # by predictor, then by document and gate
-        g2 = np.full(w.shape, OWN_START)
-        map_n, map_1 = np.full(len(starts) * CELLS, MAP_WEIGHT), np.tile(self.taught * MAP_WEIGHT, len(starts))
+        w, g2, map_n, map_1 = self.fresh(len(starts))
         steps = edges(first, int(length[0]))
         for at, to in zip(steps[:-1], steps[1:], strict=True):
             going = int(np.searchsorted(-length, -at, "left"))
@@ -357,22 +499,39 @@ class Mixer:
                 bits = bits_of(which)
                 x, gate, row = self.inputs(bits, spelled)
                 y, sizes = bits[2], bits[3]
+                y = y.astype(np.float64)
                 of = np.repeat(docs, sizes)
-                spot = of * GATES + gate
+                spot = of * GATES
+                spot += gate
                 z = self.mixed(x, w, spot)
-                cell = of * CELLS + self.cell(z, row)
-                mixed = 1 / (1 + np.exp(-z))
-                p = 0.5 * mixed + 0.5 * map_1[cell] / map_n[cell]
-                said = np.log10(np.maximum(np.where(y == 1, p, 1 - p), 1e-9))
-                out[which] = np.add.reduceat(said, np.cumsum(sizes) - sizes)
+                cell = self.cell(z, row)
+                of *= CELLS
+                cell += of
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += 1
+                mixed = np.divide(1, z, out=z)
+                p = np.take(map_1, cell)
+                p /= np.take(map_n, cell)
+                p += mixed
+                p *= 0.5
+                p += y
+                p -= 1
+                out[which] = log10_products(np.maximum(np.abs(p, out=p), 1e-9, out=p), sizes)  # p or 1 - p, as the bit was
                 # learn from what was coded
                 np.add.at(map_n, cell, 1.0)
-                np.add.at(map_1, cell, y.astype(np.float64))
+                np.add.at(map_1, cell, y)
                 low, span = int(docs[0]) * GATES, (int(docs[-1]) - int(docs[0]) + 1) * GATES
-                err = y - mixed
+                here = slice(low, low + span)
+                err = np.subtract(y, mixed, out=mixed)
+                x[-1] = BIAS
+                x *= err
+                # four sums a spot, taken in turn: bits that follow each other need not wait for one sum
+                spot -= low
+                spot *= 4
+                spot += np.arange(len(spot)) & 3
                 for k in range(CONTEXTS + 2):
-                    g = np.bincount(spot - low, weights=err * x[k], minlength=span)
-                    here = slice(low, low + span)
+                    g = np.bincount(spot, weights=x[k], minlength=4 * span).reshape(-1, 4).sum(axis=1)
                     g2[k, here] += g * g
                     w[k, here] += OWN_RATE * g / np.sqrt(g2[k, here])
         return out
@@ -403,16 +562,17 @@ def word_counts(learn: DataFrame) -> DataFrame:
     """(word, c) over (text); the end is the word of one line feed."""
 
     def out(seen: Counter) -> Iterator[pd.DataFrame]:
-        words, n = [w.decode() for w in seen], list(seen.values())
+        words, n = list(seen), list(seen.values())
         for at in range(0, len(words), 65536):
             yield pd.DataFrame({"word": pd.Series(words[at : at + 65536], dtype=object), "c": n[at : at + 65536]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
-                seen.update(words_of(t))
-                seen[b"\n"] += 1
+            got = pc.value_counts(split_words(b["text"].tolist())[0])
+            for w, c in zip(got.field("values").to_pylist(), got.field("counts").to_pylist(), strict=True):
+                seen[w] += c
+            seen["\n"] += len(b)
             if len(seen) > 300_000:
                 yield from out(seen)
                 seen = Counter()
@@ -462,11 +622,23 @@ def bit_counts(learn: DataFrame, words: DataFrame, head, bits: tuple[int, int],
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, tables = head.value, [Counts(bits[0]) for _ in range(CONTEXTS)]
-        for b in _groups(batches, 1 << 20):
-            tok = Tokens(b["syms"].tolist(), b["tail"].tolist())
+        held, size = [], 0
+
+        def take() -> None:
+            sym = np.concatenate([t.sym for t in held])
             for k in range(CONTEXTS):
-                for got in pair_bits(h, tok.hash[k], tok.sym):
+                for got in pair_bits(h, np.concatenate([t.hash[k] for t in held]), sym):
                     tables[k].add(*got)
+            held.clear()
+
+        for b in _groups(batches, PAIRED_TOKENS // 2):
+            held.append(Tokens(b["syms"].tolist(), b["tail"].tolist()))
+            held[-1].tail, size = [], size + len(held[-1].sym)
+            if size >= PAIRED_TOKENS:
+                take()
+                size = 0
+        if held:
+            take()
         yield from blobs(tables, 0)
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -563,16 +735,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     )
     counts = stage_table(word_counts(src.where("not held_out")), "words")
     top = read_head(counts, head_words)
+    sizes = table_bits(top.n, most_bits), table_bits(64 * top.v, min(most_bits, SPELLING_BITS))
+    top.slot_bits = sizes[0]
     head = spark.sparkContext.broadcast(top)
     id_type = dict(src.dtypes)["id"]
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 250):
-                part = b.iloc[at : at + 250]
-                texts = part["text"].tolist()
-                syms, tails, n = encode(head.value, texts)
-                size = [coded_bytes(t) for t in texts]
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                words = split_words(part["text"].tolist())
+                syms, tails, n = encode_words(head.value, *words)
+                size = word_bytes(*words)
                 yield part.drop(columns="text").assign(
                     n_tokens=n, n_bytes=size, syms=syms, tail=pd.Series(tails, dtype=object, index=part.index)
                 )
@@ -582,12 +756,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     coded = stage_table(coded, "symbols")  # a tenth of the texts' size, read three times
     learn = coded.where("not held_out")
     tasks = max(8, -(-top.n // TOKENS_A_TASK))
-    sizes = table_bits(top.n, most_bits), table_bits(64 * top.v, min(most_bits, SPELLING_BITS))
     tables = spark.sparkContext.broadcast(bit_counts(learn.where("fold <> 0"), counts, head, sizes, tasks))
     model = spark.sparkContext.broadcast(learn_mixer(learn.where("fold = 0"), counts, head, tables))
 
     def ready() -> Mixer:
-        model.value.tables = tables.value
+        if model.value.tables is None:
+            model.value.tables = [np.array(t) for t in tables.value]  # numpy's own memory has large pages, what was sent has not
         return model.value
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

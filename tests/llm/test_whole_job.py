@@ -327,3 +327,60 @@ def test_components_with_hubs(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in [*range(700), 5000]} | {1000 + i: 1000 for i in range(41)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_words_are_split_as_bytes_are():
+    """Arrow splits, counts and encodes as the plain code does: other blanks than the six are letters, only A-Z is lowered."""
+    from lumenframe.llm import mixing_lm
+
+    texts = ["", " ", "\n\x0b\x0c\r\t ", "a", "  A b\x1cc\x1f d e  x  ", "İ éÉ x\x00y", " x", "y ", "A a  b\n\nA zz"]
+    words, n = mixing_lm.split_words(texts)
+    plain = [mixing_lm.words_of(t) for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == [w for ws in plain for w in ws] and n.tolist() == [len(ws) for ws in plain]
+    assert mixing_lm.word_bytes(words, n).tolist() == [mixing_lm.coded_bytes(t) for t in texts]
+    head = mixing_lm.Head([b"a", b"x"], np.array([9, 4, 3, 2]), 18, 8, 0.2)
+    syms, tails, n = mixing_lm.encode(head, texts)
+    assert [np.frombuffer(s, np.uint32).tolist() for s in syms] == [[head.ids.get(w, 1) for w in ws] + [0] for ws in plain]
+    assert tails == [b" ".join(w for w in ws if w not in head.ids).decode() for ws in plain] and n.tolist() == [len(ws) + 1 for ws in plain]
+
+
+def test_a_line_holds_four_steps_of_a_path():
+    """Nodes of one context keep slots of their own; four steps of a path lie in the 16 slots of one line, with one check byte."""
+    from lumenframe.llm import mixing_lm
+
+    head = mixing_lm.Head([b"w%d" % i for i in range(2000)], np.arange(4004, 0, -2), 4 * 10**6, 2001, 0.2)
+    seen, shift = {}, 32 - head.slot_bits
+    for s in range(2002):
+        tok = mixing_lm.Tokens([np.array([5, s], np.uint32).tobytes()], ["zz" if s == 1 else ""])
+        _, hashes, _, n, depth = mixing_lm.token_bits(head, tok, np.arange(1, 2))
+        assert len(hashes[1]) == n[0] == len(depth)
+        slots = hashes[1] >> np.uint32(shift)
+        for at in range(0, len(slots), 4):
+            assert len(set((slots[at : at + 4] >> 4).tolist())) == len(set((hashes[1][at : at + 4] & 255).tolist())) == 1
+        for d, node in enumerate(head.nodes[head.start[s] : head.start[s] + head.length[s]].tolist()):
+            assert seen.setdefault(node, int(slots[d])) == slots[d]
+    assert len(set(seen.values())) > 0.95 * len(seen)
+
+
+def test_shared_steps_are_counted_once():
+    """Few contexts: each context and step of its paths comes once in a part, with all its times."""
+    from lumenframe.llm import mixing_lm
+
+    rng = np.random.default_rng(4)
+    head = mixing_lm.Head([b"w%d" % i for i in range(60)], rng.integers(1, 90, 62), 3000, 80, 0.2)
+    contexts, sym = rng.integers(0, 3, 5000).astype(np.uint32), rng.integers(0, 62, 5000)
+    (h, y, times), *more = mixing_lm.pair_bits(head, contexts, sym)
+    assert not more and len(set(zip(h.tolist(), y.tolist()))) == len(h) == 3 * 2 * 61 and times.sum() == head.length[sym].sum()
+
+
+def test_state_made_from_a_sent_model_is_of_numpys_own_type():
+    """np.add.at takes 25 times as long on an array of an unpickled type: a sent mixer makes its state anew."""
+    import pickle
+
+    from lumenframe.llm import mixing_lm
+
+    m = mixing_lm.Mixer([np.zeros(1 << 12, np.int32)] * 6)
+    m.finish()
+    w, g2, map_n, map_1 = pickle.loads(pickle.dumps(m)).fresh(3)
+    assert all(a.dtype is np.dtype(np.float64) for a in (w, g2, map_n, map_1))
+    assert (map_1.reshape(3, -1) == m.taught * mixing_lm.MAP_WEIGHT).all() and (w.reshape(-1, 3, mixing_lm.GATES) == m.w.T[:, None]).all()
