@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,7 +154,10 @@ def _mix32(x: np.ndarray) -> np.ndarray:
 
 def split_words(docs: list[str]) -> tuple[pa.Array, np.ndarray]:
     """The words of ``words_of`` for some documents: (all words in order, how many each document has)."""
-    texts = pa.array([t.encode("utf-8", "surrogatepass") for t in docs], pa.binary()).view(pa.string())
+    return split_texts(pa.array([t.encode("utf-8", "surrogatepass") for t in docs], pa.binary()).view(pa.string()))
+
+
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
     real = pc.not_equal(words, "")  # white space at either end of a text gives empty ones
@@ -561,24 +563,26 @@ def _tail_words(batches: Iterator[pd.DataFrame], head: Head, teach: bool) -> Ite
 def word_counts(learn: DataFrame) -> DataFrame:
     """(word, c) over (text); the end is the word of one line feed."""
 
-    def out(seen: Counter) -> Iterator[pd.DataFrame]:
-        words, n = list(seen), list(seen.values())
-        for at in range(0, len(words), 65536):
-            yield pd.DataFrame({"word": pd.Series(words[at : at + 65536], dtype=object), "c": n[at : at + 65536]})
+    def total(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
         for b in batches:
-            got = pc.value_counts(split_words(b["text"].tolist())[0])
-            for w, c in zip(got.field("values").to_pylist(), got.field("counts").to_pylist(), strict=True):
-                seen[w] += c
-            seen["\n"] += len(b)
-            if len(seen) > 300_000:
-                yield from out(seen)
-                seen = Counter()
-        yield from out(seen)
-
-    return learn.select("text").mapInPandas(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+            got = pc.value_counts(split_texts(b.column(0))[0])
+            words, n = pa.concat_arrays([got.field("values"), pa.array(["\n"])]), pa.concat_arrays([got.field("counts"), pa.array([b.num_rows])])
+            parts.append(pa.table({"word": words, "c": n}))
+            rows += len(words)
+            if rows > 1_000_000:
+                parts = [total(parts)]
+                rows = parts[0].num_rows
+                if rows > 300_000:
+                    yield from parts[0].to_batches(65536)
+                    parts, rows = [], 0
+        if parts:
+            yield from total(parts).to_batches(65536)
+
+    return learn.select("text").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def read_head(counts: DataFrame, most: int) -> Head:
